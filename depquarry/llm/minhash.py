@@ -18,12 +18,15 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from depquarry.llm.common import LOWER, written
 from depquarry.llm.components import connected_components
 
+#: Of a set's bitmap, by which pairs are ruled out.
+BITS = 2048
+
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -89,7 +92,7 @@ def signature(items: np.ndarray, mul: np.ndarray, add: np.ndarray) -> np.ndarray
 
 
 def featurize(docs: DataFrame, p: NearDup) -> DataFrame:
-    """(doc_id, n_shingles, cls, sig): cls names the set (null for an empty one), sig its signature."""
+    """(doc_id, n_shingles, cls, sig, nib, bits): cls names the set (null for an empty one), sig is its signature, nib 4 bits of each symbol."""
 
     def run(batches):
         rng = np.random.default_rng(p.seed)
@@ -98,15 +101,18 @@ def featurize(docs: DataFrame, p: NearDup) -> DataFrame:
         add = rng.integers(0, 1 << 63, size, dtype=np.uint64)
         words = WordHashes()
         for batch in batches:
-            n, cls, sig = [], [], []
+            n, cls, sig, nib, bits = [], [], [], [], []
             for text in batch.column("text"):
                 items = shingle_set(text.as_py(), p.shingle_words, words)
                 n.append(len(items))
                 cls.append(set_name(items))
-                sig.append(signature(items, mul, add).tobytes() if len(items) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "cls", "sig"])
+                symbols = signature(items, mul, add) if len(items) else None
+                sig.append(None if symbols is None else symbols.tobytes())
+                nib.append(None if symbols is None else nibbles(symbols))
+                bits.append(None if symbols is None else bitmap(items))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(sig, pa.binary()), pa.array(nib, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "cls", "sig", "nib", "bits"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, cls long, sig binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, cls long, sig binary, nib array<long>, bits array<long>")
 
 
 def index_entries(classes: DataFrame, p: NearDup) -> DataFrame:
@@ -127,12 +133,12 @@ def index_entries(classes: DataFrame, p: NearDup) -> DataFrame:
                 keys[:, :, j] = acc
             each = p.chunks * len(kept)
             cls = batch.column("cls").to_numpy(zero_copy_only=False)
-            n = batch.column("n_shingles").to_numpy(zero_copy_only=False)
+            n = batch.column("n").to_numpy(zero_copy_only=False)
             flat = keys.reshape(-1).view(np.int64)
             for i in range(0, len(flat), 200_000):
                 yield pa.RecordBatch.from_arrays([pa.array(flat[i : i + 200_000]), pa.array(np.repeat(cls, each)[i : i + 200_000]), pa.array(np.repeat(n, each)[i : i + 200_000])], ["key", "cls", "n"])
 
-    return classes.select("cls", "n_shingles", "sig").mapInArrow(run, "key long, cls long, n long")
+    return classes.select("cls", "n", "sig").mapInArrow(run, "key long, cls long, n long")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, p: NearDup) -> DataFrame:
@@ -151,47 +157,100 @@ def sets_of(docs: DataFrame, wanted: DataFrame, p: NearDup) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets share at least ``percent`` of their union."""
+    """The pairs (a, b, any others) whose sets share at least ``percent`` of their union."""
     x = pairs.join(sets.select(F.col("cls").alias("b"), F.col("items").alias("bs")), "b").join(sets.select(F.col("cls").alias("a"), F.col("items").alias("as")), "a")
     both = F.size(F.array_intersect("as", "bs"))
-    return x.where(100 * both >= percent * (F.size("as") + F.size("bs") - both)).select("a", "b")
+    return x.where(100 * both >= percent * (F.size("as") + F.size("bs") - both)).select(*pairs.columns)
+
+
+def nibbles(sig: np.ndarray) -> list[int]:
+    """The low 4 bits of each symbol, 16 to a 64-bit integer."""
+    four = np.zeros(-(-len(sig) // 16) * 16, np.uint64)
+    four[: len(sig)] = sig & 15
+    return (four.reshape(-1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=1, dtype=np.uint64).view(np.int64).tolist()
+
+
+def bitmap(items: np.ndarray) -> list[int]:
+    """BITS bits; each item sets one."""
+    bits = np.zeros(BITS, np.uint8)
+    bits[(items >> np.uint64(40)) % np.uint64(BITS)] = 1
+    return np.packbits(bits).view(np.int64).tolist()
+
+
+def may_link(x: dict[str, Column], y: dict[str, Column], percent: int) -> Column:
+    """Whether two sets (n, spare, bits) can be similar enough by their sizes and bitmaps: never false for a pair that is.
+
+    A bit of one set alone stands for an item that the other lacks, so a set has at most its size less
+    its own bits in common with the other: ``spare``, its size less its bits, and the bits of both.
+    """
+    both = F.aggregate(F.zip_with(x["bits"], y["bits"], lambda a, b: F.bit_count(a.bitwiseAND(b))), F.lit(0), lambda n, b: n + b)
+    most = F.least(x["spare"], y["spare"]) + both
+    return (100 + percent) * most >= percent * (x["n"] + y["n"])
+
+
+def near(x: Column, y: Column, p: NearDup) -> Column:
+    """Whether two signatures may be within the distance, by 4 bits of each symbol: never false for a pair that is."""
+    unequal = F.lit(0)
+    for i in range(-(-p.chunks * p.width // 16)):
+        v = x[i].bitwiseXOR(y[i])
+        v = v.bitwiseOR(F.shiftrightunsigned(v, 2))
+        v = v.bitwiseOR(F.shiftrightunsigned(v, 1))
+        unequal += F.bit_count(v.bitwiseAND(F.lit(0x1111111111111111)))
+    return unequal <= p.max_distance
+
+
+def merged(roots: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """(cls, root) after ``links`` (ra, rb) between roots."""
+    to = connected_components(links.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("to"))
+    return written(roots.join(to, "root", "left").select("cls", F.coalesce("to", "root").alias("root")), name)
 
 
 def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text, any others).
 
-    Equal sets are one class, which stands in the join once. Where classes meet under a key, each is
-    first held against one representative of the key; classes that this leaves in different
-    components are then held against each other, all pairs under the key whose sizes allow the
-    similarity. So no link between components is lost, and a large group of copies costs a star.
+    Equal sets are one class, which stands in the join once. Classes that meet under a key are first
+    held against the key's smallest class. Where a key then still has several components, its members
+    are held against one and then four members picked by a hash that differs by key; last, every pair
+    across the components that are left, within the signature distance and of sizes and bitmaps that
+    allow the similarity. So a large group of copies costs a few stars, and no link between components is lost.
 
     Null, empty and blank texts have no shingles and stay alone. A null doc_id keeps its row; its
-    component is the smallest doc_id of its class if there is one, else null. Repeated rows give repeated rows.
+    component is the smallest doc_id of its component's rows if there is one, else null. Repeated rows
+    give repeated rows; an empty table gives none.
     """
     feats = written(featurize(docs, p), "minhash-features")
-    classes = feats.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
+    classes = feats.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("nib").alias("nib"), F.first("bits").alias("bits"))
+    classes = written(classes, "minhash-classes")
     entries = index_entries(classes, p)
     keys = entries.groupBy("key").agg(F.min("cls").alias("head"), F.max("cls").alias("tail")).where("head != tail").drop("tail")
     met = written(entries.join(keys, "key"), "minhash-met")
 
-    sized = lambda a, b: 100 * F.least(a, b) >= p.percent * F.greatest(a, b)
-    heads = classes.select(F.col("cls").alias("head"), F.col("n_shingles").alias("hn"))
-    star = met.where("cls != head").select("cls", "n", "head").distinct().join(heads, "head").where(sized(F.col("n"), F.col("hn"))).select(F.col("head").alias("a"), F.col("cls").alias("b"))
-    wanted = met.select("cls").distinct().join(classes.select("cls", F.col("rep").alias("doc_id")), "cls")
-    sets = written(sets_of(docs, wanted, p), "minhash-sets")
-    links = written(confirmed(star, sets, p.percent), "minhash-links")
-    groups = written(connected_components(links), "minhash-groups")
-
-    # Keys under which several components are left: every pair across them is held against each other.
-    g = met.join(groups.select(F.col("node").alias("cls"), "root"), "cls", "left").select("key", "cls", "n", F.coalesce("root", "cls").alias("root"))
-    mixed = g.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
-    left = written(g.join(mixed, "key"), "minhash-left")
-    x, y = left.alias("x"), left.alias("y")
-    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.root") != F.col("y.root")) & sized(F.col("x.n"), F.col("y.n"))).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
-    links = links.union(written(confirmed(across, sets, p.percent), "minhash-across"))
-    groups = connected_components(links).select(F.col("node").alias("cls"), "root")
-
-    named = written(classes.select("cls", "rep").join(groups, "cls", "left").select("cls", "rep", F.coalesce("root", "cls").alias("root")), "minhash-named")
+    brief = classes.select("cls", "n", "nib", "bits", (F.col("n") - F.aggregate("bits", F.lit(0), lambda k, b: k + F.bit_count(b))).alias("spare"))
+    of_row = lambda at: {c: F.col(f"{at}.{c}") for c in ("n", "spare", "bits")}
+    star = met.where("cls != head").select("cls", "head").distinct().alias("m").join(brief.alias("x"), F.col("m.cls") == F.col("x.cls")).join(brief.alias("y"), F.col("m.head") == F.col("y.cls"))
+    star = star.where(near(F.col("x.nib"), F.col("y.nib"), p) & may_link(of_row("x"), of_row("y"), p.percent)).select(F.col("y.cls").alias("a"), F.col("x.cls").alias("b"), F.col("y.cls").alias("ra"), F.col("x.cls").alias("rb"))
+    members = written(met.select("cls").distinct(), "minhash-members")
+    sets = written(sets_of(docs, members.join(classes.select("cls", F.col("rep").alias("doc_id")), "cls"), p), "minhash-sets")
+    roots = merged(members.select("cls", F.col("cls").alias("root")), confirmed(star, sets, p.percent), "minhash-roots-0")
+
+    open_ = met.select("key", "cls", "n")
+    for i, picks in enumerate((1, 4, 0)):
+        # what stands under keys that have several components
+        g = open_.select("key", "cls", "n").join(roots, "cls")
+        mixed = g.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
+        open_ = written(g.join(mixed, "key").join(brief.drop("n"), "cls"), f"minhash-open-{i}")
+        x = open_.alias("x")
+        if picks:
+            of = lambda r: F.min(F.struct(F.xxhash64("key", "cls", F.lit(100 * i + r)).alias("h"), "cls", "n", "root", "nib", "spare", "bits"))  # noqa: E731, B023
+            y = open_.groupBy("key").agg(F.array(*[of(r) for r in range(picks)]).alias("picked")).select("key", F.explode(F.array_distinct("picked")).alias("y")).select("key", "y.cls", "y.n", "y.root", "y.nib", "y.spare", "y.bits").alias("y")
+            order = F.col("x.cls") != F.col("y.cls")
+        else:
+            y, order = open_.alias("y"), F.col("x.cls") < F.col("y.cls")
+        close = order & (F.col("x.root") != F.col("y.root")) & near(F.col("x.nib"), F.col("y.nib"), p) & may_link(of_row("x"), of_row("y"), p.percent)
+        pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & close).select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"), F.least("x.root", "y.root").alias("ra"), F.greatest("x.root", "y.root").alias("rb")).distinct()
+        roots = merged(roots, confirmed(pairs, sets, p.percent), f"minhash-roots-{i + 1}")
+
+    named = written(classes.select("cls", "rep").join(roots, "cls", "left").select("cls", "rep", F.coalesce("root", "cls").alias("root")), "minhash-named")
     ids = named.groupBy("root").agg(F.min("rep").alias("component"))
     of_class = named.join(ids, "root").select("cls", "component")
     out = feats.select("doc_id", "n_shingles", "cls").join(of_class, "cls", "left")
