@@ -129,3 +129,24 @@ def contribution_signals(text: Column) -> Column:
 
 def signal_confidence(signals: Column) -> Column:
     return F.when(F.size(signals) == 0, "none").when(F.array_contains(signals, "cla") | F.array_contains(signals, "dco"), "high").otherwise("medium")
+
+
+def route_summary(names: Column, arrow: str = " -> ") -> Column:
+    """A route in words: whole up to six names, else the first five, how many are left out, and the last."""
+    n = F.size(names)
+    long = F.concat_ws(arrow, F.slice(names, 1, 5), F.concat(F.lit("… ("), (n - 6).cast("string"), F.lit(" more)")), F.element_at(names, -1))
+    return F.when(n == 0, "").when(n <= 6, F.array_join(names, arrow)).otherwise(long)
+
+
+def spdx_header(source: Column) -> Column:
+    """The first identifier that an ``SPDX-License-Identifier:`` line states, comment marks dropped; else empty."""
+    return F.trim(F.regexp_replace(F.regexp_extract(source, r"SPDX-License-Identifier:[ \t]*([^\r\n]*)", 1), r"\s*(?:\*/|-->)\s*$", ""))
+
+
+def is_trusted_host(url: Column, hosts: list[str]) -> Column:
+    """Whether a URL's host is one of a list, or below one of them."""
+    host = F.lower(F.regexp_extract(url, r"^[a-z+]+://(?:[^/@]*@)?([^/:?#]+)", 1))
+    out = F.lit(False)
+    for h in hosts:
+        out = out | (host == h) | host.endswith("." + h)
+    return out

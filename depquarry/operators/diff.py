@@ -71,3 +71,24 @@ def reconcile(listed: DataFrame, present: DataFrame, required: DataFrame) -> Dat
         F.when(F.col("_p").isNotNull() & F.col("rv").isNotNull() & (F.col("pd").isNull() | F.col("rd").isNull()), "unmeasured"),
     ))
     return x.select("path", F.explode(found).alias("kind"))
+
+
+def api_diff(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(package, kind, name, change) of public symbols (package, kind, name, signature): added, removed, changed, spelling-only; testdata packages are left out.
+
+    Signatures that differ in white space alone are spelling-only. Keys must be unique on either side.
+    """
+    real = ~F.array_contains(F.split("package", "/"), "testdata")
+    x = snapshot_diff(old.where(real), new.where(real), ["package", "kind", "name"], ["signature"])
+    bare = lambda c: F.regexp_replace(F.col(c), r"\s+", "")
+    return x.select("package", "kind", "name", F.when((F.col("change") == "changed") & (bare("a_signature") == bare("b_signature")), "spelling-only").otherwise(F.col("change")).alias("change"))
+
+
+def partition_coverage(wanted: DataFrame, measured: DataFrame, frame: str) -> DataFrame:
+    """(path, state): covered in the frame, else why not: superseded, other frame, or none.
+
+    ``measured`` (path, frame, superseded).
+    """
+    g = measured.groupBy("path").agg(F.max((F.col("frame") == frame) & ~F.col("superseded")).alias("_c"), F.max((F.col("frame") == frame) & F.col("superseded")).alias("_s"), F.max(F.col("frame") != frame).alias("_o"))
+    x = wanted.select("path").distinct().join(g, "path", "left")
+    return x.select("path", F.when(F.col("_c"), "covered").when(F.col("_o"), "other frame").when(F.col("_s"), "superseded").otherwise("none").alias("state"))

@@ -264,3 +264,52 @@ def newest_major(known: DataFrame, family: DataFrame, limit: int = 32) -> DataFr
     w = Window.partitionBy("stem").orderBy("major")
     run = above.withColumn("_n", F.row_number().over(w)).where(F.col("major") == F.col("base") + F.col("_n"))
     return family.select("stem").distinct().join(run.groupBy("stem").agg(F.max("major").alias("last")), "stem", "left")
+
+
+def reachability(edges: DataFrame, roots: DataFrame, findings: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(finding, is_reachable): whether a root reaches any of a finding's symbols (finding, symbol).
+
+    Null where none of its symbols is a node of the graph: nothing was measured then.
+    """
+    seen = levels(edges, roots).select(F.col("node").alias("symbol"), F.lit(True).alias("_seen"))
+    known = nodes.select(F.col("node").alias("symbol"), F.lit(True).alias("_known")).distinct()
+    x = findings.select("finding", "symbol").join(known, "symbol", "left").join(seen, "symbol", "left")
+    return x.groupBy("finding").agg(F.max(F.when(F.col("_known"), F.coalesce("_seen", F.lit(False)))).alias("is_reachable"))
+
+
+def capabilities(paths: DataFrame, sinks: DataFrame) -> DataFrame:
+    """(capability, sink, rank, depth): the best finding of each: the strongest path, the shortest, the smallest sink.
+
+    ``paths`` as :func:`widest_paths` returns; ``sinks`` (node, capability).
+    """
+    x = paths.join(sinks, "node")
+    w = Window.partitionBy("capability").orderBy(F.col("rank").desc(), "depth", "node")
+    return x.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("capability", F.col("node").alias("sink"), "rank", "depth")
+
+
+def stitched(*edge_sets: DataFrame) -> DataFrame:
+    """One graph of many modules' edges (src, dst, confidence), the strongest confidence of repeated ones."""
+    out = edge_sets[0].select("src", "dst", "confidence")
+    for e in edge_sets[1:]:
+        out = out.unionByName(e.select("src", "dst", "confidence"))
+    return out.groupBy("src", "dst").agg(confidence_name(F.max(confidence_rank(F.col("confidence")))).alias("confidence"))
+
+
+def entry_ancestry(edges: DataFrame, target: str, entries: DataFrame) -> DataFrame:
+    """(entry, hops, weakest): the nearest entries that reach the target backwards, with the strongest weakest edge on that many hops.
+
+    ``edges`` (src, dst, rank). Unbounded; it ends at the first level that holds an entry.
+    """
+    spark = edges.sparkSession
+    _checkpoints(spark)
+    back = edges.groupBy(F.col("dst").alias("d"), F.col("src").alias("s")).agg(F.max("rank").alias("r")).checkpoint()
+    frontier = spark.createDataFrame([(target, 4)], "node string, weakest int").checkpoint()
+    seen, hops = frontier.select("node"), 0
+    while True:
+        hit = frontier.join(entries.select("node").distinct(), "node", "left_semi")
+        if not hit.isEmpty() or frontier.isEmpty():
+            return hit.select(F.col("node").alias("entry"), F.lit(hops).alias("hops"), "weakest")
+        hops += 1
+        step = frontier.join(back, F.col("node") == F.col("d")).groupBy(F.col("s").alias("node")).agg(F.max(F.least("weakest", "r")).alias("weakest"))
+        frontier = step.join(seen, "node", "left_anti").checkpoint()
+        seen = seen.unionByName(frontier.select("node")).checkpoint()

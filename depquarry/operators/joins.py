@@ -75,3 +75,38 @@ def last_containing(walks: DataFrame, members: DataFrame, newest: int = 50) -> D
     """The newest of the ``newest`` newest walks (walk, taken) that has a member (walk); the bound comes before the join."""
     recent = walks.orderBy(F.col("taken").desc(), F.col("walk").desc()).limit(newest)
     return recent.join(members.select("walk").distinct(), "walk", "left_semi").orderBy(F.col("taken").desc(), F.col("walk").desc()).limit(1)
+
+
+def judged(modules: DataFrame, ranges: DataFrame, withdrawn: DataFrame) -> DataFrame:
+    """(path, version, id, verdict): every advisory on a module's path judged: unjudgeable version, withdrawn, affected, not affected."""
+    m = modules.select("path", "version").distinct()
+    inside = F.max(in_interval(F.col("version"), F.col("lo"), F.col("hi")))
+    x = m.join(ranges, "path").groupBy("path", "version", "id").agg(inside.alias("_in")).join(withdrawn.select("id", F.lit(True).alias("_w")).distinct(), "id", "left")
+    verdict = F.when(~semver.is_valid(semver.v_prefixed(F.col("version"))), "unjudgeable").when(F.col("_w"), "withdrawn").when(F.col("_in"), "affected").otherwise("not affected")
+    return x.select("path", "version", "id", verdict.alias("verdict"))
+
+
+def with_measurement(nodes: DataFrame, records: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``nodes`` with the record's value and whether it was measured: no record is unmeasured, a record without a value unclassified."""
+    r = records.select(*keys, F.col(value).alias("_v"), F.lit(True).alias("_r"))
+    x = nodes.join(r, keys, "left")
+    return x.withColumn(value, F.col("_v")).withColumn("measurement", F.when(F.col("_r").isNull(), "unmeasured").when(F.coalesce(F.col("_v"), F.lit("")) == "", "unclassified").otherwise("classified")).drop("_v", "_r")
+
+
+def exploded_results(runs: DataFrame, run: str, results: str) -> DataFrame:
+    """(run, path, version, hash) of a map from path@version to a record's hash; the key is split at its first @."""
+    x = runs.select(run, F.explode(results).alias("_k", "hash"))
+    at = F.instr("_k", "@")
+    return x.select(run, F.when(at > 0, F.substring("_k", F.lit(1), at - 1)).otherwise(F.col("_k")).alias("path"), F.when(at > 0, F.substring("_k", at + 1, F.length("_k"))).otherwise("").alias("version"), "hash")
+
+
+def pins(requires: DataFrame, imports: DataFrame) -> DataFrame:
+    """(path, version) for every path that provides an import; none at all if one import has no provider.
+
+    ``requires`` (path, version), the newest version of a path counts; ``imports`` (name).
+    """
+    w = Window.partitionBy("path").orderBy(semver.key(F.col("version")).desc_nulls_last(), F.col("version").desc())
+    newest = requires.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("path", "version")
+    given = longest_prefix(imports.select("name").distinct(), "name", newest, "path")
+    lost = given.agg(F.coalesce(F.max(F.col("path").isNull()), F.lit(False)).alias("_lost"))
+    return newest.join(given.select("path"), "path", "left_semi").join(F.broadcast(lost)).where(~F.col("_lost")).drop("_lost")
