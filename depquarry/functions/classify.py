@@ -79,3 +79,47 @@ def exit_code(status: Column) -> Column:
     """The exit code of each outcome."""
     codes = {"ok": 0, "error": 1, "usage": 2, "not found": 3, "findings": 4, "partial": 5, "blocked": 10, "internal": 20}
     return F.try_element_at(F.create_map(*[x for k, v in codes.items() for x in (F.lit(k), F.lit(v))]), status)
+
+
+#: How sound a negative answer is, the soundest last.
+SOUNDNESS = ("NotStated", "Disputed", "Unsearchable", "Unconfirmed", "Inferred", "Confirmed")
+
+
+def negative_soundness(is_reachable: Column, names_no_symbols: Column, analyser: Column, fidelity: Column, path_found: Column, in_frame: Column) -> Column:
+    """The rung of a negative: only a search over a graph with bodies confirms one, and a path found in its own frame disputes it.
+
+    ``path_found`` is null where no search ran when the record was read.
+    """
+    derived = (
+        F.when((analyser == "callgraph") & (fidelity == "BuiltWithBodies"), "Confirmed").when(analyser == "callgraph", "Unconfirmed")
+        .when((analyser == "scanner") & (fidelity == "source"), "Inferred").when(analyser == "scanner", "Unconfirmed").otherwise("NotStated")
+    )
+    searched = F.when(fidelity == "BuiltWithBodies", "Confirmed").otherwise("Unconfirmed")
+    return (
+        F.when(is_reachable.isNull() | is_reachable, "NotStated").when(names_no_symbols, "Unsearchable")
+        .when(path_found & in_frame, "Disputed").when(path_found, derived).when(path_found.isNotNull(), searched).otherwise(derived)
+    )
+
+
+def soundness_rank(rung: Column) -> Column:
+    return F.greatest(F.coalesce(F.array_position(F.array(*[F.lit(x) for x in SOUNDNESS]), rung), F.lit(1)).cast("int") - 1, F.lit(0))
+
+
+def completeness_parity(level_a: Column, algorithm_a: Column, level_b: Column, algorithm_b: Column) -> Column:
+    """Why two graphs can't be compared, or null if they can."""
+    return F.when(level_a != level_b, F.concat(F.lit("completeness level differs: before="), level_a, F.lit(" after="), level_b)).when(algorithm_a != algorithm_b, F.concat(F.lit("algorithm differs: before="), algorithm_a, F.lit(" after="), algorithm_b))
+
+
+def fips_category(kind: Column, toolchain_capable: Column) -> Column:
+    return F.when(kind == "toolchain", F.when(toolchain_capable, "compliant").otherwise("deviation")).when(kind == "algorithm", "deviation").when(kind == "direct-random", "compliant").otherwise("unknown")
+
+
+def example_symbol(function: Column) -> Column:
+    """struct(symbol, suffix) of an example function's name: its leading upper-case parts, and all parts from the first lower-case one on."""
+    after = F.regexp_extract(function, "^Example(.*)$", 1)
+    parts = F.filter(F.split(after, "_"), lambda p: p != "")
+    lower = F.array_position(F.transform(parts, lambda p: ~p.rlike(r"^\p{Lu}")), True)
+    n = F.when(lower > 0, lower - 1).otherwise(F.size(parts)).cast("int")
+    own = (after == "") | ~function.startswith("Example")
+    symbol = F.when(own, function).otherwise(F.array_join(F.slice(parts, F.lit(1), n), "."))
+    return F.struct(symbol.alias("symbol"), F.when(own, "").otherwise(F.array_join(F.slice(parts, n + 1, F.greatest(F.size(parts) - n, F.lit(0))), "_")).alias("suffix"))

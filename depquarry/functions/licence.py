@@ -114,3 +114,31 @@ def module_status(files: Column) -> Column:
         .when(F.size(spdx) > 1, "Multiple")
         .otherwise("Detected")
     )
+
+
+def snippets(content: Column) -> Column:
+    """array<struct<spdx, copyright, origin, error>> of a source's attribution blocks; a block that isn't whole states its error.
+
+    Blocks are line comments from ``SPDX-SnippetBegin`` to ``SPDX-SnippetEnd``; each needs one identifier, a copyright
+    and a comment that names path@version.
+    """
+    tags = F.filter(F.transform(F.filter(F.split(content, "\n"), lambda x: x.rlike(r"^\s*//")), lambda x: F.trim(F.regexp_replace(x, r"^\s*//", ""))), lambda x: x != "")
+    blocks = F.slice(F.split(F.array_join(tags, "\n"), r"(?m)^SPDX-SnippetBegin$"), 2, 1_000_000)
+
+    def read(b: Column) -> Column:
+        body = F.regexp_extract(b, r"(?s)^(.*?)(?:^|\n)SPDX-SnippetEnd(?:\n|$)", 1)
+        field = lambda name: F.trim(F.regexp_extract(body, rf"(?m)^{name}:\s*(.*)$", 1))
+        spdx, who, why = field("SPDX-License-Identifier"), field("SPDX-SnippetCopyrightText"), field("SPDX-SnippetComment")
+        origin = F.regexp_extract(why, r"[A-Za-z0-9._~/-]+@v[0-9][A-Za-z0-9.+\-]*", 0)
+        error = (
+            F.when(~b.rlike(r"(?m)^SPDX-SnippetEnd$"), "unterminated").when(spdx == "", "no identifier").when(spdx.rlike(r"[()]|\s(?:AND|OR|WITH)\s"), "compound expression")
+            .when(who == "", "no copyright").when(why == "", "no comment").when(origin == "", "no origin")
+        )
+        return F.struct(spdx.alias("spdx"), who.alias("copyright"), origin.alias("origin"), error.alias("error"))
+
+    return F.transform(blocks, read)
+
+
+def escalation(before: Column, after: Column) -> Column:
+    """Whether a licence moves from no copyleft to some; both must be modelled."""
+    return F.coalesce((strength(before) == 0) & (strength(after) > 0), F.lit(False))

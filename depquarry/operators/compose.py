@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rungs of a call graph's completeness, the fuller the higher.
-COMPLETENESS = ("Unknown", "TypeOnly", "Partial", "BuiltWithBodies", "Full")
+COMPLETENESS = ("Unknown", "Failed", "MetadataOnly", "TypeOnly", "BuiltWithBodies")
 
 
 def rank_of(value: Column, order: Sequence[str]) -> Column:

@@ -31,7 +31,7 @@ CARRIERS = {
         CASE WHEN user_id % 5 = 0 THEN '' ELSE 'sha-' || CAST(user_id % 7 AS STRING) || CASE WHEN event_type = 'error' AND user_id % 3 = 0 THEN 'x' ELSE '' END END AS identity,
         CASE event_type WHEN 'error' THEN 'Affected' WHEN 'purchase' THEN 'Withdrawn' ELSE 'Clean' END AS findings,
         CASE WHEN value < 5 THEN 'Failed' WHEN value < 10 THEN 'Unscannable' ELSE 'Analysed' END AS coverage,
-        CASE WHEN value > 100 THEN 'Full' WHEN value > 50 THEN 'BuiltWithBodies' WHEN value > 20 THEN 'Partial' ELSE 'TypeOnly' END AS completeness FROM {events}""",
+        CASE WHEN value > 100 THEN 'BuiltWithBodies' WHEN value > 50 THEN 'TypeOnly' WHEN value > 20 THEN 'MetadataOnly' ELSE 'Failed' END AS completeness FROM {events}""",
     # two snapshots of customers: their first and last order's state
     "snap_a": """SELECT o_custkey AS k, min(o_orderpriority) AS priority, min(o_orderstatus) AS status, count(*) AS n FROM {orders} WHERE o_orderdate < TIMESTAMP '1996-06-01 00:00:00' GROUP BY o_custkey""",
     "snap_b": """SELECT o_custkey AS k, min(o_orderpriority) AS priority, min(o_orderstatus) AS status, count(*) AS n FROM {orders} WHERE o_orderdate >= TIMESTAMP '2000-03-01 00:00:00' GROUP BY o_custkey""",

@@ -360,3 +360,100 @@ def cmd_16_latest(spark, sf_dir):
     m = carrier(spark, sf_dir, "mods")
     n = compose.served(m, ["path"], [semver.key(C("version")).desc_nulls_last(), C("version").desc()]).select("path", C("version").alias("newest"))
     return m.join(n, "path").select("id", semver.compare_pin(C("version"), C("newest")).alias("pin"))
+
+
+# ---- further functions and commands ---------------------------------------------------------------------
+
+
+@query("""SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'Client.Do' WHEN 1 THEN 'Client' WHEN 2 THEN 'helper' ELSE '' END AS symbol, CASE p_size % 4 WHEN 0 THEN '' WHEN 1 THEN 'second_Try' WHEN 2 THEN '' ELSE 'suffix' END AS suffix FROM part""")
+def fn_13_example_symbol(spark, sf_dir):
+    s = C("p_size") % 4
+    f = F.when(s == 0, "ExampleClient_Do").when(s == 1, "ExampleClient_second_Try").when(s == 2, "helper").otherwise("Example_suffix")
+    return t(spark, sf_dir, "part").select("p_partkey", classify.example_symbol(f).alias("x")).select("p_partkey", "x.*")
+
+
+@query("""SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'x/y@v1.2.3' WHEN 1 THEN '' ELSE NULL END AS origin, CASE p_size % 4 WHEN 0 THEN NULL WHEN 1 THEN 'no copyright' WHEN 2 THEN 'unterminated' ELSE NULL END AS error, CASE WHEN p_size % 4 = 3 THEN 0 ELSE 1 END AS n FROM part""".replace("ELSE NULL END AS origin", "WHEN 2 THEN '' END AS origin"))
+def fn_18_snippet_blocks(spark, sf_dir):
+    s = C("p_size") % 4
+    head = "package p\n// SPDX-SnippetBegin\n// SPDX-License-Identifier: MIT\n"
+    whole = head + "//\n// SPDX-SnippetCopyrightText: 2020 A\n// SPDX-SnippetComment: from x/y@v1.2.3 there\n// SPDX-SnippetEnd\nfunc f() {}\n"
+    src = F.when(s == 0, whole).when(s == 1, head + "// SPDX-SnippetEnd\n").when(s == 2, head).otherwise("package p\n// plain\n")
+    x = t(spark, sf_dir, "part").select("p_partkey", licence.snippets(src).alias("b"))
+    return x.select("p_partkey", F.get("b", F.lit(0)).origin.alias("origin"), F.get("b", F.lit(0)).error.alias("error"), F.size("b").alias("n"))
+
+
+@query(cte("gens") + """ SELECT event_id, CASE WHEN module % 3 = 0 OR module % 3 = 1 THEN 'NotStated' WHEN confidence < 30 THEN 'Unsearchable' WHEN source = 'error' THEN 'Disputed' WHEN module % 2 = 0 THEN CASE WHEN completeness = 'BuiltWithBodies' THEN 'Confirmed' ELSE 'Unconfirmed' END WHEN source = 'view' THEN CASE WHEN completeness = 'BuiltWithBodies' THEN 'Confirmed' ELSE 'Unconfirmed' END ELSE 'Unconfirmed' END AS rung FROM gens""")
+def fn_36_negative_soundness(spark, sf_dir):
+    m = C("module")
+    found = F.when(C("source") == "error", True).when(C("source") == "view", False)
+    rung = classify.negative_soundness(F.when(m % 3 != 0, m % 3 == 1), C("confidence") < 30, F.when(m % 2 == 0, "callgraph").otherwise("scanner"), C("completeness"), found, F.lit(True))
+    return carrier(spark, sf_dir, "gens").select("event_id", rung.alias("rung"))
+
+
+@query("""SELECT event_id, CASE WHEN event_type = 'error' THEN CASE WHEN user_id % 2 = 0 THEN 'compliant' ELSE 'deviation' END WHEN event_type = 'click' THEN 'deviation' WHEN event_type = 'view' THEN 'compliant' ELSE 'unknown' END AS category FROM events""")
+def fn_31_fips_category(spark, sf_dir):
+    kind = F.when(C("event_type") == "error", "toolchain").when(C("event_type") == "click", "algorithm").when(C("event_type") == "view", "direct-random").otherwise("cgo")
+    return t(spark, sf_dir, "events").select("event_id", classify.fips_category(kind, C("user_id") % 2 == 0).alias("category"))
+
+
+@query(cte("licences") + """, a AS (SELECT id, expression AS x, target AS y FROM licences WHERE expression <> target)
+SELECT id, x, y, x IN ('MIT') AND y IN ('GPL-3.0-only', 'AGPL-3.0-only') OR x = 'Apache-2.0' AND y IN ('GPL-3.0-only', 'AGPL-3.0-only') AS escalation FROM a""")
+def set_05_licence_diff(spark, sf_dir):
+    l = carrier(spark, sf_dir, "licences")
+    d = diff.snapshot_diff(l.select("id", C("expression").alias("spdx")), l.select("id", C("target").alias("spdx")), ["id"], ["spdx"])
+    return d.select("id", C("a_spdx").alias("x"), C("b_spdx").alias("y"), licence.escalation(C("a_spdx"), C("b_spdx")).alias("escalation"))
+
+
+@query("""SELECT DISTINCT l_orderkey AS walk FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F')""")
+def set_12_unresolved_walks(spark, sf_dir):
+    held = t(spark, sf_dir, "orders").where("o_orderstatus <> 'F'").select(C("o_orderkey").alias("walk"))
+    return t(spark, sf_dir, "lineitem").select(C("l_orderkey").alias("walk")).distinct().join(held, "walk", "left_anti")
+
+
+@query(cte("gens") + """, s AS (SELECT module, event_id FROM (SELECT *, row_number() OVER (PARTITION BY module ORDER BY taken DESC, event_id) AS n FROM gens) WHERE n = 1)
+SELECT g.event_id, CASE WHEN s.event_id IS NULL THEN 'not served' ELSE 'wrong finding' END AS reason FROM gens g LEFT JOIN s ON s.event_id = g.event_id WHERE g.findings = 'Affected' AND (s.event_id IS NULL OR g.coverage <> 'Analysed')""")
+def set_11_index_check(spark, sf_dir):
+    g = carrier(spark, sf_dir, "gens")
+    served = compose.served(g, ["module"], [C("taken").desc(), C("event_id").asc()]).select("event_id", F.lit(True).alias("s"))
+    x = g.where("findings = 'Affected'").join(served, "event_id", "left").where(C("s").isNull() | (C("coverage") != "Analysed"))
+    return x.select("event_id", F.when(C("s").isNull(), "not served").otherwise("wrong finding").alias("reason"))
+
+
+@query(cte("gens") + """, r AS (SELECT *, source IN ('view', 'click') AS d, max(source IN ('view', 'click')) OVER (PARTITION BY module) AS any_d, max(source = 'signup') OVER (PARTITION BY module) AS unknown FROM gens),
+k AS (SELECT *, CASE findings WHEN 'Clean' THEN 2 WHEN 'Withdrawn' THEN 1 ELSE 0 END AS anchor FROM r WHERE d = any_d)
+SELECT module, event_id, unknown FROM (SELECT *, row_number() OVER (PARTITION BY module ORDER BY anchor DESC, taken DESC, event_id) AS n FROM k) WHERE n = 1""")
+def cmp_11_stdlib_facts(spark, sf_dir):
+    g = carrier(spark, sf_dir, "gens").withColumn("unknown", F.max(C("source") == "signup").over(Window.partitionBy("module")))
+    g = compose.preferred_group(g, ["module"], C("source").isin("view", "click"))
+    anchor = F.when(C("findings") == "Clean", 2).when(C("findings") == "Withdrawn", 1).otherwise(0)
+    return compose.served(g, ["module"], [anchor.desc(), C("taken").desc(), C("event_id").asc()]).select("module", "event_id", "unknown")
+
+
+@query("""SELECT l_partkey % 60 AS coordinate, l_returnflag AS spdx, list_sort(list(DISTINCT 'f' || CAST(l_suppkey AS STRING))) AS paths, count(DISTINCT l_linestatus) > 1 AS conflict FROM lineitem GROUP BY ALL""".replace("GROUP BY ALL", "GROUP BY l_partkey % 60, l_returnflag"))
+def agg_15_snippet_paths(spark, sf_dir):
+    l = t(spark, sf_dir, "lineitem").select((C("l_partkey") % 60).alias("coordinate"), C("l_returnflag").alias("spdx"), F.concat(F.lit("f"), C("l_suppkey").cast("string")).alias("path"), "l_linestatus")
+    return l.groupBy("coordinate", "spdx").agg(F.array_sort(F.collect_set("path")).alias("paths"), (F.countDistinct("l_linestatus") > 1).alias("conflict"))
+
+
+@query("""WITH w AS (SELECT o_orderkey AS walk, o_custkey AS target, o_orderdate AS taken FROM orders), l AS (SELECT * FROM w x WHERE taken = (SELECT max(taken) FROM w y WHERE y.target = x.target))
+SELECT walk, target, (SELECT count(*) FROM lineitem WHERE l_orderkey = walk) AS nodes FROM l""")
+def cmd_08_walk_list_latest(spark, sf_dir):
+    w = compose.latest_with_ties(t(spark, sf_dir, "orders").select(C("o_orderkey").alias("walk"), C("o_custkey").alias("target"), C("o_orderdate").alias("taken")), ["target"], "taken")
+    n = t(spark, sf_dir, "lineitem").groupBy(C("l_orderkey").alias("walk")).agg(F.count("*").alias("nodes"))
+    return w.join(n, "walk", "left").select("walk", "target", F.coalesce("nodes", F.lit(0)).alias("nodes"))
+
+
+@query("""SELECT p_partkey, p_name, p_brand FROM part WHERE p_name LIKE '%bolt' ORDER BY p_name, p_partkey LIMIT 25 OFFSET 5""")
+def cmd_09_symbol_find(spark, sf_dir):
+    return rollup.page(t(spark, sf_dir, "part").where(C("p_name").endswith("bolt")).select("p_partkey", "p_name", "p_brand"), [C("p_name"), C("p_partkey")], 25, 5)
+
+
+@query(cte("deps") + """, n AS (SELECT 'n' || CAST(n_nationkey AS STRING) AS node FROM nation UNION SELECT 's' || CAST(s_suppkey AS STRING) FROM supplier), i AS (SELECT dst AS node, count(DISTINCT src) AS callers FROM deps GROUP BY dst)
+SELECT n.node, coalesce(callers, 0) AS callers, CASE WHEN callers > 0 THEN 'found' WHEN n.node LIKE '%7' THEN 'UNRESOLVED' ELSE 'RESOLVED-ABSENT' END AS verdict FROM n LEFT JOIN i ON i.node = n.node""")
+def cmd_03_callers_with_verdict(spark, sf_dir):
+    no, yes = F.lit(False), F.lit(True)
+    n = t(spark, sf_dir, "nation").select(F.concat(F.lit("n"), C("n_nationkey").cast("string")).alias("node")).union(t(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), C("s_suppkey").cast("string"))))
+    i = carrier(spark, sf_dir, "deps").groupBy(C("dst").alias("node")).agg(F.countDistinct("src").alias("callers"))
+    s = classify.sinks(C("node"), C("node").endswith("7"), no, no, no, yes, yes, no)
+    x = n.join(i, "node", "left")
+    return x.select("node", F.coalesce("callers", F.lit(0)).alias("callers"), F.when(C("callers") > 0, "found").otherwise(classify.negative_verdict(s)).alias("verdict"))

@@ -427,7 +427,7 @@ def win_05_intervals(spark, sf_dir):
     return joins.intervals(carrier(spark, sf_dir, "range_events"), ["id", "path"])
 
 
-RUNG = "CASE completeness WHEN 'Full' THEN 5 WHEN 'BuiltWithBodies' THEN 4 WHEN 'Partial' THEN 3 WHEN 'TypeOnly' THEN 2 ELSE 1 END"
+RUNG = "CASE completeness WHEN 'BuiltWithBodies' THEN 5 WHEN 'TypeOnly' THEN 4 WHEN 'MetadataOnly' THEN 3 WHEN 'Failed' THEN 2 ELSE 1 END"
 
 
 @query(cte("gens") + f""", z AS (SELECT *, {RUNG} AS rung, source IN ('view', 'click') AS zip, max(source IN ('view', 'click')) OVER (PARTITION BY module) AS any_zip FROM gens),
