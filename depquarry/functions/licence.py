@@ -142,3 +142,53 @@ def snippets(content: Column) -> Column:
 def escalation(before: Column, after: Column) -> Column:
     """Whether a licence moves from no copyleft to some; both must be modelled."""
     return F.coalesce((strength(before) == 0) & (strength(after) > 0), F.lit(False))
+
+
+# The obligations of each licence. notice, text (of the licence), changes (stated), source
+# (disclosed), network (use counts as distribution), marks (no use of trademarks), patent (express grant).
+OBLIGATIONS = {
+    "MIT": "notice text",
+    "ISC": "notice text",
+    "BSD-2-Clause": "notice text",
+    "BSD-3-Clause": "notice text marks",
+    "BSD-4-Clause": "notice text",
+    "BSD-2-Clause-Views": "notice text",
+    "Apache-2.0": "notice text changes marks patent",
+    "Zlib": "notice changes",
+    "BlueOak-1.0.0": "notice text patent",
+    "0BSD": "",
+    "Unlicense": "",
+    "CC0-1.0": "",
+    "CC-BY-4.0": "notice text changes marks",
+    "CC-BY-SA-3.0": "notice text changes marks",
+    "OFL-1.1": "notice text marks",
+    "MPL-2.0": "notice text changes source patent",
+    "LGPL-2.0-only": "notice text changes source",
+    "LGPL-2.0-or-later": "notice text changes source",
+    "LGPL-2.1-only": "notice text changes source",
+    "LGPL-2.1-or-later": "notice text changes source",
+    "LGPL-3.0-only": "notice text changes source patent",
+    "LGPL-3.0-or-later": "notice text changes source patent",
+    "EPL-1.0": "notice text changes source patent",
+    "EPL-2.0": "notice text changes source patent",
+    "EUPL-1.2": "notice text changes source marks",
+    "CDDL-1.0": "notice text changes source patent",
+    "GPL-2.0-only": "notice text changes source",
+    "GPL-2.0-or-later": "notice text changes source",
+    "GPL-3.0-only": "notice text changes source patent",
+    "GPL-3.0-or-later": "notice text changes source patent",
+    "EUPL-1.1": "notice text changes source marks",
+    "BUSL-1.1": "notice text changes",
+    "SSPL-1.0": "notice text changes source",
+    "Elastic-2.0": "notice text marks",
+    "AGPL-3.0-only": "notice text changes source network patent",
+    "AGPL-3.0-or-later": "notice text changes source network patent",
+    "OSL-3.0": "notice text changes source network patent",
+}
+
+
+def obligations(spdx: Column) -> Column:
+    """The obligations of a licence as a sorted array; null for one that isn't in the catalogue, which is not the same as none."""
+    table = F.create_map(*[F.lit(x) for k, v in OBLIGATIONS.items() for x in (k, v)])
+    got = F.try_element_at(table, canonical(spdx))
+    return F.when(got.isNotNull(), F.array_sort(F.filter(F.split(got, " "), lambda x: x != "")))

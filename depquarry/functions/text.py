@@ -150,3 +150,18 @@ def is_trusted_host(url: Column, hosts: list[str]) -> Column:
     for h in hosts:
         out = out | (host == h) | host.endswith("." + h)
     return out
+
+
+def holder_names_owner(holder: Column, path: Column) -> Column:
+    """Whether a word of five letters or more in a copyright holder's name contains, or lies in, an element of a path behind its host."""
+    words = F.filter(F.split(F.lower(holder), "[^a-z0-9]+"), lambda w: F.length(w) >= 5)
+    parts = F.split(F.lower(path), "/")
+    owners = F.filter(F.slice(parts, 2, 1_000_000), lambda o: o != "")
+    return F.exists(words, lambda w: F.exists(owners, lambda o: F.contains(o, w) | F.contains(w, o)))
+
+
+def base_names_overlap(a: Column, b: Column) -> Column:
+    """Whether the last elements of two paths, of three letters or more without a major suffix, contain one another."""
+    base = lambda p: F.lower(F.substring_index(strip_major(p), "/", -1))
+    x, y = base(a), base(b)
+    return (F.length(x) >= 3) & (F.length(y) >= 3) & (F.contains(x, y) | F.contains(y, x))

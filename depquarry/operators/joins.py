@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from depquarry.functions import semver
+from depquarry.functions import semver, text
 
 
 def intervals(events: DataFrame, keys: list[str]) -> DataFrame:
@@ -110,3 +110,18 @@ def pins(requires: DataFrame, imports: DataFrame) -> DataFrame:
     given = longest_prefix(imports.select("name").distinct(), "name", newest, "path")
     lost = given.agg(F.coalesce(F.max(F.col("path").isNull()), F.lit(False)).alias("_lost"))
     return newest.join(given.select("path"), "path", "left_semi").join(F.broadcast(lost)).where(~F.col("_lost")).drop("_lost")
+
+
+def republications(modules: DataFrame, holders: DataFrame, related: DataFrame) -> DataFrame:
+    """(path, signal, canonical): signs that a module is another's copy under a new path.
+
+    multiple_holders: its licence names more than one holder; holder_matches_path: a holder names the
+    owner of a related path. A relation by replacement beats one by the ledger, which must share the
+    base name. ``modules`` (path), ``holders`` (path, holder), ``related`` (path, other, by_replace).
+    """
+    h = holders.where("holder <> ''").select("path", "holder").distinct().join(modules.select("path").distinct(), "path", "left_semi")
+    many = h.groupBy("path").agg(F.count("*").alias("_n")).where("_n > 1").select("path", F.lit("multiple_holders").alias("signal"), F.lit(None).cast("string").alias("canonical"))
+    r = related.where(F.col("other") != F.col("path")).groupBy("path", "other").agg(F.max("by_replace").alias("by_replace"))
+    r = r.where(F.col("by_replace") | text.base_names_overlap(F.col("path"), F.col("other")))
+    match = h.join(r, "path").where(text.holder_names_owner(F.col("holder"), F.col("other"))).select("path", F.lit("holder_matches_path").alias("signal"), F.col("other").alias("canonical")).distinct()
+    return many.unionByName(match)

@@ -457,3 +457,40 @@ def cmd_03_callers_with_verdict(spark, sf_dir):
     s = classify.sinks(C("node"), C("node").endswith("7"), no, no, no, yes, yes, no)
     x = n.join(i, "node", "left")
     return x.select("node", F.coalesce("callers", F.lit(0)).alias("callers"), F.when(C("callers") > 0, "found").otherwise(classify.negative_verdict(s)).alias("verdict"))
+
+
+@query(cte("licences") + """ SELECT id, CASE target WHEN 'MIT' THEN ['notice', 'text'] WHEN 'Apache-2.0' THEN ['changes', 'marks', 'notice', 'patent', 'text'] WHEN 'GPL-3.0-only' THEN ['changes', 'notice', 'patent', 'source', 'text'] ELSE ['changes', 'network', 'notice', 'patent', 'source', 'text'] END AS must, expression IN ('MIT', 'Apache-2.0', 'GPL-2.0', 'GPL-2.0-or-later', 'MPL-2.0', 'AGPL-3.0-only', 'CC-BY-4.0') AS known FROM licences""")
+def fn_26_obligations(spark, sf_dir):
+    l = carrier(spark, sf_dir, "licences")
+    return l.select("id", licence.obligations(C("target")).alias("must"), licence.obligations(C("expression")).isNotNull().alias("known"))
+
+
+@query("""WITH h AS (SELECT 'host/own/mod' || CAST(c_nationkey AS STRING) AS path, CASE WHEN c_custkey % 3 = 0 THEN 'The ' || n_name || ' Team' ELSE 'Somebody' END AS holder, 'host/' || lower(n_name) || '/mod' || CAST(c_nationkey AS STRING) AS other FROM customer JOIN nation ON c_nationkey = n_nationkey),
+m AS (SELECT path FROM (SELECT DISTINCT path, holder FROM h) GROUP BY path HAVING count(*) > 1)
+SELECT path, 'multiple_holders' AS signal, NULL AS canonical FROM m UNION ALL SELECT DISTINCT path, 'holder_matches_path', other FROM h WHERE holder <> 'Somebody' AND regexp_matches(lower(holder), '[a-z0-9]{5,}')
+AND len(list_filter(string_split_regex(lower(holder), '[^a-z0-9]+'), lambda w: length(w) >= 5 AND (contains(string_split(other, '/')[2], w) OR contains(w, string_split(other, '/')[2]) OR contains(string_split(other, '/')[3], w) OR contains(w, string_split(other, '/')[3])))) > 0""")
+def fn_43_republications(spark, sf_dir):
+    x = t(spark, sf_dir, "customer").join(t(spark, sf_dir, "nation"), C("c_nationkey") == C("n_nationkey"))
+    n = C("c_nationkey").cast("string")
+    x = x.select(F.concat(F.lit("host/own/mod"), n).alias("path"), F.when(C("c_custkey") % 3 == 0, F.concat(F.lit("The "), "n_name", F.lit(" Team"))).otherwise("Somebody").alias("holder"), F.concat(F.lit("host/"), F.lower("n_name"), F.lit("/mod"), n).alias("other"))
+    return joins.republications(x, x, x.select("path", "other", F.lit(False).alias("by_replace")))
+
+
+@query("""SELECT user_id AS project, CASE WHEN count(*) FILTER (WHERE event_type = 'error' AND value > 100) > 0 THEN 'findings' ELSE 'clean' END AS status, list_sort(list(DISTINCT event_type) FILTER (WHERE value > 100)) AS packages FROM events GROUP BY user_id HAVING count(*) FILTER (WHERE value > 100) > 0""")
+def agg_17_governance_status(spark, sf_dir):
+    e = t(spark, sf_dir, "events")
+    g = e.groupBy(C("user_id").alias("project")).agg(F.count_if((C("event_type") == "error") & (C("value") > 100)).alias("n"), F.array_sort(F.collect_set(F.when(C("value") > 100, C("event_type")))).alias("packages"))
+    return g.where(F.size("packages") > 0).select("project", F.when(C("n") > 0, "findings").otherwise("clean").alias("status"), "packages")
+
+
+@query("""SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'MIT' WHEN 1 THEN 'Apache-2.0 OR MIT' ELSE '' END AS spdx FROM part""")
+def x_03_spdx_header(spark, sf_dir):
+    s = C("p_size") % 3
+    src = F.when(s == 0, "package p\n// SPDX-License-Identifier: MIT\n// SPDX-License-Identifier: ISC").when(s == 1, "/* SPDX-License-Identifier: Apache-2.0 OR MIT */\nint x;").otherwise("package p")
+    return t(spark, sf_dir, "part").select("p_partkey", text.spdx_header(src).alias("spdx"))
+
+
+@query("""SELECT o_orderkey AS walk, 'sha256:' || sha256('{"target":"c' || CAST(o_custkey AS STRING) || '","scope":"' || o_orderstatus || '","depth":""}') AS identity FROM orders""")
+def x_12_walk_identity(spark, sf_dir):
+    row = F.struct(F.concat(F.lit("c"), C("o_custkey").cast("string")).alias("target"), C("o_orderstatus").alias("scope"), F.lit("").alias("depth"))
+    return t(spark, sf_dir, "orders").select(C("o_orderkey").alias("walk"), text.canonical_hash(row).alias("identity"))
