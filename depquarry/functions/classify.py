@@ -123,3 +123,35 @@ def example_symbol(function: Column) -> Column:
     own = (after == "") | ~function.startswith("Example")
     symbol = F.when(own, function).otherwise(F.array_join(F.slice(parts, F.lit(1), n), "."))
     return F.struct(symbol.alias("symbol"), F.when(own, "").otherwise(F.array_join(F.slice(parts, n + 1, F.greatest(F.size(parts) - n, F.lit(0))), "_")).alias("suffix"))
+
+
+def has_fetched_artefact(source: Column) -> Column:
+    """Resolution sources that own no artefact; unknown ones count as owning one."""
+    return ~F.coalesce(source.isin("main_module", "local_replace", "stdlib", "workspace"), F.lit(False))
+
+
+def is_cacheable(lookup: Column) -> Column:
+    """A fact whose checksum lookup didn't fail."""
+    return F.coalesce(lookup != "failed", F.lit(True))
+
+
+def licence_clause(expression: Column, primary: Column) -> Column:
+    """What a bill of materials states: the expression, else the primary licence, else NOASSERTION."""
+    said = lambda c: F.when(c != "", c)
+    return F.coalesce(said(expression), said(primary), F.lit("NOASSERTION"))
+
+
+def audit_cell(findings: Column, coverage: Column, n: Column) -> Column:
+    """A vulnerability cell of the audit: a count, a word for a measured absence, a word for a gap."""
+    return F.when(findings.isNull(), "not scanned").when(findings == "Affected", F.concat(n.cast("string"), F.lit(" affected"))).when(findings == "Withdrawn", "withdrawn only").when(coverage == "Analysed", "clean").otherwise(F.concat(F.lit("gap: "), F.lower(coverage)))
+
+
+def godebug_tier(setting: Column, tiers: dict[str, str]) -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for k, v in tiers.items() for x in (k, v)]), setting), F.lit("unknown"))
+
+
+def tag_position(pin: Column, latest: Column, tag: Column) -> Column:
+    """What a pin is placed against: the tag, if the pin may sort above it and does, else the latest version."""
+    from depquarry.functions import semver
+
+    return F.when(semver.can_sort_above_tag(pin) & (semver.compare(pin, tag) > 0), tag).otherwise(latest)

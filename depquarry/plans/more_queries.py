@@ -9,7 +9,7 @@ from depquarry.functions import classify, licence, semver, text
 from depquarry.operators import compose, diff, graph, joins, rollup
 from depquarry.plans import oracle as o
 from depquarry.plans.carriers import carrier, cte
-from depquarry.plans.queries import ORACLES, QUERIES, RANK, RUNG, _roots, query, t  # noqa: F401
+from depquarry.plans.queries import RANK, RUNG, _roots, query, t
 
 C = F.col
 

@@ -1,7 +1,7 @@
 import pytest
 
 from compare import duck_rows, rows_of
-from depquarry.plans.more_queries import ORACLES, QUERIES
+from depquarry.plans.registry import ORACLES, QUERIES
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
