@@ -138,9 +138,8 @@ def roots_of(nodes: DataFrame, application: bool = False) -> DataFrame:
     owned = nodes.where("owned")
     if application:
         return owned
-    marked = owned.withColumn("_root", F.col("exported") | (F.col("symbol") == "init"))
-    any_root = marked.agg(F.max("_root").alias("_any"))
-    return marked.join(F.broadcast(any_root)).where(F.col("_root") | ~F.coalesce("_any", F.lit(False))).drop("_root", "_any")
+    marked = owned.where(F.col("exported") | (F.col("symbol") == "init"))
+    return owned if marked.isEmpty() else marked
 
 
 def subgraph(nodes: DataFrame, edges: DataFrame, scope: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -171,7 +170,7 @@ def implementers(implementations: DataFrame, interface: str) -> DataFrame:
     of = implementations.where(F.col("interface") == interface)
     types = of.where("type is not null").select("type").distinct()
     empty = of.where("type is null").select("type").distinct()
-    return types.unionByName(empty.join(types.limit(1).select(F.lit(1).alias("_x")), F.lit(True), "left_anti")).withColumn("declared", F.lit(True))
+    return types.unionByName((empty if types.isEmpty() else empty.where(F.lit(False)))).withColumn("declared", F.lit(True))
 
 
 def devirtualise(edges: DataFrame, implementations: DataFrame) -> DataFrame:

@@ -108,8 +108,9 @@ def pins(requires: DataFrame, imports: DataFrame) -> DataFrame:
     w = Window.partitionBy("path").orderBy(semver.key(F.col("version")).desc_nulls_last(), F.col("version").desc())
     newest = requires.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("path", "version")
     given = longest_prefix(imports.select("name").distinct(), "name", newest, "path")
-    lost = given.agg(F.coalesce(F.max(F.col("path").isNull()), F.lit(False)).alias("_lost"))
-    return newest.join(given.select("path"), "path", "left_semi").join(F.broadcast(lost)).where(~F.col("_lost")).drop("_lost")
+    if not given.where("path is null").isEmpty():
+        return newest.where(F.lit(False))
+    return newest.join(given.select("path"), "path", "left_semi")
 
 
 def republications(modules: DataFrame, holders: DataFrame, related: DataFrame) -> DataFrame:

@@ -37,9 +37,12 @@ CARRIERS = {
     "snap_b": """SELECT o_custkey AS k, min(o_orderpriority) AS priority, min(o_orderstatus) AS status, count(*) AS n FROM {orders} WHERE o_orderdate >= TIMESTAMP '2000-03-01 00:00:00' GROUP BY o_custkey""",
     # advisories: each brand names modules, with up to two ranges; the last is open for some
     "advisories": """SELECT DISTINCT p_brand AS id, 'example.com/m' || CAST(p_partkey % 40 AS STRING) AS path FROM {part}""",
-    "range_events": """SELECT DISTINCT p_brand AS id, 'example.com/m' || CAST(p_partkey % 40 AS STRING) AS path, e.position AS position, e.kind AS kind, e.version AS version
-        FROM {part} CROSS JOIN (SELECT 0 AS position, 'introduced' AS kind, '0' AS version UNION ALL SELECT 1, 'fixed', '0.5.0' UNION ALL SELECT 2, 'introduced', '1.0.0-rc.4' UNION ALL SELECT 3, 'fixed', '1.7.2' UNION ALL SELECT 4, 'introduced', 'v2.3.0') e
-        WHERE p_brand <> 'Brand#1' AND (p_brand <> 'Brand#2' OR e.position < 4)""",
+    "range_events": " UNION ".join(
+        f"SELECT p_brand AS id, 'example.com/m' || CAST(p_partkey % 40 AS STRING) AS path, {n} AS position, '{kind}' AS kind, '{version}' AS version FROM {{part}} WHERE p_brand <> 'Brand#1'{more}"
+        for n, kind, version, more in (
+            (0, "introduced", "0", ""), (1, "fixed", "0.5.0", ""), (2, "introduced", "1.0.0-rc.4", ""), (3, "fixed", "1.7.2", ""), (4, "introduced", "v2.3.0", " AND p_brand <> 'Brand#2'"),
+        )
+    ),
     # licences of modules
     "licences": """SELECT p_partkey AS id, CASE p_size % 10 WHEN 0 THEN 'MIT' WHEN 1 THEN 'Apache-2.0' WHEN 2 THEN 'GPL-2.0' WHEN 3 THEN 'GPL-2.0-or-later' WHEN 4 THEN 'MPL-2.0' WHEN 5 THEN 'AGPL-3.0-only' WHEN 6 THEN 'MIT OR GPL-3.0-only' WHEN 7 THEN 'BSD-3-Clause AND MIT' WHEN 8 THEN 'CC-BY-4.0' ELSE '' END AS expression,
         CASE p_partkey % 4 WHEN 0 THEN 'MIT' WHEN 1 THEN 'GPL-3.0-only' WHEN 2 THEN 'Apache-2.0' ELSE 'AGPL-3.0-only' END AS target FROM {part}""",
