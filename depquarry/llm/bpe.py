@@ -1,18 +1,19 @@
 """BPE encoding and decoding by a table of distinct words.
 
-Texts are cut into segments at blanks, tabs and line breaks. For the tokenizer file in use no token
-and no match of its patterns crosses these, so a text's ids are those of its segments in turn; what a
+Texts are cut into segments at ASCII white space. For the tokenizer file in use no token and no match of
+its patterns crosses it, so a text's ids are those of its segments in turn; what a
 segment holds beside (other white space, special tokens, combining marks) is left to the library.
 
-Rows are taken in chunks of bounded size. Each chunk gives its distinct segments once; equal segments
-of all chunks meet in one partition, where the library encodes each once; the ids go back to their
-chunks, and each text is put together by the positions of its segments. Decoding joins ids with the
-table of pieces, which the vocabulary bounds.
+Rows are taken in chunks of bounded size. Each chunk gives its distinct segments once, in blocks by a
+hash of the segment; equal segments of all chunks so meet in one partition, where the library encodes
+each once. Blocks of ids go back to their chunks, and each text is put together by the positions of
+its segments. Blocks hold many segments in one deflated row, so little is shuffled beside the texts.
+Decoding joins ids with the table of pieces, which the vocabulary bounds.
 """
 
 from __future__ import annotations
 
-import re
+import os
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -23,53 +24,60 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: White space by every definition in use: Python's, Unicode's and the tokenizer's.
-CUT = re.compile(r"[ \t\n\r]+")
+from depquarry.llm.common import shuffle_partitions
 
-CHUNK_BYTES = 16 << 20
+#: UTF-8 bytes of the texts of a chunk; a longer text is a chunk of its own.
+CHUNK_BYTES = 8 << 20
 
-CHUNK_FIELDS = "chunk binary, doc_id {id}, words binary"
+CHUNK_FIELDS = "chunk long, doc_id {id}, words binary"
 
 
 class Numbered(defaultdict):
     """Numbers words in the order in which they come."""
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         n = self[word] = len(self)
         return n
 
 
-def chunks(batches, columns: list[str]) -> Iterator[tuple[bytes, list[list], dict[str, int], list[np.ndarray]]]:
-    """(name, columns' values, numbered segments, each text's numbers) of runs of rows of about CHUNK_BYTES.
+class Chunk:
+    """Rows of about CHUNK_BYTES: a name, the doc_ids, the distinct segments by falling frequency, each text's numbers of them.
 
     The name is a digest of the texts in order: chunks of one name have the same texts and numbers.
     """
 
-    def out():
-        return digest.digest(), rows, numbers, at
-
-    def fresh():
-        return [[] for _ in columns], Numbered(), [], xxhash.xxh3_128(), 0
-
-    rows, numbers, at, digest, size = fresh()
+    def __init__(self):
+        self.ids, self.at, self.numbers, self.size, self.digest = [], [], Numbered(), 0, xxhash.xxh3_64()
+
+    def add(self, doc, raw: bytes) -> None:
+        words = raw.split()
+        self.ids.append(doc)
+        self.at.append(np.fromiter(map(self.numbers.__getitem__, words), np.uint32, len(words)))
+        self.size += len(raw)
+        self.digest.update(len(raw).to_bytes(8, "little"))
+        self.digest.update(raw)
+
+    def close(self) -> tuple[int, list, list[bytes], list[np.ndarray]]:
+        words = list(self.numbers)
+        often = np.bincount(np.concatenate(self.at), minlength=len(words))
+        order = np.argsort(-often, kind="stable")
+        rank = np.empty(len(words), np.uint32)
+        rank[order] = np.arange(len(words), dtype=np.uint32)
+        return self.digest.intdigest() - (1 << 63), self.ids, [words[i] for i in order.tolist()], [rank[x] for x in self.at]
+
+
+def chunks(batches) -> Iterator[tuple[int, list, list[bytes], list[np.ndarray]]]:
+    """The closed chunks of rows (doc_id, text) in turn."""
+    c = Chunk()
     for batch in batches:
-        text_of = batch.column("text")
-        others = [batch.column(c).to_pylist() for c in columns]
-        for i in range(batch.num_rows):
-            text = text_of[i].as_py() or ""
-            raw = text.encode("utf-8", "surrogatepass")
-            if at and size + len(raw) > CHUNK_BYTES:
-                yield out()
-                rows, numbers, at, digest, size = fresh()
-            words = [w for w in CUT.split(text) if w]
-            at.append(np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words)))
-            for values, column in zip(rows, others):
-                values.append(column[i])
-            digest.update(len(raw).to_bytes(8, "little"))
-            digest.update(raw)
-            size += len(raw)
-    if at:
-        yield out()
+        for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+            raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
+            if c.ids and c.size + len(raw) > CHUNK_BYTES:
+                yield c.close()
+                c = Chunk()
+            c.add(doc, raw)
+    if c.ids:
+        yield c.close()
 
 
 def packed(numbers: np.ndarray) -> bytes:
@@ -83,6 +91,9 @@ def unpacked(data: bytes) -> np.ndarray:
 
 
 def tokenizer(path: str):
+    """The library's tokenizer of a file, on the task's own thread, without truncation and padding."""
+    os.environ.setdefault("RAYON_NUM_THREADS", "1")
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
@@ -91,43 +102,55 @@ def tokenizer(path: str):
     return t
 
 
-def distinct_words(docs: DataFrame) -> DataFrame:
-    """(chunk, number, word) for each distinct segment of each chunk."""
+def distinct_words(docs: DataFrame, blocks: int) -> DataFrame:
+    """(block, chunk, numbers, words): each chunk's distinct segments in blocks by their hash, with their numbers in the chunk."""
 
     def run(batches):
-        for name, _, numbers, _ in chunks(batches, []):
-            words = list(numbers)
-            for i in range(0, len(words), 50_000):
-                part = words[i : i + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(part), pa.binary()), pa.array(np.arange(i, i + len(part), dtype=np.int32)), pa.array(part, pa.string())], ["chunk", "number", "word"])
+        for name, _, words, _ in chunks(batches):
+            block = np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % blocks
+            order = np.argsort(block, kind="stable")
+            edges = np.searchsorted(block[order], np.arange(blocks + 1))
+            out = [[], [], [], []]
+            for b in range(blocks):
+                at = order[edges[b] : edges[b + 1]]
+                if len(at):
+                    gaps = np.diff(at, prepend=0).astype(np.uint32)
+                    for column, v in zip(out, (b, name, packed(gaps), zlib.compress(b"\n".join([words[i] for i in at.tolist()]), 1))):
+                        column.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary())], ["block", "chunk", "numbers", "words"])
 
-    return docs.select("text").mapInArrow(run, "chunk binary, number int, word string")
+    return docs.select("doc_id", "text").mapInArrow(run, "block int, chunk long, numbers binary, words binary")
 
 
-def encoded_words(words: DataFrame, path: str) -> DataFrame:
-    """(chunk, number, ids): equal words are dealt to one partition and encoded there once; ids as unsigned 32 bits."""
+def encoded_words(words: DataFrame, path: str, blocks: int) -> DataFrame:
+    """(chunk, numbers, sizes, ids): all chunks' blocks of one hash are in one partition, and each segment is encoded there once."""
 
     def run(batches):
-        t, known = tokenizer(path), {}
+        t, known, here = tokenizer(path), {}, None
         for batch in batches:
-            got = batch.column("word").to_pylist()
-            if len(known) > 300_000:
-                known.clear()
-            new = [w for w in dict.fromkeys(got) if w not in known]
-            for i in range(0, len(new), 4096):
-                part = new[i : i + 4096]
-                known.update((w, np.array(e.ids, np.uint32).tobytes()) for w, e in zip(part, t.encode_batch_fast(part, add_special_tokens=False)))
-            yield pa.RecordBatch.from_arrays([batch.column("chunk"), batch.column("number"), pa.array([known[w] for w in got], pa.binary())], ["chunk", "number", "ids"])
-
-    return words.repartition("word").sortWithinPartitions("word").mapInArrow(run, "chunk binary, number int, ids binary")
+            out = [[], [], []]
+            for block, raw in zip(batch.column("block").to_pylist(), batch.column("words").to_pylist()):
+                if block != here:
+                    known, here = {}, block
+                got = zlib.decompress(raw).decode("utf-8", "surrogatepass").split("\n")
+                new = [w for w in got if w not in known]
+                for i in range(0, len(new), 8192):
+                    part = new[i : i + 8192]
+                    known.update((w, np.array(e.ids, np.uint32).tobytes()) for w, e in zip(part, t.encode_batch_fast(part, add_special_tokens=False)))
+                ids = list(map(known.__getitem__, got))
+                out[1].append(packed(np.fromiter(map(len, ids), np.uint32, len(ids)) // 4))
+                out[2].append(packed(np.frombuffer(b"".join(ids), np.uint32)))
+            yield pa.RecordBatch.from_arrays([batch.column("chunk"), batch.column("numbers"), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], ["chunk", "numbers", "sizes", "ids"])
+
+    return words.repartition(blocks, "block").sortWithinPartitions("block").mapInArrow(run, "chunk long, numbers binary, sizes binary, ids binary")
 
 
 def numbered_texts(docs: DataFrame, id_type: str) -> DataFrame:
     """(chunk, doc_id, words): each text as the numbers of its segments."""
 
     def run(batches):
-        for name, (ids,), _, at in chunks(batches, ["doc_id"]):
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.binary()), pa.array(ids, arrow_id), pa.array([packed(x) for x in at], pa.binary())], ["chunk", "doc_id", "words"])
+        for name, ids, _, at in chunks(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), name, np.int64)), pa.array(ids, arrow_id), pa.array([packed(x) for x in at], pa.binary())], ["chunk", "doc_id", "words"])
 
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -135,9 +158,11 @@ def numbered_texts(docs: DataFrame, id_type: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, CHUNK_FIELDS.format(id=id_type))
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
+def encode(docs: DataFrame, path: str, decoded: bool = False) -> DataFrame:
     """(doc_id, ids) for every row of ``docs`` (doc_id, text, any others); ids: unsigned 32-bit, little-endian.
 
+    ``decoded`` adds ``text``, what :func:`decode` makes of the ids, in the same task.
+
     The rows of ``docs`` are read twice and must come in the same order both times, as they do from
     files and written tables; if they don't, the run fails rather than return other ids. Null and
     empty texts have no ids. Repeated rows give repeated rows; a null doc_id stays null.
@@ -145,31 +170,33 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def join(key, texts, words):
-        number = words.column("number").to_numpy()
-        ids = words.column("ids").combine_chunks()
-        if isinstance(ids, pa.ChunkedArray):
-            ids = ids.chunk(0) if ids.num_chunks else pa.array([], pa.binary())
-        offsets = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1] if len(ids) else np.zeros(1, np.int32)
-        data = np.frombuffer(ids.buffers()[2], np.uint32) if len(ids) and ids.buffers()[2] is not None else np.empty(0, np.uint32)
-        start, size = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
-        if len(ids) and not np.array_equal(np.unique(number), np.arange(int(number.max()) + 1)):
-            raise ValueError("the input came in another order when it was read again; write it to a table first")
-        start[number], size[number] = offsets[:-1] // 4, np.diff(offsets) // 4
-        out = []
+        number = np.concatenate([np.cumsum(unpacked(x.as_py()), dtype=np.int64) for x in words.column("numbers")] or [np.empty(0, np.int64)])
+        count = np.concatenate([unpacked(x.as_py()) for x in words.column("sizes")] or [np.empty(0, np.uint32)]).astype(np.int64)
+        data = np.concatenate([unpacked(x.as_py()) for x in words.column("ids")] or [np.empty(0, np.uint32)])
+        known = int(number.max()) + 1 if len(number) else 0
+        start, size = np.zeros(known, np.int64), np.full(known, -1, np.int64)
+        start[number], size[number] = np.cumsum(count) - count, count
+        out, said = [], []
+        piece = held.value.get if decoded else None
         for x in texts.column("words"):
             at = unpacked(x.as_py())
-            if len(at) and int(at.max()) >= len(ids):
+            if len(at) and (int(at.max()) >= known or (size[at] < 0).any()):
                 raise ValueError("the input came in another order when it was read again; write it to a table first")
             n = size[at]
             ends = np.cumsum(n)
-            total = int(ends[-1]) if len(n) else 0
-            index = np.repeat(start[at] - (ends - n), n) + np.arange(total)
-            out.append(data[index].tobytes())
-        return pa.table({"doc_id": texts.column("doc_id"), "ids": pa.array(out, pa.binary())})
-
-    words = encoded_words(distinct_words(docs), path)
+            index = np.repeat(start[at] - (ends - n), n) + np.arange(int(ends[-1]) if len(n) else 0)
+            ids = data[index]
+            out.append(ids.tobytes())
+            if decoded:
+                said.append(joined(ids, piece))
+        made = {"doc_id": texts.column("doc_id"), "ids": pa.array(out, pa.binary())}
+        return pa.table(made | ({"text": pa.array(said, pa.string())} if decoded else {}))
+
+    held = held_pieces(docs.sparkSession, path) if decoded else None
+    blocks = shuffle_partitions(docs.sparkSession)
+    words = encoded_words(distinct_words(docs, blocks), path, blocks)
     texts = numbered_texts(docs, id_type)
-    return texts.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInArrow(join, f"doc_id {id_type}, ids binary")
+    return texts.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInArrow(join, f"doc_id {id_type}, ids binary{', text string' if decoded else ''}")
 
 
 def pieces(spark, path: str) -> DataFrame:
@@ -179,24 +206,28 @@ def pieces(spark, path: str) -> DataFrame:
     return spark.createDataFrame(sorted((i, p) for p, i in vocab.items()), "id int, piece string")
 
 
-def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """``encoded`` (…, ids) with the column ``text``: pieces joined to ids by the vocabulary table.
+def held_pieces(spark, path: str):
+    """The table of pieces in each task: it is as long as the vocabulary, whatever the input."""
+    table = pieces(spark, path)
+    if (size := table.count()) > 1_000_000:
+        raise ValueError(f"{size} pieces are too many for each task to hold")
+    return spark.sparkContext.broadcast({r["id"]: r["piece"] for r in table.toLocalIterator()})
 
-    The file has no decoder, for which the library puts a blank between pieces. The table of pieces
-    is as long as the vocabulary, whatever the input, so each task holds it. Ids without a piece give none.
-    """
 
-    table = pieces(encoded.sparkSession, path)
-    spark, size = encoded.sparkSession, table.count()
-    held = spark.sparkContext.broadcast({r["id"]: r["piece"] for r in table.toLocalIterator()})
-    if size > 1_000_000:
-        raise ValueError(f"{size} pieces are too many for each task to hold")
+def joined(ids: np.ndarray, piece) -> str:
+    """The pieces of ids; the file has no decoder, for which the library puts a blank between them."""
+    return " ".join(filter(None, map(piece, ids.tolist())))
+
+
+def decode(encoded: DataFrame, path: str) -> DataFrame:
+    """``encoded`` (…, ids) with the column ``text``: ids joined to the table of pieces. Ids without a piece give none."""
+    held = held_pieces(encoded.sparkSession, path)
     schema = encoded.select("*", F.lit("").alias("text")).schema
 
     def run(batches):
         piece = held.value.get
         for batch in batches:
-            text = [" ".join(filter(None, map(piece, np.frombuffer(x or b"", np.uint32).tolist()))) for x in batch.column("ids").to_pylist()]
+            text = [joined(np.frombuffer(x or b"", np.uint32), piece) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(text, pa.string())], [*batch.schema.names, "text"])
 
     return encoded.mapInArrow(run, schema)

@@ -33,7 +33,7 @@ def op3_winnowing_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_file("word_bpe_49k.json")
-    both = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    both = bpe.encode(table(spark, sf_dir, "documents"), path, decoded=True)
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"))
 
 
