@@ -155,3 +155,16 @@ def tag_position(pin: Column, latest: Column, tag: Column) -> Column:
     from depquarry.functions import semver
 
     return F.when(semver.can_sort_above_tag(pin) & (semver.compare(pin, tag) > 0), tag).otherwise(latest)
+
+
+def walk_frame(goos: Column, goarch: Column, has_published_target: Column) -> Column:
+    """struct(text, basis): the platform of a walk, or why it has none."""
+    named = (F.coalesce(goos, F.lit("")) != "") | (F.coalesce(goarch, F.lit("")) != "")
+    text = F.when(named, F.concat(F.coalesce(goos, F.lit("")), F.lit("/"), F.coalesce(goarch, F.lit("")))).when(has_published_target, "not-platform-scoped").otherwise("unrecorded")
+    return F.struct(text.alias("text"), F.when(named, "platform").otherwise(text).alias("basis"))
+
+
+def pinned_analysis_supersedes(offered_source: Column, recorded_source: Column, synthesised_requires: Column, is_failure: Column) -> Column:
+    """Whether an analysis with a build list is worth repeating: the record used another list, or failed without one."""
+    has = F.coalesce(offered_source != "", F.lit(False))
+    return has & (F.coalesce(recorded_source, F.lit("")) != offered_source) & ((synthesised_requires > 0) | ((F.coalesce(recorded_source, F.lit("")) == "") & is_failure))

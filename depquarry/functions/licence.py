@@ -192,3 +192,65 @@ def obligations(spdx: Column) -> Column:
     table = F.create_map(*[F.lit(x) for k, v in OBLIGATIONS.items() for x in (k, v)])
     got = F.try_element_at(table, canonical(spdx))
     return F.when(got.isNotNull(), F.array_sort(F.filter(F.split(got, " "), lambda x: x != "")))
+
+
+# Phrases by which a licence file of several grants says how they relate, and where each licence's text starts.
+ELECTION_PHRASES = ["under the terms of either", "at your option", "either license", "either licence", "dual-licensed", "dual licensed", "you may choose either", "choice of either"]
+SPLIT_PHRASES = [
+    "covered by two different licenses", "covered by two different licences", "the following files", "all the remaining", "remain licensed under",
+    "are licensed under", "is licensed under", "the remaining files", "remaining project files",
+]
+TEXT_ANCHORS = {
+    "MIT": "permission is hereby granted, free of charge",
+    "Apache-2.0": "terms and conditions for use, reproduction, and distribution",
+    "BSD-3-Clause": "redistribution and use in source and binary forms",
+    "BSD-2-Clause": "redistribution and use in source and binary forms",
+    "ISC": "permission to use, copy, modify, and/or distribute this software",
+    "Unlicense": "free and unencumbered software released into the public domain",
+    "MPL-2.0": "mozilla public license",
+    "CC-BY-4.0": "creative commons attribution 4.0",
+    "CC-BY-SA-4.0": "creative commons attribution-sharealike 4.0",
+    "CC-BY-SA-3.0": "creative commons attribution-sharealike 3.0",
+    "OFL-1.1": "sil open font license",
+    "Zlib": "this software is provided 'as-is', without any express",
+    "BSL-1.0": "boost software license",
+    "GPL-2.0": "gnu general public license",
+    "GPL-3.0": "gnu general public license",
+    "AGPL-3.0": "gnu affero general public license",
+    "LGPL-3.0": "gnu lesser general public license",
+    "Python-2.0": "python software foundation license",
+    "BSD-3-Clause-New": "redistribution and use in source and binary forms",
+}
+#: How far before a grant its notice may stand.
+NOTICE_WINDOW = 600
+
+
+def first_phrase(low: Column, phrases: list[str]) -> Column:
+    """The phrase that stands earliest in a lower-case text; null for none."""
+    found = F.filter(F.array(*[F.struct(F.instr(low, F.lit(p)).alias("at"), F.lit(p).alias("p")) for p in phrases]), lambda x: x["at"] > 0)
+    return F.when(F.size(found) > 0, F.array_min(found).p)
+
+
+def compound_reading(text: Column, ids: Column) -> Column:
+    """struct(shape, own, bundled) of a file that grants several licences.
+
+    election: a header names a choice, or a phrase does; split: a phrase deals files out; bundled: every
+    later grant follows a copyright line with a year or a files stanza of its own, and the earliest owns the file;
+    else unstated. A file of one identifier is unstated.
+    """
+    low, own = F.lower(text), F.array_sort(F.array_distinct(ids))
+    header = F.regexp_extract(low, r"spdx-license-identifier:([^\n]*)", 1)
+    chosen = header.contains(" or ") | first_phrase(low, ELECTION_PHRASES).isNotNull()
+    anchors = F.create_map(*[F.lit(x) for k, v in TEXT_ANCHORS.items() for x in (k, v)])
+    at = F.array_sort(F.transform(own, lambda i: F.struct(F.coalesce(F.instr(low, F.try_element_at(anchors, i)), F.lit(0)).alias("at"), i.alias("id"))))
+    placed = F.forall(at, lambda x: x["at"] > 0) & (F.size(F.array_distinct(F.transform(at, lambda x: x["at"]))) == F.size(at))
+    window = lambda x: F.substring(low, F.greatest(x["at"] - NOTICE_WINDOW, F.lit(1)), F.least(x["at"] - 1, F.lit(NOTICE_WINDOW)))
+    introduced = lambda x: window(x).rlike(r"copyright(?! \[yyyy\])[^\n]*\d{4}") | window(x).rlike(r"\nfiles:[^\S\n]*\S")
+    later = F.slice(at, F.lit(2), F.greatest(F.size(at) - 1, F.lit(0)))
+    bundled = placed & F.forall(later, introduced)
+    none = F.array().cast("array<string>")
+    shape = F.when(F.size(own) < 2, "unstated").when(chosen, "election").when(first_phrase(low, SPLIT_PHRASES).isNotNull(), "split").when(bundled, "bundled").otherwise("unstated")
+    return F.struct(
+        shape.alias("shape"), F.when(shape == "bundled", F.slice(F.transform(at, lambda x: x["id"]), 1, 1)).otherwise(own).alias("own"),
+        F.when(shape == "bundled", F.array_sort(F.transform(later, lambda x: x["id"]))).otherwise(none).alias("bundled"),
+    )

@@ -305,3 +305,35 @@ def cmd_22_use_selection(spark, sf_dir):
     source = F.when(C("l_returnflag") == "R", "local_replace").otherwise("proxy")
     x = t(spark, sf_dir, "lineitem").where("l_orderkey = 7").select(C("l_orderkey").alias("walk"), C("l_partkey").alias("module"), classify.has_fetched_artefact(source).alias("selected"))
     return x.where("selected").distinct()
+
+
+@query("""SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 'election' WHEN 1 THEN 'split' WHEN 2 THEN 'bundled' ELSE 'unstated' END AS shape, CASE p_size % 5 WHEN 2 THEN ['MIT'] WHEN 4 THEN ['MIT'] ELSE ['ISC', 'MIT'] END AS own, CASE WHEN p_size % 5 = 2 THEN ['ISC'] ELSE [] END AS bundled FROM part""")
+def fn_22_compound_reading(spark, sf_dir):
+    mit, isc = "Permission is hereby granted, free of charge\n", "Permission to use, copy, modify, and/or distribute this software\n"
+    s = C("p_size") % 5
+    body = F.when(s == 0, "SPDX-License-Identifier: MIT OR ISC\n" + mit + isc).when(s == 1, "The following files are ISC\n" + mit + isc).when(s == 2, mit + "\nCopyright 2020 B\n" + isc).otherwise(mit + isc)
+    ids = F.when(s == 4, F.array(F.lit("MIT"))).otherwise(F.array(F.lit("MIT"), F.lit("ISC")))
+    return t(spark, sf_dir, "part").select("p_partkey", licence.compound_reading(body, ids).alias("r")).select("p_partkey", "r.*")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'linux/amd64' WHEN o_orderpriority = '1-URGENT' THEN 'unrecorded' ELSE 'not-platform-scoped' END AS text, CASE WHEN o_orderstatus = 'F' THEN 'platform' WHEN o_orderpriority = '1-URGENT' THEN 'unrecorded' ELSE 'not-platform-scoped' END AS basis FROM orders""")
+def fn_40_walk_frame(spark, sf_dir):
+    f = C("o_orderstatus") == "F"
+    frame = classify.walk_frame(F.when(f, "linux"), F.when(f, "amd64").otherwise(""), C("o_orderpriority") != "1-URGENT")
+    return t(spark, sf_dir, "orders").select("o_orderkey", frame.alias("f")).select("o_orderkey", "f.*")
+
+
+@query("""SELECT p_partkey AS version, CASE WHEN p_size % 3 = 0 THEN 'src' || CAST(p_partkey AS STRING) END AS filename, CASE p_size % 3 WHEN 0 THEN NULL WHEN 1 THEN 'source file missing' ELSE 'release not found' END AS problem FROM part""")
+def x_14_release_source(spark, sf_dir):
+    p = t(spark, sf_dir, "part")
+    file = lambda kind: F.struct(F.concat(F.lit("src"), C("p_partkey").cast("string")).alias("filename"), F.lit(kind).alias("kind"), F.lit("00").alias("sha256"))
+    releases = p.where("p_size % 3 < 2").select(C("p_partkey").alias("version"), F.when(C("p_size") % 3 == 0, F.array(file("archive"), file("source"))).otherwise(F.array(file("archive"))).alias("files"))
+    return store.source_checksums(p.select(C("p_partkey").alias("version")), releases).select("version", "filename", "problem")
+
+
+@query(cte("gens") + """ SELECT event_id, source <> 'click' AND source <> 'view' AND (confidence > 50 OR (source = 'error' AND coverage = 'Failed')) AS again FROM gens""")
+def x_17_reanalysis(spark, sf_dir):
+    offered = F.when(C("source") != "click", "list-a").otherwise("")
+    recorded = F.when(C("source") == "view", "list-a").when(C("source") == "error", "").otherwise("list-b")
+    again = classify.pinned_analysis_supersedes(offered, recorded, F.when(C("confidence") > 50, 3).otherwise(0), C("coverage") == "Failed")
+    return carrier(spark, sf_dir, "gens").select("event_id", again.alias("again"))

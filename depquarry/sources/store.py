@@ -60,3 +60,13 @@ def notices(modules: DataFrame, records: DataFrame) -> DataFrame:
     x = modules.select("path", "version").distinct().join(records.select("path", "version", "status", "copyrights"), ["path", "version"], "left")
     review = F.when(F.col("status").isNull(), "no record").when(F.col("status").isin("Ambiguous", "None", "ExtractionFailed"), F.concat(F.lit("licence "), F.col("status"))).when(F.size(F.coalesce("copyrights", F.array().cast("array<string>"))) == 0, "no copyright")
     return x.select("path", "version", F.when(review.isNull(), F.array_join(F.array_sort(F.array_distinct("copyrights")), "\n")).alias("notice"), review.alias("review"))
+
+
+def source_checksums(wanted: DataFrame, releases: DataFrame) -> DataFrame:
+    """(version, filename, sha256, problem): the source file of each wanted release; no such release and no such file are told apart.
+
+    ``releases`` (version, files array<struct<filename, kind, sha256>>).
+    """
+    source = F.get(F.filter("files", lambda f: f.kind == "source"), F.lit(0))
+    x = wanted.select("version").distinct().join(releases.select("version", source.alias("_f"), F.lit(True).alias("_r")), "version", "left")
+    return x.select("version", "_f.filename", "_f.sha256", F.when(F.col("_r").isNull(), "release not found").when(F.col("_f").isNull(), "source file missing").alias("problem"))
