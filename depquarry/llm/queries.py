@@ -50,7 +50,7 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = tokenbin.write_token_files(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
-    return tokenbin.crc32_of(tokenbin.read_token_files(tokenbin.file_starts(written(files, "token-files"))))
+    return tokenbin.read_token_files(tokenbin.file_starts(written(files, "token-files")), with_ids=False)
 
 
 def op8_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

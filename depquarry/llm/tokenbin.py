@@ -7,13 +7,13 @@ documents' own numbers, both Elias-Fano coded. A null document number can't be w
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,19 +24,47 @@ from depquarry.llm.eliasfano import EliasFano
 MAGIC = b"DQTOKEF1"
 HEAD = struct.Struct("<8sQQQQQq")
 
-#: The byte-level tokenizer's cut of a text into words (a fixed value of its file's kind).
-WORD = regex.compile(r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
+#: What keeps a text from being cut here: neighbouring white space by the widest definition, or a stop
+#: or comma that follows no letter or digit.
+WIDE, STRAY = re.compile(r"\s\s"), re.compile(r"[\W_][.,]")
 
-#: Texts of these code points alone are cut by WORD here; the library cuts all others.
-PLAIN = regex.compile(r"[\t\n\r\x20-\x7E\xA0-ſΑ-ΡΣ-ϿЀ-ҁ‐-‧‰-⁞₠-₿]*")
 
-WORDS_KEPT = 400_000
+def _class(byte: int) -> int:
+    """w in words, s white space, . stop or comma, p other ASCII and the second bytes of the two signs among the accented letters; x: not judged by bytes."""
+    c = chr(byte)
+    if byte < 0x80:
+        return ord("w" if c.isalnum() else "x" if byte == 0 else "s" if c.isspace() else "." if c in ".," else "p")
+    return ord("p" if byte in (0x97, 0xB7) else "w" if byte < 0xC0 or byte == 0xC3 else "x")
+
+
+CLASSES = bytes(map(_class, range(256)))
+
+
+def can_be_cut(text: str) -> bool:
+    """By bytes where the text is of ASCII and accented letters alone, else by the patterns."""
+    kinds = text.encode("utf-8", "surrogatepass").translate(CLASSES)
+    if b"x" in kinds:
+        return not ("\0" in text or text[:1] in (".", ",") or WIDE.search(text) or STRAY.search(text))
+    return not (kinds[:1] == b"." or b"ss" in kinds or b".." in kinds or b"s." in kinds or b"p." in kinds)
+
+
+PIECES_KEPT = 400_000
+
+#: Fixed value: how byte-level tokens write a blank.
+BLANK = "Ġ"
 
 SHARD_BYTES = 32 << 20
 
 
 class Encoder:
-    """Ids of whole texts as the library gives them, as little-endian bytes; words' ids are kept."""
+    """Ids of whole texts as the library gives them, as little-endian bytes.
+
+    A text is cut where the tokenizer's own cut always begins a word: before a blank, before a stop or
+    comma after a letter or digit, and on both sides of a line break; so its ids are those of the pieces
+    in turn. Each piece goes through the library once and is kept, those in use longest. Texts with
+    neighbouring white space, a stop or comma elsewhere, or a special token's string go through the
+    library whole.
+    """
 
     def __init__(self, path: str):
         self.t = tokenizer(path)
@@ -44,26 +72,58 @@ class Encoder:
             raise ValueError("a byte-level tokenizer without a normalizer is needed")
         self.dtype = np.dtype("<u2" if self.t.get_vocab_size() <= 1 << 16 else "<u4")
         self.special = [t.content for t in self.t.get_added_tokens_decoder().values()]
-        self.words: dict[str, bytes] = {}
+        self.opens = np.zeros(self.t.get_vocab_size(), bool)  # tokens that begin with a blank
+        for token, i in self.t.get_vocab().items():
+            self.opens[i] = token.startswith(BLANK)
+        self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
 
-    def _plain(self, text: str) -> bytes:
+    def _whole(self, text: str) -> bytes:
         return np.array(self.t.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def __call__(self, text: str) -> bytes:
-        if not PLAIN.fullmatch(text) or any(s in text for s in self.special):
-            return self._plain(text)
-        words = WORD.findall(text)
-        known = self.words
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            pass
-        if len(known) > WORDS_KEPT:
-            known.clear()
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        for w, e in zip(new, self.t.encode_batch_fast(new, add_special_tokens=False)):
-            known[w] = np.array(e.ids, self.dtype).tobytes()
-        return b"".join(map(known.__getitem__, words))
+        if not can_be_cut(text) or any(s in text for s in self.special):
+            return self._whole(text)
+        pieces = text.replace(" ", "\0 ").replace(".", "\0.").replace(",", "\0,").replace("\n", "\0\n\0").split("\0")
+        got = list(map(self.known.get, pieces))
+        if None in got:
+            at = [i for i, x in enumerate(got) if x is None]
+            new = self._learn({pieces[i] for i in at})
+            for i in at:
+                got[i] = new[pieces[i]]
+        return b"".join(got)
+
+    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
+        older = self.older
+        out = {p: x for p in pieces if (x := older.get(p)) is not None}
+        words = [p for p in pieces if p not in out]
+        # words with a blank before them and none in them go through the library in one text
+        spaced = [p for p in words if p[0] == " " and len(p) > 1 and len(p.split()) == 1 and not p[-1].isspace()]
+        if spaced:
+            at = np.array(self.t.encode("".join(spaced), add_special_tokens=False).ids, self.dtype)
+            starts = np.flatnonzero(self.opens[at]).tolist()
+            if len(starts) == len(spaced):
+                raw, n = at.tobytes(), self.dtype.itemsize
+                ends = [*starts[1:], len(at)]
+                out.update((p, raw[a * n : b * n]) for p, a, b in zip(spaced, starts, ends))
+        for p in words:
+            if p not in out:
+                out[p] = self._whole(p)
+        if len(self.known) > PIECES_KEPT:
+            self.older, self.known = self.known, {"": b""}
+        self.known.update(out)
+        return out
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The worker's encoder of a file; what it keeps serves the tasks after."""
+    if path not in _encoders:
+        _encoders.clear()
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def sections(ids: list[bytes], docs: list[int], dtype: np.dtype) -> Iterator[bytes]:
@@ -106,7 +166,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str | None =
     bounds = order_bounds(docs, "doc_id", parts)
 
     def run(batches):
-        encode, seq, ids, names, size = Encoder(tokenizer_path), 0, [], [], 0
+        encode, seq, ids, names, size = encoder(tokenizer_path), 0, [], [], 0
         end = np.array([end_id], encode.dtype).tobytes()
         bucket = None
 
@@ -144,32 +204,31 @@ def file_starts(manifest: DataFrame) -> DataFrame:
     return manifest.join(before, "bucket").withColumn("start", start).drop("before")
 
 
-def read_token_files(files: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids): every document of the files of ``files`` (path, start); ids as int32."""
+def read_token_files(files: DataFrame, with_ids: bool = True) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32, ids, width): every document of the files of ``files`` (path, start).
+
+    ``ids`` are little-endian unsigned integers of ``width`` bytes, as in the file; without ``with_ids``
+    they stay out. The CRC is that of the ids as 32-bit integers.
+    """
 
     def run(batches):
         for batch in batches:
             for path, base in zip(batch.column("path").to_pylist(), batch.column("start").to_pylist()):
                 store, at = filesystem(path)
                 with store.open_input_file(at) as f:
-                    data = f.read()
-                file = TokenFile(data)
+                    file = TokenFile(f.read())
                 bounds = file.bounds.select_all().astype(np.int64)
                 for i in range(0, file.n_docs, 2000):
                     some = bounds[i : i + 2001]
-                    ids = file.ids(int(some[0]), int(some[-1])).astype(np.int32)
-                    lists = pa.ListArray.from_arrays(pa.array((some - some[0]).astype(np.int32)), pa.array(ids))
-                    yield pa.RecordBatch.from_arrays([pa.array(file.doc_ids[i : i + 2000]), pa.array(some[:-1] + base), pa.array(np.diff(some)), lists], ["doc_id", "start", "n_tokens", "ids"])
-
-    return files.select("path", "start").repartition(4 * shuffle_partitions(files.sparkSession), "path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids array<int>")
-
-
-def crc32_of(read: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of what :func:`read_token_files` returns."""
-
-    def run(batches):
-        for batch in batches:
-            crc = [zlib.crc32(x.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes()) for x in batch.column("ids")]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return read.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+                    own = file.ids(int(some[0]), int(some[-1]))
+                    wide, edges = memoryview(own.astype("<u4")).cast("B"), ((some - some[0]) * 4).tolist()
+                    crc = [zlib.crc32(wide[a:b]) for a, b in zip(edges, edges[1:])]
+                    out = [pa.array(file.doc_ids[i : i + 2000]), pa.array(some[:-1] + base), pa.array(np.diff(some)), pa.array(crc, pa.int64())]
+                    if with_ids:
+                        offsets = ((some - some[0]) * file.width).astype(np.int32)
+                        ids = pa.BinaryArray.from_buffers(pa.binary(), len(some) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(own)])
+                        out += [ids, pa.array(np.full(len(ids), file.width, np.int32))]
+                    yield pa.RecordBatch.from_arrays(out, ["doc_id", "start", "n_tokens", "ids_crc32", "ids", "width"][: len(out)])
+
+    schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary, width int" * with_ids
+    return files.select("path", "start").repartition(shuffle_partitions(files.sparkSession), "path").mapInArrow(run, schema)

@@ -11,7 +11,7 @@ from depquarry.llm import bpe, ngramlm, tokenbin
 from depquarry.llm.eliasfano import EliasFano
 from depquarry.llm.queries import tokenizer_file
 
-ODD = ["a", "Ünder", "thE", " ", "  ", "\n", "\t", "\r\n", "\x0b", "\x1c", " ", "　", "'s", "'LL", "1", "12", ".", "?!", "é", "́", "漢", "😀", "<|endoftext|>", "<|startoftext|>", "ß", "İ", "Σ", "\x00"]
+ODD = ["a", "Ünder", "thE", " ", "  ", "\n", "\t", "\r\n", "\x0b", "\x1c", " ", "　", "'s", "'LL", "1", "12", ".", "?!", "é", "́", "漢", "😀", "<|endoftext|>", "<|startoftext|>", "ß", "İ", "Σ", "\x00", "×", "÷", "x×.", "a÷,", "_.", "é.", ".", ",", "a.b,c"]
 
 
 def texts(n=400):
@@ -59,7 +59,9 @@ def test_token_files(spark, make_docs, tmp_path):
     t = Tokenizer.from_file(path)
     rows = [(i * 37 % 1009 - 300, x) for i, x in enumerate(texts())] + [(5000, None), (6000, "twice"), (6000, "twice")]
     files = tokenbin.write_token_files(make_docs(rows), path, f"file://{tmp_path}/t").cache()
-    got = tokenbin.crc32_of(tokenbin.read_token_files(tokenbin.file_starts(files))).collect()
+    read = tokenbin.read_token_files(tokenbin.file_starts(files))
+    got = read.select("doc_id", "start", "n_tokens", "ids_crc32").collect()
+    assert all(len(r["ids"]) == r["n_tokens"] * r["width"] and zlib.crc32(np.frombuffer(r["ids"], f"<u{r['width']}").astype("<u4").tobytes()) == r["ids_crc32"] for r in read.collect())
     want, start = [], 0
     for d, x in sorted(rows, key=lambda r: (r[0], r[1] or "")):
         ids = t.encode(x or "", add_special_tokens=False).ids + [0]
