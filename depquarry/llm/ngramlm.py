@@ -19,9 +19,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depquarry.llm.bpe import CHUNK_BYTES, packed, unpacked
 from depquarry.llm.common import written
-from depquarry.llm.tokenbin import Encoder
+from depquarry.llm.tokenbin import encoder
+
+#: Tokens of a chunk; a longer text is a chunk of its own.
+CHUNK_TOKENS = 4 << 20
 
 #: The context before a text's first token; n-grams are numbers of 16 bits a token below a tag of their order.
 START = 0xFFFF
@@ -36,71 +38,89 @@ def grams(tokens: np.ndarray, order: int) -> np.ndarray:
     return out | (order - 1) << 60
 
 
-def chunks(batches, path: str) -> Iterator[tuple[int, list, list[np.ndarray]]]:
-    """(name, doc_ids, tokens) of runs of rows of about CHUNK_BYTES; the name is a digest of the texts in order."""
-    encode = Encoder(path)
-    if encode.dtype.itemsize != 2:
-        raise ValueError("a vocabulary of less than 65535 tokens is needed")
+def tokenized(docs: DataFrame, path: str) -> DataFrame:
+    """(doc_id, tokens) of ``docs`` (doc_id, text, any others) as a written table; null and empty texts have no tokens.
+
+    The scores read it several times; each text is encoded once.
+    """
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    id_type = docs.schema["doc_id"].dataType
+    arrow_id = to_arrow_type(id_type)
+
+    def run(batches):
+        encode = encoder(path)
+        if encode.dtype.itemsize != 2:
+            raise ValueError("a vocabulary of less than 65535 tokens is needed")
+        for batch in batches:
+            tokens = [encode(t.as_py() or "") for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(arrow_id), pa.array(tokens, pa.binary())], ["doc_id", "tokens"])
+
+    return written(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type.simpleString()}, tokens binary"), "lm-tokens")
+
+
+def chunks(batches) -> Iterator[tuple[int, list, list[bytes]]]:
+    """(name, doc_ids, tokens) of runs of rows of about CHUNK_TOKENS; the name is a digest of the tokens in order."""
     ids, tokens, size, digest = [], [], 0, xxhash.xxh3_64()
     for batch in batches:
-        of = batch.column("doc_id").to_pylist()
-        for i, text in enumerate(batch.column("text")):
-            text = text.as_py() or ""
-            n = len(text)
-            if ids and size + n > CHUNK_BYTES:
+        for doc, t in zip(batch.column("doc_id").to_pylist(), batch.column("tokens").to_pylist()):
+            if ids and size + len(t) > 2 * CHUNK_TOKENS:
                 yield digest.intdigest() - (1 << 63), ids, tokens
                 ids, tokens, size, digest = [], [], 0, xxhash.xxh3_64()
-            ids.append(of[i])
-            tokens.append(np.frombuffer(encode(text), np.uint16))
-            digest.update(len(tokens[-1]).to_bytes(8, "little"))
-            digest.update(tokens[-1].tobytes())
-            size += n
+            ids.append(doc)
+            tokens.append(t)
+            digest.update(len(t).to_bytes(8, "little"))
+            digest.update(t)
+            size += len(t)
     if ids:
         yield digest.intdigest() - (1 << 63), ids, tokens
 
 
-def chunk_grams(docs: DataFrame, path: str, order: int) -> DataFrame:
+def chunk_grams(tokens: DataFrame, order: int) -> DataFrame:
     """(chunk, gram, n): each chunk's distinct n-grams of all orders, and the context before first tokens."""
 
     def run(batches):
-        for name, _, tokens in chunks(batches, path):
+        for name, _, rows in chunks(batches):
             for k in range(1, order + 1):
-                every = [grams(t, k) for t in tokens]
+                every = [grams(np.frombuffer(t, np.uint16), k) for t in rows]
                 if k < order:  # what precedes a first token is a context too
-                    start = grams(np.full(k, START, np.uint16), k)[-1:]
-                    every.append(np.repeat(start, len(tokens)))
+                    every.append(np.repeat(start_gram(k), len(rows)))
                 got, n = np.unique(np.concatenate(every), return_counts=True)
                 for i in range(0, len(got), 200_000):
                     part = got[i : i + 200_000]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), name, np.int64)), pa.array(part), pa.array(n[i : i + 200_000].astype(np.int64))], ["chunk", "gram", "n"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "chunk long, gram long, n long")
+    return tokens.select("doc_id", "tokens").mapInArrow(run, "chunk long, gram long, n long")
 
 
-def count_table(corpus: DataFrame, tokenizer_path: str, order: int = 2) -> DataFrame:
-    """(gram, total) over every document of ``corpus`` (text, any others), summed in each task before it is dealt out by hash."""
-    corpus = corpus if "doc_id" in corpus.columns else corpus.withColumn("doc_id", F.lit(0))
-    return chunk_grams(corpus, tokenizer_path, order).groupBy("gram").agg(F.sum("n").alias("total"))
+def start_gram(k: int) -> np.ndarray:
+    return grams(np.full(k, START, np.uint16), k)[-1:]
 
 
-def score(docs: DataFrame, counts: DataFrame, tokenizer_path: str, order: int = 2, alpha: float = 0.4, leave_out: bool = True) -> DataFrame:
-    """(doc_id, n_tokens, log_score, mean_log_score, n_backed_off) for every row of ``docs`` (doc_id, text, any others).
+def count_table(tokens: DataFrame, order: int = 2) -> DataFrame:
+    """(gram, total) over every row of ``tokens``, summed in each task before it is dealt out by hash."""
+    return chunk_grams(tokens, order).groupBy("gram").agg(F.sum("n").alias("total"))
 
-    Null and empty texts have no tokens, the sum 0 and a null mean. ``leave_out`` is for documents that
-    are in the corpus themselves. The rows are read twice and must come in the same order, as from
-    files and written tables; else the run fails. Repeated rows give repeated rows.
-    """
-    from pyspark.sql.pandas.types import to_arrow_type
 
+def score(tokens: DataFrame, counts: DataFrame, order: int = 2, alpha: float = 0.4, leave_out: bool = True) -> DataFrame:
+    """(doc_id, n_tokens, log_score, mean_log_score, n_backed_off) for every row of ``tokens`` (doc_id, tokens).
+
+    No tokens: the sum 0 and a null mean. ``leave_out`` is for documents that are in the corpus
+    themselves. Repeated rows give repeated rows; a null doc_id stays null. ``tokens`` must be a written
+    table, as it is read twice in the same order; else the run fails.
+    """
     counts = written(counts, "ngram-counts")
     alone = counts.where(F.col("gram") < (1 << 60)).where(F.col("gram") != START).agg(F.sum("total"), F.count("*")).first()
     n_all, n_kinds = int(alone[0] or 0), int(alone[1] or 0)
-    id_type = docs.schema["doc_id"].dataType
-    arrow_id = to_arrow_type(id_type)
+    id_type = tokens.schema["doc_id"].dataType.simpleString()
 
     def texts(batches):
-        for name, ids, tokens in chunks(batches, tokenizer_path):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), name, np.int64)), pa.array(ids, arrow_id), pa.array([packed(t.astype(np.uint32)) for t in tokens], pa.binary())], ["chunk", "doc_id", "tokens"])
+        for name, ids, rows in chunks(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), name, np.int64)), pa.array(ids, id_arrow), pa.array(rows, pa.binary())], ["chunk", "doc_id", "tokens"])
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    id_arrow = to_arrow_type(tokens.schema["doc_id"].dataType)
 
     def doc_scores(key, rows, known):
         gram = known.column("gram").to_numpy()
@@ -116,7 +136,7 @@ def score(docs: DataFrame, counts: DataFrame, tokenizer_path: str, order: int =
 
         out = {"doc_id": rows.column("doc_id").combine_chunks(), "n_tokens": [], "log_score": [], "mean_log_score": [], "n_backed_off": []}
         for t in rows.column("tokens"):
-            t = unpacked(t.as_py()).astype(np.uint16)
+            t = np.frombuffer(t.as_py(), np.uint16)
             n = len(t)
             own_of = {}
             seen = {}
@@ -132,7 +152,7 @@ def score(docs: DataFrame, counts: DataFrame, tokenizer_path: str, order: int =
             backed = np.zeros(n, bool)
             for k in range(2, order + 1):
                 # the context of the gram that ends here is the shorter gram that ends one token before
-                start = grams(np.full(k - 1, START, np.uint16), k - 1)[-1:]
+                start = start_gram(k - 1)
                 first = count(start) - (1 if leave_out else 0) if n else start
                 context = np.concatenate([first, seen[k - 1][:-1]]) if n else seen[k - 1]
                 on = (seen[k] > 0) & (context > 0)
@@ -145,6 +165,6 @@ def score(docs: DataFrame, counts: DataFrame, tokenizer_path: str, order: int =
             out["n_backed_off"].append(int(backed.sum()))
         return pa.table([out["doc_id"], pa.array(out["n_tokens"], pa.int64()), pa.array(out["log_score"], pa.float64()), pa.array(out["mean_log_score"], pa.float64()), pa.array(out["n_backed_off"], pa.int64())], names=list(out))
 
-    needed = chunk_grams(docs, tokenizer_path, order).select("chunk", "gram").join(counts, "gram", "left").select("chunk", "gram", F.coalesce("total", F.lit(0)).alias("total"))
-    given = docs.select("doc_id", "text").mapInArrow(texts, f"chunk long, doc_id {id_type.simpleString()}, tokens binary")
-    return given.groupBy("chunk").cogroup(needed.groupBy("chunk")).applyInArrow(doc_scores, f"doc_id {id_type.simpleString()}, n_tokens long, log_score double, mean_log_score double, n_backed_off long")
+    needed = chunk_grams(tokens, order).select("chunk", "gram").join(counts, "gram", "left").select("chunk", "gram", F.coalesce("total", F.lit(0)).alias("total"))
+    given = tokens.select("doc_id", "tokens").mapInArrow(texts, f"chunk long, doc_id {id_type}, tokens binary")
+    return given.groupBy("chunk").cogroup(needed.groupBy("chunk")).applyInArrow(doc_scores, f"doc_id {id_type}, n_tokens long, log_score double, mean_log_score double, n_backed_off long")

@@ -54,8 +54,8 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, path = table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json")
-    return ngramlm.score(docs, ngramlm.count_table(docs, path), path)
+    tokens = ngramlm.tokenized(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+    return ngramlm.score(tokens, ngramlm.count_table(tokens))
 
 
 def held_out() -> Column:
