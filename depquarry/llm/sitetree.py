@@ -25,6 +25,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from depquarry.llm.common import written
+
 # Element names of HTML by what they do to text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 UNSEEN = frozenset("script style noscript template textarea select button svg math iframe object canvas audio video head title datalist".split())
@@ -274,7 +276,9 @@ def extract(pages: DataFrame, least_importance: float = LEAST_IMPORTANCE, least_
     kinds = parsed.select("host", "template", "paths", "boxes").groupBy("host", "template").agg(F.first("paths").alias("paths"), F.first("boxes").alias("boxes"))
     nodes = kinds.select("host", "template", F.explode(F.array_distinct(F.concat("paths", "boxes"))).alias("path"))
     low = nodes.join(tree, ["host", "path"]).groupBy("host", "template").agg(F.sort_array(F.collect_list("path")).alias("low"))
-    x = parsed.drop("paths", "boxes").join(kinds.join(low, ["host", "template"]).select("host", "template", "paths", "boxes", "low"), ["host", "template"], "left")
+    # written, so both sides of the join are dealt out for it and a host with most of the pages is split
+    judged = written(kinds.join(low, ["host", "template"]).select("host", "template", "paths", "boxes", "low"), "site-judged")
+    x = parsed.drop("paths", "boxes").join(judged, ["host", "template"], "left")
     box = F.map_from_arrays("paths", "boxes")
 
     def kept(b):
