@@ -32,6 +32,12 @@ def _checkpoints(spark: SparkSession) -> None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="depquarry-"))
 
 
+def _grown(settled: DataFrame, step: DataFrame, rounds: int) -> DataFrame:
+    """``settled`` with a step that is checkpointed itself; the union is written anew every eighth round, so plans stay short."""
+    out = settled.unionByName(step)
+    return out.checkpoint() if rounds % 8 == 0 else out
+
+
 def callees(edges: DataFrame, symbol: str) -> DataFrame:
     return edges.where(F.col("src") == symbol).distinct()
 
@@ -55,7 +61,7 @@ def levels(edges: DataFrame, roots: DataFrame, max_depth: int = 0) -> DataFrame:
         frontier = found.checkpoint()
         if frontier.isEmpty():
             break
-        settled = settled.unionByName(frontier.withColumn("depth", F.lit(depth))).checkpoint()
+        settled = _grown(settled, frontier.withColumn("depth", F.lit(depth)), depth)
     return settled
 
 
@@ -93,8 +99,9 @@ def shortest_path(edges: DataFrame, entries: DataFrame, targets: DataFrame) -> D
     _checkpoints(edges.sparkSession)
     e = edges.select("src", "dst").distinct().checkpoint()
     settled = entries.select("node").distinct().select("node", F.array("node").alias("path")).checkpoint()
-    frontier = settled
+    frontier, rounds = settled, 0
     while True:
+        rounds += 1
         hit = frontier.join(targets.select("node").distinct(), "node", "left_semi")
         if not hit.isEmpty():
             return hit.select("node", (F.size("path") - 1).alias("depth"), "path")
@@ -102,7 +109,7 @@ def shortest_path(edges: DataFrame, entries: DataFrame, targets: DataFrame) -> D
         frontier = found.join(settled, "node", "left_anti").select("node", F.concat("path", F.array("node")).alias("path")).checkpoint()
         if frontier.isEmpty():
             return frontier.select("node", (F.size("path") - 1).alias("depth"), "path")
-        settled = settled.unionByName(frontier).checkpoint()
+        settled = _grown(settled, frontier, rounds)
 
 
 def widest_paths(edges: DataFrame, roots: DataFrame) -> DataFrame:
@@ -115,8 +122,10 @@ def widest_paths(edges: DataFrame, roots: DataFrame) -> DataFrame:
     _checkpoints(edges.sparkSession)
     e = edges.groupBy("src", "dst").agg(F.max("rank").alias("rank")).checkpoint()
     settled = roots.select("node").distinct().select("node", F.lit(5).alias("rank"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("pred")).checkpoint()
+    rounds = 0
     for tier in (4, 3, 2, 1, 0):
         while True:
+            rounds += 1
             open_ = (
                 settled.join(e.withColumnRenamed("rank", "edge"), F.col("node") == F.col("src"))
                 .where(F.least("rank", "edge") == tier)
@@ -129,7 +138,7 @@ def widest_paths(edges: DataFrame, roots: DataFrame) -> DataFrame:
             step = best.join(F.broadcast(least), F.col("depth") == F.col("least")).select("node", F.lit(tier).alias("rank"), "depth", "pred").checkpoint()
             if step.isEmpty():
                 break
-            settled = settled.unionByName(step).checkpoint()
+            settled = _grown(settled, step, rounds)
     return settled
 
 
@@ -311,4 +320,4 @@ def entry_ancestry(edges: DataFrame, target: str, entries: DataFrame) -> DataFra
         hops += 1
         step = frontier.join(back, F.col("node") == F.col("d")).groupBy(F.col("s").alias("node")).agg(F.max(F.least("weakest", "r")).alias("weakest"))
         frontier = step.join(seen, "node", "left_anti").checkpoint()
-        seen = seen.unionByName(frontier.select("node")).checkpoint()
+        seen = _grown(seen, frontier.select("node"), hops)
