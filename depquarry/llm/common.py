@@ -82,6 +82,33 @@ def range_bucket(key: Column, bounds: list[int]) -> Column:
     return F.when(key.isNull(), F.lit(0)).otherwise(F.aggregate(F.array(*[F.lit(s) for s in reversed(steps)]), F.lit(0), probe))
 
 
+# ---- in the tasks -----------------------------------------------------------------------------------
+
+
+def sliced(batches, rows: int = 1000):
+    """Record batches of at most ``rows`` rows; after the last, memory that is free goes back to the system.
+
+    A worker serves many tasks, so what one leaves behind would stand beside what the next needs.
+    """
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+    release()
+
+
+def release() -> None:
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
+
+
 # ---- files below the shared folder, from the executors -------------------------------------------
 
 

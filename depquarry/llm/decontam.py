@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depquarry.llm.common import filesystem, put_file, shared_path, written
+from depquarry.llm.common import filesystem, put_file, shared_path, sliced, written
 from depquarry.llm.minhash import WordHashes, mix
 
 #: A-Z to a-z, every other ASCII byte that is no letter or digit to a blank.
@@ -143,7 +143,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
 
     def search(batches):
         known = WordHashes()
-        for batch in batches:
+        for batch in sliced(batches):
             words = list(map(words_of, batch.column("text").to_pylist()))
             hits = [np.zeros(len(w) + 1, np.int32) for w in words]
             items: list[set] = [set() for _ in words]

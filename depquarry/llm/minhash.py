@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from depquarry.llm.common import LOWER, written
+from depquarry.llm.common import LOWER, sliced, written
 from depquarry.llm.components import connected_components
 
 #: Of a set's bitmap, by which pairs are ruled out.
@@ -49,7 +49,7 @@ class WordHashes(dict):
     """64-bit hashes of words, each worked out once; bounded, as it is emptied when full."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
@@ -100,7 +100,7 @@ def featurize(docs: DataFrame, p: NearDup) -> DataFrame:
         mul = rng.integers(0, 1 << 63, size, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         add = rng.integers(0, 1 << 63, size, dtype=np.uint64)
         words = WordHashes()
-        for batch in batches:
+        for batch in sliced(batches):
             n, cls, sig, nib, bits = [], [], [], [], []
             for text in batch.column("text"):
                 items = shingle_set(text.as_py(), p.shingle_words, words)
@@ -120,9 +120,7 @@ def index_entries(classes: DataFrame, p: NearDup) -> DataFrame:
     kept = [[i for i in range(p.width) if i not in out] for out in combinations(range(p.width), p.errors)]
 
     def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in sliced(batches):
             sym = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(batch.num_rows, p.chunks, p.width).astype(np.uint64)
             keys = np.empty((batch.num_rows, p.chunks, len(kept)), np.uint64)
             for j, at in enumerate(kept):
@@ -146,7 +144,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, p: NearDup) -> DataFrame:
 
     def run(batches):
         words = WordHashes()
-        for batch in batches:
+        for batch in sliced(batches):
             items = [shingle_set(t.as_py(), p.shingle_words, words).view(np.int64) for t in batch.column("text")]
             cls = pa.array([set_name(x) for x in items], pa.int64())
             at = np.concatenate([[0], np.cumsum([len(x) for x in items])]).astype(np.int32)

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from depquarry.llm.common import LOWER
+from depquarry.llm.common import LOWER, sliced
 
 
 @dataclass(frozen=True)
@@ -40,14 +40,14 @@ FEATURES = 6
 
 
 class Features(dict):
-    """The table rows of a word's features; each worked out once, bounded."""
+    """The table rows of a word's features, as bytes of 32-bit integers; each worked out once, bounded."""
 
     def __init__(self, buckets: int):
         super().__init__()
         self.buckets = buckets
 
-    def __missing__(self, word: bytes) -> tuple[int, ...]:
-        if len(self) > 300_000:
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) > 120_000:
             self.clear()
         bare = word.strip(b".,;:!?\"'()[]{}*#%$&-_<>/\\|") or word
         out = []
@@ -55,7 +55,7 @@ class Features(dict):
         for tag, part in ((b"w", bare), (b"4", letters[:4].encode()), (b"6", letters[:6].encode())):
             h = xxhash.xxh64_intdigest(tag + part)
             out += [h % self.buckets, (h >> 32) % self.buckets]
-        got = self[word] = tuple(out)
+        got = self[word] = np.array(out, np.int32).tobytes()
         return got
 
 
@@ -134,8 +134,8 @@ class Model:
 def features(text: str | None, known: Features) -> tuple[np.ndarray, np.ndarray]:
     words = words_of(text)
     number = {w: i for i, w in enumerate(dict.fromkeys(words))}
-    rows = np.array([known[w] for w in number], np.int64).reshape(-1, FEATURES)
-    return rows, np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+    rows = np.frombuffer(b"".join([known[w] for w in number]), np.int32).reshape(-1, FEATURES)
+    return rows, np.fromiter(map(number.__getitem__, words), np.int32, len(words))
 
 
 def train(texts: list[str | None], labels: np.ndarray, s: Settings) -> Model:
@@ -251,7 +251,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         m = held.value
         known = Features(m.settings.buckets)
-        for batch in batches:
+        for batch in sliced(batches):
             texts = (t.as_py() for t in batch.column("text"))
             got = m.score(texts, known)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got.astype(np.float64))], [*batch.schema.names, "score"])
