@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from depquarry.functions import classify, licence, semver, text
+from depquarry.functions import classify, licence, text
 from depquarry.operators import compose, diff, graph, joins, rollup
 from depquarry.plans import oracle as o
 from depquarry.plans.carriers import carrier, cte
