@@ -29,9 +29,13 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_paths: list[str] = []
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder; :func:`delete_written` deletes what was put there."""
+    _paths.append(f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}")
+    return _paths[-1]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -41,10 +45,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def delete_path(spark: SparkSession, path: str) -> None:
+def delete_written(spark: SparkSession) -> None:
+    """Deletes the tables and files that this driver's operators wrote to the shared folder; results not yet read go with them."""
     jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    while _paths:
+        p = jvm.org.apache.hadoop.fs.Path(_paths.pop())
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -82,6 +88,13 @@ def range_bucket(key: Column, bounds: list[int]) -> Column:
     return F.when(key.isNull(), F.lit(0)).otherwise(F.aggregate(F.array(*[F.lit(s) for s in reversed(steps)]), F.lit(0), probe))
 
 
+def small_batches(df: DataFrame, rows: int = 1000) -> None:
+    """Has the session hand at most ``rows`` rows to Python at once, as texts may be long; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= rows:
+        df.sparkSession.conf.set(key, str(rows))
+
+
 # ---- in the tasks -----------------------------------------------------------------------------------
 
 

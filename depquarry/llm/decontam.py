@@ -18,11 +18,10 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depquarry.llm.common import filesystem, put_file, shared_path, sliced, written
+from depquarry.llm.common import filesystem, put_file, shared_path, sliced, small_batches, written
 from depquarry.llm.minhash import WordHashes, mix
 
 #: A-Z to a-z, every other ASCII byte that is no letter or digit to a blank.
@@ -31,6 +30,9 @@ WORDS_ONLY = bytes(c if c >= 128 or chr(c).isdigit() or chr(c).islower() else c
 #: UTF-8 bytes of item texts in a block.
 BLOCK_BYTES = 1 << 20
 
+#: Counts that a task holds before it hands them on.
+MOST_SUMS = 2_000_000
+
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(WORDS_ONLY).split()
@@ -99,6 +101,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
     without words hits nothing. Equal item_ids count once.
     """
     spark = docs.sparkSession
+    small_batches(docs)
     folder = shared_path(spark, "windows")
     id_type = benchmark.schema["item_id"].dataType.simpleString()
     items = written(benchmark.select("item_id", "text").where("text is not null"), "decontam-items")
@@ -115,18 +118,30 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
     token_files = sorted(r["path"] for r in items.groupBy("block").applyInArrow(save_windows, "path string").collect())
 
     def count(batches):
-        known = WordHashes()
+        known, sums, held_sums = WordHashes(), {}, 0
+
+        def flush():
+            for (_, size), (block, some, n) in sums.items():
+                on = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(on), block, np.int32)), pa.array(some[on].view(np.int64)), pa.array(n[on])], ["block", "token", "n"])
+            sums.clear()
+
         for batch in batches:
             hashes = [np.fromiter(map(known.__getitem__, w), np.uint64, len(w)) for w in map(words_of, batch.column("text").to_pylist())]
             for path in token_files:
                 block, tokens = held(path)
                 for size, some in tokens.items():
-                    n = np.zeros(len(some), np.int64)
+                    if (path, size) not in sums:
+                        sums[path, size] = block, some, np.zeros(len(some), np.int64)
+                        held_sums += len(some)
+                    n = sums[path, size][2]
                     for h in hashes:
                         if len(h) >= size:
-                            n += np.bincount(np.unique(present(shingles(h, size), some)[1]), minlength=len(some))
-                    on = np.flatnonzero(n)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(on), block, np.int32)), pa.array(some[on].view(np.int64)), pa.array(n[on])], ["block", "token", "n"])
+                            n[np.unique(present(shingles(h, size), some)[1])] += 1
+                if held_sums > MOST_SUMS:
+                    yield from flush()
+                    held_sums = 0
+        yield from flush()
 
     rarity = docs.select("text").mapInArrow(count, "block int, token long, n long").groupBy("block", "token").agg(F.sum("n").alias("n"))
 

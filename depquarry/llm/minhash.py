@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from depquarry.llm.common import LOWER, sliced, written
+from depquarry.llm.common import LOWER, sliced, small_batches, written
 from depquarry.llm.components import connected_components
 
 #: Of a set's bitmap, by which pairs are ruled out.
@@ -216,6 +216,7 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     component is the smallest doc_id of its component's rows if there is one, else null. Repeated rows
     give repeated rows; an empty table gives none.
     """
+    small_batches(docs)
     feats = written(featurize(docs, p), "minhash-features")
     classes = feats.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("nib").alias("nib"), F.first("bits").alias("bits"))
     classes = written(classes, "minhash-classes")

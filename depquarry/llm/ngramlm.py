@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depquarry.llm.common import written
+from depquarry.llm.common import small_batches, written
 from depquarry.llm.tokenbin import encoder
 
 #: Tokens of a chunk; a longer text is a chunk of its own.
@@ -45,6 +45,7 @@ def tokenized(docs: DataFrame, path: str) -> DataFrame:
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
+    small_batches(docs)
     id_type = docs.schema["doc_id"].dataType
     arrow_id = to_arrow_type(id_type)
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depquarry.llm.common import written
+from depquarry.llm.common import small_batches, written
 
 # Element names of HTML by what they do to text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -250,6 +250,7 @@ def extract(pages: DataFrame, least_importance: float = LEAST_IMPORTANCE, least_
     """
     id_type = pages.schema["page_id"].dataType.simpleString()
     fields = f"page_id {id_type}, url string, host string, template long, paths array<long>, boxes array<long>, blocks array<struct<path:long,text:string,article:boolean>>"
+    small_batches(pages)
     spark = pages.sparkSession
     from pyspark.sql.pandas.types import to_arrow_schema
 

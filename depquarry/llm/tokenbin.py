@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from depquarry.llm.bpe import tokenizer
-from depquarry.llm.common import filesystem, order_bounds, put_file, range_bucket, shared_path, shuffle_partitions
+from depquarry.llm.common import filesystem, order_bounds, put_file, range_bucket, shared_path, shuffle_partitions, small_batches
 from depquarry.llm.eliasfano import EliasFano
 
 MAGIC = b"DQTOKEF1"
@@ -161,6 +161,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str | None =
     Buckets are ranges of doc_id of about equal row counts; a file is closed at SHARD_BYTES.
     """
     spark = docs.sparkSession
+    small_batches(docs)
     folder = folder or shared_path(spark, "tokens")
     parts = 2 * shuffle_partitions(spark)
     bounds = order_bounds(docs, "doc_id", parts)

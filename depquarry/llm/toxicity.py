@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from depquarry.llm.common import LOWER, sliced
+from depquarry.llm.common import LOWER, sliced, small_batches
 
 
 @dataclass(frozen=True)
@@ -245,6 +245,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, s: Settings = Settin
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``score`` (0 to 1) of the whole text; null and empty texts score alike. A column score is replaced."""
     spark = docs.sparkSession
+    small_batches(docs)
     held = spark.sparkContext.broadcast(model)
     kept = docs.select(*[c for c in docs.columns if c != "score"])
 
