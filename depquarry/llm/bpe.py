@@ -24,10 +24,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depquarry.llm.common import shuffle_partitions
+from depquarry.llm.common import release, shuffle_partitions, small_batches
 
 #: UTF-8 bytes of the texts of a chunk; a longer text is a chunk of its own.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 
 CHUNK_FIELDS = "chunk long, doc_id {id}, words binary"
 
@@ -78,6 +78,8 @@ def chunks(batches) -> Iterator[tuple[int, list, list[bytes], list[np.ndarray]]]
             c.add(doc, raw)
     if c.ids:
         yield c.close()
+    del c
+    release()
 
 
 def packed(numbers: np.ndarray) -> bytes:
@@ -192,6 +194,7 @@ def encode(docs: DataFrame, path: str, decoded: bool = False) -> DataFrame:
         made = {"doc_id": texts.column("doc_id"), "ids": pa.array(out, pa.binary())}
         return pa.table(made | ({"text": pa.array(said, pa.string())} if decoded else {}))
 
+    small_batches(docs)
     held = held_pieces(docs.sparkSession, path) if decoded else None
     blocks = shuffle_partitions(docs.sparkSession)
     words = encoded_words(distinct_words(docs, blocks), path, blocks)
