@@ -1,10 +1,14 @@
 """Document fingerprints by winnowing, with DataFrame functions alone.
 
-A text's units are its runs of at most ``unit`` code points without white space. A gram is ``gram``
-units, its hash a rolling polynomial one; of each ``window`` consecutive grams the one with the
-smallest hash is kept, the rightmost of equals, with its position. Two texts that share
-``window + gram - 1`` consecutive units so share a kept hash. A text of fewer units is one gram; one
-of fewer grams, one window.
+Fingerprints are of the grams that start at every code point of the text without white space: a gram
+is ``SPAN`` code points; of each ``REACH`` consecutive grams the one with the smallest hash is kept,
+the rightmost of equals, with its position. Two texts that share ``REACH + SPAN - 1`` consecutive code
+points other than white space so share a kept hash, wherever the passage stands. A shorter text is one
+gram; one of fewer grams, one window.
+
+:func:`kept_grams` is the coarse form: its units are runs of at most ``UNIT`` code points, a gram is
+``GRAM`` units with a rolling polynomial hash, a window ``WINDOW`` grams. Its units, and so what it
+promises, are aligned anew at white space only.
 
 A kept gram is one number: its 31-bit hash above, and below the complement of its position in 32
 bits, so the smallest number of a window is the rightmost of the smallest hashes.
@@ -17,21 +21,47 @@ from pyspark.sql import functions as F
 
 from depquarry.llm.common import order_bounds, range_bucket, shuffle_partitions
 
+SPAN, REACH = 16, 32
 UNIT, GRAM, WINDOW = 4, 4, 8
 PRIME, BASE = (1 << 31) - 1, 1_000_003
 
 
-def doubled(x: Column, size: int, join, then=None) -> Column:
+def doubled(x: Column, size: int, join) -> Column:
     """Each run of ``size`` (a power of two) neighbours in one value, by joining halves; the last size - 1 have none."""
     step = 1
     while step < size:
-        x = F.zip_with(x, F.slice(x, F.lit(step + 1), F.greatest(F.size(x), F.lit(1))), join(step))
+        # by way of an array of one, so each round is computed once
+        x = F.transform(F.array(x), lambda y: F.zip_with(y, F.slice(y, F.lit(step + 1), F.greatest(F.size(y), F.lit(1))), join(step)))[0]  # noqa: B023
         step *= 2
     return x
 
 
+def placed(grams: Column, number) -> Column:
+    """Grams as numbers: ``number(gram)`` of 31 bits, and the complement of the position."""
+    return F.transform(grams, lambda g, i: F.shiftleft(number(g), 32).bitwiseOR(F.lit((1 << 32) - 1) - i))
+
+
+def window_minima(g: Column, window: int) -> Column:
+    """The distinct smallest numbers of each ``window`` (a power of two) consecutive ones; ``g`` is a lambda's variable."""
+    n = F.size(g) - (window - 1)
+    least = doubled(g, window, lambda _: lambda a, b: F.when(a < b, a).otherwise(b))
+    return F.when(n >= 1, F.array_distinct(F.slice(least, F.lit(1), F.greatest(n, F.lit(1))))).otherwise(F.array(F.array_min(g)))
+
+
+def kept_spans(text: Column) -> Column:
+    """The fingerprint of a text by grams at every code point, as array<long>; null, empty and blank texts: empty."""
+    solid = F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", "")
+
+    def over_solid(s: Column) -> Column:
+        grams = F.when(F.char_length(s) < SPAN, F.array(s)).otherwise(F.regexp_extract_all(s, F.lit(rf"(?s)(?=(.{{{SPAN}}}))."), F.lit(1)))
+        numbers = placed(grams, lambda g: F.shiftrightunsigned(F.xxhash64(g), 33))
+        return F.transform(F.array(numbers), lambda g: window_minima(g, REACH))[0]
+
+    return F.transform(F.array(solid), lambda s: F.when(s != "", over_solid(s)).otherwise(F.array().cast("array<long>")))[0]
+
+
 def kept_grams(text: Column) -> Column:
-    """The fingerprint of a text: kept grams in order, as array<long>; null, empty and blank texts: empty."""
+    """The coarse fingerprint of a text: kept grams in order, as array<long>; null, empty and blank texts: empty."""
     units = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"\S{{1,{UNIT}}}"), F.lit(0))
     hashed = F.transform(units, lambda u: F.shiftrightunsigned(F.xxhash64(u), 34))
 
@@ -40,13 +70,7 @@ def kept_grams(text: Column) -> Column:
         rolled = doubled(u, GRAM, lambda step: lambda a, b: (a * pow(BASE, step, PRIME) + b) % PRIME)
         grams = F.when(n >= 1, F.slice(rolled, F.lit(1), F.greatest(n, F.lit(1)))).otherwise(
             F.array(F.aggregate(u, F.size(u).cast("long"), lambda a, b: (a * BASE + b) % PRIME)))
-        placed = F.transform(grams, lambda h, i: F.shiftleft(h, 32).bitwiseOR(F.lit((1 << 32) - 1) - i))
-        return F.transform(F.array(placed), over_grams)[0]
-
-    def over_grams(g: Column) -> Column:
-        n = F.size(g) - (WINDOW - 1)
-        least = doubled(g, WINDOW, lambda _: lambda a, b: F.when(a < b, a).otherwise(b))
-        return F.when(n >= 1, F.array_distinct(F.slice(least, F.lit(1), F.greatest(n, F.lit(1))))).otherwise(F.array(F.array_min(g)))
+        return F.transform(F.array(placed(grams, lambda h: h)), lambda g: window_minima(g, WINDOW))[0]
 
     return F.transform(F.array(hashed), lambda u: F.when(F.size(u) > 0, over_units(u)).otherwise(F.array().cast("array<long>")))[0]
 
@@ -99,11 +123,11 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     The edited text has the last third of the code points replaced by the first as many of the next
     document's. Null texts count as empty. A fingerprint's string lists its kept grams.
     """
-    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("kept", kept_grams(F.col("text")))
+    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("kept", kept_spans(F.col("text")))
     x = with_next(own, ["text", "kept"])
     n = F.char_length("text")
     third = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring("text", 1, n - third), F.substring("next_text", 1, third))
-    x = x.select("doc_id", n.cast("long").alias("n_chars"), "kept", "next_kept", edited.alias("edited")).withColumn("edited_kept", kept_grams(F.col("edited")))
+    x = x.select("doc_id", n.cast("long").alias("n_chars"), "kept", "next_kept", edited.alias("edited")).withColumn("edited_kept", kept_spans(F.col("edited")))
     x = x.select("doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), "kept", "edited_kept", hashes(F.col("kept")).alias("a"), hashes(F.col("edited_kept")).alias("b"), hashes(F.col("next_kept")).alias("c"))
     return x.select("doc_id", "n_chars", "edited_sha256", F.col("kept").cast("string").alias("fingerprint"), F.col("edited_kept").cast("string").alias("edited_fingerprint"), likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("c")).alias("near_next"))

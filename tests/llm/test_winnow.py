@@ -63,3 +63,37 @@ def test_one_row_no_rows_repeats_and_nulls(spark, make_docs):
     assert one["edited_sha256"] == hashlib.sha256(b"abcdab").hexdigest() and one["near_next"] == 1
     many = winnow.fingerprint_edits(make_docs([(1, "a b c"), (1, "a b c"), (None, "x"), (None, None)])).collect()
     assert len(many) == 4 and len({r["fingerprint"] for r in many if r["doc_id"] == 1}) == 1
+
+
+def test_passages_without_white_space_are_found_at_every_alignment(spark, make_docs):
+    rng = random.Random(5)
+    sign = lambda n: "".join(chr(0x4E00 + rng.randrange(8000)) for _ in range(n))
+    base = sign(900) + "😀" + sign(600)
+    rows = [(k, sign(k) + base) for k in range(5)] + [(5, "\u3042"), (6, " \n"), (7, None), (8, "a" * 40)]
+    k = {r["doc_id"]: r for r in make_docs(rows).select("doc_id", winnow.kept_spans(F.col("text")).alias("k")).select("*", winnow.hashes(F.col("k")).alias("h"), winnow.positions(F.col("k")).alias("p")).collect()}
+    for i in range(1, 5):
+        both = set(k[0]["h"]) & set(k[i]["h"])
+        assert len(both) / len(set(k[0]["h"]) | set(k[i]["h"])) > 0.95
+    assert (len(k[5]["k"]), k[6]["k"], k[7]["k"]) == (1, [], []) and k[8]["p"] == [24]
+    passage = sign(winnow.SPAN + winnow.REACH - 1)
+    pairs = [(sign(rng.randrange(90)) + passage + sign(50), sign(rng.randrange(90)) + passage + sign(50)) for _ in range(40)]
+    x = spark.createDataFrame(pairs, "a string, b string").select(*[winnow.hashes(winnow.kept_spans(F.col(c))).alias(c) for c in "ab"])
+    assert x.where(F.arrays_overlap("a", "b")).count() == 40
+
+
+def test_the_query_takes_grams_at_every_code_point(spark, make_docs):
+    rng = random.Random(6)
+    base = "".join(chr(0x4E00 + rng.randrange(8000)) for _ in range(3000))
+    got = {r["doc_id"]: r for r in winnow.fingerprint_edits(make_docs([(2, "\u3042" + base), (1, base)])).collect()}
+    assert got[1]["near_next"] > 0.95 and got[2]["near_next"] > 0.95
+
+
+def test_kept_spans_against_brute_force(spark):
+    text = "ab \u00fc\n\ud83d\ude00cd efgh ".encode("utf-16", "surrogatepass").decode("utf-16") * 12
+    solid = "".join(text.split())
+    grams = [solid[i : i + winnow.SPAN] for i in range(len(solid) - winnow.SPAN + 1)]
+    of = {r["g"]: r["h"] for r in spark.createDataFrame([(g,) for g in set(grams)], "g string").select("g", F.shiftrightunsigned(F.xxhash64("g"), 33).alias("h")).collect()}
+    h = [of[g] for g in grams]
+    want = {(h[at], at) for i in range(len(h) - winnow.REACH + 1) for at in [max(range(i, i + winnow.REACH), key=lambda j: (-h[j], j))]}
+    r = spark.createDataFrame([(text,)], "t string").select(winnow.kept_spans(F.col("t")).alias("k")).select("k", winnow.positions(F.col("k")).alias("p")).first()
+    assert {(x >> 32, p) for x, p in zip(r["k"], r["p"])} == want
