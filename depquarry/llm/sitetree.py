@@ -6,7 +6,8 @@ contents (texts of its blocks) that occur under it. Contents that are spread eve
 a high entropy and a low importance, contents of one page alone a high one; so have varied styles.
 Both combine to a node's importance. Branches of low importance are removed from each page, and with
 them those that their elements name as menus, headers, footers, asides, notices, adverts, forms and
-comments: a host of few pages has no statistics to tell.
+comments: a host of few pages has no statistics to tell. A name removes no branch that holds the page's
+only articles or, on a page without any, most of its text: it is a wrapper named by what stands beside.
 
 Where a page has an article (``article``, ``main``), its text is that of the articles; the tree then
 removes inside them only named containers, and never paragraphs, headings or cells, as an article may
@@ -40,13 +41,28 @@ CONTENT = frozenset("p h1 h2 h3 h4 h5 h6 li td th dd dt blockquote pre figure fi
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("ul ol dl table body html div section article td th form nav".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alertdialog alert".split())
-#: Words of a class or id that name what is no part of an article.
+#: Words of a class or id that name what is no part of an article, and words that say how a box is laid out by such.
 NAMED = re.compile(
-    r"(?:^|[-_\s])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|cookie\w*|consent|gdpr|notice\w*|popup|modal|overlay|newsletter|subscri\w*|signup|login"
+    r"ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|cookie\w*|consent|gdpr|notice\w*|popup|modal|overlay|newsletter|subscri\w*|signup|login"
     r"|nav\w*|menu\w*|breadcrumb\w*|pagination|pager|sidebar\w*|widget\w*|rail|footer\w*|masthead|topbar|toolbar|share|sharing|social\w*"
-    r"|related|recommend\w*|trending|comments?|commentlist|disqus|replies|respond|discussion|skip-?link|sr-only|hidden)(?:$|[-_\s\d])",
+    r"|related|recommend\w*|trending|comments?|commentlist|disqus|replies|respond|discussion|skiplink|hidden",
     re.I,
 )
+LAYOUT = frozenset("has have with without no not is are open opened closed expanded collapsed active enabled disabled visible print sticky fixed below above".split())
+WHOLE = frozenset(["skip-link", "sr-only", "is-hidden"])
+
+
+def names_furniture(name: str) -> int:
+    """2: a token of a class or id is a furniture word; 1: one is a compound that begins or ends with one; 0: none, or only of a layout by one."""
+    how = 0
+    for token in name.lower().split():
+        words = [w for w in re.split(r"[-_\d]+", token) if w]
+        if token in WHOLE or len(words) == 1 and NAMED.fullmatch(words[0]):
+            return 2
+        if words and not LAYOUT.intersection(words) and (NAMED.fullmatch(words[0]) or NAMED.fullmatch(words[-1])):
+            how = 1
+    return how
+
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -57,10 +73,10 @@ LEAST_PAGES = 10
 
 
 class Node:
-    __slots__ = ("article", "off", "path", "style", "tag")
+    __slots__ = ("article", "named", "off", "path", "style", "tag")
 
-    def __init__(self, tag: str, path: int, article: bool, off: bool):
-        self.tag, self.path, self.article, self.off, self.style = tag, path, article, off, xxhash.xxh3_64()
+    def __init__(self, tag: str, path: int, article: int, off: bool, named: int = 0):
+        self.tag, self.path, self.article, self.off, self.named, self.style = tag, path, article, off, named, xxhash.xxh3_64()
 
 
 def attributes(raw: str) -> dict[str, str]:
@@ -82,9 +98,12 @@ class Page:
         self.blocks: list[tuple[int, str, bool]] = []
         self.styles: dict[int, int] = {}
         self.container: dict[int, int] = {}  # path: the innermost named container on it
-        self._text: list[str] = []
-        self._at: Node | None = None
-        self.stack = [Node("", 0, False, False)]
+        self._text: list[tuple[Node, str]] = []
+        self._said: list[list[tuple[Node, str]]] = []
+        self.named = [0]  # of each branch that its name removes, the one that it stands in
+        self.plain = [True]  # of each such branch, whether a furniture word is all of a token
+        self.articles = [0]  # of each article, the named branch that it stands in
+        self.stack = [Node("", 0, 0, False)]
         self.box = [0]
         pos, size = 0, len(source)
         for m in self._tokens(source):
@@ -103,6 +122,39 @@ class Page:
         self._flush()
         while len(self.stack) > 1:
             self._pop()
+        spared = self._spared()
+        for said in self._said:
+            said = [(node, text) for node, text in said if node.named in spared]
+            text = " ".join(entities.unescape("".join(t for _, t in said)).split())
+            if text:
+                self.blocks.append((said[0][0].path, text, bool(said[0][0].article)))
+        del self._said
+
+    def _spared(self) -> set[int]:
+        """The named branches that stay, and 0: those around the longest article if all are in such, and those with most of the page's text, but no plain comments and the like beside an article."""
+        if len(self.named) == 1:
+            return {0}
+        size, of_article = [0] * len(self.named), [0] * len(self.articles)
+        for said in self._said:
+            for node, text in said:
+                n = len("".join(text.split()))
+                if node.article and node.named == self.articles[node.article]:
+                    of_article[node.article] += n
+                size[node.named] += n
+        for i in range(len(size) - 1, 0, -1):  # inner ones come later
+            size[self.named[i]] += size[i]
+        spared = {0}
+        longest = max(range(len(of_article)), key=lambda i: (of_article[i], -i))
+        outside = any(n and not at for n, at in zip(of_article, self.articles))
+        if longest and not outside:
+            at = self.articles[longest]
+            while at:
+                spared.add(at)
+                at = self.named[at]
+        for i in range(1, len(size)):  # outer ones come first
+            if self.named[i] in spared and 2 * size[i] > size[0] and not (self.plain[i] and longest):
+                spared.add(i)
+        return spared
 
     @staticmethod
     def _tokens(source: str):
@@ -117,17 +169,12 @@ class Page:
     def _say(self, text: str) -> None:
         top = self.stack[-1]
         if not top.off:
-            if self._at is None:
-                self._at = top
-            self._text.append(text)
+            self._text.append((top, text))
 
     def _flush(self) -> None:
         if self._text:
-            text = " ".join(entities.unescape("".join(self._text)).split())
-            if text:
-                self.blocks.append((self._at.path, text, self._at.article))
+            self._said.append(self._text)
             self._text = []
-        self._at = None
 
     def _pop(self) -> None:
         node = self.stack.pop()
@@ -166,16 +213,24 @@ class Page:
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(source, pos)
             return end.start() if end else len(source)
         if tag not in BLOCK and tag not in UNSEEN and not raw.strip():
-            node = Node(tag, up.path, up.article, up.off)
+            node = Node(tag, up.path, up.article, up.off, up.named)
             node.style = up.style
         else:
             a = attributes(raw)
             name = f"{a.get('class', '')} {a.get('id', '')}".strip()
             role = a.get("role", "").lower()
-            furniture = tag in FURNITURE or tag == "header" and not up.article or role in FURNITURE_ROLES or bool(name and tag not in ("html", "body", "article", "main") and NAMED.search(name)) or tag == "article" and bool(NAMED.search(name or "x"))
+            furniture = tag in FURNITURE or tag == "header" and not up.article or role in FURNITURE_ROLES
             off = up.off or tag in UNSEEN or furniture or "hidden" in a or a.get("aria-hidden") == "true"
+            named, article = up.named, up.article
+            if not off and tag not in ("html", "body", "main") and (how := names_furniture(name)):
+                named = len(self.named)
+                self.named.append(up.named)
+                self.plain.append(how == 2)
+            elif not off and (tag in ARTICLE or role == "main") and not article:
+                article = len(self.articles)
+                self.articles.append(named)
             shown = f"{tag}.{'.'.join(sorted(name.split()))}.{role}"
-            node = Node(tag, below(up.path, shown) if tag in BLOCK else up.path, up.article or tag in ARTICLE or role == "main", off)
+            node = Node(tag, below(up.path, shown) if tag in BLOCK else up.path, article, off, named)
             up.style.update(shown.encode("utf-8", "surrogatepass"))
             if name and tag in BLOCK and tag not in CONTENT:
                 self.container.setdefault(node.path, node.path)

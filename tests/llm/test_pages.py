@@ -36,6 +36,17 @@ def test_branches_that_repeat_over_a_host_go_and_copies_stay(spark):
     assert extract(spark, [(i, f"http://g/{i}", same) for i in range(30)])[3] == "Title\nAn article in thirty copies"
 
 
+def test_wrappers_named_by_what_stands_beside_stay():
+    body = "<h1>Title</h1><p>The text of the page, which is its longest part by far.</p>"
+    want = "Title\nThe text of the page, which is its longest part by far."
+    for name in ("content has-sidebar", "content-with-sidebar", "container nav-open", "page no-banner", "entry hidden-print", "page-with-comments", "main-sidebar", "sidebar"):
+        assert text_of(f"<body><div class='{name}'><article>{body}</article></div><div class='ad'>Buy</div></body>") == want, name
+        assert text_of(f"<body><div class='{name}'>{body}</div><div class='ad'>Buy</div></body>") == want, name
+    assert text_of(f"<body><div class='content-sidebar'><article>{body}</article><div id='comments'><article><p>First!</p></article></div></div></body>") == want
+    assert text_of(f"<article>{body}<div class='comments'>{'<p>A long comment.</p>' * 30}</div></article>") == want
+    assert text_of(f"<article>{body}<p>a <span class='share'>Share</span>b</p><div class='cookie-notice'>c</div><div class='ad-slot-1'>d</div></article>") == want + "\na b"
+
+
 CONV = "conv_id long, turn long, role string, text string"
 
 
