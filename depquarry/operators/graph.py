@@ -304,20 +304,24 @@ def stitched(*edge_sets: DataFrame) -> DataFrame:
 
 
 def entry_ancestry(edges: DataFrame, target: str, entries: DataFrame) -> DataFrame:
-    """(entry, hops, weakest): the nearest entries that reach the target backwards, with the strongest weakest edge on that many hops.
+    """(entry, hops, weakest, via_reference): the nearest entries that reach the target backwards, by their best path of that many hops.
 
-    ``edges`` (src, dst, rank). Unbounded; it ends at the first level that holds an entry.
+    ``edges`` (src, dst, rank, and reference where some edges are references, not calls; null counts as a call). A path of calls alone beats any
+    with a reference; then the strongest weakest edge counts. Unbounded; it ends at the first level that holds an entry.
     """
     spark = edges.sparkSession
     _checkpoints(spark)
-    back = edges.groupBy(F.col("dst").alias("d"), F.col("src").alias("s")).agg(F.max("rank").alias("r")).checkpoint()
-    frontier = spark.createDataFrame([(target, 4)], "node string, weakest int").checkpoint()
+    reference = F.coalesce(F.col("reference"), F.lit(False)) if "reference" in edges.columns else F.lit(False)
+    # a call and a reference between the same two nodes stay two edges
+    back = edges.groupBy(F.col("dst").alias("d"), F.col("src").alias("s"), (~reference).alias("call")).agg(F.max("rank").alias("r")).checkpoint()
+    frontier = spark.createDataFrame([(target, True, 4)], "node string, calls boolean, weakest int").checkpoint()
     seen, hops = frontier.select("node"), 0
     while True:
         hit = frontier.join(entries.select("node").distinct(), "node", "left_semi")
         if not hit.isEmpty() or frontier.isEmpty():
-            return hit.select(F.col("node").alias("entry"), F.lit(hops).alias("hops"), "weakest")
+            return hit.select(F.col("node").alias("entry"), F.lit(hops).alias("hops"), "weakest", (~F.col("calls")).alias("via_reference"))
         hops += 1
-        step = frontier.join(back, F.col("node") == F.col("d")).groupBy(F.col("s").alias("node")).agg(F.max(F.least("weakest", "r")).alias("weakest"))
+        best = F.max(F.struct((F.col("calls") & F.col("call")).alias("calls"), F.least("weakest", "r").alias("weakest")))
+        step = frontier.join(back, F.col("node") == F.col("d")).groupBy(F.col("s").alias("node")).agg(best.alias("best")).select("node", "best.*")
         frontier = step.join(seen, "node", "left_anti").checkpoint()
         seen = _grown(seen, frontier.select("node"), hops)

@@ -103,6 +103,14 @@ def grf_26_stitched(spark, sf_dir):
 SELECT b.node AS entry, b.d AS hops, max(w) AS weakest FROM b JOIN m ON b.d = m.d WHERE node LIKE 'o%' GROUP BY b.node, b.d""")
 def x_05_entry_ancestry(spark, sf_dir):
     e = carrier(spark, sf_dir, "deps").select("src", "dst", graph.confidence_rank(C("confidence")).alias("rank"))
+    return graph.entry_ancestry(e, "n3", t(spark, sf_dir, "orders").select(F.concat(F.lit("o"), C("o_orderkey").cast("string")).alias("node"))).select("entry", "hops", "weakest")
+
+
+@query(cte("deps", recursive=True) + f""", e AS (SELECT src, dst, {RANK} AS r, confidence = 'VTA' AND src LIKE 'c%' AND CAST(substr(src, 2) AS BIGINT) % 2 = 0 AS ref FROM deps), b(node, d, ref, w) AS (SELECT 'n3', 0, false, 4 UNION SELECT src, d + 1, b.ref OR e.ref, least(w, r) FROM b JOIN e ON dst = node WHERE d < 4), h AS (SELECT min(d) AS d FROM b WHERE node LIKE 'o%'), k AS (SELECT b.*, row_number() OVER (PARTITION BY node ORDER BY ref, w DESC) AS n FROM b JOIN h ON b.d = h.d WHERE node LIKE 'o%')
+SELECT node AS entry, d AS hops, w AS weakest, ref AS via_reference FROM k WHERE n = 1""")
+def x_05_entry_ancestry_references(spark, sf_dir):
+    reference = (C("confidence") == "VTA") & C("src").startswith("c") & (F.substring("src", 2, 20).try_cast("long") % 2 == 0)
+    e = carrier(spark, sf_dir, "deps").select("src", "dst", graph.confidence_rank(C("confidence")).alias("rank"), reference.alias("reference"))
     return graph.entry_ancestry(e, "n3", t(spark, sf_dir, "orders").select(F.concat(F.lit("o"), C("o_orderkey").cast("string")).alias("node")))
 
 

@@ -109,3 +109,15 @@ def test_merkle_roots_are_those_of_the_recursive_definition(spark):
     got = {r["n"]: r["root"] for r in rollup.merkle_roots(df, ["n"], "i", F.col("d")).collect()}
     assert got == {n: root([f"{n}-{i}".encode() for i in range(n)]).hex() for n in (1, 2, 3, 5, 8, 13)}
     assert rollup.merkle_roots(df.where("false"), ["n"], "i", F.col("d")).count() == 0
+
+
+def test_ancestry_prefers_calls_to_references(spark):
+    e = spark.createDataFrame(
+        [("main", "reg", 4, True), ("reg", "t", 4, False), ("main", "f", 4, False), ("f", "t", 1, False), ("init", "reg", 4, False), ("init", "reg", 2, True), ("run", "reg", 3, True), ("run", "reg", 2, None)],
+        "src string, dst string, rank int, reference boolean",
+    )
+    got = {tuple(r) for r in graph.entry_ancestry(e, "t", nodes(spark, "main", "init", "run")).collect()}
+    assert got == {("main", 2, 1, False), ("init", 2, 4, False), ("run", 2, 2, False)}
+    only = graph.entry_ancestry(e.where("src <> 'f'"), "t", nodes(spark, "main")).collect()
+    assert [tuple(r) for r in only] == [("main", 2, 4, True)]
+    assert [tuple(r) for r in graph.entry_ancestry(e.drop("reference"), "t", nodes(spark, "main")).collect()] == [("main", 2, 4, False)]
