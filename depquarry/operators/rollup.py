@@ -6,6 +6,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def placed(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` with its ``place`` from 1 in the total order of ``keys``: ranges are numbered apart, and what stands before a range is added."""
+    from depquarry.operators.graph import _checkpoints
+
+    _checkpoints(df.sparkSession)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # cut here, so both reads see the same ranges; equal keys share one
+    ranged = df.repartitionByRange(parts, *keys).withColumn("_range", F.spark_partition_id()).checkpoint()
+    before, n = [], 0
+    for r in ranged.groupBy("_range").count().orderBy("_range").collect():
+        before += [F.lit(r["_range"]), F.lit(n).cast("long")]
+        n += r["count"]
+    offset = F.element_at(F.create_map(*before), F.col("_range")) if before else F.lit(0).cast("long")
+    return ranged.withColumn("place", F.row_number().over(Window.partitionBy("_range").orderBy(*keys)) + offset).drop("_range")
+
+
 def findings_axis(df: DataFrame, keys: list[str], finding: str, withdrawn: str) -> DataFrame:
     """(keys, n_findings, axis): Clean without a finding, Affected with one that stands, Withdrawn with others alone."""
     g = df.groupBy(*keys).agg(F.count(finding).alias("n_findings"), F.count_if(F.col(finding).isNotNull() & ~F.coalesce(F.col(withdrawn), F.lit(False))).alias("_stand"))

@@ -193,7 +193,17 @@ def cmp_06_for_a_consumer(spark, sf_dir):
 @query(cte("deps") + """ SELECT src, dst, confidence, row_number() OVER (ORDER BY src, dst, confidence) AS place FROM deps WHERE dst LIKE 'r%' OR src LIKE 'r%'""")
 def srt_01_total_edge_order(spark, sf_dir):
     e = carrier(spark, sf_dir, "deps").where(C("dst").startswith("r") | C("src").startswith("r"))
-    return e.withColumn("place", F.row_number().over(Window.orderBy("src", "dst", "confidence")))
+    return rollup.placed(e, ["src", "dst", "confidence"])
+
+
+@query(cte("deps") + """ SELECT src, dst, confidence, row_number() OVER (ORDER BY src, dst, confidence) AS place FROM deps""")
+def srt_01_whole_edge_order(spark, sf_dir):
+    return rollup.placed(carrier(spark, sf_dir, "deps"), ["src", "dst", "confidence"])
+
+
+@query(cte("mods") + """ SELECT id, path, version, row_number() OVER (ORDER BY path, version, id) AS place FROM mods""")
+def srt_01_node_order(spark, sf_dir):
+    return rollup.placed(carrier(spark, sf_dir, "mods").select("id", "path", "version"), ["path", "version", "id"])
 
 
 @query("""SELECT o_custkey AS module, list(o_orderkey ORDER BY o_orderpriority, o_orderdate DESC, o_orderkey) AS findings FROM orders GROUP BY o_custkey""")

@@ -121,3 +121,18 @@ def test_ancestry_prefers_calls_to_references(spark):
     only = graph.entry_ancestry(e.where("src <> 'f'"), "t", nodes(spark, "main")).collect()
     assert [tuple(r) for r in only] == [("main", 2, 4, True)]
     assert [tuple(r) for r in graph.entry_ancestry(e.drop("reference"), "t", nodes(spark, "main")).collect()] == [("main", 2, 4, False)]
+
+
+def test_places_over_many_ranges(spark):
+    rng = random.Random(4)
+    rows = [(rng.randrange(50), rng.randrange(10**6)) for _ in range(500)]
+    got = rollup.placed(spark.createDataFrame(rows, "a int, b int").repartition(7), ["a", "b"])
+    assert [(r["a"], r["b"], r["place"]) for r in sorted(got.collect(), key=lambda r: r["place"])] == [(*r, i + 1) for i, r in enumerate(sorted(rows))]
+    assert rollup.placed(spark.createDataFrame([], "a int"), ["a"]).count() == 0
+
+
+def test_edge_order_covers_every_edge(spark, small):
+    from depquarry.plans.carriers import carrier
+    from depquarry.plans.registry import QUERIES
+
+    assert QUERIES["srt_01_whole_edge_order"](spark, small).count() == carrier(spark, small, "deps").count()
