@@ -53,9 +53,13 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.read_token_files(tokenbin.file_starts(written(files, "token-files")), with_ids=False)
 
 
+#: Two tokens of context, with two steps of back-off.
+LM_ORDER = 3
+
+
 def op8_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = ngramlm.tokenized(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
-    return ngramlm.score(tokens, ngramlm.count_table(tokens))
+    return ngramlm.score(tokens, ngramlm.count_table(tokens, LM_ORDER), LM_ORDER)
 
 
 def held_out() -> Column:

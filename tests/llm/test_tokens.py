@@ -112,3 +112,14 @@ def test_backoff_scores_against_brute_force(spark, make_docs):
         assert got == sorted(want)
     empty = ngramlm.tokenized(make_docs([]), path)
     assert ngramlm.score(empty, ngramlm.count_table(empty)).count() == 0
+
+
+def test_the_query_sees_two_tokens_of_context(spark, make_docs, tmp_path):
+    from depquarry.llm.queries import op8_backoff_lm
+
+    docs = make_docs([(0, "the cat sat on the mat"), (1, "the cat sat on the hat"), (2, "the cat sat")])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    tokens = ngramlm.tokenized(docs, tokenizer_file("byte_bpe_50k.json"))
+    scores = lambda x: {r["doc_id"]: round(r["log_score"], 9) for r in x.collect()}
+    got = scores(op8_backoff_lm(spark, str(tmp_path)))
+    assert got == scores(ngramlm.score(tokens, ngramlm.count_table(tokens, 3), 3)) != scores(ngramlm.score(tokens, ngramlm.count_table(tokens, 2), 2))
