@@ -1,7 +1,8 @@
 """Domain tables derived from the test tables, as SQL that Spark and DuckDB both read.
 
 The test tables hold no dependency graph; these stand in for one: modules and versions, edges,
-generations of records, advisories and snapshots, each over every row of its tables.
+generations of records, advisories and snapshots, each over every row of its tables but the two
+snapshots, which leave out the orders from June 1996 to February 2000.
 """
 
 from __future__ import annotations

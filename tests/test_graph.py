@@ -136,3 +136,10 @@ def test_edge_order_covers_every_edge(spark, small):
     from depquarry.plans.registry import QUERIES
 
     assert QUERIES["srt_01_whole_edge_order"](spark, small).count() == carrier(spark, small, "deps").count()
+
+
+def test_run_totals_count_every_event(spark, small):
+    from depquarry.plans.registry import QUERIES
+
+    total = QUERIES["agg_07_run_status_all_events"](spark, small).agg(F.sum("total")).first()[0]
+    assert total == spark.read.parquet(f"{small}/events.parquet").count()
