@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from urllib.parse import urlsplit
@@ -19,10 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one of our own only where it is unset."""
+    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where it is unset and all runs on this machine."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not root:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="depquarry-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(root)
@@ -88,11 +91,17 @@ def range_bucket(key: Column, bounds: list[int]) -> Column:
     return F.when(key.isNull(), F.lit(0)).otherwise(F.aggregate(F.array(*[F.lit(s) for s in reversed(steps)]), F.lit(0), probe))
 
 
-def small_batches(df: DataFrame, rows: int = 1000) -> None:
-    """Has the session hand at most ``rows`` rows to Python at once, as texts may be long; a smaller setting stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(df.sparkSession.conf.get(key)) <= rows:
-        df.sparkSession.conf.set(key, str(rows))
+def small_batches(df: DataFrame, rows: int = 1000, size: int = 16 << 20) -> None:
+    """Has the session hand at most ``rows`` rows and about ``size`` bytes to Python at once, as texts may be long.
+
+    Spark reads both settings when it plans a frame, so they stay for the session; smaller ones are left as
+    they are. Results don't depend on them.
+    """
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = re.fullmatch(r"(\d+)([kmgt]?)b?", conf.get(key).lower())
+        if not now or not 0 < int(now[1]) << 10 * " kmgt".index(now[2] or " ") <= most:
+            conf.set(key, str(most))
 
 
 # ---- in the tasks -----------------------------------------------------------------------------------

@@ -2,7 +2,8 @@
 
 A file holds a run of documents in ascending order: a head (magic, id width, counts, section
 lengths), the ids end to end, the boundaries (a number more than documents, the first 0) and the
-documents' own numbers, both Elias-Fano coded. A null document number can't be written and fails.
+documents' own numbers, both Elias-Fano coded. Documents without a number come last, in files whose
+numbers' section is empty.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from depquarry.llm.bpe import tokenizer
-from depquarry.llm.common import filesystem, order_bounds, put_file, range_bucket, shared_path, shuffle_partitions, small_batches
+from depquarry.llm.common import filesystem, order_bounds, put_file, range_bucket, release, shared_path, shuffle_partitions, sliced, small_batches
 from depquarry.llm.eliasfano import EliasFano
 
 MAGIC = b"DQTOKEF1"
@@ -48,7 +49,8 @@ def can_be_cut(text: str) -> bool:
     return not (kinds[:1] == b"." or b"ss" in kinds or b".." in kinds or b"s." in kinds or b"p." in kinds)
 
 
-PIECES_KEPT = 400_000
+#: Pieces that a worker keeps in each of two generations, some 15 MB.
+PIECES_KEPT = 60_000
 
 #: Fixed value: how byte-level tokens write a blank.
 BLANK = "Ġ"
@@ -126,12 +128,12 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def sections(ids: list[bytes], docs: list[int], dtype: np.dtype) -> Iterator[bytes]:
-    """A file's bytes."""
+def sections(ids: list[bytes], docs: list[int | None], dtype: np.dtype) -> Iterator[bytes]:
+    """A file's bytes; documents' numbers are all null or none."""
     sizes = np.fromiter((len(x) // dtype.itemsize for x in ids), np.int64, len(ids))
     bounds = EliasFano.encode(np.concatenate([[0], np.cumsum(sizes)])).tobytes()
-    base = docs[0] if docs else 0
-    names = EliasFano.encode(np.array(docs, np.int64) - base).tobytes()
+    base = docs[0] or 0 if docs else 0
+    names = EliasFano.encode(np.array(docs, np.int64) - base).tobytes() if docs and docs[0] is not None else b""
     yield HEAD.pack(MAGIC, dtype.itemsize, len(docs), int(sizes.sum()), len(bounds), len(names), base)
     yield from ids
     yield bounds
@@ -147,7 +149,8 @@ class TokenFile:
             raise ValueError("no token file")
         self.width, self.data, at = width, data, HEAD.size + width * self.n_tokens
         self.bounds = EliasFano.frombytes(data[at : at + n_bounds])
-        self.doc_ids = EliasFano.frombytes(data[at + n_bounds : at + n_bounds + n_names]).select_all().astype(np.int64) + base
+        named = data[at + n_bounds : at + n_bounds + n_names]
+        self.doc_ids = pa.array(EliasFano.frombytes(named).select_all().astype(np.int64) + base) if n_names else pa.nulls(self.n_docs, pa.int64())
 
     def ids(self, start: int, end: int) -> np.ndarray:
         return np.frombuffer(self.data, f"<u{self.width}", end - start, HEAD.size + start * self.width)
@@ -156,9 +159,10 @@ class TokenFile:
 def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str | None = None, end_id: int = 0) -> DataFrame:
     """Writes the ids of ``docs`` (doc_id, text, any others) with ``end_id`` after each document.
 
-    Files come in ascending doc_id order, equal doc_ids by their text; returns the manifest
-    (bucket, seq, path, n_docs, n_tokens), a row per file. Null and empty texts have the end id alone.
-    Buckets are ranges of doc_id of about equal row counts; a file is closed at SHARD_BYTES.
+    Files come in ascending doc_id order, equal doc_ids by their text, null ones last; returns the manifest
+    (bucket, seq, path, n_docs, n_tokens, n_bytes), a row per file. Null and empty texts have the end id
+    alone; repeated rows are written as often; no rows give no file. Buckets are ranges of doc_id of about
+    equal row counts; a file is closed at SHARD_BYTES, a longer text ends its file.
     """
     spark = docs.sparkSession
     small_batches(docs)
@@ -178,31 +182,54 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str | None =
             return pa.RecordBatch.from_pydict({"bucket": [bucket], "seq": [seq], "path": [path], "n_docs": [len(ids)], "n_tokens": [tokens], "n_bytes": [n]}, schema=out)
 
         out = pa.schema([("bucket", pa.int32()), ("seq", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64())])
-        for batch in batches:
+        for batch in sliced(batches):
             for b, doc, text in zip(batch.column("bucket").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text")):
                 if names and (b != bucket or size >= SHARD_BYTES):
                     yield close()
                     seq, ids, names, size = seq + 1 if b == bucket else 0, [], [], 0
                 bucket = b
-                if doc is None:
-                    raise ValueError("doc_id is null")
                 ids.append(encode(text.as_py() or "") + end)
                 names.append(doc)
                 size += len(ids[-1])
         if names:
             yield close()
+        del ids
+        release()
 
-    dealt = docs.select(range_bucket(F.col("doc_id"), bounds).alias("bucket"), "doc_id", "text").repartition("bucket").sortWithinPartitions("bucket", "doc_id", "text")
+    # without a number there is no order, so such rows are dealt out by their text
+    bucket = F.when(F.col("doc_id").isNull(), F.lit(parts) + F.pmod(F.xxhash64("text"), F.lit(parts)).cast("int")).otherwise(range_bucket(F.col("doc_id"), bounds))
+    dealt = docs.select(bucket.alias("bucket"), "doc_id", "text").repartition("bucket").sortWithinPartitions("bucket", "doc_id", "text")
     return dealt.mapInArrow(run, "bucket int, seq int, path string, n_docs long, n_tokens long, n_bytes long")
 
 
-def file_starts(manifest: DataFrame) -> DataFrame:
-    """The manifest with ``start``: ids in all files before. Only ranges, of which there are few, are summed in one place."""
+def head_of(path: str) -> tuple:
+    store, at = filesystem(path)
+    with store.open_input_file(at) as f:
+        return HEAD.unpack(f.read(HEAD.size))
+
+
+def heads(files: DataFrame) -> DataFrame:
+    """``files`` (bucket, seq, path) with n_docs and n_tokens as the files' heads have them."""
+
+    def run(batches):
+        for batch in batches:
+            got = list(map(head_of, batch.column("path").to_pylist()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([h[2] for h in got], pa.int64()), pa.array([h[3] for h in got], pa.int64())], [*batch.schema.names, "n_docs", "n_tokens"])
+
+    return files.select("bucket", "seq", "path").mapInArrow(run, "bucket int, seq int, path string, n_docs long, n_tokens long")
+
+
+def file_starts(files: DataFrame) -> DataFrame:
+    """``files`` (bucket, seq, path) with n_docs, n_tokens and ``start``: ids in all files before.
+
+    Counts come from the files' heads. Only ranges, of which there are few, are summed in one place.
+    """
+    files = heads(files)
     within = Window.partitionBy("bucket").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = manifest.groupBy("bucket").agg(F.sum("n_tokens").alias("n"))
+    ranges = files.groupBy("bucket").agg(F.sum("n_tokens").alias("n"))
     before = ranges.select("bucket", F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     start = F.coalesce(F.sum("n_tokens").over(within), F.lit(0)) + F.col("before")
-    return manifest.join(before, "bucket").withColumn("start", start).drop("before")
+    return files.join(before, "bucket").withColumn("start", start).drop("before")
 
 
 def read_token_files(files: DataFrame, with_ids: bool = True) -> DataFrame:
@@ -224,12 +251,14 @@ def read_token_files(files: DataFrame, with_ids: bool = True) -> DataFrame:
                     own = file.ids(int(some[0]), int(some[-1]))
                     wide, edges = memoryview(own.astype("<u4")).cast("B"), ((some - some[0]) * 4).tolist()
                     crc = [zlib.crc32(wide[a:b]) for a, b in zip(edges, edges[1:])]
-                    out = [pa.array(file.doc_ids[i : i + 2000]), pa.array(some[:-1] + base), pa.array(np.diff(some)), pa.array(crc, pa.int64())]
+                    out = [file.doc_ids[i : i + 2000], pa.array(some[:-1] + base), pa.array(np.diff(some)), pa.array(crc, pa.int64())]
                     if with_ids:
                         offsets = ((some - some[0]) * file.width).astype(np.int32)
                         ids = pa.BinaryArray.from_buffers(pa.binary(), len(some) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(own)])
                         out += [ids, pa.array(np.full(len(ids), file.width, np.int32))]
                     yield pa.RecordBatch.from_arrays(out, ["doc_id", "start", "n_tokens", "ids_crc32", "ids", "width"][: len(out)])
+                del file
+        release()
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary, width int" * with_ids
     return files.select("path", "start").repartition(shuffle_partitions(files.sparkSession), "path").mapInArrow(run, schema)

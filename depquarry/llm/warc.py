@@ -10,14 +10,16 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depquarry.llm.common import filesystem, put_file, shuffle_partitions, written
+from depquarry.llm.common import filesystem, put_file, release, shuffle_partitions, sliced, small_batches, written
 
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1."
@@ -26,6 +28,9 @@ DATE = "1970-01-01T00:00:00Z"
 
 #: A file is closed when it holds so many bytes.
 FILE_BYTES = 256 << 20
+
+#: Parts that the copies of one payload are dealt to.
+SALTS = 32
 READ = 1 << 20
 
 
@@ -34,12 +39,18 @@ def _head(fields: list[tuple[str, str]]) -> bytes:
 
 
 def record(page: int | None, url: str | None, payload: bytes, sha1_hex: str, refers_to: int | None, revisit: bool) -> bytes:
-    """A gzip member: a response with its payload, or a revisit with the HTTP head alone."""
-    clean = "".join(c for c in url or "" if c > " ")
+    """A gzip member: a response with its payload, or a revisit with the HTTP head alone.
+
+    What can't stand in a header is percent-encoded; a url that this changes, or that is null, is kept as it is
+    in a field of its own.
+    """
+    clean = "".join(c if " " < c < "\x7f" or c > "\xa0" else quote(c, errors="surrogatepass") for c in url or "")
     digest = "sha1:" + base64.b32encode(bytes.fromhex(sha1_hex)).decode()
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
     fields = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", f"<urn:page:{'' if page is None else page}>"), ("WARC-Date", DATE), ("WARC-Target-URI", clean), ("WARC-Payload-Digest", digest)]
+    if clean != url:
+        fields.append(("Source-URL", json.dumps(url)))
     if revisit:
         fields += [("WARC-Profile", REVISIT), ("WARC-Refers-To", f"<urn:page:{refers_to}>")]
     fields += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
@@ -56,24 +67,29 @@ def with_revisits(pages: DataFrame, least: int = 1000) -> DataFrame:
     """
     html = F.coalesce("html", F.lit(""))
     p = pages.select("page_id", "url", html.alias("html"), F.sha1(F.encode(html, "UTF-8")).alias("sha1"), F.octet_length(html).cast("long").alias("payload_bytes"))
+    p = p.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
     copies = pages.select("page_id", F.coalesce("html", F.lit("")).alias("html")).where(F.octet_length("html") >= least)
     copies = copies.select("page_id", F.sha1(F.encode("html", "UTF-8")).alias("sha1"), F.octet_length("html").cast("long").alias("payload_bytes"))
+    # a row per payload that occurs again, without the payload, for each part of its copies
     groups = copies.groupBy("sha1", "payload_bytes").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    groups = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     refers = F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("first")), F.col("first"))
-    return p.join(groups, ["sha1", "payload_bytes"], "left").select("page_id", "url", "html", "sha1", "payload_bytes", refers.alias("refers_to"))
+    return p.join(groups, ["sha1", "payload_bytes", "salt"], "left").select("page_id", "url", "html", "sha1", "payload_bytes", refers.alias("refers_to"))
 
 
 def write_warc(pages: DataFrame, folder: str, least: int = 1000) -> DataFrame:
     """Writes ``pages`` (page_id, url, html, any others) as WARC files; returns (path, n_bytes), a row per file, once all are there.
 
-    Null html is an empty payload, a null url an empty one; every row gives a record.
+    Null html is an empty payload; every row gives a record, repeated rows too. A text of any length is one
+    record, which its task holds whole. Other columns of ``pages`` are not read.
     """
+    small_batches(pages)
 
     def run(batches):
         from pyspark import TaskContext
 
         at = TaskContext.get().partitionId()
-        rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html", "sha1", "refers_to"))))
+        rows = (tuple(b.column(c)[i].as_py() for c in ("page_id", "url", "html", "sha1", "refers_to")) for b in sliced(batches) for i in range(b.num_rows))
         seq, ahead = 0, next(rows, None)
 
         def members() -> Iterator[bytes]:
@@ -193,14 +209,18 @@ def read_warc(files: DataFrame, split_bytes: int = 8 << 20) -> DataFrame:
                         response = r["warc-type"] == "response"
                         if response and hashlib.sha1(r["payload"]).hexdigest() != digest:
                             raise ValueError(f"{path}: a payload differs from its digest: {r['warc-record-id']}")
-                        rows.append({"page_id": number(r["warc-record-id"]), "url": r["warc-target-uri"], "record_type": r["warc-type"], "refers_to": number(r.get("warc-refers-to")), "payload_bytes": r["payload_bytes"], "payload_digest": digest, "payload": r["payload"] if response else None})
+                        url = json.loads(r["source-url"]) if "source-url" in r else r["warc-target-uri"]
+                        rows.append({"page_id": number(r["warc-record-id"]), "url": url, "record_type": r["warc-type"], "refers_to": number(r.get("warc-refers-to")), "payload_bytes": r["payload_bytes"], "payload_digest": digest, "payload": r["payload"] if response else None})
                         held += len(raw)
                         if held > 8 << 20:
                             yield pa.RecordBatch.from_pylist(rows, schema=out)
                             rows, held = [], 0
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=out)
+                del rows
+        release()
 
     spark = files.sparkSession
+    small_batches(files)
 
-    return splits(files, split_bytes).repartition(4 * shuffle_partitions(spark), "path", "start").mapInArrow(run, schema)
+    return splits(files, split_bytes).repartition(shuffle_partitions(spark), "path", "start").mapInArrow(run, schema)

@@ -57,17 +57,20 @@ def test_elias_fano_is_small_and_refuses_disorder():
 def test_token_files(spark, make_docs, tmp_path):
     path = tokenizer_file("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
-    rows = [(i * 37 % 1009 - 300, x) for i, x in enumerate(texts())] + [(5000, None), (6000, "twice"), (6000, "twice")]
+    rows = [(i * 37 % 1009 - 300, x) for i, x in enumerate(texts())] + [(5000, None), (6000, "twice"), (6000, "twice"), (None, "no id"), (None, "no id"), (None, None)]
     files = tokenbin.write_token_files(make_docs(rows), path, f"file://{tmp_path}/t").cache()
     read = tokenbin.read_token_files(tokenbin.file_starts(files))
     got = read.select("doc_id", "start", "n_tokens", "ids_crc32").collect()
     assert all(len(r["ids"]) == r["n_tokens"] * r["width"] and zlib.crc32(np.frombuffer(r["ids"], f"<u{r['width']}").astype("<u4").tobytes()) == r["ids_crc32"] for r in read.collect())
     want, start = [], 0
-    for d, x in sorted(rows, key=lambda r: (r[0], r[1] or "")):
+    for d, x in sorted((r for r in rows if r[0] is not None), key=lambda r: (r[0], r[1] or "")):
         ids = t.encode(x or "", add_special_tokens=False).ids + [0]
         want.append((d, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
-    assert sorted(tuple(r) for r in got) == sorted(want)
+    assert sorted(tuple(r) for r in got if r["doc_id"] is not None) == sorted(want)
+    nameless = sorted((r["start"], r["n_tokens"]) for r in got if r["doc_id"] is None)
+    assert sorted(n for _, n in nameless) == sorted(len(t.encode(x, add_special_tokens=False).ids) + 1 for x in ("no id", "no id", ""))
+    assert [s for s, _ in nameless] == [start, start + nameless[0][1], start + nameless[0][1] + nameless[1][1]]
     assert tokenbin.write_token_files(make_docs([]), path, f"file://{tmp_path}/e").count() == 0
 
 

@@ -35,9 +35,21 @@ def test_nulls_repeats_and_no_rows(spark, tmp_path):
     files = warc.write_warc(spark.createDataFrame([(None, None, t), (3, "u r l\r\nX: y", t), (3, "u", t)], SCHEMA), f"file://{tmp_path}/a")
     got = warc.read_warc(files).collect()
     assert sorted((r["page_id"] is None, r["record_type"]) for r in got) == [(False, "response"), (False, "response"), (True, "revisit")]
+    assert sorted(r["url"] or "" for r in got) == ["", "u", "u r l\r\nX: y"] and [r["url"] for r in got if r["page_id"] is None] == [None]
     assert read(spark, tmp_path, [])[1] == {}
 
 
+def test_long_payloads_a_group_of_copies_and_clashing_columns(spark, tmp_path):
+    long = "<p>a long one</p>" * 400_000
+    copy = "z" * 5000
+    rows = [(i, "u", copy) for i in range(700)] + [(1000, "u", long), (1001, "u", long), (1002, "u", None)]
+    pages = spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA + ", sha1 string, salt int")
+    files = warc.write_warc(pages, f"file://{tmp_path}/l")
+    got = {r["page_id"]: r for r in warc.read_warc(files, 50_000).collect()}
+    assert len(got) == len(rows) and got[1001]["payload"] == long.encode() and got[1000]["refers_to"] == 1001
+    assert [i for i in range(700) if got[i]["refers_to"] is None] == [699] and {got[i]["refers_to"] for i in range(699)} == {699}
+
+
 def test_query_equals_sql(spark, small):
     from compare import duck_rows, rows_of
 
