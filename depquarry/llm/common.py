@@ -94,11 +94,12 @@ def range_bucket(key: Column, bounds: list[int]) -> Column:
 def small_batches(df: DataFrame, rows: int = 1000, size: int = 16 << 20) -> None:
     """Has the session hand at most ``rows`` rows and about ``size`` bytes to Python at once, as texts may be long.
 
-    Spark reads both settings when it plans a frame, so they stay for the session; smaller ones are left as
-    they are. Results don't depend on them.
+    So does the reader of Parquet files, whose batches are else of 4096 texts of any length. Spark reads the
+    settings when it plans a frame, so they stay for the session; smaller ones are left as they are. Results
+    don't depend on them.
     """
     conf = df.sparkSession.conf
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size), ("spark.sql.parquet.columnarReaderBatchSize", 512)):
         now = re.fullmatch(r"(\d+)([kmgt]?)b?", conf.get(key).lower())
         if not now or not 0 < int(now[1]) << 10 * " kmgt".index(now[2] or " ") <= most:
             conf.set(key, str(most))

@@ -1,47 +1,118 @@
 """Stupid-backoff language model scores over token n-grams.
 
-Texts are tokens of a byte-level tokenizer. The corpus gives a table of n-gram counts, dealt out by
-hash. To score, rows are taken in chunks of bounded size; each chunk's distinct n-grams are joined to
-the count table, the counts go back to the chunk, and each document's token scores are summed.
-
 S(w | u v) = c(u v w) / c(u v) if that count is positive, else ``alpha`` times S(w | v), and so on;
 a token alone scores (c(w) + 1) / (N + V). With ``leave_out`` a document's own n-grams are taken off
 the counts, so that no document vouches for itself.
+
+Texts are tokens of a byte-level tokenizer, kept in chunks of bounded size. Each chunk's distinct n-grams
+with their counts are exploded to blocks by a hash: a block is a partition of the count table, summed
+over all chunks, and joined there to the n-grams that the chunks ask for. The totals go back to their
+chunks, where each document's token scores are summed. A block's share of a chunk is one deflated row,
+as a row for each n-gram takes many times the disk.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depquarry.llm.common import small_batches, written
+from depquarry.llm.common import release, shuffle_partitions, sliced, small_batches, written
+from depquarry.llm.minhash import mix
 from depquarry.llm.tokenbin import encoder
 
-#: Tokens of a chunk; a longer text is a chunk of its own.
-CHUNK_TOKENS = 4 << 20
+#: Tokens of a chunk, and documents; a longer text is a chunk of its own.
+CHUNK_TOKENS, CHUNK_DOCS = 2 << 20, 1 << 16
 
-#: The context before a text's first token; n-grams are numbers of 16 bits a token below a tag of their order.
+#: Tokens of the corpus to a block of the count table.
+BLOCK_TOKENS = 4 << 20
+
+#: The context before a text's first token; n-grams of up to three tokens are numbers of 16 bits a token, longer ones hashes, below a tag of their order.
 START = 0xFFFF
+EXACT, TAG = 3, 60
+
+
+def packed(numbers: np.ndarray) -> bytes:
+    """Unsigned 64-bit numbers as byte planes, deflated: most are small."""
+    return zlib.compress(np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8).T), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(zlib.decompress(data), np.uint8)
+    return np.ascontiguousarray(raw.reshape(8, -1).T).view("<u8").reshape(-1)
+
+
+def packed_tokens(tokens: bytes) -> bytes:
+    return zlib.compress(np.ascontiguousarray(np.frombuffer(tokens, np.uint8).reshape(-1, 2).T), 1)
+
+
+def unpacked_tokens(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(2, -1).T).view("<u2").reshape(-1)
+
+
+class Chunk:
+    """The tokens of a chunk's documents end to end, and the n-gram that ends at each."""
+
+    def __init__(self, sizes: list[int], tokens: bytes, order: int):
+        self.sizes, self.order = np.array(sizes, np.int64), order
+        n = int(self.sizes.sum())
+        self.doc = np.repeat(np.arange(len(sizes)), self.sizes)
+        # before each document stand as many START as the longest context has tokens
+        self.at = np.arange(n) + (self.doc + 1) * (order - 1)
+        self.flat = np.full(n + len(sizes) * (order - 1), START, np.uint64)
+        self.flat[self.at] = unpacked_tokens(tokens)
 
+    def grams(self, k: int) -> np.ndarray:
+        """Below the tag of order k."""
+        out = np.zeros(len(self.at), np.uint64)
+        for i in range(min(k, EXACT) - 1, -1, -1):
+            out = out << np.uint64(16) | self.flat[self.at - i]
+        for i in range(EXACT, k):
+            out = mix(out + np.uint64(i) + (self.flat[self.at - i] << np.uint64(40))) >> np.uint64(64 - TAG)
+        return out
 
-def grams(tokens: np.ndarray, order: int) -> np.ndarray:
-    """The n-gram that ends at each token, as a number."""
-    padded = np.concatenate([np.full(order - 1, START, np.int64), tokens.astype(np.int64)])
-    n, out = len(tokens), np.zeros(len(tokens), np.int64)
-    for i in range(order):
-        out = out << 16 | padded[i : i + n]
-    return out | (order - 1) << 60
+    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
+        """(n-grams, counts) of all orders, each order's ascending, order by order."""
+        got = []
+        for k in range(1, self.order + 1):
+            g = np.sort(self.grams(k))
+            first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.empty(0, np.int64)
+            got.append((g[first] | np.uint64((k - 1) << TAG), np.diff(np.append(first, len(g)))))
+        return np.concatenate([g for g, _ in got]), np.concatenate([n for _, n in got])
+
+    def placed(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each token the place of its k-gram among the distinct ones of that order, and how often its own document has it."""
+        g = self.grams(k)
+        if k <= EXACT:
+            by = np.argsort(g << np.uint64(16) | self.doc.astype(np.uint64))
+        else:
+            by = np.lexsort((self.doc, g))
+        g, d = g[by], self.doc[by]
+        other = np.concatenate([[False], g[1:] != g[:-1]]) if len(g) else np.empty(0, bool)
+        first = np.flatnonzero(np.concatenate([[True], other[1:] | (d[1:] != d[:-1])])) if len(g) else np.empty(0, np.int64)
+        runs = np.diff(np.append(first, len(g)))
+        place, own = np.empty(len(g), np.int64), np.empty(len(g), np.int64)
+        place[by] = np.cumsum(other)
+        own[by] = np.repeat(runs, runs)
+        return place, own
+
+
+def dealt(grams: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, edges): the places of the n-grams by block, ascending in each, and where each block's begin."""
+    block = (mix(grams) % np.uint64(blocks)).astype(np.uint32)
+    order = np.argsort(block, kind="stable")
+    return order, np.searchsorted(block[order], np.arange(blocks + 1))
 
 
 def tokenized(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, tokens) of ``docs`` (doc_id, text, any others) as a written table; null and empty texts have no tokens.
+    """(chunk, doc_ids, sizes, tokens) of ``docs`` (doc_id, text, any others) as a written table, a row per chunk.
 
-    The scores read it several times; each text is encoded once.
+    Null and empty texts have no tokens; repeated rows stand as often. A chunk is named when it is written, so
+    the scores, which read it several times, need no order of rows. Fails for vocabularies of 65535 or more.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -50,122 +121,157 @@ def tokenized(docs: DataFrame, path: str) -> DataFrame:
     arrow_id = to_arrow_type(id_type)
 
     def run(batches):
-        encode = encoder(path)
+        from pyspark import TaskContext
+
+        encode, name = encoder(path), TaskContext.get().partitionId() << 32
         if encode.dtype.itemsize != 2:
             raise ValueError("a vocabulary of less than 65535 tokens is needed")
-        for batch in batches:
-            tokens = [encode(t.as_py() or "") for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(arrow_id), pa.array(tokens, pa.binary())], ["doc_id", "tokens"])
-
-    return written(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type.simpleString()}, tokens binary"), "lm-tokens")
+        ids, tokens, size = [], [], 0
+
+        def close():
+            row = [pa.array([name]), pa.array([ids], pa.list_(arrow_id)), pa.array([[len(t) // 2 for t in tokens]], pa.list_(pa.int32())), pa.array([packed_tokens(b"".join(tokens))], pa.binary())]
+            return pa.RecordBatch.from_arrays(row, ["chunk", "doc_ids", "sizes", "tokens"])
+
+        for batch in sliced(batches):
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+                t = encode(text.as_py() or "")
+                if ids and (size + len(t) > 2 * CHUNK_TOKENS or len(ids) >= CHUNK_DOCS):
+                    yield close()
+                    name, ids, tokens, size = name + 1, [], [], 0
+                ids.append(doc)
+                tokens.append(t)
+                size += len(t)
+        if ids:
+            yield close()
+        del ids, tokens
+        encode.older = {}
+        release()
+
+    return written(docs.select("doc_id", "text").mapInArrow(run, f"chunk long, doc_ids array<{id_type.simpleString()}>, sizes array<int>, tokens binary"), "lm-tokens")
+
+
+def chunk_rows(batches) -> Iterator[tuple[int, list, bytes]]:
+    """(name, sizes, tokens) of the chunks."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.column("chunk")[i].as_py(), batch.column("sizes")[i].as_py(), batch.column("tokens")[i].as_py()
+    release()
 
 
-def chunks(batches) -> Iterator[tuple[int, list, list[bytes]]]:
-    """(name, doc_ids, tokens) of runs of rows of about CHUNK_TOKENS; the name is a digest of the tokens in order."""
-    ids, tokens, size, digest = [], [], 0, xxhash.xxh3_64()
-    for batch in batches:
-        for doc, t in zip(batch.column("doc_id").to_pylist(), batch.column("tokens").to_pylist()):
-            if ids and size + len(t) > 2 * CHUNK_TOKENS:
-                yield digest.intdigest() - (1 << 63), ids, tokens
-                ids, tokens, size, digest = [], [], 0, xxhash.xxh3_64()
-            ids.append(doc)
-            tokens.append(t)
-            digest.update(len(t).to_bytes(8, "little"))
-            digest.update(t)
-            size += len(t)
-    if ids:
-        yield digest.intdigest() - (1 << 63), ids, tokens
-
-
-def chunk_grams(tokens: DataFrame, order: int) -> DataFrame:
-    """(chunk, gram, n): each chunk's distinct n-grams of all orders, and the context before first tokens."""
+def exploded(tokens: DataFrame, order: int, blocks: int, asks: bool) -> DataFrame:
+    """(block, chunk, asks, grams, counts): each chunk's distinct n-grams of all orders, by block."""
 
     def run(batches):
-        for name, _, rows in chunks(batches):
-            for k in range(1, order + 1):
-                every = [grams(np.frombuffer(t, np.uint16), k) for t in rows]
-                if k < order:  # what precedes a first token is a context too
-                    every.append(np.repeat(start_gram(k), len(rows)))
-                got, n = np.unique(np.concatenate(every), return_counts=True)
-                for i in range(0, len(got), 200_000):
-                    part = got[i : i + 200_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), name, np.int64)), pa.array(part), pa.array(n[i : i + 200_000].astype(np.int64))], ["chunk", "gram", "n"])
-
-    return tokens.select("doc_id", "tokens").mapInArrow(run, "chunk long, gram long, n long")
+        for name, sizes, raw in chunk_rows(batches):
+            grams, counts = Chunk(sizes, raw, order).distinct()
+            at, edges = dealt(grams, blocks)
+            own = [(b, at[edges[b] : edges[b + 1]]) for b in range(blocks) if edges[b] < edges[b + 1]]
+            rows = [[b for b, _ in own], [name] * len(own), [asks] * len(own), [packed(np.diff(grams[x], prepend=np.uint64(0))) for _, x in own], [packed(counts[x]) for _, x in own]]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows, (pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary()))], ["block", "chunk", "asks", "grams", "counts"])
 
+    return tokens.select("chunk", "sizes", "tokens").mapInArrow(run, "block int, chunk long, asks boolean, grams binary, counts binary")
 
-def start_gram(k: int) -> np.ndarray:
-    return grams(np.full(k, START, np.uint16), k)[-1:]
 
+def sums(rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(n-grams, totals, place of each row's n-grams end to end) of a block's rows."""
+    every = np.concatenate([np.cumsum(unpacked(x.as_py()), dtype=np.uint64) for x in rows.column("grams")])
+    grams, at = np.unique(every, return_inverse=True)
+    del every
+    counts = np.concatenate([unpacked(x.as_py()) for x in rows.column("counts")])
+    return grams, np.bincount(at, counts, len(grams)).astype(np.int64), at
 
-def count_table(tokens: DataFrame, order: int = 2) -> DataFrame:
-    """(gram, total) over every row of ``tokens``, summed in each task before it is dealt out by hash."""
-    return chunk_grams(tokens, order).groupBy("gram").agg(F.sum("n").alias("total"))
 
+def count_table(tokens: DataFrame, order: int = 3) -> DataFrame:
+    """(gram, total) over every row of ``tokens``: the blocks' tables, a row per n-gram (as signed 64-bit) of up to ``order`` tokens."""
 
-def score(tokens: DataFrame, counts: DataFrame, order: int = 2, alpha: float = 0.4, leave_out: bool = True) -> DataFrame:
-    """(doc_id, n_tokens, log_score, mean_log_score, n_backed_off) for every row of ``tokens`` (doc_id, tokens).
+    def run(rows):
+        grams, totals, _ = sums(rows)
+        return pa.table([pa.array(grams.view(np.int64)), pa.array(totals)], names=["gram", "total"])
 
-    No tokens: the sum 0 and a null mean. ``leave_out`` is for documents that are in the corpus
-    themselves. Repeated rows give repeated rows; a null doc_id stays null. ``tokens`` must be a written
-    table, as it is read twice in the same order; else the run fails.
-    """
-    counts = written(counts, "ngram-counts")
-    alone = counts.where(F.col("gram") < (1 << 60)).where(F.col("gram") != START).agg(F.sum("total"), F.count("*")).first()
-    n_all, n_kinds = int(alone[0] or 0), int(alone[1] or 0)
-    id_type = tokens.schema["doc_id"].dataType.simpleString()
+    small_batches(tokens)
+    blocks = block_count(tokens)[0]
+    return exploded(tokens, order, blocks, False).groupBy("block").applyInArrow(run, "gram long, total long")
 
-    def texts(batches):
-        for name, ids, rows in chunks(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), name, np.int64)), pa.array(ids, id_arrow), pa.array(rows, pa.binary())], ["chunk", "doc_id", "tokens"])
 
-    from pyspark.sql.pandas.types import to_arrow_type
+def block_count(corpus: DataFrame) -> tuple[int, int, int, int]:
+    """(blocks, documents, tokens, distinct tokens) of a corpus; tasks hand on a row for each token of the vocabulary at most."""
 
-    id_arrow = to_arrow_type(tokens.schema["doc_id"].dataType)
-
-    def doc_scores(key, rows, known):
-        gram = known.column("gram").to_numpy()
-        total = known.column("total").to_numpy()
-        by = np.argsort(gram, kind="stable")
-        gram, total = gram[by], total[by]
-
-        def count(x):
-            at = np.searchsorted(gram, x)
-            if len(x) and (not len(gram) or at.max() == len(gram) or (gram[at] != x).any()):
-                raise ValueError("the input came in another order when it was read again; write it to a table first")
-            return total[at].astype(np.int64)
-
-        out = {"doc_id": rows.column("doc_id").combine_chunks(), "n_tokens": [], "log_score": [], "mean_log_score": [], "n_backed_off": []}
-        for t in rows.column("tokens"):
-            t = np.frombuffer(t.as_py(), np.uint16)
-            n = len(t)
-            own_of = {}
-            seen = {}
+    def run(batches):
+        n, docs = np.zeros(1 << 16, np.int64), 0
+        for _, sizes, raw in chunk_rows(batches):
+            docs += len(sizes)
+            n += np.bincount(unpacked_tokens(raw), minlength=1 << 16)
+        on = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(on, -1)), pa.array(np.append(n[on], docs))], ["token", "n"])
+
+    each = corpus.select("chunk", "sizes", "tokens").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    one = F.col("token") >= 0
+    got = each.agg(F.sum(F.when(~one, F.col("n"))).alias("docs"), F.sum(F.when(one, F.col("n"))).alias("n"), F.count_if(one).alias("kinds")).first()
+    n = int(got["n"] or 0)
+    return max(2 * shuffle_partitions(corpus.sparkSession), n // BLOCK_TOKENS + 1), int(got["docs"] or 0), n, int(got["kinds"] or 0)
+
+
+def score(tokens: DataFrame, order: int = 3, corpus: DataFrame | None = None, alpha: float = 0.4) -> DataFrame:
+    """(doc_id, n_tokens, log_score, mean_log_score, n_backed_off) for every document of ``tokens``, a table of :func:`tokenized`.
+
+    Counts are over ``corpus``, another such table; without one, over ``tokens`` itself, and then each
+    document's own n-grams are taken off. No tokens: the sum 0 and a null mean. Repeated rows give repeated
+    rows, which vouch for each other; a null doc_id stays null; no rows give none.
+    """
+    if not 2 <= order <= 8:
+        raise ValueError("an order from 2 to 8 is needed")
+    small_batches(tokens)
+    leave_out = corpus is None
+    blocks, n_docs, n_all, n_kinds = block_count(tokens if leave_out else corpus)
+    id_type = tokens.schema["doc_ids"].dataType.elementType.simpleString()
+    rows = exploded(tokens, order, blocks, True)
+    if not leave_out:
+        rows = rows.unionByName(exploded(corpus, order, blocks, False))
+
+    def totals(group):
+        if leave_out:
+            _, total, at = sums(group)
+        else:
+            grams, total, _ = sums(known) if (known := group.filter(pa.compute.invert(group.column("asks")))).num_rows else (np.empty(0, np.uint64), np.empty(0, np.int64), None)
+            group = group.filter(group.column("asks"))
+            every = np.concatenate([np.cumsum(unpacked(x.as_py()), dtype=np.uint64) for x in group.column("grams")] or [np.empty(0, np.uint64)])
+            at = np.searchsorted(grams, every)
+            at[np.append(grams, np.uint64(0))[at] != every] = len(grams)
+            total = np.append(total, 0)
+        ends = np.cumsum([len(unpacked(x.as_py())) for x in group.column("counts")], dtype=np.int64)
+        found = [packed(total[at[a:b]]) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+        return pa.table([group.column("block"), group.column("chunk"), pa.array(found, pa.binary())], names=["block", "chunk", "totals"])
+
+    def doc_scores(key, mine, found):
+        out = {"doc_id": [], "n_tokens": [], "log_score": [], "mean_log_score": [], "n_backed_off": []}
+        if mine.num_rows:
+            c = Chunk(mine.column("sizes")[0].as_py(), mine.column("tokens")[0].as_py(), order)
+            grams, _ = c.distinct()
+            at, edges = dealt(grams, blocks)
+            total = np.zeros(len(grams), np.int64)
+            for b, x in zip(found.column("block").to_pylist(), found.column("totals")):
+                total[at[edges[b] : edges[b + 1]]] = unpacked(x.as_py()).astype(np.int64)
+            kinds = np.searchsorted(grams, np.arange(order + 1, dtype=np.uint64) << np.uint64(TAG))
+            n, own_docs = c.sizes, 1 if leave_out else 0
+            first = np.concatenate([[0], np.cumsum(n)[:-1]])[n > 0]
+            p = before = backed = None
             for k in range(1, order + 1):
-                x = grams(t, k)
-                if leave_out:
-                    distinct, inverse, c = np.unique(x, return_inverse=True, return_counts=True)
-                    own_of[k] = c[inverse]
-                    seen[k] = count(distinct)[inverse] - own_of[k]
+                place, own = c.placed(k)
+                seen = total[kinds[k - 1] : kinds[k]][place] - (own if leave_out else 0)
+                if k == 1:
+                    p = (seen + 1) / (np.maximum(1, n_all - (n[c.doc] if leave_out else 0)) + n_kinds)
                 else:
-                    seen[k] = count(x)
-            p = (seen[1] + 1) / (max(1, n_all - (n if leave_out else 0)) + n_kinds)
-            backed = np.zeros(n, bool)
-            for k in range(2, order + 1):
-                # the context of the gram that ends here is the shorter gram that ends one token before
-                start = start_gram(k - 1)
-                first = count(start) - (1 if leave_out else 0) if n else start
-                context = np.concatenate([first, seen[k - 1][:-1]]) if n else seen[k - 1]
-                on = (seen[k] > 0) & (context > 0)
-                p = np.where(on, seen[k] / np.maximum(context, 1), alpha * p)
-                backed = ~on
-            logs = np.log(p)
-            out["n_tokens"].append(n)
-            out["log_score"].append(float(logs.sum()))
-            out["mean_log_score"].append(float(logs.mean()) if n else None)
-            out["n_backed_off"].append(int(backed.sum()))
-        return pa.table([out["doc_id"], pa.array(out["n_tokens"], pa.int64()), pa.array(out["log_score"], pa.float64()), pa.array(out["mean_log_score"], pa.float64()), pa.array(out["n_backed_off"], pa.int64())], names=list(out))
-
-    needed = chunk_grams(tokens, order).select("chunk", "gram").join(counts, "gram", "left").select("chunk", "gram", F.coalesce("total", F.lit(0)).alias("total"))
-    given = tokens.select("doc_id", "tokens").mapInArrow(texts, f"chunk long, doc_id {id_type}, tokens binary")
-    return given.groupBy("chunk").cogroup(needed.groupBy("chunk")).applyInArrow(doc_scores, f"doc_id {id_type}, n_tokens long, log_score double, mean_log_score double, n_backed_off long")
+                    # the context of the n-gram that ends here is the shorter one that ends one token before; that of a first token, all starts
+                    context = np.concatenate([[0], before[:-1]]) if len(before) else before
+                    context[first] = n_docs - own_docs
+                    on = (seen > 0) & (context > 0)
+                    p = np.where(on, seen / np.maximum(context, 1), alpha * p)
+                    backed = ~on
+                before = seen
+            logs = np.bincount(c.doc, np.log(p), len(n))
+            out = {"doc_id": mine.column("doc_ids")[0].values, "n_tokens": n, "log_score": logs, "mean_log_score": pa.array(logs / np.maximum(n, 1), pa.float64(), mask=n == 0), "n_backed_off": np.bincount(c.doc, backed, len(n)).astype(np.int64)}
+        types = {"doc_id": mine.schema.field("doc_ids").type.value_type, "n_tokens": pa.int64(), "log_score": pa.float64(), "mean_log_score": pa.float64(), "n_backed_off": pa.int64()}
+        return pa.table({k: v if isinstance(v, pa.Array) else pa.array(v, types[k]) for k, v in out.items()})
+
+    replies = rows.groupBy("block").applyInArrow(totals, "block int, chunk long, totals binary")
+    return tokens.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(doc_scores, f"doc_id {id_type}, n_tokens long, log_score double, mean_log_score double, n_backed_off long")

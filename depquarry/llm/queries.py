@@ -59,7 +59,7 @@ LM_ORDER = 3
 
 def op8_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = ngramlm.tokenized(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
-    return ngramlm.score(tokens, ngramlm.count_table(tokens, LM_ORDER), LM_ORDER)
+    return ngramlm.score(tokens, LM_ORDER)
 
 
 def held_out() -> Column:

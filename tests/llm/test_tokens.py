@@ -74,13 +74,14 @@ def test_token_files(spark, make_docs, tmp_path):
     assert tokenbin.write_token_files(make_docs([]), path, f"file://{tmp_path}/e").count() == 0
 
 
-def test_backoff_scores_against_brute_force(spark, make_docs):
+def test_backoff_scores_against_brute_force(spark, make_docs, monkeypatch):
     path = tokenizer_file("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
     rows = [(0, "the cat sat on the mat"), (1, "the cat sat on the hat"), (2, "dogs bark"), (3, ""), (4, None), (5, "the cat"), (5, "the cat"), (6, "z q x " * 40)]
-    for order in (2, 3):
-        tokens = ngramlm.tokenized(make_docs(rows), path)
-        got = sorted((r["doc_id"], r["n_tokens"], round(r["log_score"], 6), r["n_backed_off"]) for r in ngramlm.score(tokens, ngramlm.count_table(tokens, order), order).collect())
+    for order in (2, 3, 5):
+        monkeypatch.setattr(ngramlm, "CHUNK_TOKENS", 9 if order == 3 else 1 << 20)
+        tokens = ngramlm.tokenized(make_docs(rows).repartition(2), path)
+        got = sorted((r["doc_id"], r["n_tokens"], round(r["log_score"], 6), r["n_backed_off"]) for r in ngramlm.score(tokens, order).collect())
         docs = [t.encode(x or "", add_special_tokens=False).ids for _, x in rows]
         counts = {}
 
@@ -113,8 +114,15 @@ def test_backoff_scores_against_brute_force(spark, make_docs):
                 backed += not on
             want.append((d, len(ids), round(total, 6), backed))
         assert got == sorted(want)
+        plain = {k: v for k, v in counts.items() if k != (-1,) * len(k)}
+        assert sorted(r["total"] for r in ngramlm.count_table(tokens, order).collect()) == sorted(plain.values())
     empty = ngramlm.tokenized(make_docs([]), path)
-    assert ngramlm.score(empty, ngramlm.count_table(empty)).count() == 0
+    assert ngramlm.score(empty).count() == 0 == ngramlm.count_table(empty).count()
+    # another corpus's counts: a text of it scores better than one of unseen words, and nothing is taken off
+    own = {r["doc_id"]: r["log_score"] for r in ngramlm.score(ngramlm.tokenized(make_docs([(1, "the cat sat"), (2, "xylo quark"), (None, None)]), path), 3, tokens).collect()}
+    c = lambda g: counts.get(tuple(t.encode(g, add_special_tokens=False).ids), 0)
+    assert own[None] == 0 and own[1] > own[2] and c("the") > 0
+    assert {r["log_score"] for r in ngramlm.score(tokens, 3, empty).collect()} >= {0.0}
 
 
 def test_the_query_sees_two_tokens_of_context(spark, make_docs, tmp_path):
@@ -125,4 +133,4 @@ def test_the_query_sees_two_tokens_of_context(spark, make_docs, tmp_path):
     tokens = ngramlm.tokenized(docs, tokenizer_file("byte_bpe_50k.json"))
     scores = lambda x: {r["doc_id"]: round(r["log_score"], 9) for r in x.collect()}
     got = scores(op8_backoff_lm(spark, str(tmp_path)))
-    assert got == scores(ngramlm.score(tokens, ngramlm.count_table(tokens, 3), 3)) != scores(ngramlm.score(tokens, ngramlm.count_table(tokens, 2), 2))
+    assert got == scores(ngramlm.score(tokens, 3)) != scores(ngramlm.score(tokens, 2))
