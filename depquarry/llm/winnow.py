@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from depquarry.llm.common import order_bounds, range_bucket, shuffle_partitions
 
 SPAN, REACH = 16, 32
+#: Code points on one side of a joint that windows across it can hold.
+EDGE = SPAN + REACH - 2
 UNIT, GRAM, WINDOW = 4, 4, 8
 PRIME, BASE = (1 << 31) - 1, 1_000_003
 
@@ -60,6 +62,28 @@ def kept_spans(text: Column) -> Column:
     return F.transform(F.array(solid), lambda s: F.when(s != "", over_solid(s)).otherwise(F.array().cast("array<long>")))[0]
 
 
+def joined_kept(own: Column, x: Column, after: Column, y: Column, seam: Column) -> Column:
+    """The fingerprint of the first ``x`` code points (white space apart) of one text followed by the first ``y`` of another.
+
+    ``own`` and ``after`` are the two texts' fingerprints, ``seam`` the EDGE code points on either side of the
+    joint. Windows that lie on one side are those of its text; only those across the joint are taken anew.
+    So ``x`` must be at least EDGE + 1; else the joined text is to be fingerprinted itself.
+    """
+
+    def upto(kept: Column, n: Column) -> Column:
+        def begins(k: Column, i: Column) -> Column:
+            """The first window that keeps a gram: that in which it comes in below the one before, or that which the one before has left."""
+            before = F.get(kept, i - 1)
+            enters = F.shiftrightunsigned(k, 32) <= F.shiftrightunsigned(before, 32)
+            return F.when(i == 0, F.lit(0)).when(enters, position(k) - (REACH - 1)).otherwise(position(before) + 1)
+
+        return F.filter(kept, lambda k, i: begins(k, i) < n - EDGE)
+
+    across = F.transform(kept_spans(seam), lambda k: k - (x - EDGE))
+    joint = F.array_distinct(F.concat(upto(own, x), across, F.transform(upto(after, y), lambda k: k - x)))
+    return F.when(y == 0, upto(own, x)).otherwise(joint)
+
+
 def kept_grams(text: Column) -> Column:
     """The coarse fingerprint of a text: kept grams in order, as array<long>; null, empty and blank texts: empty."""
     units = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"\S{{1,{UNIT}}}"), F.lit(0))
@@ -75,9 +99,13 @@ def kept_grams(text: Column) -> Column:
     return F.transform(F.array(hashed), lambda u: F.when(F.size(u) > 0, over_units(u)).otherwise(F.array().cast("array<long>")))[0]
 
 
+def position(kept: Column) -> Column:
+    return F.lit((1 << 32) - 1) - kept.bitwiseAND(F.lit((1 << 32) - 1))
+
+
 def positions(kept: Column) -> Column:
     """Where in the text's grams each kept gram stands, from 0."""
-    return F.transform(kept, lambda x: F.lit((1 << 32) - 1) - x.bitwiseAND(F.lit((1 << 32) - 1)))
+    return F.transform(kept, position)
 
 
 def hashes(kept: Column) -> Column:
@@ -102,32 +130,36 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     bounds = order_bounds(docs, "doc_id", parts)
     ranged = docs.withColumn("_range", range_bucket(F.col("doc_id"), bounds))
     order = [F.col("doc_id").desc_nulls_last(), *[F.col(c).asc_nulls_first() for c in columns if c != "doc_id"]]
-    # the first row of each range that has any: as many rows as ranges
-    tops = ranged.groupBy("_range").agg(F.max("doc_id").alias("top")).orderBy(F.col("_range").desc()).collect()
-    if not tops:
-        return docs.select("*", *[F.col(c).alias(f"next_{c}") for c in columns])
-    before = {r["_range"]: tops[i - 1]["_range"] for i, r in enumerate(tops)}  # the range that its first row follows
-    top = F.create_map(*[x for r in tops for x in (F.lit(r["_range"]), F.lit(r["top"]).cast(docs.schema["doc_id"].dataType))])
-    prior = F.create_map(*[x for k, v in before.items() for x in (F.lit(k), F.lit(v))])
-    first = F.col("doc_id").eqNullSafe(F.element_at(top, F.col("_range")))
+    # a row for each range that has any: its first row's doc_id, and the range which that row follows
+    tops = ranged.groupBy("_range").agg(F.max("doc_id").alias("_top"))
+    down = Window.orderBy(F.col("_range").desc())
+    prior = F.coalesce(F.lag("_range").over(down), F.min("_range").over(down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    ranged = ranged.join(F.broadcast(tops.withColumn("_prior", prior)), "_range")
+    first = F.col("doc_id").eqNullSafe(F.col("_top"))
     here = F.struct(F.col("_range").alias("r"), F.lit(0).alias("copy"))
-    there = F.struct(F.element_at(prior, F.col("_range")).alias("r"), F.lit(1).alias("copy"))
-    both = ranged.withColumn("_at", F.explode(F.when(first, F.array(here, there)).otherwise(F.array(here)))).select("*", "_at.*").drop("_at", "_range")
+    there = F.struct(F.col("_prior").alias("r"), F.lit(1).alias("copy"))
+    both = ranged.withColumn("_at", F.explode(F.when(first, F.array(here, there)).otherwise(F.array(here)))).select("*", "_at.*").drop("_at", "_range", "_top", "_prior")
     w = Window.partitionBy("r").orderBy("copy", *order)
     return both.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in columns]).where("copy = 0").drop("copy", "r")
 
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, positions).
+    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next).
 
     The edited text has the last third of the code points replaced by the first as many of the next
-    document's. Null texts count as empty. A fingerprint's string lists its kept grams.
+    document's. Null texts count as empty. A fingerprint's string lists its kept grams, hash and position in a
+    number each. Repeated rows follow each other; a lone row follows itself; no rows give none. Every text is
+    fingerprinted once: an edited one has the grams of its two parts, and new ones where they meet.
     """
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("kept", kept_spans(F.col("text")))
     x = with_next(own, ["text", "kept"])
     n = F.char_length("text")
     third = F.floor(n / 3).cast("int")
-    edited = F.concat(F.substring("text", 1, n - third), F.substring("next_text", 1, third))
-    x = x.select("doc_id", n.cast("long").alias("n_chars"), "kept", "next_kept", edited.alias("edited")).withColumn("edited_kept", kept_spans(F.col("edited")))
+    x = x.select("doc_id", n.cast("long").alias("n_chars"), "kept", "next_kept", F.substring("text", 1, n - third).alias("head"), F.substring("next_text", 1, third).alias("tail"))
+    solid = [F.regexp_replace(c, r"\s+", "").alias(f"{c}_solid") for c in ("head", "tail")]
+    x = x.select("doc_id", "n_chars", "kept", "next_kept", F.concat("head", "tail").alias("edited"), *solid)
+    a, b = F.char_length("head_solid"), F.char_length("tail_solid")
+    seam = F.concat(F.right("head_solid", F.lit(EDGE)), F.left("tail_solid", F.lit(EDGE)))
+    x = x.withColumn("edited_kept", F.when(a > EDGE, joined_kept(F.col("kept"), a, F.col("next_kept"), b, seam)).otherwise(kept_spans(F.concat("head_solid", "tail_solid"))))
     x = x.select("doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), "kept", "edited_kept", hashes(F.col("kept")).alias("a"), hashes(F.col("edited_kept")).alias("b"), hashes(F.col("next_kept")).alias("c"))
     return x.select("doc_id", "n_chars", "edited_sha256", F.col("kept").cast("string").alias("fingerprint"), F.col("edited_kept").cast("string").alias("edited_fingerprint"), likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("c")).alias("near_next"))

@@ -97,3 +97,16 @@ def test_kept_spans_against_brute_force(spark):
     want = {(h[at], at) for i in range(len(h) - winnow.REACH + 1) for at in [max(range(i, i + winnow.REACH), key=lambda j: (-h[j], j))]}
     r = spark.createDataFrame([(text,)], "t string").select(winnow.kept_spans(F.col("t")).alias("k")).select("k", winnow.positions(F.col("k")).alias("p")).first()
     assert {(x >> 32, p) for x, p in zip(r["k"], r["p"])} == want
+
+
+def test_edited_fingerprints_are_those_of_the_edited_texts(spark, make_docs):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abc\u00e9\U0001f600") for _ in range(rng.choice([1, 2, 9])))
+    of = lambda k: rng.choice(["", " ", "\n\n"]).join(word() for _ in range(k))
+    rows = [(i, of(rng.choice([0, 1, 3, 10, 12, 15, 18, 25, 40, 90, 300]))) for i in range(260)]
+    rows += [(1000, "a" * 500), (1001, "b" * 60 + " " * 80), (1002, "ab" * 300), (1003, " " * 200 + "c" * 47), (1004, "same " * 90), (1005, "same " * 90)]
+    texts = [t for _, t in sorted(rows, reverse=True)]
+    edited = {d: t[: len(t) - len(t) // 3] + n[: len(t) // 3] for (d, t), n in zip(sorted(rows, reverse=True), texts[1:] + texts[:1])}
+    got = winnow.fingerprint_edits(make_docs(rows)).select("doc_id", "edited_fingerprint")
+    want = make_docs(list(edited.items())).select("doc_id", winnow.kept_spans(F.col("text")).cast("string").alias("edited_fingerprint"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
