@@ -27,6 +27,9 @@ from depquarry.llm.components import connected_components
 #: Of a set's bitmap, by which pairs are ruled out.
 BITS = 2048
 
+#: Under a key with more sets than this, pairs are sought by shared rare shingles instead.
+ALL_PAIRS = 64
+
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -140,18 +143,41 @@ def index_entries(classes: DataFrame, p: NearDup) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, p: NearDup) -> DataFrame:
-    """(cls, items): the full sets of the classes in ``wanted`` (doc_id, cls)."""
+    """(cls, items): the full sets of the classes in ``wanted`` (doc_id, cls).
+
+    A class is read by a doc_id that has it; those which only rows without a doc_id have, by all such rows.
+    """
 
     def run(batches):
         words = WordHashes()
-        for batch in sliced(batches):
+        for batch in sliced(batches, 200):
             items = [shingle_set(t.as_py(), p.shingle_words, words).view(np.int64) for t in batch.column("text")]
             cls = pa.array([set_name(x) for x in items], pa.int64())
             at = np.concatenate([[0], np.cumsum([len(x) for x in items])]).astype(np.int32)
             flat = np.concatenate(items) if items else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([cls, pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], ["cls", "items"])
 
-    return docs.select("doc_id", "text").join(wanted.select("doc_id").distinct(), "doc_id").select("text").mapInArrow(run, "cls long, items array<long>").where("cls is not null").dropDuplicates(["cls"])
+    found = lambda texts: texts.select("text").mapInArrow(run, "cls long, items array<long>").where("cls is not null")
+    docs = docs.select("doc_id", "text")
+    named = found(docs.join(wanted.select("doc_id").distinct(), "doc_id"))
+    nameless = found(docs.where("doc_id is null")).join(wanted.where("doc_id is null").select("cls"), "cls", "left_semi")
+    return named.unionByName(nameless).dropDuplicates(["cls"])
+
+
+def rare_prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(item, cls): of each set (cls, items) the items of which it must share one with any set that is similar enough.
+
+    Items are ordered by how many sets have them. Two sets that share ``percent`` of their union share so much
+    of each, so the first ``n - ceil(n * percent / 100) + 1`` of both have an item in common. Items of one set
+    alone stand first and join with nothing; they are only counted.
+    """
+    items = sets.select("cls", F.explode("items").alias("item"))
+    shared = items.groupBy("item").agg(F.count("*").alias("sets")).where("sets > 1")
+    n = F.size("items")
+    most = sets.select("cls", n.alias("n"), (n - F.ceil(n * percent / 100).cast("int") + 1).alias("most"))
+    firsts = items.join(shared, "item").groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("sets", "item"))).alias("by")).join(most, "cls")
+    take = F.col("most") - (F.col("n") - F.size("by"))
+    return firsts.where(take > 0).select("cls", F.explode(F.slice("by", F.lit(1), take)).alias("x")).select("x.item", "cls")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -211,10 +237,12 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     are held against one and then four members picked by a hash that differs by key; last, every pair
     across the components that are left, within the signature distance and of sizes and bitmaps that
     allow the similarity. So a large group of copies costs a few stars, and no link between components is lost.
+    Under keys that still have over ALL_PAIRS members, as with pages of one template, those pairs are sought by
+    the rarest shingles of the members, which every similar enough pair shares: exact, without all pairs.
 
-    Null, empty and blank texts have no shingles and stay alone. A null doc_id keeps its row; its
-    component is the smallest doc_id of its component's rows if there is one, else null. Repeated rows
-    give repeated rows; an empty table gives none.
+    Null, empty and blank texts have no shingles and stay alone. A null doc_id keeps its row and links as
+    others do; its component is the smallest doc_id of its component's rows if there is one, else null, and
+    it is never kept. Repeated rows give repeated rows; an empty table gives none; other columns are not read.
     """
     small_batches(docs)
     feats = written(featurize(docs, p), "minhash-features")
@@ -244,7 +272,13 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
             y = open_.groupBy("key").agg(F.array(*[of(r) for r in range(picks)]).alias("picked")).select("key", F.explode(F.array_distinct("picked")).alias("y")).select("key", "y.cls", "y.n", "y.root", "y.nib", "y.spare", "y.bits").alias("y")
             order = F.col("x.cls") != F.col("y.cls")
         else:
-            y, order = open_.alias("y"), F.col("x.cls") < F.col("y.cls")
+            many = open_.groupBy("key").count().where(F.col("count") > ALL_PAIRS).select("key")
+            crowd = open_.join(many, "key").dropDuplicates(["cls"])
+            firsts = rare_prefixes(sets.join(crowd.select("cls"), "cls", "left_semi"), p.percent)
+            # the keys of the crowded members are their rare shingles from here on
+            firsts = firsts.join(crowd.drop("key"), "cls").select(F.col("item").alias("key"), *[c for c in open_.columns if c != "key"])
+            open_ = written(open_.join(many, "key", "left_anti").unionByName(firsts.select(*open_.columns)), "minhash-pairs")
+            x, y, order = open_.alias("x"), open_.alias("y"), F.col("x.cls") < F.col("y.cls")
         close = order & (F.col("x.root") != F.col("y.root")) & near(F.col("x.nib"), F.col("y.nib"), p) & may_link(of_row("x"), of_row("y"), p.percent)
         pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & close).select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"), F.least("x.root", "y.root").alias("ra"), F.greatest("x.root", "y.root").alias("rb")).distinct()
         roots = merged(roots, confirmed(pairs, sets, p.percent), f"minhash-roots-{i + 1}")

@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from depquarry.llm import minhash
 from depquarry.llm.components import connected_components
 from depquarry.llm.minhash import NearDup, near_duplicates
 
@@ -58,3 +59,25 @@ def test_components(spark):
     got = {r["node"]: r["root"] for r in connected_components(links).collect()}
     assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100}
     assert connected_components(links.where("false")).count() == 0
+
+
+def test_a_row_without_an_id_links_others(spark, make_docs):
+    words = [f"w{i}" for i in range(120)]
+    texts = [" ".join([*words[:i], *[f"x{k}" for k in range(8)], *words[i + 8 :]]) for i in (0, 40)]
+    rows = [(5, texts[0]), (3, texts[1]), (None, " ".join(words))]
+    for k in (1, 2):
+        got = {r["doc_id"]: r["component_id"] for r in near_duplicates(make_docs(rows), NearDup(shingle_words=k)).collect()}
+        assert got == {5: 3, 3: 3, None: 3}
+
+
+def test_crowded_keys_are_split_by_rare_shingles(spark, make_docs, monkeypatch):
+    rng = random.Random(9)
+    template = [f"t{i}" for i in range(70)]
+    rows = [(i, " ".join(template + [f"u{rng.randrange(10**6)}" for _ in range(12)])) for i in range(150)]
+    for d, t in rows[:150:10]:  # and some that are similar enough, by chains
+        w = t.split()
+        w[rng.randrange(70, 82)] = "other"
+        rows.append((1000 + d, " ".join(w)))
+    monkeypatch.setattr(minhash, "ALL_PAIRS", 3)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(make_docs(rows), NearDup(shingle_words=2)).collect()}
+    assert got == brute(rows, 2) and len({c for _, c in got.values()}) == 150
