@@ -26,7 +26,7 @@ from depquarry.llm.minhash import mix
 from depquarry.llm.tokenbin import encoder
 
 #: Tokens of a chunk, and documents; a longer text is a chunk of its own.
-CHUNK_TOKENS, CHUNK_DOCS = 2 << 20, 1 << 16
+CHUNK_TOKENS, CHUNK_DOCS = 1 << 20, 1 << 16
 
 #: Tokens of the corpus to a block of the count table.
 BLOCK_TOKENS = 4 << 20
@@ -80,30 +80,38 @@ class Chunk:
         got = []
         for k in range(1, self.order + 1):
             g = np.sort(self.grams(k))
-            first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.empty(0, np.int64)
+            first = starts(g)
             got.append((g[first] | np.uint64((k - 1) << TAG), np.diff(np.append(first, len(g)))))
         return np.concatenate([g for g, _ in got]), np.concatenate([n for _, n in got])
 
-    def placed(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each token the place of its k-gram among the distinct ones of that order, and how often its own document has it."""
+    def placed(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct k-grams as in :meth:`distinct`; for each token the place of its own among them, and how often its own document has it."""
         g = self.grams(k)
         if k <= EXACT:
-            by = np.argsort(g << np.uint64(16) | self.doc.astype(np.uint64))
+            pair = g << np.uint64(16) | self.doc.astype(np.uint64)
+            by = np.argsort(pair)
+            pair = pair[by]
+            new, g = starts(pair), pair >> np.uint64(16)
         else:
             by = np.lexsort((self.doc, g))
-        g, d = g[by], self.doc[by]
-        other = np.concatenate([[False], g[1:] != g[:-1]]) if len(g) else np.empty(0, bool)
-        first = np.flatnonzero(np.concatenate([[True], other[1:] | (d[1:] != d[:-1])])) if len(g) else np.empty(0, np.int64)
-        runs = np.diff(np.append(first, len(g)))
-        place, own = np.empty(len(g), np.int64), np.empty(len(g), np.int64)
-        place[by] = np.cumsum(other)
-        own[by] = np.repeat(runs, runs)
-        return place, own
+            g, d = g[by], self.doc[by]
+            new = np.union1d(starts(g), starts(d))
+        first = starts(g)
+        runs = np.diff(np.append(new, len(g)))
+        place, own = np.empty(len(g), np.int32), np.empty(len(g), np.int32)
+        place[by] = np.repeat(np.arange(len(first), dtype=np.int32), np.diff(np.append(first, len(g))))
+        own[by] = np.repeat(runs.astype(np.int32), runs)
+        return g[first] | np.uint64((k - 1) << TAG), place, own
+
+
+def starts(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.empty(0, np.int64)
 
 
 def dealt(grams: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
     """(order, edges): the places of the n-grams by block, ascending in each, and where each block's begin."""
-    block = (mix(grams) % np.uint64(blocks)).astype(np.uint32)
+    block = (mix(grams) % np.uint64(blocks)).astype(np.uint16 if blocks < 1 << 16 else np.uint32)
     order = np.argsort(block, kind="stable")
     return order, np.searchsorted(block[order], np.arange(blocks + 1))
 
@@ -246,7 +254,8 @@ def score(tokens: DataFrame, order: int = 3, corpus: DataFrame | None = None, al
         out = {"doc_id": [], "n_tokens": [], "log_score": [], "mean_log_score": [], "n_backed_off": []}
         if mine.num_rows:
             c = Chunk(mine.column("sizes")[0].as_py(), mine.column("tokens")[0].as_py(), order)
-            grams, _ = c.distinct()
+            placed = [c.placed(k) for k in range(1, order + 1)]
+            grams = np.concatenate([g for g, _, _ in placed])
             at, edges = dealt(grams, blocks)
             total = np.zeros(len(grams), np.int64)
             for b, x in zip(found.column("block").to_pylist(), found.column("totals")):
@@ -256,7 +265,7 @@ def score(tokens: DataFrame, order: int = 3, corpus: DataFrame | None = None, al
             first = np.concatenate([[0], np.cumsum(n)[:-1]])[n > 0]
             p = before = backed = None
             for k in range(1, order + 1):
-                place, own = c.placed(k)
+                _, place, own = placed[k - 1]
                 seen = total[kinds[k - 1] : kinds[k]][place] - (own if leave_out else 0)
                 if k == 1:
                     p = (seen + 1) / (np.maximum(1, n_all - (n[c.doc] if leave_out else 0)) + n_kinds)

@@ -9,15 +9,19 @@ them those that their elements name as menus, headers, footers, asides, notices,
 comments: a host of few pages has no statistics to tell. A name removes no branch that holds the page's
 only articles or, on a page without any, most of its text: it is a wrapper named by what stands beside.
 
-Where a page has an article (``article``, ``main``), its text is that of the articles; the tree then
-removes inside them only named containers, and never paragraphs, headings or cells, as an article may
-have copies on its own host. Else it is that of the whole body. A page that is left with nothing keeps none.
+Where a page has an article (``article``, ``main``), its text is that of the articles; there the tree judges
+named containers, and blocks by their own words: one that stands on most of a host's pages, whose other text
+differs, is of the site and goes. Pages that share their longest block are copies and count once, so an
+article's copies vouch for none of its blocks, and a page that would lose most of its text loses none. Else
+the text is that of the whole body. What few pages say counts less, by weights that grow with their number.
+A page that is left with nothing keeps none.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from urllib.parse import urlsplit
 
 import numpy as np
@@ -26,11 +30,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depquarry.llm.common import small_batches, written
+from depquarry.llm.common import sliced, small_batches, written
 
 # Element names of HTML by what they do to text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("script style noscript template textarea select button svg math iframe object canvas audio video head title datalist".split())
+UNSEEN = frozenset("script style noscript template textarea select button iframe head title datalist".split())
 RAW = frozenset("script style textarea title iframe noscript".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul head title".split())
 CLOSES_P = BLOCK - {"html", "body", "head", "title"}
@@ -69,7 +73,9 @@ ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'
 
 GAMMA = 0.9
 LEAST_IMPORTANCE = 0.2
-LEAST_PAGES = 10
+#: Pages that a host is taken to have beside its own, on which nothing of its own stands; and the part of the pages from which on a block is the site's.
+PRIOR = 4
+MOST_PAGES = 0.5
 
 
 class Node:
@@ -125,7 +131,7 @@ class Page:
         spared = self._spared()
         for said in self._said:
             said = [(node, text) for node, text in said if node.named in spared]
-            text = " ".join(entities.unescape("".join(t for _, t in said)).split())
+            text = " ".join("".join(entities.unescape(t) if "&" in t else t for _, t in said).split())
             if text:
                 self.blocks.append((said[0][0].path, text, bool(said[0][0].article)))
         del self._said
@@ -257,32 +263,62 @@ def host_of(url: str | None) -> str:
         return ""
 
 
-def style_tree(pages: DataFrame) -> DataFrame:
-    """(host, path, importance, n_pages) of every node of every host's tree.
+PARSED = "url string, host string, template long, longest long, blocks array<struct<path:long,what:long,text:string,article:boolean>>, paths array<long>, boxes array<long>, seen array<struct<path:long,style:boolean,what:long,n:long>>"
 
-    Rows of pages are summed to counts of (host, path, style) and (host, path, content) before they are
-    dealt out, so a host with most of the pages costs as many rows as its tree has nodes and contents.
+
+def parsed(pages: DataFrame) -> DataFrame:
+    """Every page, parsed once, as a written table (page_id, url, host, template, longest, blocks, paths, boxes, seen).
+
+    ``template`` names the page's nodes, ``longest`` its longest block; ``seen`` has what its nodes show and
+    say, a row for each node and style or content.
     """
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    id_type = pages.schema["page_id"].dataType
+    arrow_id = to_arrow_type(id_type)
+
+    def columns(names: tuple[str, ...], rows: list[tuple]) -> pa.Array:
+        types = {"path": pa.int64(), "what": pa.int64(), "text": pa.string(), "article": pa.bool_(), "style": pa.bool_(), "n": pa.int64()}
+        return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], types[c]) for i, c in enumerate(names)], list(names))
+
+    def lists(sizes: list[int], values: pa.Array) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), values)
 
     def run(batches):
-        for batch in batches:
-            out: list[list] = [[], [], [], [], []]
+        for batch in sliced(batches, 500):
+            flat: list[tuple] = []
+            blocks, paths, boxes, seen = [], [], [], []
+            sizes: list[tuple[int, int, int]] = []
             for url, source in zip(batch.column("url").to_pylist(), batch.column("html")):
-                page, host = Page(source.as_py() or ""), host_of(url)
-                contents: dict[tuple[int, int], int] = {}
-                for path, text, _ in page.blocks:
-                    k = path, xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
-                    contents[k] = contents.get(k, 0) + 1
-                for (path, what), n in contents.items():
-                    for column, v in zip(out, (host, path, False, what, n)):
-                        column.append(v)
-                for path, what in page.styles.items():
-                    for column, v in zip(out, (host, path, True, what, 1)):
-                        column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.bool_()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.int64())], ["host", "path", "style", "what", "n"])
-
-    rows = pages.select("url", "html").mapInArrow(run, "host string, path long, style boolean, what long, n long")
-    each = rows.groupBy("host", "path", "style", "what").agg(F.sum("n").alias("c"), F.sum(F.col("n") * F.log(F.col("n").cast("double"))).alias("l"), F.count("*").alias("pages"))
+                page = Page(source.as_py() or "")
+                own = [(path, xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63), text, article) for path, text, article in page.blocks]
+                nodes = sorted({b[0] for b in own})
+                held = [page.container.get(p, 0) for p in nodes]
+                said = [(path, False, what, n) for (path, what), n in Counter(b[:2] for b in own).items()] + [(path, True, what, 1) for path, what in page.styles.items()]
+                template = xxhash.xxh64_intdigest(np.array(nodes + held, np.int64).tobytes()) - (1 << 63)
+                flat.append((url, host_of(url), template, max(own, key=lambda b: len(b[2]))[1] if own else 0))
+                sizes.append((len(own), len(nodes), len(said)))
+                blocks += own
+                paths += nodes
+                boxes += held
+                seen += said
+            each = [pa.array([r[i] for r in flat], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64()))]
+            n = list(zip(*sizes)) or [(), (), ()]
+            each += [lists(n[0], columns(("path", "what", "text", "article"), blocks)), lists(n[1], pa.array(paths, pa.int64())), lists(n[1], pa.array(boxes, pa.int64())), lists(n[2], columns(("path", "style", "what", "n"), seen))]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id").cast(arrow_id), *each], ["page_id", "url", "host", "template", "longest", "blocks", "paths", "boxes", "seen"])
+
+    small_batches(pages)
+    return written(pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {id_type.simpleString()}, {PARSED}"), "site-pages")
+
+
+def style_tree(pages: DataFrame) -> DataFrame:
+    """(host, path, importance) of every node of every host's tree, from :func:`parsed` pages.
+
+    Rows of pages are summed to counts of (host, path, style) and (host, path, content) before they are
+    dealt out, so a host with most of the pages costs as many rows as its tree has nodes and contents.
+    """
+    rows = pages.select("host", F.explode("seen").alias("s")).select("host", "s.*")
+    each = rows.groupBy("host", "path", "style", "what").agg(F.sum("n").alias("c"), F.sum(F.col("n") * F.log(F.col("n").cast("double"))).alias("l"))
     # a content's entropy over the pages it is on; a style's part of its node's entropy
     entropy = F.log(F.col("c").cast("double")) - F.col("l") / F.col("c")
     node = each.groupBy("host", "path").agg(
@@ -293,55 +329,48 @@ def style_tree(pages: DataFrame) -> DataFrame:
     )
     m = F.coalesce(F.col("m"), F.lit(1)).cast("double")
     shown = F.when(m > 1, (F.log(m) - F.col("cl") / m) / F.log(m)).otherwise(1.0)
-    said = F.when(F.col("spread").isNull() | (m <= 1), 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.col("spread") / F.log(m)))
+    said = F.when(F.col("spread").isNull(), 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.col("spread") / F.log(m + PRIOR)))
     share = F.pow(F.lit(GAMMA), F.greatest(F.col("styles"), F.lit(1)))
-    return node.select("host", "path", ((1 - share) * shown + share * said).alias("importance"), m.cast("long").alias("n_pages"))
+    return node.select("host", "path", ((1 - share) * shown + share * said).alias("importance"))
+
 
+def site_blocks(pages: DataFrame, most: float = MOST_PAGES) -> DataFrame:
+    """(host, path, what) of the blocks that stand on at least ``most`` of a host's other pages, copies counted once."""
+    each = pages.select("host", "longest", F.explode("blocks").alias("b")).select("host", "longest", "b.path", "b.what").distinct()
+    often = each.groupBy("host", "path", "what").agg(F.count("*").alias("k")).where("k > 1")
+    kinds = pages.where(F.size("blocks") > 0).select("host", "longest").distinct().groupBy("host").agg(F.count("*").alias("m"))
+    return often.join(kinds, "host").where((F.col("k") - 1) / (F.col("m") - 1 + PRIOR) >= most).select("host", "path", "what")
 
-def extract(pages: DataFrame, least_importance: float = LEAST_IMPORTANCE, least_pages: int = LEAST_PAGES) -> DataFrame:
+
+def extract(pages: DataFrame, least_importance: float = LEAST_IMPORTANCE, most_pages: float = MOST_PAGES) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of ``pages`` (page_id, url, html, any others).
 
-    Null or empty html gives an empty text. Rows without a host (null or odd url) form one host.
+    Null or empty html gives an empty text. Rows without a host (null or odd url) form one host. Repeated rows
+    give repeated rows, and are copies; a null page_id stays null; no rows give none. Form controls count as
+    forms; formulas, drawings and what stands in for players are text.
     """
-    id_type = pages.schema["page_id"].dataType.simpleString()
-    fields = f"page_id {id_type}, url string, host string, template long, paths array<long>, boxes array<long>, blocks array<struct<path:long,text:string,article:boolean>>"
-    small_batches(pages)
-    spark = pages.sparkSession
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    schema = to_arrow_schema(spark.createDataFrame([], fields).schema)
-
-    def parse(batches):
-        for batch in batches:
-            rows = []
-            for i, source in enumerate(batch.column("html")):
-                page, url = Page(source.as_py() or ""), batch.column("url")[i].as_py()
-                paths = sorted({p for p, _, _ in page.blocks})
-                boxes = [page.container.get(p, 0) for p in paths]
-                template = xxhash.xxh64_intdigest(np.array(paths + boxes, np.int64).tobytes()) - (1 << 63)
-                rows.append({"page_id": batch.column("page_id")[i].as_py(), "url": url, "host": host_of(url), "template": template, "paths": paths, "boxes": boxes, "blocks": [{"path": p, "text": t, "article": a} for p, t, a in page.blocks]})
-                if len(rows) == 500:
-                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=schema)
-
-    parsed = pages.select("page_id", "url", "html").mapInArrow(parse, fields)
-    tree = style_tree(pages).where((F.col("importance") < least_importance) & (F.col("n_pages") >= least_pages)).select("host", "path")
+    pages = parsed(pages)
+    low = style_tree(pages).where(F.col("importance") < least_importance).select("host", "path")
     # pages of one host with the same nodes are judged once
-    kinds = parsed.select("host", "template", "paths", "boxes").groupBy("host", "template").agg(F.first("paths").alias("paths"), F.first("boxes").alias("boxes"))
+    kinds = pages.groupBy("host", "template").agg(F.first("paths").alias("paths"), F.first("boxes").alias("boxes"))
     nodes = kinds.select("host", "template", F.explode(F.array_distinct(F.concat("paths", "boxes"))).alias("path"))
-    low = nodes.join(tree, ["host", "path"]).groupBy("host", "template").agg(F.sort_array(F.collect_list("path")).alias("low"))
+    low = nodes.join(low, ["host", "path"]).groupBy("host", "template").agg(F.sort_array(F.collect_list("path")).alias("low"))
+    site = kinds.select("host", "template", F.explode("paths").alias("path")).join(site_blocks(pages, most_pages), ["host", "path"])
+    site = site.groupBy("host", "template").agg(F.collect_set("what").alias("site"))
+    judged = kinds.join(low, ["host", "template"], "left").join(site, ["host", "template"], "left").where("low is not null or site is not null")
     # written, so both sides of the join are dealt out for it and a host with most of the pages is split
-    judged = written(kinds.join(low, ["host", "template"]).select("host", "template", "paths", "boxes", "low"), "site-judged")
-    x = parsed.drop("paths", "boxes").join(judged, ["host", "template"], "left")
+    judged = written(judged.select("host", "template", "paths", "boxes", "low", "site"), "site-judged")
+    x = pages.select("page_id", "url", "host", "template", "blocks").join(judged, ["host", "template"], "left")
     box = F.map_from_arrays("paths", "boxes")
+    within = lambda b: F.array_contains("low", F.element_at(box, b.path))
 
     def kept(b):
-        within = F.array_contains("low", F.element_at(box, b.path))
-        return F.when(F.col("low").isNull(), F.lit(True)).when(F.col("any_article"), ~within).otherwise(~(within | F.array_contains("low", b.path)))
+        return F.when(F.col("low").isNull(), F.lit(True)).when(F.col("any_article"), ~within(b)).otherwise(~(within(b) | F.array_contains("low", b.path)))
 
+    size = lambda c: F.aggregate(c, F.lit(0), lambda n, b: n + F.char_length(b.text))
     x = x.withColumn("any_article", F.exists("blocks", lambda b: b.article))
-    main = F.filter("blocks", lambda b: (b.article | ~F.col("any_article")) & kept(b))
-    text = F.array_join(F.transform(main, lambda b: b.text), "\n")
-    return x.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
+    x = x.select("page_id", "url", "site", F.filter("blocks", lambda b: (b.article | ~F.col("any_article")) & kept(b)).alias("main"))
+    x = x.withColumn("own", F.when(F.col("site").isNotNull(), F.filter("main", lambda b: ~F.array_contains("site", b.what))))
+    x = x.select("page_id", "url", F.when(F.col("own").isNull() | (2 * size(F.col("own")) < size(F.col("main"))), F.col("main")).otherwise(F.col("own")).alias("main"))
+    x = x.select("page_id", "url", F.array_join(F.transform("main", lambda b: b.text), "\n").alias("text"))
+    return x.withColumn("n_chars", F.char_length("text").cast("long"))

@@ -49,8 +49,8 @@ def can_be_cut(text: str) -> bool:
     return not (kinds[:1] == b"." or b"ss" in kinds or b".." in kinds or b"s." in kinds or b"p." in kinds)
 
 
-#: Pieces that a worker keeps in each of two generations, some 50 MB; between tasks it keeps one.
-PIECES_KEPT = 250_000
+#: Pieces that a worker keeps in each of two generations, some 80 MB; between tasks it keeps one.
+PIECES_KEPT = 400_000
 
 #: Fixed value: how byte-level tokens write a blank.
 BLANK = "Ġ"

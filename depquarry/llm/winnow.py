@@ -50,16 +50,21 @@ def window_minima(g: Column, window: int) -> Column:
     return F.when(n >= 1, F.array_distinct(F.slice(least, F.lit(1), F.greatest(n, F.lit(1))))).otherwise(F.array(F.array_min(g)))
 
 
+def solid(text: Column) -> Column:
+    """The text without ASCII white space."""
+    for sign in " \n\t\r\x0b\x0c":
+        text = F.replace(text, F.lit(sign), F.lit(""))
+    return text
+
+
 def kept_spans(text: Column) -> Column:
     """The fingerprint of a text by grams at every code point, as array<long>; null, empty and blank texts: empty."""
-    solid = F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", "")
-
     def over_solid(s: Column) -> Column:
         grams = F.when(F.char_length(s) < SPAN, F.array(s)).otherwise(F.regexp_extract_all(s, F.lit(rf"(?s)(?=(.{{{SPAN}}}))."), F.lit(1)))
         numbers = placed(grams, lambda g: F.shiftrightunsigned(F.xxhash64(g), 33))
         return F.transform(F.array(numbers), lambda g: window_minima(g, REACH))[0]
 
-    return F.transform(F.array(solid), lambda s: F.when(s != "", over_solid(s)).otherwise(F.array().cast("array<long>")))[0]
+    return F.transform(F.array(solid(F.coalesce(text, F.lit("")))), lambda s: F.when(s != "", over_solid(s)).otherwise(F.array().cast("array<long>")))[0]
 
 
 def joined_kept(own: Column, x: Column, after: Column, y: Column, seam: Column) -> Column:
@@ -156,10 +161,10 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     n = F.char_length("text")
     third = F.floor(n / 3).cast("int")
     x = x.select("doc_id", n.cast("long").alias("n_chars"), "kept", "next_kept", F.substring("text", 1, n - third).alias("head"), F.substring("next_text", 1, third).alias("tail"))
-    solid = [F.regexp_replace(c, r"\s+", "").alias(f"{c}_solid") for c in ("head", "tail")]
-    x = x.select("doc_id", "n_chars", "kept", "next_kept", F.concat("head", "tail").alias("edited"), *solid)
-    a, b = F.char_length("head_solid"), F.char_length("tail_solid")
-    seam = F.concat(F.right("head_solid", F.lit(EDGE)), F.left("tail_solid", F.lit(EDGE)))
-    x = x.withColumn("edited_kept", F.when(a > EDGE, joined_kept(F.col("kept"), a, F.col("next_kept"), b, seam)).otherwise(kept_spans(F.concat("head_solid", "tail_solid"))))
+    x = x.select("doc_id", "n_chars", "kept", "next_kept", F.concat("head", "tail").alias("edited"), *[solid(F.col(c)).alias(c) for c in ("head", "tail")])
+    # lengths as columns, as lambdas work out what they hold for each element
+    x = x.select("*", F.char_length("head").alias("x"), F.char_length("tail").alias("y"), F.concat(F.right("head", F.lit(EDGE)), F.left("tail", F.lit(EDGE))).alias("seam"))
+    whole = kept_spans(F.when(F.col("x") > EDGE, F.lit("")).otherwise(F.concat("head", "tail")))
+    x = x.select("doc_id", "n_chars", "edited", "kept", "next_kept", F.when(F.col("x") > EDGE, joined_kept(*map(F.col, ("kept", "x", "next_kept", "y", "seam")))).otherwise(whole).alias("edited_kept"))
     x = x.select("doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), "kept", "edited_kept", hashes(F.col("kept")).alias("a"), hashes(F.col("edited_kept")).alias("b"), hashes(F.col("next_kept")).alias("c"))
     return x.select("doc_id", "n_chars", "edited_sha256", F.col("kept").cast("string").alias("fingerprint"), F.col("edited_kept").cast("string").alias("edited_fingerprint"), likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("c")).alias("near_next"))

@@ -36,6 +36,31 @@ def test_branches_that_repeat_over_a_host_go_and_copies_stay(spark):
     assert extract(spark, [(i, f"http://g/{i}", same) for i in range(30)])[3] == "Title\nAn article in thirty copies"
 
 
+def test_blocks_of_the_site_inside_articles_go(spark):
+    """Against brute force: the share of the host's other pages, copies once, with PRIOR pages beside."""
+    rows, page = [], "<article><h1>Title {0}</h1><p>Some long text of page {0} that no other page has.</p>{1}</article>"
+    for n, host in ((3, "few"), (12, "many")):
+        for i in range(n):
+            extra = "<p>Subscribe to our news!</p>" + ("<p>A line on some pages.</p>" if i % 3 == 0 else "")
+            rows.append((len(rows), f"http://{host}/{i}", page.format(f"{host}{i}", extra)))
+    rows += [(100 + i, "http://copies/x", page.format("same", "<p>Subscribe to our news!</p>")) for i in range(30)]
+    got = extract(spark, rows)
+    for i, url, html in rows:
+        own = [t for _, t, _ in sitetree.Page(html).blocks]
+        others = {tuple(t for _, t, _ in sitetree.Page(h).blocks) for j, u, h in rows if u.split("/")[2] == url.split("/")[2]} - {tuple(own)}
+        want = [t for t in own if sum(t in o for o in others) / (len(others) + sitetree.PRIOR) < sitetree.MOST_PAGES]
+        assert got[i] == "\n".join(want), url
+    assert "Subscribe" not in got[5] and "Subscribe" in got[0] and "Subscribe" in got[100] and "some pages" in got[3]
+
+
+def test_formulas_stay_and_references_end_with_their_text(spark):
+    html = "<article><p>x <math><mi>y</mi></math> z</p><p>A &am<b>p;</b> B &<i>lt;</i> &lt;<button>Go</button></p><video>No video</video></article>"
+    assert text_of(html) == "x y z\nA &amp; B &lt; <\nNo video"
+    long = "<article><p>" + "word " * 300_000 + "</p></article>"
+    rows = spark.createDataFrame([(1, "u", long, "x"), (1, "u", long, "x"), (None, None, "<p>a", None)], SCHEMA + ", text string").withColumnRenamed("text", "host")
+    assert sorted((r["n_chars"], r["page_id"] or 0) for r in sitetree.extract(rows).collect()) == [(1, 0), (1_499_999, 1), (1_499_999, 1)]
+
+
 def test_wrappers_named_by_what_stands_beside_stay():
     body = "<h1>Title</h1><p>The text of the page, which is its longest part by far.</p>"
     want = "Title\nThe text of the page, which is its longest part by far."
