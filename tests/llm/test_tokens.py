@@ -28,6 +28,8 @@ def test_word_bpe_equals_the_library(spark, make_docs, monkeypatch):
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0, np.frombuffer(r["ids"], "<u4").tolist()) for r in out) == want
     assert all(r["text"] == t.decode(np.frombuffer(r["ids"], "<u4").tolist(), skip_special_tokens=False) for r in out)
     assert bpe.encode(make_docs([]), path).count() == 0
+    with pytest.raises(ValueError, match="white space"):
+        bpe.encode(make_docs([(1, "hello big world")]), tokenizer_file("byte_bpe_50k.json"))
 
 
 def test_byte_bpe_equals_the_library():
