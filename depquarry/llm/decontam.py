@@ -7,8 +7,9 @@ shingles are held against these prefix tokens alone; where one is met, the windo
 only, which must fit between the document's ends (positional and length bounds), and there the words
 are compared themselves.
 
-Items are dealt to blocks of bounded size, whose indices are files in the shared folder. Each task
-holds one block's index at a time, so a benchmark of any size is held against all documents.
+Items are dealt to blocks of bounded size, whose indices are files in the shared folder. A worker holds
+as many as fit HELD_BYTES, and reads the others again for each batch of documents, so a benchmark of any
+size is held against all documents; an item is in one block, however long.
 """
 
 from __future__ import annotations
@@ -80,17 +81,22 @@ def present(h: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return hit, at[hit]
 
 
-_held: dict[str, object] = {}
+#: Bytes of blocks' files that a worker keeps at once.
+HELD_BYTES = 24 << 20
+
+_held: dict[str, tuple[int, object]] = {}
 
 
 def held(path: str):
-    """A block's file; the last one read stays in the worker."""
+    """A block's file; those read last stay in the worker, up to HELD_BYTES."""
     if path not in _held:
-        _held.clear()
         files, at = filesystem(path)
         with files.open_input_file(at) as f:
-            _held[path] = pickle.loads(f.read())
-    return _held[path]
+            raw = f.read()
+        while _held and sum(n for n, _ in _held.values()) + len(raw) > HELD_BYTES:
+            del _held[next(iter(_held))]
+        _held[path] = len(raw), pickle.loads(raw)
+    return _held[path][1]
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 3) -> DataFrame:
