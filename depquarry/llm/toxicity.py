@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from depquarry.llm.common import LOWER, sliced, small_batches
@@ -29,6 +29,7 @@ class Settings:
     widths: tuple[int, ...] = (1, 2, 3)
     filters: int = 12
     rows_per_class: int = 3000
+    sample_bytes: int = 256 << 20
     calibration_share: int = 8
     epochs: int = 6
     rate: float = 0.01
@@ -218,7 +219,9 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, s: Settings = Settin
     """A model from the rows of ``labels`` (doc_id, toxic) for which ``usable`` (over doc_id) holds.
 
     Documents and labels join by doc_id; null labels, and labels without a document, are left out.
-    At most ``rows_per_class`` rows of each label reach the driver, whole texts each.
+    At most ``rows_per_class`` rows of each label and ``sample_bytes`` of their texts reach the driver, whole
+    texts each, in an order by a hash of doc_id. Of rows that repeat a doc_id that with the least text counts,
+    of labels that contradict each other the larger.
     """
     marked = labels.select("doc_id", "toxic").where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).where(usable).distinct()
     picked = None
@@ -226,7 +229,10 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, s: Settings = Settin
         some = marked.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.rows_per_class)
         picked = some if picked is None else picked.unionByName(some)
     cols = [F.col("lang") if "lang" in docs.columns else F.lit("").alias("lang")]
-    got = docs.select("doc_id", "text", *cols).join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id")
+    got = docs.select("doc_id", "text", *cols).join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("row"), F.max("toxic").alias("toxic"))
+    # as many rows as were picked
+    sofar = F.sum(F.coalesce(F.octet_length("row.text"), F.lit(0)).cast("long")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    got = got.withColumn("sofar", sofar).where(F.col("sofar") <= s.sample_bytes).select("doc_id", "row.*", "toxic").orderBy("doc_id")
     texts, y, lang, out = [], [], [], []
     for r in got.toLocalIterator():
         texts.append(r["text"])
