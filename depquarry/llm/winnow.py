@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from depquarry.llm.common import order_bounds, range_bucket, shuffle_partitions
+from depquarry.llm.common import order_bounds, range_bucket, shuffle_partitions, small_batches
 
 SPAN, REACH = 16, 32
 #: Code points on one side of a joint that windows across it can hold.
@@ -156,6 +156,7 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     number each. Repeated rows follow each other; a lone row follows itself; no rows give none. Every text is
     fingerprinted once: an edited one has the grams of its two parts, and new ones where they meet.
     """
+    small_batches(docs)
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("kept", kept_spans(F.col("text")))
     x = with_next(own, ["text", "kept"])
     n = F.char_length("text")
