@@ -27,8 +27,8 @@ from depquarry.llm.components import connected_components
 #: Of a set's bitmap, by which pairs are ruled out.
 BITS = 2048
 
-#: Under a key with more sets than this, pairs are sought by shared rare shingles instead.
-ALL_PAIRS = 64
+#: Under a key with more components than this, pairs are sought by shared rare shingles instead.
+ALL_PAIRS = 256
 
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -237,8 +237,8 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     are held against one and then four members picked by a hash that differs by key; last, every pair
     across the components that are left, within the signature distance and of sizes and bitmaps that
     allow the similarity. So a large group of copies costs a few stars, and no link between components is lost.
-    Under keys that still have over ALL_PAIRS members, as with pages of one template, those pairs are sought by
-    the rarest shingles of the members, which every similar enough pair shares: exact, without all pairs.
+    Under keys that still have over ALL_PAIRS components, as with pages of one template, those pairs are sought
+    by the rarest shingles of the members, which every similar enough pair shares: exact, without all pairs.
 
     Null, empty and blank texts have no shingles and stay alone. A null doc_id keeps its row and links as
     others do; its component is the smallest doc_id of its component's rows if there is one, else null, and
@@ -272,12 +272,14 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
             y = open_.groupBy("key").agg(F.array(*[of(r) for r in range(picks)]).alias("picked")).select("key", F.explode(F.array_distinct("picked")).alias("y")).select("key", "y.cls", "y.n", "y.root", "y.nib", "y.spare", "y.bits").alias("y")
             order = F.col("x.cls") != F.col("y.cls")
         else:
-            many = open_.groupBy("key").count().where(F.col("count") > ALL_PAIRS).select("key")
-            crowd = open_.join(many, "key").dropDuplicates(["cls"])
-            firsts = rare_prefixes(sets.join(crowd.select("cls"), "cls", "left_semi"), p.percent)
-            # the keys of the crowded members are their rare shingles from here on
-            firsts = firsts.join(crowd.drop("key"), "cls").select(F.col("item").alias("key"), *[c for c in open_.columns if c != "key"])
-            open_ = written(open_.join(many, "key", "left_anti").unionByName(firsts.select(*open_.columns)), "minhash-pairs")
+            many = open_.groupBy("key").agg(F.count_distinct("root").alias("roots")).where(F.col("roots") > ALL_PAIRS).select("key")
+            crowd = written(open_.join(many, "key"), "minhash-crowd")
+            if not crowd.isEmpty():
+                firsts = rare_prefixes(sets.join(crowd.select("cls").distinct(), "cls", "left_semi"), p.percent)
+                # the keys of the crowded members are their rare shingles from here on
+                firsts = firsts.join(crowd.dropDuplicates(["cls"]).drop("key"), "cls").select(F.col("item").alias("key"), *[c for c in open_.columns if c != "key"])
+                rest = open_.join(crowd.select("key").distinct(), "key", "left_anti")
+                open_ = written(rest.unionByName(firsts.select(*open_.columns)), "minhash-pairs")
             x, y, order = open_.alias("x"), open_.alias("y"), F.col("x.cls") < F.col("y.cls")
         close = order & (F.col("x.root") != F.col("y.root")) & near(F.col("x.nib"), F.col("y.nib"), p) & may_link(of_row("x"), of_row("y"), p.percent)
         pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & close).select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"), F.least("x.root", "y.root").alias("ra"), F.greatest("x.root", "y.root").alias("rb")).distinct()
