@@ -254,3 +254,8 @@ def compound_reading(text: Column, ids: Column) -> Column:
         shape.alias("shape"), F.when(shape == "bundled", F.slice(F.transform(at, lambda x: x["id"]), 1, 1)).otherwise(own).alias("own"),
         F.when(shape == "bundled", F.array_sort(F.transform(later, lambda x: x["id"]))).otherwise(none).alias("bundled"),
     )
+
+
+def holder_contains(text: Column, part: str) -> Column:
+    """Whether a text names a holder by a part of its name, in any case; null texts and an empty part name none."""
+    return F.coalesce(F.lit(part != "") & F.lower(text).contains(part.lower()), F.lit(False))

@@ -8,6 +8,7 @@ round. No node or edge is collected.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,9 +28,19 @@ def confidence_name(rank: Column) -> Column:
 
 
 def _checkpoints(spark: SparkSession) -> None:
+    """The folder of ``spark.checkpoint.dir``; a temporary one only where it is unset and all runs on this machine."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="depquarry-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="depquarry-"))
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder."""
+    _checkpoints(spark)
+    return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def _grown(settled: DataFrame, step: DataFrame, rounds: int) -> DataFrame:

@@ -126,3 +126,9 @@ def truncated(df: DataFrame, order: list[Column], limit: int) -> tuple[DataFrame
     """The first ``limit`` rows, and whether there are more: one row more is asked for, nothing is counted."""
     more = df.orderBy(*order).limit(limit + 1)
     return df.orderBy(*order).limit(limit), more.count() > limit
+
+
+def first_rows(df: DataFrame, order: list[Column], limit: int) -> DataFrame:
+    """The first ``limit`` rows with ``more``: whether others were cut off."""
+    rows, more = truncated(df, order, limit)
+    return rows.withColumn("more", F.lit(more))

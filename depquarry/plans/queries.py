@@ -63,17 +63,17 @@ def snk_05_upsert_latest(spark, sf_dir):
     return store.upsert(newest.where(F.col("id") <= half), newest.where(F.col("id") > half), ["k"], "taken")
 
 
-@query("""SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')""")
+@query("""SELECT DISTINCT l_partkey AS part, l_suppkey AS supplier FROM lineitem WHERE l_returnflag <> 'R' AND NOT EXISTS (SELECT 1 FROM lineitem x WHERE x.l_returnflag = 'R' AND x.l_partkey = lineitem.l_partkey AND x.l_suppkey = lineitem.l_suppkey)""")
 def snk_01_idempotent_append(spark, sf_dir):
-    x = t(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("k"), "l_returnflag")
-    return store.append_new(x.where("l_returnflag = 'R'").select("k"), x.where("l_returnflag <> 'R'").select("k"), ["k"])
+    x = t(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier"), "l_returnflag")
+    return store.append_new(x.where("l_returnflag = 'R'").drop("l_returnflag"), x.where("l_returnflag <> 'R'").drop("l_returnflag"), ["part", "supplier"])
 
 
 @query(cte("deps") + """, e AS (SELECT src, list_sort(list(DISTINCT dst)) AS depends_on FROM deps GROUP BY src)
-SELECT 'c' || CAST(c_custkey AS STRING) AS ref, coalesce(e.depends_on, []) AS depends_on FROM customer LEFT JOIN e ON e.src = 'c' || CAST(c_custkey AS STRING)""")
+SELECT 'c' || CAST(c_custkey AS STRING) AS ref, '{"type":"library","name":"' || c_name || '","version":"v1","purl":"c' || CAST(c_custkey AS STRING) || '","licence":"' || c_mktsegment || '"}' AS component, coalesce(e.depends_on, []) AS depends_on FROM customer LEFT JOIN e ON e.src = 'c' || CAST(c_custkey AS STRING)""")
 def snk_07_bill_of_materials(spark, sf_dir):
     c = t(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("ref"), F.col("c_name").alias("name"), F.lit("v1").alias("version"), F.col("c_mktsegment").alias("licence"))
-    return store.bill_of_materials(c, carrier(spark, sf_dir, "deps")).select("ref", "depends_on")
+    return store.bill_of_materials(c, carrier(spark, sf_dir, "deps"))
 
 
 @query(cte("mods", "licences") + """, r AS (SELECT m.path, m.version, min(CASE WHEN l.expression = '' THEN 'None' WHEN l.expression LIKE '%OR%' THEN 'Ambiguous' ELSE 'Detected' END) AS status, list_sort(list(DISTINCT m.brand)) AS c FROM mods m JOIN licences l ON m.id = l.id WHERE m.size > 5 GROUP BY m.path, m.version)
@@ -104,9 +104,9 @@ def flt_02_latest_with_ties(spark, sf_dir):
     return compose.latest_with_ties(t(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate"), ["o_custkey"], "o_orderdate")
 
 
-@query("""SELECT doc_id FROM documents WHERE text IS NOT NULL AND contains(lower(text), 'copyright')""")
+@query("""SELECT s_suppkey, s_name FROM supplier WHERE contains(lower(s_name), '0003')""")
 def flt_04_holder_contains(spark, sf_dir):
-    return t(spark, sf_dir, "documents").where(F.lower("text").contains("copyright")).select("doc_id")
+    return t(spark, sf_dir, "supplier").where(licence.holder_contains(F.col("s_name"), "0003")).select("s_suppkey", "s_name")
 
 
 @query("""SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-05 00:00:00' AND ts <= TIMESTAMP '2024-01-20 00:00:00' AND event_type = 'error' AND (user_id % 3 <> 0 OR user_id % 9 = 3)""")
@@ -273,11 +273,13 @@ def grf_05_dependents(spark, sf_dir):
 
 
 @query(cte("deps", recursive=True) + """, b(node, d) AS (SELECT 'o' || CAST(o_orderkey AS STRING), 0 FROM orders WHERE o_custkey = 3 UNION SELECT dst, d + 1 FROM b JOIN deps ON src = node WHERE d < 5),
-h AS (SELECT node, min(d) AS depth FROM b WHERE node IN ('r0', 'r1', 'r2', 'r3', 'r4') GROUP BY node)
-SELECT node, depth FROM h WHERE depth = (SELECT min(depth) FROM h)""")
+f AS (SELECT node, min(d) AS d FROM b GROUP BY node), h AS (SELECT node, d FROM f WHERE node IN ('r0', 'r1', 'r2', 'r3', 'r4')),
+before AS (SELECT dst AS node, min(src) AS pred FROM deps JOIN f x ON x.node = src JOIN f y ON y.node = dst AND y.d = x.d + 1 GROUP BY dst),
+p(node, place, left_over, path) AS (SELECT node, node, d, node FROM h WHERE d = (SELECT min(d) FROM h) UNION ALL SELECT p.node, pred, left_over - 1, pred || '>' || path FROM p JOIN before ON before.node = place WHERE left_over > 0)
+SELECT p.node, h.d AS depth, path FROM p JOIN h ON p.node = h.node WHERE left_over = 0""")
 def grf_06_shortest_path(spark, sf_dir):
     entries = t(spark, sf_dir, "orders").where("o_custkey = 3").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("node"))
-    return graph.shortest_path(carrier(spark, sf_dir, "deps"), entries, _roots(spark, "r0", "r1", "r2", "r3", "r4")).select("node", "depth")
+    return graph.shortest_path(carrier(spark, sf_dir, "deps"), entries, _roots(spark, "r0", "r1", "r2", "r3", "r4")).select("node", "depth", F.array_join("path", ">").alias("path"))
 
 
 RANK = "CASE confidence WHEN 'Direct' THEN 4 WHEN 'VTA' THEN 3 WHEN 'Framework' THEN 2 WHEN 'CHA-overapprox' THEN 1 ELSE 0 END"

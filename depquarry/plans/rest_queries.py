@@ -22,16 +22,18 @@ def _node(prefix, column):
 # ---- sources and sinks -------------------------------------------------------------------------------
 
 
-@query("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey = 17")
+@query("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey % 7 <> 0")
 def src_03_point_read(spark, sf_dir):
+    """Every seventh order is altered after its hash was stored."""
     row = F.struct("o_orderkey", "o_custkey", "o_orderstatus")
-    x = t(spark, sf_dir, "orders").where("o_orderkey = 17").select("o_orderkey", "o_custkey", "o_orderstatus").withColumn("hash", text.canonical_hash(row))
+    x = t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus").withColumn("hash", text.canonical_hash(row))
+    x = x.withColumn("o_orderstatus", F.when(C("o_orderkey") % 7 == 0, "altered").otherwise(C("o_orderstatus")))
     return store.verified(x, row, "hash").drop("hash")
 
 
 @query("SELECT event_id, ts, value FROM events WHERE user_id = 8 AND event_type = 'view'")
 def src_04_generations(spark, sf_dir):
-    return t(spark, sf_dir, "events").where("user_id = 8 AND event_type = 'view'").select("event_id", "ts", "value").orderBy(C("ts").desc(), C("event_id").desc())
+    return store.generations(t(spark, sf_dir, "events"), {"user_id": 8, "event_type": "view"}, ["ts", "event_id"]).select("event_id", "ts", "value")
 
 
 @query("""SELECT n_name AS path, CAST(json_extract_string(props, '$.k') AS INTEGER) AS fixed, count(*) AS n FROM events JOIN nation ON user_id % 25 = n_nationkey GROUP BY ALL""")
@@ -40,9 +42,9 @@ def src_12_index_decode(spark, sf_dir):
     return e.join(t(spark, sf_dir, "nation"), "n_nationkey").groupBy(C("n_name").alias("path"), C("p.k").alias("fixed")).agg(F.count("*").alias("n"))
 
 
-@query("""SELECT r_regionkey, '{"r_regionkey":' || CAST(r_regionkey AS STRING) || ',"r_name":"' || r_name || '"}' AS line FROM region""")
+@query("""SELECT '{"c_custkey":' || CAST(c_custkey AS STRING) || ',"c_name":"' || c_name || '","c_mktsegment":"' || c_mktsegment || '"}' AS line FROM customer""")
 def snk_06_json_lines(spark, sf_dir):
-    return t(spark, sf_dir, "region").select("r_regionkey", F.to_json(F.struct("r_regionkey", "r_name")).alias("line"))
+    return store.reread_json_lines(t(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment"), graph.shared_path(spark, "lines"))
 
 
 # ---- filters -----------------------------------------------------------------------------------------

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from depquarry.functions.text import canonical_hash
+
 
 def open_store(spark: SparkSession, folder: str, names: list[str]) -> dict[str, DataFrame]:
     """The Parquet tables of a folder by name, registered as views too."""
@@ -25,6 +27,30 @@ def append_new(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFram
     return new.dropDuplicates(keys).join(existing.select(*keys), keys, "left_anti")
 
 
+def append_hashed(existing: DataFrame, new: DataFrame, row: Column) -> DataFrame:
+    """The rows of ``new`` whose content hash (of ``row``) is not among the hashes of ``existing``, each content once, with ``hash``."""
+    return append_new(existing.withColumn("hash", canonical_hash(row)), new.withColumn("hash", canonical_hash(row)), ["hash"])
+
+
+def generations(records: DataFrame, key: dict[str, object], order: list[str], newest_first: bool = True) -> DataFrame:
+    """The records of one key in the order of ``order``; of a key that is not there, none. A null in ``key`` matches nulls."""
+    for column, value in key.items():
+        records = records.where(F.col(column).eqNullSafe(F.lit(value)))
+    return records.orderBy(*[F.col(c).desc() if newest_first else F.col(c).asc() for c in order])
+
+
+def existing_of(wanted: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
+    """``wanted`` with ``known``: whether a row of ``known`` has its keys. Null keys are never known."""
+    there = known.select(*keys).distinct().withColumn("known", F.lit(True))
+    return wanted.join(there, keys, "left").withColumn("known", F.coalesce("known", F.lit(False)))
+
+
+def reread_json_lines(df: DataFrame, path: str) -> DataFrame:
+    """Writes ``df`` as JSON lines and returns the lines (line) as they were written."""
+    write_json_lines(df, path)
+    return df.sparkSession.read.text(path).select(F.col("value").alias("line"))
+
+
 def upsert(existing: DataFrame, new: DataFrame, keys: list[str], at: str) -> DataFrame:
     """One row per key, the newest by ``at``; of equal times the new one."""
     both = existing.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
