@@ -19,12 +19,29 @@ def intervals(events: DataFrame, keys: list[str]) -> DataFrame:
     return x.select(*keys, F.col("version").alias("lo"), F.when(F.col("_next.kind") == "fixed", F.col("_next.version")).alias("hi"))
 
 
+def _bounds(lo: Column, hi: Column) -> tuple[Column, Column]:
+    """Sort keys of a range's bounds; null where it has none: "0", empty, null or unreadable."""
+    return F.when(~lo.isin("", "0"), semver.key(semver.v_prefixed(lo))), semver.key(semver.v_prefixed(hi))
+
+
+def _within(v: Column, lo: Column, hi: Column) -> Column:
+    return v.isNull() | (F.coalesce(lo <= v, F.lit(True)) & F.coalesce(v < hi, F.lit(True)))
+
+
 def in_interval(version: Column, lo: Column, hi: Column) -> Column:
     """lo <= version < hi by semver; no lower or upper bound where it is "0", empty or null; an unreadable version is inside."""
-    v = semver.key(semver.v_prefixed(version))
-    low = lo.isNull() | lo.isin("", "0") | (semver.key(semver.v_prefixed(lo)) <= v)
-    high = hi.isNull() | (hi == "") | (v < semver.key(semver.v_prefixed(hi)))
-    return v.isNull() | (F.coalesce(low, F.lit(True)) & F.coalesce(high, F.lit(True)))
+    return _within(semver.key(semver.v_prefixed(version)), *_bounds(lo, hi))
+
+
+def with_ranges(modules: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Modules (path, version) with the ranges (lo, hi) of their path, and ``inside`` as ``in_interval`` has it.
+
+    Sort keys are read off once for each row of either side, before the join; its pairs only compare them.
+    """
+    lo, hi = _bounds(F.col("lo"), F.col("hi"))
+    m = modules.withColumn("_v", semver.key(semver.v_prefixed(F.col("version"))))
+    x = m.join(ranges.withColumn("_lo", lo).withColumn("_hi", hi), "path")
+    return x.withColumn("inside", _within(F.col("_v"), F.col("_lo"), F.col("_hi"))).drop("_v", "_lo", "_hi")
 
 
 def affected(modules: DataFrame, ranges: DataFrame, advisories: DataFrame) -> DataFrame:
@@ -33,7 +50,7 @@ def affected(modules: DataFrame, ranges: DataFrame, advisories: DataFrame) -> Da
     ``ranges`` (id, path, lo, hi). An advisory that names a path without any range covers every version.
     """
     m = modules.select("path", "version").distinct()
-    ranged = m.join(ranges, "path").where(in_interval(F.col("version"), F.col("lo"), F.col("hi"))).groupBy("path", "version", "id").agg(F.min("hi").alias("fix"))
+    ranged = with_ranges(m, ranges).where("inside").groupBy("path", "version", "id").agg(F.min("hi").alias("fix"))
     bare = advisories.select("id", "path").distinct().join(ranges.select("id", "path").distinct(), ["id", "path"], "left_anti")
     return ranged.unionByName(m.join(bare, "path").select("path", "version", "id", F.lit(None).cast("string").alias("fix")))
 
@@ -80,8 +97,7 @@ def last_containing(walks: DataFrame, members: DataFrame, newest: int = 50) -> D
 def judged(modules: DataFrame, ranges: DataFrame, withdrawn: DataFrame) -> DataFrame:
     """(path, version, id, verdict): every advisory on a module's path judged: unjudgeable version, withdrawn, affected, not affected."""
     m = modules.select("path", "version").distinct()
-    inside = F.max(in_interval(F.col("version"), F.col("lo"), F.col("hi")))
-    x = m.join(ranges, "path").groupBy("path", "version", "id").agg(inside.alias("_in")).join(withdrawn.select("id", F.lit(True).alias("_w")).distinct(), "id", "left")
+    x = with_ranges(m, ranges).groupBy("path", "version", "id").agg(F.max("inside").alias("_in")).join(withdrawn.select("id", F.lit(True).alias("_w")).distinct(), "id", "left")
     verdict = F.when(~semver.is_valid(semver.v_prefixed(F.col("version"))), "unjudgeable").when(F.col("_w"), "withdrawn").when(F.col("_in"), "affected").otherwise("not affected")
     return x.select("path", "version", "id", verdict.alias("verdict"))
 

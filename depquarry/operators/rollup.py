@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +24,31 @@ def placed(df: DataFrame, keys: list[str]) -> DataFrame:
     return ranged.withColumn("place", F.row_number().over(Window.partitionBy("_range").orderBy(*keys)) + offset).drop("_range")
 
 
+def _beside(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """``left`` with the other columns of ``right``, which has a row for each of its keys, null ones included."""
+    r = right.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+    return left.join(r, same).drop(*[f"_k_{k}" for k in keys])
+
+
+def placed_in(df: DataFrame, keys: list[str], position: str) -> DataFrame:
+    """``df`` with its ``place`` from 1 in the order of ``position`` within its group of ``keys``.
+
+    Groups are cut into ranges and numbered a range at a time, so a group of any size is no single
+    task's sort; what a group has in the ranges before is added, from one row for each group and range.
+    """
+    from depquarry.operators.graph import _checkpoints
+
+    _checkpoints(df.sparkSession)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # cut here, so both reads see the same ranges
+    ranged = df.repartitionByRange(parts, *keys, position).withColumn("_range", F.spark_partition_id()).checkpoint()
+    earlier = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    n = ranged.groupBy(*keys, "_range").agg(F.count("*").alias("_n")).withColumn("_earlier", F.coalesce(earlier, F.lit(0))).drop("_n")
+    own = F.row_number().over(Window.partitionBy("_range", *keys).orderBy(position))
+    return _beside(ranged.withColumn("_own", own), n, [*keys, "_range"]).withColumn("place", F.col("_own") + F.col("_earlier")).drop("_own", "_earlier", "_range")
+
+
 def findings_axis(df: DataFrame, keys: list[str], finding: str, withdrawn: str) -> DataFrame:
     """(keys, n_findings, axis): Clean without a finding, Affected with one that stands, Withdrawn with others alone."""
     g = df.groupBy(*keys).agg(F.count(finding).alias("n_findings"), F.count_if(F.col(finding).isNotNull() & ~F.coalesce(F.col(withdrawn), F.lit(False))).alias("_stand"))
@@ -97,10 +124,11 @@ def merkle_roots(leaves: DataFrame, keys: list[str], position: str, data: Column
 
     Leaf hashes are of 0x00 and the data, inner ones of 0x01 and both children; a tree splits at the
     largest power of two below its size. Level by level, neighbours at places 2k and 2k + 1 meet in one
-    row, and a last one without a neighbour rises as it is: that gives the same tree.
+    row, and a last one without a neighbour rises as it is: that gives the same tree. Positions are
+    unique in a group.
     """
     h = F.sha2(F.concat(F.unhex(F.lit("00")), data.cast("binary")), 256)
-    x = leaves.select(*keys, (F.row_number().over(Window.partitionBy(*keys).orderBy(position)) - 1).alias("_i"), h.alias("_h"))
+    x = placed_in(leaves.select(*keys, F.col(position).alias("_at"), h.alias("_h")), keys, "_at").select(*keys, (F.col("place") - 1).alias("_i"), "_h")
     sizes = x.groupBy(*keys).agg(F.count("*").alias("n_leaves"))
     most = sizes.agg(F.max("n_leaves")).first()[0] or 0
     while most > 1:
@@ -110,10 +138,23 @@ def merkle_roots(leaves: DataFrame, keys: list[str], position: str, data: Column
     return sizes.join(x.select(*keys, F.col("_h").alias("root")), keys)
 
 
-def fault_bounds(lines: DataFrame, order: str, at: str, keys: list[str] | None = None) -> DataFrame:
-    """``lines`` with ``after`` and ``before``: the nearest times stated before and behind each line."""
-    w = Window.partitionBy(*(keys or [])).orderBy(order)
-    return lines.withColumn("after", F.last(at, True).over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("before", F.first(at, True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+def fault_bounds(lines: DataFrame, order: str, at: str, keys: list[str] | None = None, block: Column | None = None) -> DataFrame:
+    """``lines`` with ``after`` and ``before``: the nearest times stated before and behind each line.
+
+    ``block`` rises with the order and cuts it into parts: each is a window of its own, and what it
+    lacks comes from the blocks around it, of which one row each is compared.
+    """
+    by = [*(keys or []), *(["_block"] if block is not None else [])]
+    x = lines if block is None else lines.withColumn("_block", block)
+    w = Window.partitionBy(*by).orderBy(order)
+    x = x.withColumn("after", F.last(at, True).over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("before", F.first(at, True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    if block is None:
+        return x
+    stated = F.when(F.col(at).isNotNull(), F.col(order))
+    ends = lines.withColumn("_block", block).groupBy(*by).agg(F.max_by(at, stated).alias("_last"), F.min_by(at, stated).alias("_first"))
+    c = Window.partitionBy(*(keys or [])).orderBy("_block")
+    ends = ends.select(*by, F.last("_last", True).over(c.rowsBetween(Window.unboundedPreceding, -1)).alias("_last"), F.first("_first", True).over(c.rowsBetween(1, Window.unboundedFollowing)).alias("_first"))
+    return _beside(x, ends, by).withColumn("after", F.coalesce("after", "_last")).withColumn("before", F.coalesce("before", "_first")).drop("_block", "_last", "_first")
 
 
 def page(df: DataFrame, order: list[Column], limit: int = 0, offset: int = 0) -> DataFrame:

@@ -413,7 +413,12 @@ def agg_13_value_conflicts(spark, sf_dir):
     return rollup.value_conflicts(carrier(spark, sf_dir, "gens"), ["module"], "identity", "event_id")
 
 
-@query()
+@query("""WITH RECURSIVE l AS (
+  SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i, sha256('\\x00'::BLOB || o_orderkey::VARCHAR::BLOB) AS h,
+    count(*) OVER (PARTITION BY o_custkey) AS n, count(*) OVER (PARTITION BY o_custkey) AS n_leaves FROM orders
+  UNION ALL SELECT o_custkey, i // 2, CASE WHEN count(*) = 1 THEN max(h) ELSE sha256('\\x01'::BLOB || unhex(min_by(h, i)) || unhex(max_by(h, i))) END, (n + 1) // 2, n_leaves
+    FROM l WHERE n > 1 GROUP BY o_custkey, i // 2, n, n_leaves)
+SELECT o_custkey, n_leaves, h AS root FROM l WHERE n = 1""")
 def agg_20_merkle_root(spark, sf_dir):
     return rollup.merkle_roots(t(spark, sf_dir, "orders"), ["o_custkey"], "o_orderkey", F.col("o_orderkey").cast("string"))
 

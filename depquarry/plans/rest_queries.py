@@ -98,7 +98,7 @@ def jon_08_index_interval(spark, sf_dir):
     i = carrier(spark, sf_dir, "advisories").withColumn("fixed", F.when(C("id") < "Brand#2", "").otherwise("1.7.2"))
     m = carrier(spark, sf_dir, "mods").select("path", "version").distinct()
     # "latest" has no order, so it counts as affected
-    return m.join(i, "path").where(joins.in_interval(C("version"), F.lit(""), C("fixed"))).select("path", "version", "id")
+    return joins.with_ranges(m, i.select("id", "path", F.lit("").alias("lo"), C("fixed").alias("hi"))).where("inside").select("path", "version", "id")
 
 
 @query("""SELECT p_partkey, min(s_name) AS doc, count(DISTINCT l_orderkey) AS examples FROM part LEFT JOIN supplier ON s_suppkey = p_partkey LEFT JOIN lineitem ON l_partkey = p_partkey AND l_quantity > 49 GROUP BY p_partkey""")

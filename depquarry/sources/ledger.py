@@ -24,9 +24,12 @@ def decoded(lines: DataFrame, raw: str = "raw") -> DataFrame:
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of a JSON-lines file in order, decoded, with the times around each fault. ``path`` names one file."""
+    """Lines of a JSON-lines file in order, decoded, with the times around each fault. ``path`` names one file.
+
+    The high bits of a line's number are those of the split that it was read from: blocks of the order.
+    """
     text = spark.read.text(path).withColumn("line", F.monotonically_increasing_id()).withColumnRenamed("value", "raw")
-    return fault_bounds(decoded(text.where("raw <> ''")), "line", "ts")
+    return fault_bounds(decoded(text.where("raw <> ''")), "line", "ts", block=F.shiftright("line", 33))
 
 
 def matches(since: str | None = None, until: str | None = None, event: str | None = None, module: str | None = None, version: str | None = None) -> Column:

@@ -131,6 +131,23 @@ def test_places_over_many_ranges(spark):
     assert rollup.placed(spark.createDataFrame([], "a int"), ["a"]).count() == 0
 
 
+def test_places_within_groups_over_many_ranges(spark):
+    rng = random.Random(5)
+    rows = [("hot" if i % 2 else rng.choice(["a", "b", None]), i) for i in rng.sample(range(2000), 600)]
+    got = {(r["k"], r["i"]): r["place"] for r in rollup.placed_in(spark.createDataFrame(rows, "k string, i int").repartition(5), ["k"], "i").collect()}
+    assert got == {(k, i): 1 + sum(k == k2 and j < i for k2, j in rows) for k, i in rows}
+
+
+def test_fault_bounds_over_blocks_are_those_of_one_window(spark):
+    rng = random.Random(6)
+    rows = [(i, rng.choice(["a", None]), rng.choice([None, None, None, 1000 + i])) for i in range(200)] + [(i, "b", None) for i in range(200, 230)]
+    df = spark.createDataFrame(rows, "i int, k string, at int")
+    for keys in (None, ["k"]):
+        one = rollup.fault_bounds(df, "i", "at", keys).collect()
+        parts = rollup.fault_bounds(df, "i", "at", keys, block=F.floor(F.col("i") / 7)).select("i", "k", "at", "after", "before").collect()
+        assert sorted(map(tuple, parts), key=lambda r: r[0]) == sorted(map(tuple, one), key=lambda r: r[0])
+
+
 def test_edge_order_covers_every_edge(spark, small):
     from depquarry.plans.carriers import carrier
     from depquarry.plans.registry import QUERIES
