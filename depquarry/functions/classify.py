@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from depquarry.functions import semver
+from depquarry.functions import catalogues, semver
 
 
 def directive_risk(kind: Column, is_local: Column, new_path: Column, old_path: Column, old_version: Column, resolved: Column) -> Column:
@@ -55,24 +55,60 @@ def sinks(node_id: Column, unsafe: Column, assembly: Column, plugin: Column, bel
     return F.array_sort(F.array_distinct(F.filter(found, lambda s: s.isNotNull())))
 
 
-#: A scan failure's reason by what its text names; the first that fits holds.
-SCAN_FAILURES = (
-    ("go.work", "workspace file"), ("workspace mode", "workspace mode"), ("replacement directory", "replacement directory missing"), ("build constraints exclude all go files", "built for another system"),
-    ("fatal error: ", "C header missing"), ("missing go.sum entry", "checksum entry missing"), ("no required module provides package", "module missing"), ("dial tcp", "network unavailable"), ("out of memory", "out of memory"),
-)
+def scan_failure(text: Column) -> Column:
+    """The reason of a failed scan from its message; null for an empty one."""
+    low, out = F.lower(text), F.lit(None).cast("string")
+    for reason, patterns in reversed(catalogues.SCAN_FAILURES):
+        found = F.lit(True)
+        for p in patterns:
+            found = found & low.rlike(p)
+        out = F.when(found, reason).otherwise(out)
+    return F.when(F.coalesce(text, F.lit("")) != "", out)
 
 
-def scan_failure(text: Column) -> Column:
-    low, out = F.lower(text), F.lit("unclassified")
-    for part, reason in reversed(SCAN_FAILURES):
-        out = F.when(low.contains(part), reason).otherwise(out)
-    return F.when(text.isNull() | (text == ""), F.lit(None)).otherwise(out)
+def is_build_failure(text: Column) -> Column:
+    """Whether a failed scan's message is of a module that can't be loaded or built."""
+    return F.coalesce(F.lower(text).rlike(catalogues.BUILD_FAILURES), F.lit(False))
+
+
+def unresolved_coordinate(text: Column) -> Column:
+    """struct(path, version) that the first line of a refused lookup names last before it; null if none does.
+
+    Positions in source files, whose paths are absolute or whose "versions" hold slashes and colons, are no coordinates.
+    """
+
+    def named(line: Column) -> Column:
+        before = F.regexp_replace(F.regexp_extract(line, r"(?i)^(.*?)module lookup disabled by goproxy=off", 1), r":?\s*$", "")
+        token = F.regexp_replace(F.regexp_extract(before, r"(\S+)\s*$", 1), ":$", "")
+        path, version = (F.regexp_extract(token, "^([^/].*)@(v[^@/:]+)$", i) for i in (1, 2))
+        return F.when((path != "") & semver.is_valid(version), F.struct(path.alias("path"), version.alias("version")))
+
+    return F.get(F.filter(F.transform(F.split(text, "\n"), named), lambda c: c.isNotNull()), 0)
+
+
+def offline_reason(has_build_list: Column, recovered: Column, known: Column) -> Column:
+    """The reason of a refused lookup: without a version to hold against the build list, nothing is proven; a known one is the cache's fault."""
+    return (
+        F.when(~has_build_list, "version-not-in-toolchain").when(~recovered, "version-not-in-toolchain-unverified")
+        .when(known, "incomplete-scan-cache").otherwise("version-not-in-toolchain")
+    )
 
 
-def capability(sink: Column, table: dict[str, str]) -> Column:
-    """The capability of a sink symbol: that of the function if it is named, else of its package, else null."""
-    of = F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.lit(v))])
-    return F.coalesce(F.try_element_at(of, sink), F.try_element_at(of, F.regexp_extract(sink, r"^(.*)\.[^./]*$", 1)))
+def _looked_up(table: dict[str, str], name: Column) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for k, v in table.items() for x in (k, v)]), name)
+
+
+def capability(package: Column, receiver: Column, symbol: Column) -> Column:
+    """The capability of a function: its own if the catalogue names it, else its package's, else null. Pointer receivers count as their types."""
+    kind = F.regexp_replace(F.coalesce(receiver, F.lit("")), r"^\*", "")
+    name = F.concat(package, F.lit("."), F.when(kind == "", symbol).otherwise(F.concat(kind, F.lit("."), symbol)))
+    return F.coalesce(_looked_up(catalogues.FUNCTION_CAPABILITIES, name), _looked_up(catalogues.PACKAGE_CAPABILITIES, package))
+
+
+def node_capabilities(package: Column, receiver: Column, symbol: Column, unsafe: Column, assembly: Column) -> Column:
+    """All capabilities of a call node: its name's, and what its body uses; each once."""
+    own = F.array(capability(package, receiver, symbol), F.when(unsafe, "UNSAFE_POINTER"), F.when(assembly, "ARBITRARY_EXECUTION"))
+    return F.array_distinct(F.array_compact(own))
 
 
 def exit_code(status: Column) -> Column:
@@ -146,8 +182,40 @@ def audit_cell(findings: Column, coverage: Column, n: Column) -> Column:
     return F.when(findings.isNull(), "not scanned").when(findings == "Affected", F.concat(n.cast("string"), F.lit(" affected"))).when(findings == "Withdrawn", "withdrawn only").when(coverage == "Analysed", "clean").otherwise(F.concat(F.lit("gap: "), F.lower(coverage)))
 
 
-def godebug_tier(setting: Column, tiers: dict[str, str]) -> Column:
-    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for k, v in tiers.items() for x in (k, v)]), setting), F.lit("unknown"))
+def godebug_tier(setting: Column, tiers: dict[str, str] | None = None) -> Column:
+    return F.coalesce(_looked_up(tiers or catalogues.GODEBUG_TIERS, setting), F.lit("unknown"))
+
+
+def fips_variant(toolchain: Column, go_version: Column, fips140: Column) -> Column:
+    """Which FIPS-capable build a toolchain is: one that its name marks, or a stock one new enough whose setting asks for it; else empty."""
+    out, v = F.lit(""), F.concat(F.lit("v"), go_version)
+    asked = ~F.coalesce(fips140, F.lit("")).isin("", "off")
+    out = F.when(asked & (semver.key(v) >= semver.key(F.lit("v" + catalogues.FIPS_NATIVE_SINCE))), catalogues.FIPS_NATIVE).otherwise(out)
+    for name, part in reversed(catalogues.FIPS_TOOLCHAINS.items()):
+        out = F.when(toolchain.contains(part), name).otherwise(out)
+    return out
+
+
+def is_non_fips_package(package: Column) -> Column:
+    return F.coalesce(package.isin(*catalogues.NON_FIPS_PACKAGES), F.lit(False))
+
+
+def fips_assessment(variant: Column, go_version: Column, fips140: Column, packages: Column, modules: Column) -> Column:
+    """One line on eligibility, from the variant, sorted packages of algorithms outside FIPS and sorted modules with C cryptography."""
+    v, said = F.concat(F.lit("v"), go_version), lambda *c: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in c])
+    native, floor = semver.key(v) >= semver.key(F.lit("v" + catalogues.FIPS_NATIVE_SINCE)), catalogues.FIPS_NATIVE_SINCE
+    state = F.when(fips140 == "off", "is set to off").otherwise("is not set")
+    # fixed values: the texts
+    off = said("not enabled: toolchain go", go_version, " ships native FIPS 140-3 but the fips140 directive ", state, "; set //go:debug fips140=on (or GODEBUG=fips140=on) to enable")
+    old = said("not eligible: toolchain go", go_version, f" predates native FIPS 140-3 (requires go{floor} or newer)")
+    none = "not eligible: toolchain does not provide native FIPS 140-3 and no FIPS-capable distribution was recognised"
+    algorithms = said("not eligible: toolchain ", variant, " recognised but non-FIPS algorithm in use: ", F.array_join(packages, ", "))
+    foreign = said("limited: toolchain ", variant, " recognised but cgo crypto dependency(ies) ", F.array_join(modules, ", "), " require separate cgo analysis")
+    return (
+        F.when((variant == "") & native, off).when((variant == "") & semver.is_valid(v), old).when(variant == "", none)
+        .when(F.size(packages) > 0, algorithms).when(F.size(modules) > 0, foreign)
+        .otherwise(said("eligible: toolchain ", variant, " recognised, no non-FIPS algorithm imports detected"))
+    )
 
 
 def tag_position(pin: Column, latest: Column, tag: Column) -> Column:

@@ -165,3 +165,18 @@ def base_names_overlap(a: Column, b: Column) -> Column:
     base = lambda p: F.lower(F.substring_index(strip_major(p), "/", -1))
     x, y = base(a), base(b)
     return (F.length(x) >= 3) & (F.length(y) >= 3) & (F.contains(x, y) | F.contains(y, x))
+
+
+def rfc3339(at: Column) -> Column:
+    """A time in UTC as text, to the second."""
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def from_rfc3339(text: Column) -> Column:
+    """The time that such a text names, with any offset and an optional fraction; null for other texts."""
+    return F.try_to_timestamp(text, F.lit("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]X"))
+
+
+def json_field(document: Column, path: str, kind: str = "string") -> Column:
+    """A field of a JSON text by its path, as a type; null where there is none or it doesn't fit."""
+    return F.get_json_object(document, path).try_cast(kind)

@@ -92,3 +92,17 @@ def partition_coverage(wanted: DataFrame, measured: DataFrame, frame: str) -> Da
     g = measured.groupBy("path").agg(F.max((F.col("frame") == frame) & ~F.col("superseded")).alias("_c"), F.max((F.col("frame") == frame) & F.col("superseded")).alias("_s"), F.max(F.col("frame") != frame).alias("_o"))
     x = wanted.select("path").distinct().join(g, "path", "left")
     return x.select("path", F.when(F.col("_c"), "covered").when(F.col("_o"), "other frame").when(F.col("_s"), "superseded").otherwise("none").alias("state"))
+
+
+def directive_diff(old: DataFrame, new: DataFrame, identity: list[str], rating: str) -> DataFrame:
+    """(identity, change, before, after): directives added, removed, or reclassified by another rating; repeated ones count once."""
+    one = lambda d, name: d.groupBy(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in identity]).alias("identity")).agg(F.min(rating).alias(name), F.lit(True).alias(f"in_{name}"))
+    both = one(old, "before").join(one(new, "after"), "identity", "full_outer")
+    change = F.when(F.col("in_before").isNull(), "added").when(F.col("in_after").isNull(), "removed").when(~F.col("before").eqNullSafe(F.col("after")), "reclassified")
+    return both.withColumn("change", change).where("change IS NOT NULL").select("identity", "change", "before", "after")
+
+
+def merged(a: Column, b: Column) -> Column:
+    """The distinct members of two lists, sorted; a null list adds none."""
+    none = lambda x: F.coalesce(x, F.filter(F.coalesce(a, b), lambda v: F.lit(False)))
+    return F.array_sort(F.array_union(none(a), none(b)))

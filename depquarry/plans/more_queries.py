@@ -17,13 +17,6 @@ C = F.col
 # ---- joins ------------------------------------------------------------------------------------------
 
 
-@query("""SELECT DISTINCT l.l_orderkey, l.l_partkey, l.l_suppkey FROM lineitem l JOIN (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45) f ON l.l_partkey = f.l_partkey AND l.l_suppkey = f.l_suppkey""")
-def jon_01_records_with_findings(spark, sf_dir):
-    l = t(spark, sf_dir, "lineitem")
-    found = l.where("l_returnflag = 'R' AND l_quantity > 45").select("l_partkey", "l_suppkey").distinct()
-    return l.join(found, ["l_partkey", "l_suppkey"]).select("l_orderkey", "l_partkey", "l_suppkey").distinct()
-
-
 @query(cte("gens") + """ SELECT event_id FROM gens r WHERE NOT EXISTS (SELECT 1 FROM gens x WHERE x.module = r.module AND x.source = r.source AND x.identity = r.identity AND x.taken > r.taken)""")
 def jon_05_newest_by_not_exists(spark, sf_dir):
     return compose.latest_with_ties(carrier(spark, sf_dir, "gens"), ["module", "source", "identity"], "taken").select("event_id")
@@ -133,11 +126,6 @@ def agg_02_count(spark, sf_dir):
     return t(spark, sf_dir, "lineitem").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT o_custkey AS module, count(*) AS generations, max(o_orderdate) AS newest, arg_max(o_orderkey, o_orderdate * INTERVAL 1 DAY) AS x FROM orders GROUP BY o_custkey""".replace(", arg_max(o_orderkey, o_orderdate * INTERVAL 1 DAY) AS x", ""))
-def agg_06_newest_first_groups(spark, sf_dir):
-    return t(spark, sf_dir, "orders").groupBy(C("o_custkey").alias("module")).agg(F.count("*").alias("generations"), F.max("o_orderdate").alias("newest")).orderBy(C("newest").desc(), "module")
-
-
 @query(cte("licences") + """, i AS (SELECT id, trim(unnest(string_split_regex(expression, ' (OR|AND) '))) AS spdx FROM licences)
 SELECT spdx, count(DISTINCT id % 40) AS modules FROM i WHERE spdx <> '' AND spdx NOT IN ('MIT', 'Apache-2.0', 'GPL-2.0', 'GPL-2.0-or-later', 'GPL-3.0-only', 'MPL-2.0', 'AGPL-3.0-only', 'BSD-3-Clause') GROUP BY spdx""")
 def agg_09_coverage_holes(spark, sf_dir):
@@ -145,18 +133,6 @@ def agg_09_coverage_holes(spark, sf_dir):
     return i.where((C("spdx") != "") & licence.strength(C("spdx")).isNull()).groupBy("spdx").agg(F.countDistinct(C("id") % 40).alias("modules"))
 
 
-@query("""SELECT user_id, min(value) AS lo, max(value) AS hi, count(value) AS n, arg_max(event_id, event_id) AS last FROM events GROUP BY user_id""")
-def agg_12_measurements(spark, sf_dir):
-    return t(spark, sf_dir, "events").groupBy("user_id").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count("value").alias("n"), F.max_by("event_id", "event_id").alias("last"))
-
-
-@query("""SELECT user_id, count(DISTINCT event_type) AS kinds, CASE WHEN bool_or(event_type = 'error' AND value > 150) THEN 'cancelled' WHEN bool_or(event_type = 'error') THEN 'partial' ELSE 'succeeded' END AS status FROM events GROUP BY user_id""")
-def agg_19_extraction_status(spark, sf_dir):
-    err = C("event_type") == "error"
-    status = F.when(F.bool_or(err & (C("value") > 150)), "cancelled").when(F.bool_or(err), "partial").otherwise("succeeded")
-    return t(spark, sf_dir, "events").groupBy("user_id").agg(F.countDistinct("event_type").alias("kinds"), status.alias("status"))
-
-
 @query(cte("gens") + """ SELECT module, identity, event_id FROM (SELECT *, row_number() OVER (PARTITION BY module, identity ORDER BY taken DESC, event_id) AS n FROM gens) WHERE n = 1""")
 def cmp_02_worktree(spark, sf_dir):
     return compose.served(carrier(spark, sf_dir, "gens"), ["module", "identity"], [C("taken").desc(), C("event_id").asc()]).select("module", "identity", "event_id")
@@ -219,24 +195,6 @@ def set_03_api_diff(spark, sf_dir):
     return diff.api_diff(of(g.where("p_size > 10"), ""), of(g.where("p_size < 40"), " "))
 
 
-@query(cte("snap_a", "snap_b") + """ SELECT a.k, array_to_string([a.priority, a.status], '|') AS identity FROM snap_a a WHERE NOT EXISTS (SELECT 1 FROM snap_b b WHERE a.k = b.k AND a.priority = b.priority AND a.status = b.status)""")
-def set_06_directives_gone(spark, sf_dir):
-    ident = lambda d: d.select("k", F.concat_ws("|", "priority", "status").alias("identity"))
-    return ident(carrier(spark, sf_dir, "snap_a")).join(ident(carrier(spark, sf_dir, "snap_b")), ["k", "identity"], "left_anti")
-
-
-@query("""SELECT l_partkey AS k, list_sort(list(DISTINCT l_suppkey) FILTER (WHERE l_returnflag IN ('A', 'N'))) AS merged FROM lineitem GROUP BY l_partkey HAVING count(*) FILTER (WHERE l_returnflag IN ('A', 'N')) > 0""")
-def set_08_merged_lists(spark, sf_dir):
-    of = lambda f: F.collect_set(F.when(C("l_returnflag") == f, C("l_suppkey")))
-    x = t(spark, sf_dir, "lineitem").groupBy(C("l_partkey").alias("k")).agg(F.array_sort(F.array_union(of("A"), of("N"))).alias("merged"))
-    return x.where(F.size("merged") > 0)
-
-
-@query("""SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')""")
-def set_10_uncovered(spark, sf_dir):
-    return t(spark, sf_dir, "customer").select("c_custkey").join(t(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(C("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
-
-
 @query("""WITH m AS (SELECT o_custkey AS path, o_orderstatus AS frame, o_totalprice > 250000 AS s FROM orders WHERE o_totalprice > 100000)
 SELECT c_custkey AS path, CASE WHEN bool_or(frame = 'F' AND NOT s) THEN 'covered' WHEN bool_or(frame <> 'F') THEN 'other frame' WHEN bool_or(frame = 'F' AND s) THEN 'superseded' ELSE 'none' END AS state FROM customer LEFT JOIN m ON path = c_custkey GROUP BY c_custkey""")
 def set_13_verification_partition(spark, sf_dir):
@@ -282,13 +240,6 @@ def fn_20_derived_expression(spark, sf_dir):
     return x.select("k", licence.derived_expression(C("l"), C("k") % 2 == 0).alias("expression"))
 
 
-@query("""SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'EXEC' WHEN 1 THEN 'NETWORK' WHEN 2 THEN 'FILES' END AS capability FROM part""")
-def fn_32_capability_sinks(spark, sf_dir):
-    s = C("p_size") % 4
-    sink = F.when(s == 0, "os/exec.Command").when(s == 1, F.concat(F.lit("net/http.f"), C("p_partkey").cast("string"))).when(s == 2, "os.Open").otherwise("fmt.Println")
-    return t(spark, sf_dir, "part").select("p_partkey", classify.capability(sink, {"os/exec.Command": "EXEC", "os/exec": "SYSTEM", "net/http": "NETWORK", "os.Open": "FILES"}).alias("capability"))
-
-
 @query("""SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN 'unrooted' WHEN s_suppkey % 3 = 0 THEN 'test' WHEN s_acctbal > 8000 THEN 'ingress' WHEN s_acctbal > 4000 THEN 'exported' ELSE 'internal' END AS root, CASE WHEN s_nationkey % 3 = 0 THEN 'not measured' WHEN s_nationkey % 3 = 1 THEN 'reachable' ELSE 'not reachable' END AS reach FROM supplier""")
 def fn_35_route_roots(spark, sf_dir):
     k, b, n = C("s_suppkey"), C("s_acctbal"), C("s_nationkey") % 3
@@ -305,13 +256,6 @@ def fn_48_trusted_hosts(spark, sf_dir):
     return t(spark, sf_dir, "pages").select("page_id", text.is_trusted_host(C("url"), ["example.org", "example.net"]).alias("trusted"))
 
 
-@query("""SELECT n_nationkey, list_sort(list(DISTINCT substr(c_mktsegment, 1, 3))) AS symbols FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey""")
-def fn_49_flattened_symbols(spark, sf_dir):
-    x = t(spark, sf_dir, "customer").groupBy(C("c_nationkey").alias("n_nationkey"), "c_mktsegment").agg(F.collect_list(F.substring("c_mktsegment", 1, 3)).alias("s"))
-    g = x.groupBy("n_nationkey").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("s")))).alias("symbols"))
-    return g.join(t(spark, sf_dir, "nation"), "n_nationkey", "left_semi")
-
-
 @query("""SELECT p_partkey, p_size % 6 IN (0, 1, 2) AS licence, p_size % 6 NOT IN (1, 3) AS root FROM part""")
 def x_04_licence_files(spark, sf_dir):
     s = C("p_size") % 6
@@ -414,12 +358,6 @@ def set_05_licence_diff(spark, sf_dir):
     return d.select("id", C("a_spdx").alias("x"), C("b_spdx").alias("y"), licence.escalation(C("a_spdx"), C("b_spdx")).alias("escalation"))
 
 
-@query("""SELECT DISTINCT l_orderkey AS walk FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F')""")
-def set_12_unresolved_walks(spark, sf_dir):
-    held = t(spark, sf_dir, "orders").where("o_orderstatus <> 'F'").select(C("o_orderkey").alias("walk"))
-    return t(spark, sf_dir, "lineitem").select(C("l_orderkey").alias("walk")).distinct().join(held, "walk", "left_anti")
-
-
 @query(cte("gens") + """, s AS (SELECT module, event_id FROM (SELECT *, row_number() OVER (PARTITION BY module ORDER BY taken DESC, event_id) AS n FROM gens) WHERE n = 1)
 SELECT g.event_id, CASE WHEN s.event_id IS NULL THEN 'not served' ELSE 'wrong finding' END AS reason FROM gens g LEFT JOIN s ON s.event_id = g.event_id WHERE g.findings = 'Affected' AND (s.event_id IS NULL OR g.coverage <> 'Analysed')""")
 def set_11_index_check(spark, sf_dir):
@@ -439,12 +377,6 @@ def cmp_11_stdlib_facts(spark, sf_dir):
     return compose.served(g, ["module"], [anchor.desc(), C("taken").desc(), C("event_id").asc()]).select("module", "event_id", "unknown")
 
 
-@query("""SELECT l_partkey % 60 AS coordinate, l_returnflag AS spdx, list_sort(list(DISTINCT 'f' || CAST(l_suppkey AS STRING))) AS paths, count(DISTINCT l_linestatus) > 1 AS conflict FROM lineitem GROUP BY ALL""".replace("GROUP BY ALL", "GROUP BY l_partkey % 60, l_returnflag"))
-def agg_15_snippet_paths(spark, sf_dir):
-    l = t(spark, sf_dir, "lineitem").select((C("l_partkey") % 60).alias("coordinate"), C("l_returnflag").alias("spdx"), F.concat(F.lit("f"), C("l_suppkey").cast("string")).alias("path"), "l_linestatus")
-    return l.groupBy("coordinate", "spdx").agg(F.array_sort(F.collect_set("path")).alias("paths"), (F.countDistinct("l_linestatus") > 1).alias("conflict"))
-
-
 @query("""WITH w AS (SELECT o_orderkey AS walk, o_custkey AS target, o_orderdate AS taken FROM orders), l AS (SELECT * FROM w x WHERE taken = (SELECT max(taken) FROM w y WHERE y.target = x.target))
 SELECT walk, target, (SELECT count(*) FROM lineitem WHERE l_orderkey = walk) AS nodes FROM l""")
 def cmd_08_walk_list_latest(spark, sf_dir):
@@ -486,13 +418,6 @@ def fn_43_republications(spark, sf_dir):
     return joins.republications(x, x, x.select("path", "other", F.lit(False).alias("by_replace")))
 
 
-@query("""SELECT user_id AS project, CASE WHEN count(*) FILTER (WHERE event_type = 'error' AND value > 100) > 0 THEN 'findings' ELSE 'clean' END AS status, list_sort(list(DISTINCT event_type) FILTER (WHERE value > 100)) AS packages FROM events GROUP BY user_id HAVING count(*) FILTER (WHERE value > 100) > 0""")
-def agg_17_governance_status(spark, sf_dir):
-    e = t(spark, sf_dir, "events")
-    g = e.groupBy(C("user_id").alias("project")).agg(F.count_if((C("event_type") == "error") & (C("value") > 100)).alias("n"), F.array_sort(F.collect_set(F.when(C("value") > 100, C("event_type")))).alias("packages"))
-    return g.where(F.size("packages") > 0).select("project", F.when(C("n") > 0, "findings").otherwise("clean").alias("status"), "packages")
-
-
 @query("""SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'MIT' WHEN 1 THEN 'Apache-2.0 OR MIT' ELSE '' END AS spdx FROM part""")
 def x_03_spdx_header(spark, sf_dir):
     s = C("p_size") % 3

@@ -89,16 +89,6 @@ def snk_08_notices(spark, sf_dir):
 # ---- filters ----------------------------------------------------------------------------------------
 
 
-@query("""SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_orderdate >= TIMESTAMP '1996-01-01 00:00:00' AND o_orderdate <= TIMESTAMP '1999-12-31 00:00:00'""")
-def flt_01_conjunctive(spark, sf_dir):
-    args = {"status": "F", "since": "1996-01-01", "until": "1999-12-31", "target": None}
-    x = t(spark, sf_dir, "orders")
-    for name, cond in (("status", F.col("o_orderstatus") == args["status"]), ("since", F.col("o_orderdate") >= F.lit(args["since"]).cast("timestamp_ntz")), ("until", F.col("o_orderdate") <= F.lit(args["until"]).cast("timestamp_ntz")), ("target", F.col("o_custkey") == F.lit(args["target"]))):
-        if args[name] is not None:
-            x = x.where(cond)
-    return x.select("o_orderkey", "o_custkey")
-
-
 @query("""SELECT o_custkey, o_orderkey, o_orderdate FROM orders o WHERE o_orderdate = (SELECT max(o_orderdate) FROM orders x WHERE x.o_custkey = o.o_custkey)""")
 def flt_02_latest_with_ties(spark, sf_dir):
     return compose.latest_with_ties(t(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate"), ["o_custkey"], "o_orderdate")
@@ -115,18 +105,6 @@ def flt_06_ledger_predicate(spark, sf_dir):
     return e.where(ledger.matches("2024-01-05 00:00:00", "2024-01-20 00:00:00", "error", "m", "3")).select("event_id")
 
 
-@query("""SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_brand = 'Brand#3')""")
-def flt_07_scope_members(spark, sf_dir):
-    scope = t(spark, sf_dir, "part").where("p_brand = 'Brand#3'").select(F.col("p_partkey").alias("l_partkey"))
-    return t(spark, sf_dir, "lineitem").join(scope, "l_partkey", "left_semi").select("l_orderkey", "l_linenumber", "l_partkey")
-
-
-@query("""SELECT s_suppkey, EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_quantity >= 50) AS present FROM supplier""")
-def flt_09_exists(spark, sf_dir):
-    hit = t(spark, sf_dir, "lineitem").where("l_quantity >= 50").select(F.col("l_suppkey").alias("s_suppkey")).distinct().withColumn("present", F.lit(True))
-    return t(spark, sf_dir, "supplier").join(hit, "s_suppkey", "left").select("s_suppkey", F.coalesce("present", F.lit(False)).alias("present"))
-
-
 @query("""SELECT p_partkey, p NOT LIKE '%/internal/%' AND p NOT LIKE '%/testdata/%' AS importable, p LIKE '%/testdata/%' OR p LIKE '%/\\_%' ESCAPE '\\' AS unbuilt
 FROM (SELECT p_partkey, 'x/' || CASE p_size % 4 WHEN 0 THEN 'internal' WHEN 1 THEN 'testdata' WHEN 2 THEN '_old' ELSE 'pkg' END || '/y' AS p FROM part)""")
 def flt_12_importable_and_unbuilt(spark, sf_dir):
@@ -134,12 +112,6 @@ def flt_12_importable_and_unbuilt(spark, sf_dir):
     return t(spark, sf_dir, "part").select("p_partkey", text.is_importable(p).alias("importable"), text.is_unbuilt(p).alias("unbuilt"))
 
 
-@query("""SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')""")
-def flt_15_exclusions(spark, sf_dir):
-    out = t(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
-    return t(spark, sf_dir, "orders").join(out, "o_custkey", "left_anti").select("o_orderkey")
-
-
 @query("""SELECT event_id, epoch(TIMESTAMP '2024-01-31 00:00:00') - floor(epoch(ts)) < 864000 AS fresh, CAST(floor((epoch(TIMESTAMP '2024-01-31 00:00:00') - floor(epoch(ts))) / 86400) AS BIGINT) AS age_days FROM events""")
 def flt_18_freshness(spark, sf_dir):
     now, taken = F.lit("2024-01-31 00:00:00").cast("timestamp"), F.col("ts").cast("timestamp")
@@ -149,12 +121,6 @@ def flt_18_freshness(spark, sf_dir):
 # ---- joins ------------------------------------------------------------------------------------------
 
 
-@query("""SELECT l.l_orderkey, l.l_linenumber, p.p_brand, s.s_name, n.n_name, count(*) AS n FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey JOIN supplier s ON l.l_suppkey = s.s_suppkey JOIN nation n ON s.s_nationkey = n.n_nationkey GROUP BY ALL""")
-def jon_02_four_way(spark, sf_dir):
-    x = t(spark, sf_dir, "lineitem").join(t(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).join(t(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(t(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    return x.groupBy("l_orderkey", "l_linenumber", "p_brand", "s_name", "n_name").agg(F.count("*").alias("n"))
-
-
 @query(cte("gens") + """, w AS (SELECT *, identity = 'sha-3' AS hit FROM gens)
 SELECT module, event_id, hit AS pinned FROM (SELECT *, row_number() OVER (PARTITION BY module ORDER BY hit DESC, confidence DESC, event_id) AS n FROM w) WHERE n = 1""")
 def jon_04_pinned_or_served(spark, sf_dir):
@@ -186,12 +152,6 @@ def jon_13_overrides(spark, sf_dir):
     return joins.overridden(nodes, exact.unionByName(wide)).select("id", "spdx", "overridden")
 
 
-@query("""SELECT o_orderkey, c_name, n_name, r_name, c_acctbal FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey""")
-def jon_14_audit_star(spark, sf_dir):
-    x = t(spark, sf_dir, "orders").join(t(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left").join(t(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left").join(t(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
-    return x.select("o_orderkey", "c_name", "n_name", "r_name", "c_acctbal")
-
-
 @query("""WITH p AS (SELECT DISTINCT regexp_extract(url, '^(https?://[^/]+)', 1) AS prefix FROM pages UNION SELECT DISTINCT regexp_extract(url, '^(https?://[^/]+/[a-z]+)/', 1) FROM pages WHERE url LIKE '%/en/%')
 SELECT page_id, (SELECT prefix FROM p WHERE prefix <> '' AND (url = prefix OR starts_with(url, prefix || '/')) ORDER BY length(prefix) DESC LIMIT 1) AS prefix FROM pages""")
 def jon_16_longest_prefix(spark, sf_dir):
@@ -620,11 +580,6 @@ def fn_33_overall_status(spark, sf_dir):
     return carrier(spark, sf_dir, "gens").select("event_id", classify.overall_status(F.col("coverage"), F.col("findings")).alias("status"))
 
 
-@query("""SELECT doc_id, CASE WHEN text IS NULL OR text = '' THEN NULL WHEN contains(lower(text), 'dial tcp') THEN 'network unavailable' WHEN contains(lower(text), 'out of memory') THEN 'out of memory' ELSE 'unclassified' END AS reason FROM documents""")
-def fn_34_scan_failure(spark, sf_dir):
-    return t(spark, sf_dir, "documents").select("doc_id", classify.scan_failure(F.col("text")).alias("reason"))
-
-
 @query("""SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 OR s_acctbal < 0 OR s_suppkey % 5 = 0 THEN 'UNRESOLVED' ELSE 'RESOLVED-ABSENT' END AS verdict, CAST((s_suppkey % 3 = 0) AS INTEGER) + CAST((s_acctbal < 0) AS INTEGER) + CAST((s_suppkey % 5 = 0) AS INTEGER) AS sinks FROM supplier""")
 def fn_37_negative_verdict(spark, sf_dir):
     no, yes, k = F.lit(False), F.lit(True), F.col("s_suppkey")
@@ -635,8 +590,3 @@ def fn_37_negative_verdict(spark, sf_dir):
 @query("""SELECT n_nationkey, 'sha256:' || sha256('{"n_name":"' || n_name || '","n_regionkey":' || CAST(n_regionkey AS STRING) || '}') AS hash FROM nation""")
 def fn_46_canonical_hash(spark, sf_dir):
     return t(spark, sf_dir, "nation").select("n_nationkey", text.canonical_hash(F.struct("n_name", "n_regionkey")).alias("hash"))
-
-
-@query("""SELECT CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, count(*) AS n FROM events GROUP BY ALL""")
-def fn_47_json_fields(spark, sf_dir):
-    return t(spark, sf_dir, "events").groupBy(F.get_json_object("props", "$.k").cast("int").alias("k")).agg(F.count("*").alias("n"))

@@ -36,12 +36,6 @@ def src_04_generations(spark, sf_dir):
     return store.generations(t(spark, sf_dir, "events"), {"user_id": 8, "event_type": "view"}, ["ts", "event_id"]).select("event_id", "ts", "value")
 
 
-@query("""SELECT n_name AS path, CAST(json_extract_string(props, '$.k') AS INTEGER) AS fixed, count(*) AS n FROM events JOIN nation ON user_id % 25 = n_nationkey GROUP BY ALL""")
-def src_12_index_decode(spark, sf_dir):
-    e = t(spark, sf_dir, "events").select((C("user_id") % 25).alias("n_nationkey"), F.from_json("props", "k int").alias("p"))
-    return e.join(t(spark, sf_dir, "nation"), "n_nationkey").groupBy(C("n_name").alias("path"), C("p.k").alias("fixed")).agg(F.count("*").alias("n"))
-
-
 @query("""SELECT '{"c_custkey":' || CAST(c_custkey AS STRING) || ',"c_name":"' || c_name || '","c_mktsegment":"' || c_mktsegment || '"}' AS line FROM customer""")
 def snk_06_json_lines(spark, sf_dir):
     return store.reread_json_lines(t(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment"), graph.shared_path(spark, "lines"))
@@ -50,25 +44,6 @@ def snk_06_json_lines(spark, sf_dir):
 # ---- filters -----------------------------------------------------------------------------------------
 
 
-@query("""SELECT c_custkey FROM customer WHERE c_acctbal > 0 AND c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) AND c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')""")
-def flt_10_context_nodes(spark, sf_dir):
-    allow = t(spark, sf_dir, "nation").where("n_regionkey = 1").select(C("n_nationkey").alias("c_nationkey"))
-    affected = t(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(C("o_custkey").alias("c_custkey"))
-    return t(spark, sf_dir, "customer").where("c_acctbal > 0").join(allow, "c_nationkey", "left_semi").join(affected, "c_custkey", "left_semi").select("c_custkey")
-
-
-@query("""SELECT p_brand AS package, list_sort(list(DISTINCT p_name)) AS names FROM part WHERE p_type = 'ECONOMY' GROUP BY p_brand""")
-def flt_11_interface_projection(spark, sf_dir):
-    x = t(spark, sf_dir, "part").groupBy(C("p_brand").alias("package")).agg(F.collect_set(F.struct(C("p_type").alias("kind"), C("p_name").alias("name"))).alias("s"))
-    x = x.select("package", F.array_sort(F.array_distinct(F.transform(F.filter("s", lambda s: s.kind == "ECONOMY"), lambda s: s["name"]))).alias("names"))
-    return x.where(F.size("names") > 0)
-
-
-@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem WHERE l_linestatus = 'O'""")
-def flt_17_without_tests(spark, sf_dir):
-    return t(spark, sf_dir, "lineitem").where(~(C("l_linestatus") == "F")).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-
-
 @query("""SELECT o_orderkey, o_orderstatus <> 'P' AS cacheable, o_orderpriority NOT IN ('1-URGENT') AS fetched FROM orders""")
 def flt_19_cacheable_and_fetched(spark, sf_dir):
     lookup = F.when(C("o_orderstatus") == "P", "failed").otherwise("ok")
@@ -79,19 +54,6 @@ def flt_19_cacheable_and_fetched(spark, sf_dir):
 # ---- joins -------------------------------------------------------------------------------------------
 
 
-@query("""SELECT DISTINCT c.c_custkey, o.o_orderkey FROM customer c JOIN orders o ON o.o_custkey = c.c_custkey JOIN lineitem l ON l.l_orderkey = o.o_orderkey WHERE l.l_partkey = 5""")
-def jon_03_module_in_walks(spark, sf_dir):
-    l = t(spark, sf_dir, "lineitem").where("l_partkey = 5").select(C("l_orderkey").alias("o_orderkey"))
-    x = t(spark, sf_dir, "orders").join(l, "o_orderkey").select("o_orderkey", C("o_custkey").alias("c_custkey"))
-    return x.join(t(spark, sf_dir, "customer"), "c_custkey").select("c_custkey", "o_orderkey").distinct()
-
-
-@query("""SELECT l_orderkey, l_linenumber, l_partkey, 'sha-' || o_orderstatus AS record FROM lineitem JOIN orders ON o_orderkey = l_orderkey""")
-def jon_07_edges_inherit_hash(spark, sf_dir):
-    r = t(spark, sf_dir, "orders").select(C("o_orderkey").alias("l_orderkey"), F.concat(F.lit("sha-"), "o_orderstatus").alias("record"))
-    return t(spark, sf_dir, "lineitem").join(r, "l_orderkey").select("l_orderkey", "l_linenumber", "l_partkey", "record")
-
-
 @query(cte("mods", "advisories") + f""", k AS (SELECT DISTINCT path, version FROM mods), i AS (SELECT id, path, CASE WHEN id < 'Brand#2' THEN '' ELSE '1.7.2' END AS fixed FROM advisories)
 SELECT k.path, k.version, i.id FROM k JOIN i ON i.path = k.path WHERE i.fixed = '' OR NOT {o.valid('k.version')} OR {o.key('k.version')} < {o.key("'v1.7.2'")}""")
 def jon_08_index_interval(spark, sf_dir):
@@ -101,43 +63,9 @@ def jon_08_index_interval(spark, sf_dir):
     return joins.with_ranges(m, i.select("id", "path", F.lit("").alias("lo"), C("fixed").alias("hi"))).where("inside").select("path", "version", "id")
 
 
-@query("""SELECT p_partkey, min(s_name) AS doc, count(DISTINCT l_orderkey) AS examples FROM part LEFT JOIN supplier ON s_suppkey = p_partkey LEFT JOIN lineitem ON l_partkey = p_partkey AND l_quantity > 49 GROUP BY p_partkey""")
-def jon_15_symbol_context(spark, sf_dir):
-    docs = t(spark, sf_dir, "supplier").select(C("s_suppkey").alias("p_partkey"), C("s_name").alias("doc"))
-    ex = t(spark, sf_dir, "lineitem").where("l_quantity > 49").groupBy(C("l_partkey").alias("p_partkey")).agg(F.countDistinct("l_orderkey").alias("examples"))
-    return t(spark, sf_dir, "part").select("p_partkey").join(docs, "p_partkey", "left").join(ex, "p_partkey", "left").select("p_partkey", "doc", F.coalesce("examples", F.lit(0)).alias("examples"))
-
-
-@query("""SELECT l_suppkey AS module, list_sort(list(DISTINCT l_partkey)) AS present FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size = 3) GROUP BY l_suppkey""")
-def jon_20_symbols_in_binary(spark, sf_dir):
-    table = t(spark, sf_dir, "part").where("p_size = 3").select(C("p_partkey").alias("l_partkey"))
-    return t(spark, sf_dir, "lineitem").join(table, "l_partkey", "left_semi").groupBy(C("l_suppkey").alias("module")).agg(F.array_sort(F.collect_set("l_partkey")).alias("present"))
-
-
 # ---- graphs ------------------------------------------------------------------------------------------
 
 
-@query(cte("deps") + """, n AS (SELECT src AS node FROM deps UNION SELECT dst FROM deps) SELECT node, node NOT LIKE 'r%' AS selected FROM n""")
-def grf_12_known_and_selected(spark, sf_dir):
-    e = carrier(spark, sf_dir, "deps")
-    n = e.select(C("src").alias("node")).union(e.select("dst")).distinct()
-    return n.select("node", (~C("node").startswith("r")).alias("selected"))
-
-
-@query("""SELECT DISTINCT 'm' || CAST(l_partkey AS STRING) AS path, CAST(l_suppkey AS STRING) AS version FROM lineitem WHERE l_orderkey = 7""")
-def grf_17_shallow_resolve(spark, sf_dir):
-    return t(spark, sf_dir, "lineitem").where("l_orderkey = 7").select(_node("m", "l_partkey").alias("path"), C("l_suppkey").cast("string").alias("version")).distinct()
-
-
-@query("""WITH b AS (SELECT l_partkey AS path, max(l_suppkey) AS version FROM lineitem GROUP BY l_partkey), e AS (SELECT DISTINCT l_orderkey % 500 AS src, l_partkey AS dst FROM lineitem)
-SELECT e.src, s.version AS from_version, e.dst, d.version AS to_version FROM e JOIN b s ON s.path = e.src JOIN b d ON d.path = e.dst""")
-def grf_18_from_build_list(spark, sf_dir):
-    l = t(spark, sf_dir, "lineitem")
-    b = l.groupBy(C("l_partkey").alias("path")).agg(F.max("l_suppkey").alias("version"))
-    e = l.select((C("l_orderkey") % 500).alias("src"), C("l_partkey").alias("dst")).distinct()
-    return e.join(b.select(C("path").alias("src"), C("version").alias("from_version")), "src").join(b.select(C("path").alias("dst"), C("version").alias("to_version")), "dst").select("src", "from_version", "dst", "to_version")
-
-
 @query(cte("deps", recursive=True) + """, b(node) AS (SELECT 'o7' UNION SELECT dst FROM b JOIN deps ON src = node)
 SELECT s_suppkey AS finding, 's' || CAST(s_suppkey AS STRING) IN (SELECT node FROM b) AS path_found FROM supplier WHERE s_acctbal < 5000""")
 def grf_22_negatives_searched_again(spark, sf_dir):
@@ -149,24 +77,6 @@ def grf_22_negatives_searched_again(spark, sf_dir):
 # ---- roll-ups ----------------------------------------------------------------------------------------
 
 
-@query(cte("licences") + " SELECT id FROM licences WHERE expression = ''")
-def agg_14_undetermined(spark, sf_dir):
-    return carrier(spark, sf_dir, "licences").where("expression = ''").select("id")
-
-
-@query("""SELECT user_id AS build, count(*) AS queried, count(*) FILTER (WHERE value > 50) AS covered, count(*) FILTER (WHERE event_type = 'error') AS with_findings, list_sort(list(DISTINCT event_type) FILTER (WHERE value <= 50)) AS uncovered FROM events GROUP BY user_id HAVING count(*) FILTER (WHERE value <= 50) > 0""")
-def agg_16_probe_counters(spark, sf_dir):
-    g = t(spark, sf_dir, "events").groupBy(C("user_id").alias("build")).agg(F.count("*").alias("queried"), F.count_if(C("value") > 50).alias("covered"), F.count_if(C("event_type") == "error").alias("with_findings"), F.array_sort(F.collect_set(F.when(C("value") <= 50, C("event_type")))).alias("uncovered"))
-    return g.where(F.size("uncovered") > 0)
-
-
-@query("""SELECT user_id AS project, CASE WHEN NOT bool_or(event_type = 'signup') THEN 'not capable' WHEN count(DISTINCT event_type) FILTER (WHERE value > 200) > 0 THEN 'deviations: ' || CAST(count(DISTINCT event_type) FILTER (WHERE value > 200) AS STRING) WHEN bool_or(value > 150) THEN 'unknown' ELSE 'compliant' END AS assessment FROM events GROUP BY user_id""")
-def agg_18_fips_assessment(spark, sf_dir):
-    n = F.countDistinct(F.when(C("value") > 200, C("event_type")))
-    a = F.when(~F.bool_or(C("event_type") == "signup"), "not capable").when(n > 0, F.concat(F.lit("deviations: "), n.cast("string"))).when(F.bool_or(C("value") > 150), "unknown").otherwise("compliant")
-    return t(spark, sf_dir, "events").groupBy(C("user_id").alias("project")).agg(a.alias("assessment"))
-
-
 @query(cte("gens") + """ SELECT DISTINCT module FROM (SELECT *, row_number() OVER (PARTITION BY module, source ORDER BY taken DESC, event_id) AS n FROM gens) WHERE n = 1 AND findings = 'Affected'""")
 def agg_21_affected_modules(spark, sf_dir):
     return compose.served(carrier(spark, sf_dir, "gens"), ["module", "source"], [C("taken").desc(), C("event_id").asc()]).where("findings = 'Affected'").select("module").distinct()
@@ -192,17 +102,6 @@ def cmp_06_for_a_consumer(spark, sf_dir):
     return s.groupBy("module").agg(F.max(F.when(C("r"), C("event_id"))).alias("rooted"), F.max(F.when(~C("r"), C("event_id"))).alias("isolated"))
 
 
-@query(cte("deps") + """ SELECT src, dst, confidence, row_number() OVER (ORDER BY src, dst, confidence) AS place FROM deps WHERE dst LIKE 'r%' OR src LIKE 'r%'""")
-def srt_01_total_edge_order(spark, sf_dir):
-    e = carrier(spark, sf_dir, "deps").where(C("dst").startswith("r") | C("src").startswith("r"))
-    return rollup.placed(e, ["src", "dst", "confidence"])
-
-
-@query(cte("deps") + """ SELECT src, dst, confidence, row_number() OVER (ORDER BY src, dst, confidence) AS place FROM deps""")
-def srt_01_whole_edge_order(spark, sf_dir):
-    return rollup.placed(carrier(spark, sf_dir, "deps"), ["src", "dst", "confidence"])
-
-
 @query(cte("mods") + """ SELECT id, path, version, row_number() OVER (ORDER BY path, version, id) AS place FROM mods""")
 def srt_01_node_order(spark, sf_dir):
     return rollup.placed(carrier(spark, sf_dir, "mods").select("id", "path", "version"), ["path", "version", "id"])
@@ -236,33 +135,16 @@ def fn_28_licence_clause(spark, sf_dir):
     return carrier(spark, sf_dir, "licences").select("id", classify.licence_clause(C("expression"), F.when(C("id") % 2 == 0, C("target"))).alias("clause"))
 
 
-@query("""SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'security' WHEN 1 THEN 'compat' ELSE 'unknown' END AS tier FROM part""")
-def fn_30_godebug_tier(spark, sf_dir):
-    s = F.when(C("p_size") % 3 == 0, "tlsmaxrsasize").when(C("p_size") % 3 == 1, "asynctimerchan").otherwise("nosuch")
-    return t(spark, sf_dir, "part").select("p_partkey", classify.godebug_tier(s, {"tlsmaxrsasize": "security", "asynctimerchan": "compat"}).alias("tier"))
-
-
 @query(cte("gens") + """ SELECT event_id, CASE WHEN findings = 'Affected' THEN CAST(module AS STRING) || ' affected' WHEN findings = 'Withdrawn' THEN 'withdrawn only' WHEN coverage = 'Analysed' THEN 'clean' ELSE 'gap: ' || lower(coverage) END AS cell FROM gens""")
 def fn_41_audit_cell(spark, sf_dir):
     return carrier(spark, sf_dir, "gens").select("event_id", classify.audit_cell(C("findings"), C("coverage"), C("module")).alias("cell"))
 
 
-@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS at_text, epoch_us(date_trunc('second', ts)) AS back FROM events")
-def fn_45_rfc3339(spark, sf_dir):
-    at = F.date_format(C("ts"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    return t(spark, sf_dir, "events").select("event_id", at.alias("at_text"), F.unix_micros(F.to_timestamp(at, "yyyy-MM-dd'T'HH:mm:ssX")).alias("back"))
-
-
 @query(cte("mods") + f""" SELECT id, CASE WHEN (NOT {o.valid('version')} OR contains(version, '-') OR contains(version, '+incompatible')) AND {o.valid('version')} AND {o.key('version')} > {o.key("'v1.3.0'")} THEN 'v1.3.0' ELSE 'v9.0.0' END AS against FROM mods""")
 def x_11_tag_position(spark, sf_dir):
     return carrier(spark, sf_dir, "mods").select("id", classify.tag_position(C("version"), F.lit("v9.0.0"), F.lit("v1.3.0")).alias("against"))
 
 
-@query("""SELECT o_custkey AS module, count(*) AS records, CAST(sum(length('{"o_orderkey":' || CAST(o_orderkey AS STRING) || ',"o_orderstatus":"' || o_orderstatus || '"}')) AS BIGINT) AS bytes FROM orders GROUP BY o_custkey""")
-def x_16_context_size(spark, sf_dir):
-    return t(spark, sf_dir, "orders").groupBy(C("o_custkey").alias("module")).agg(F.count("*").alias("records"), F.sum(F.octet_length(F.to_json(F.struct("o_orderkey", "o_orderstatus")))).alias("bytes"))
-
-
 # ---- commands ----------------------------------------------------------------------------------------
 
 
@@ -286,23 +168,6 @@ def cmd_05_capability_diff(spark, sf_dir):
     return both.select(diff.list_diff(C("o7"), C("o8")).alias("d")).select("d.*")
 
 
-@query(cte("licences") + """ SELECT expression, count(*) AS modules FROM licences WHERE contains(lower(expression), 'gpl') GROUP BY expression""")
-def cmd_07_licence_list(spark, sf_dir):
-    return carrier(spark, sf_dir, "licences").where(F.lower("expression").contains("gpl")).groupBy("expression").agg(F.count("*").alias("modules"))
-
-
-@query("""SELECT p_brand AS module, p_name AS symbol, count(*) AS examples FROM part WHERE p_name LIKE '%widget' GROUP BY p_brand, p_name""")
-def cmd_10_examples_find(spark, sf_dir):
-    return t(spark, sf_dir, "part").where(C("p_name").endswith("widget")).groupBy(C("p_brand").alias("module"), C("p_name").alias("symbol")).agg(F.count("*").alias("examples"))
-
-
-@query("""SELECT o_orderkey AS walk, c_name AS target, coalesce(n, 0) AS modules, coalesce(q, 0) AS affected FROM orders JOIN customer ON c_custkey = o_custkey LEFT JOIN (SELECT l_orderkey, count(DISTINCT l_partkey) AS n, count(DISTINCT l_partkey) FILTER (WHERE l_returnflag = 'R') AS q FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey""")
-def cmd_12_walk_context(spark, sf_dir):
-    l = t(spark, sf_dir, "lineitem").groupBy(C("l_orderkey").alias("o_orderkey")).agg(F.countDistinct("l_partkey").alias("n"), F.countDistinct(F.when(C("l_returnflag") == "R", C("l_partkey"))).alias("q"))
-    x = t(spark, sf_dir, "orders").join(t(spark, sf_dir, "customer"), C("c_custkey") == C("o_custkey")).join(l, "o_orderkey", "left")
-    return x.select(C("o_orderkey").alias("walk"), C("c_name").alias("target"), F.coalesce("n", F.lit(0)).alias("modules"), F.coalesce("q", F.lit(0)).alias("affected"))
-
-
 @query(cte("gens") + """, f AS (SELECT *, row_number() OVER (PARTITION BY module ORDER BY (source = 'view') DESC, taken DESC, event_id) AS n FROM gens)
 SELECT module, CASE WHEN confidence > 100 THEN 'reachable' WHEN confidence > 20 THEN 'not reachable' ELSE 'not measured' END AS reach, CASE WHEN confidence <= 20 OR confidence > 100 THEN 'NotStated' WHEN completeness = 'BuiltWithBodies' THEN 'Confirmed' ELSE 'Unconfirmed' END AS soundness FROM f WHERE n = 1""")
 def cmd_15_reachability(spark, sf_dir):

@@ -29,3 +29,9 @@ def named(advisories: DataFrame) -> DataFrame:
     a = advisories.select("id", F.col("withdrawn").isNotNull().alias("withdrawn"), F.explode("affected").alias("a"))
     symbols = F.flatten(F.transform(F.coalesce("a.ecosystem_specific.imports", F.array()), lambda i: F.coalesce(i.symbols, F.array())))
     return a.select("id", F.col("a.package.name").alias("path"), "withdrawn", F.array_sort(F.array_distinct(symbols)).alias("symbols"))
+
+
+def index_entries(index: DataFrame, path: str, document: str) -> DataFrame:
+    """(path, id, fixed) from the index's rows: a module's path and a JSON list of its advisories; an unfixed one has an empty version."""
+    e = index.select(F.col(path).alias("path"), F.explode(F.from_json(document, "array<struct<id string, fixed string>>")).alias("e"))
+    return e.select("path", "e.id", F.coalesce("e.fixed", F.lit("")).alias("fixed"))

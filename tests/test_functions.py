@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from depquarry.functions import classify, licence, semver, text
-from depquarry.operators import joins, rollup
+from depquarry.operators import audit, diff, joins, rollup
 from depquarry.sources import advisories, ledger
 from depquarry.streaming import ledger_stream
 
@@ -96,3 +96,72 @@ def test_truncation(spark):
     rows, more = rollup.truncated(spark.range(5), [F.col("id")], 3)
     assert [r["id"] for r in rows.collect()] == [0, 1, 2] and more
     assert not rollup.truncated(spark.range(3), [F.col("id")], 3)[1]
+
+
+@pytest.mark.parametrize(
+    ("message", "want"),
+    [
+        ("a@v1.0.0 requires\n\tx/y@v1.2.3: module lookup disabled by GOPROXY=off", ("x/y", "v1.2.3")),
+        ("stdr.go:25:2: module lookup disabled by GOPROXY=off", None),
+        ("/tmp/cache/x@v1.2.1/f.go:3:4: module lookup disabled by GOPROXY=off", None),
+        ("x/y@latest: module lookup disabled by GOPROXY=off", None),
+        ("x/y@v1.2.3: not found", None),
+        ("", None),
+        (None, None),
+    ],
+)
+def test_unresolved_coordinate(spark, message, want):
+    got = one(spark, classify.unresolved_coordinate(F.lit(message).cast("string")))
+    assert (tuple(got) if got else None) == want
+
+
+@pytest.mark.parametrize(("package", "receiver", "symbol", "want"), [("os", "", "Getenv", "READ_SYSTEM_STATE"), ("os", "*File", "Chdir", "MODIFY_SYSTEM_STATE"), ("os", "*File", "Read", "FILES"), ("os/exec", None, "Command", "EXEC"), ("os/execute", "", "Command", None), (None, "", "F", None)])
+def test_capability(spark, package, receiver, symbol, want):
+    assert one(spark, classify.capability(*[F.lit(x).cast("string") for x in (package, receiver, symbol)])) == want
+
+
+@pytest.mark.parametrize(("raw", "go", "mode", "want"), [("go1.22 X:boringcrypto", "1.22", "", "boringcrypto"), ("go1.24.0", "1.24", "on", "go-fips140"), ("go1.24.0", "1.24", "off", ""), ("go1.23", "1.23.9", "on", ""), ("", None, None, ""), ("", "junk", "on", "")])
+def test_fips_variant(spark, raw, go, mode, want):
+    assert one(spark, classify.fips_variant(F.lit(raw), F.lit(go).cast("string"), F.lit(mode).cast("string"))) == want
+
+
+def test_build_failures(spark):
+    assert one(spark, classify.is_build_failure(F.lit("x: Build constraints exclude all Go files in y"))) is True
+    assert one(spark, classify.is_build_failure(F.lit(None).cast("string"))) is False
+    assert one(spark, classify.is_non_fips_package(F.lit("crypto/md5/internal"))) is False
+
+
+def test_audit_rows_tell_null_values_from_no_record(spark):
+    nodes = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "id int, path string")
+    facts = {"licence": (spark.createDataFrame([("a", None)], "path string, spdx string"), ["path"]), "none": (spark.createDataFrame([], "id int, x int"), ["id"])}
+    got = {r["id"]: (r["spdx"], r["licence_recorded"], r["none_recorded"]) for r in audit.audit_rows(nodes, facts).collect()}
+    assert got == {1: (None, True, False), 2: (None, False, False), 3: (None, False, False)}
+
+
+def test_narrowing(spark):
+    df = spark.createDataFrame([(1, "2024-01-01"), (2, "2024-01-02"), (None, "2024-01-03")], "k int, d string").withColumn("d", F.to_date("d"))
+    ids = lambda x: sorted((r["k"] or 0) for r in x.collect())
+    assert ids(audit.narrowed(df)) == [0, 1, 2]
+    assert ids(audit.narrowed(df, at="d", since="2024-01-02", until="2024-01-03")) == [0, 2]
+    none = df.where("k > 9")
+    assert ids(audit.members(df, None, ["k"])) == [0, 1, 2] and ids(audit.members(df, none, ["k"])) == []
+    assert ids(audit.beyond(df, df.where("k = 1"), ["k"])) == [0, 2]
+    edges = spark.createDataFrame([(1, True), (2, None), (3, False)], "k int, t boolean")
+    assert ids(audit.edges_asked(edges, F.col("t"))) == [2, 3] and ids(audit.edges_asked(edges, F.col("t"), False)) == [1, 2, 3]
+
+
+def test_directive_diff(spark):
+    of = lambda *rows: spark.createDataFrame(rows, "path string, line string, risk string")
+    old = of(("a", "1", "low"), ("b", None, "low"), ("c", "1", "high"), ("c", "1", "high"))
+    new = of(("a", "1", "high"), ("c", "1", "high"), ("d", "", None))
+    got = {tuple(r) for r in diff.directive_diff(old, new, ["path", "line"], "risk").collect()}
+    assert got == {("a|1", "reclassified", "low", "high"), ("b|", "removed", "low", None), ("d|", "added", None, None)}
+    assert one(spark, diff.merged(F.lit(None).cast("array<int>"), F.array(F.lit(2), F.lit(1)))) == [1, 2]
+
+
+def test_build_list_ends(spark):
+    modules = spark.createDataFrame([("t", None, True, None, None), ("a", "v1", False, "f/a", "v2"), ("b", "v1", False, "../b", None)], "path string, version string, main boolean, replace_path string, replace_version string")
+    edges = spark.createDataFrame([("t", "a", "v1"), ("t", "a", "v0"), ("a", "b", "v1"), ("a", "z", "v3"), ("go", "a", "v1"), ("t", "toolchain", "v1")], "src string, dst string, asked string")
+    nodes, ends = audit.from_build_list(modules, edges)
+    assert {tuple(r) for r in nodes.collect()} == {("f/a", "v2", "proxy"), ("b", "v1", "local_replace")}
+    assert {tuple(r) for r in ends.collect()} == {("t", None, "f/a", "v2", "v0"), ("f/a", "v2", "b", "v1", "v1"), ("f/a", "v2", "z", "v3", "v3")}
