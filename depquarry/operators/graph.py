@@ -126,31 +126,29 @@ def shortest_path(edges: DataFrame, entries: DataFrame, targets: DataFrame) -> D
 def widest_paths(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(node, rank, depth, pred): the widest path to each node: the strongest weakest edge, then the fewest hops, then the smallest predecessor.
 
-    ``edges`` (src, dst, rank 0 to 4); roots have rank 5, depth 0 and no predecessor. Tiers of falling
-    rank are worked off in turn: within a tier, nodes settle in ascending depth, and a node's depth is
-    carried from the settled predecessor. An edge to a node that nothing names is an edge like another.
+    ``edges`` (src, dst, rank 0 to 4); roots have rank 5, depth 0 and no predecessor. Nodes settle by
+    falling rank, within a rank by ascending depth, all of one rank and depth in a round. A round joins
+    the edges with the nodes that just settled only; the best offer to each node that is still open is
+    kept. Edges without a rank or an end are left out; an edge to a node that nothing names is one like another.
     """
     _checkpoints(edges.sparkSession)
-    e = edges.groupBy("src", "dst").agg(F.max("rank").alias("rank")).checkpoint()
+    e = edges.where("rank BETWEEN 0 AND 4 AND src IS NOT NULL AND dst IS NOT NULL").groupBy("src", "dst").agg(F.max("rank").alias("edge")).checkpoint()
     settled = roots.select("node").distinct().select("node", F.lit(5).alias("rank"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("pred")).checkpoint()
-    rounds = 0
-    for tier in (4, 3, 2, 1, 0):
-        while True:
-            rounds += 1
-            open_ = (
-                settled.join(e.withColumnRenamed("rank", "edge"), F.col("node") == F.col("src"))
-                .where(F.least("rank", "edge") == tier)
-                .select(F.col("dst").alias("node"), (F.col("depth") + 1).alias("depth"), F.col("src").alias("pred"))
-                .join(settled.select("node"), "node", "left_anti")
-            )
-            best = open_.groupBy("node").agg(F.min(F.struct("depth", "pred")).alias("x")).select("node", "x.depth", "x.pred")
-            # nodes of the least depth settle together: no other path of this tier can reach them sooner
-            least = best.agg(F.min("depth").alias("least"))
-            step = best.join(F.broadcast(least), F.col("depth") == F.col("least")).select("node", F.lit(tier).alias("rank"), "depth", "pred").checkpoint()
-            if step.isEmpty():
-                break
-            settled = _grown(settled, step, rounds)
-    return settled
+    step, offers, rounds = settled, None, 0
+    while True:
+        rounds += 1
+        new = step.join(e, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), F.least("rank", "edge").alias("rank"), (F.col("depth") + 1).alias("depth"), F.col("src").alias("pred"))
+        new = new.join(settled.select("node"), "node", "left_anti")
+        best = F.min(F.struct((-F.col("rank")).alias("down"), "depth", "pred")).alias("x")
+        every = new if offers is None else offers.where(later).unionByName(new)
+        offers = every.groupBy("node").agg(best).select("node", (-F.col("x.down")).alias("rank"), "x.depth", "x.pred").checkpoint()
+        # no path over open nodes can reach these by more, or by as much and sooner
+        head = offers.agg(F.min(F.struct((-F.col("rank")).alias("down"), "depth")).alias("x")).first()["x"]
+        if head is None:
+            return settled
+        now = (F.col("rank") == -head["down"]) & (F.col("depth") == head["depth"])
+        step, later = offers.where(now), ~now
+        settled = _grown(settled, step, rounds)
 
 
 def roots_of(nodes: DataFrame, application: bool = False) -> DataFrame:

@@ -24,6 +24,19 @@ def placed(df: DataFrame, keys: list[str]) -> DataFrame:
     return ranged.withColumn("place", F.row_number().over(Window.partitionBy("_range").orderBy(*keys)) + offset).drop("_range")
 
 
+#: The keys of total orders; false comes before true, shorter lists of an implementation's methods before longer.
+CALL_NODE_ORDER = ["id", "module", "package", "symbol", "receiver", "file", "line", "is_external", "is_exported", "uses_unsafe", "is_assembly", "uses_plugin", "is_test"]
+CALL_EDGE_ORDER = ["from_id", "to_id", "file", "line", "kind", "confidence", "reflect"]
+INTERFACE_ORDER = ["id", "package", "name", "file", "line", "is_test", "methods"]
+IMPLEMENTATION_ORDER = ["interface_id", "type_id", "package", "file", "line", "is_test", "n_methods", "methods"]
+SYMBOL_REF_ORDER = ["module_path", "module_version", "package_path", "symbol_kind", "parent_type"]
+
+
+def implementations_placed(df: DataFrame) -> DataFrame:
+    """Implementations with their ``place``; methods are lists of (method, node_id)."""
+    return placed(df.withColumn("n_methods", F.size("methods")), IMPLEMENTATION_ORDER).drop("n_methods")
+
+
 def _beside(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """``left`` with the other columns of ``right``, which has a row for each of its keys, null ones included."""
     r = right.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in right.columns if c not in keys])

@@ -277,6 +277,49 @@ def srt_01_total_edge_order(spark, sf_dir):
     return rollup.placed(carrier(spark, sf_dir, "deps"), ["src", "dst", "confidence"])
 
 
+NODES = """SELECT 'n' || CAST(p_partkey % 700 AS STRING) AS id, p_brand AS module, p_type AS package, p_name AS symbol, CASE WHEN p_size % 2 = 0 THEN '' ELSE 'T' END AS receiver, 'f.go' AS file, p_size AS line, p_size % 3 = 0 AS is_external, p_size % 5 = 0 AS is_exported, p_size % 7 = 0 AS uses_unsafe, false AS is_assembly, false AS uses_plugin, p_size % 11 = 0 AS is_test FROM {part}"""
+EDGES = """SELECT 'n' || CAST(l_orderkey % 900 AS STRING) AS from_id, 'n' || CAST(l_partkey % 300 AS STRING) AS to_id, 'f' || CAST(l_suppkey % 3 AS STRING) AS file, l_linenumber AS line, l_linestatus AS kind, l_returnflag AS confidence, l_quantity > 25 AS reflect FROM {lineitem}"""
+INTERFACES = """SELECT 'i' || CAST(p_partkey % 90 AS STRING) AS id, p_brand AS package, p_type AS name, 'f.go' AS file, p_size % 4 AS line, p_size % 11 = 0 AS is_test, split(p_name, ' ') AS methods FROM {part}"""
+REFS = """SELECT p_brand AS module_path, 'v' || CAST(p_size AS STRING) AS module_version, p_name AS package_path, p_type AS symbol_kind, CASE WHEN p_size % 2 = 0 THEN '' ELSE 'T' END AS parent_type FROM {part}"""
+
+
+def _ordered(rows: str, order: list[str]) -> str:
+    return f"SELECT *, row_number() OVER (ORDER BY {', '.join(order)}) AS place FROM ({rows.format(part='part', lineitem='lineitem')})"
+
+
+def _rows(spark, sf_dir, rows: str):
+    return spark.sql(rows, **{n: t(spark, sf_dir, n) for n in ("part", "lineitem") if f"{{{n}}}" in rows})
+
+
+@query(_ordered(NODES, rollup.CALL_NODE_ORDER))
+def srt_02_call_nodes(spark, sf_dir):
+    return rollup.placed(_rows(spark, sf_dir, NODES), rollup.CALL_NODE_ORDER)
+
+
+@query(_ordered(EDGES, rollup.CALL_EDGE_ORDER))
+def srt_02_call_edges(spark, sf_dir):
+    return rollup.placed(_rows(spark, sf_dir, EDGES), rollup.CALL_EDGE_ORDER)
+
+
+@query(_ordered(INTERFACES, rollup.INTERFACE_ORDER))
+def srt_02_interfaces(spark, sf_dir):
+    return rollup.placed(_rows(spark, sf_dir, INTERFACES), rollup.INTERFACE_ORDER)
+
+
+@query("""WITH m AS (SELECT o_custkey % 200 AS type, o_orderpriority AS interface, list(DISTINCT o_orderstatus) AS l FROM orders GROUP BY 1, 2), i AS (SELECT interface AS interface_id, 't' || CAST(type AS STRING) AS type_id, 'p' AS package, 'f.go' AS file, type % 3 AS line, type % 2 = 0 AS is_test, list_sort(l) AS methods FROM m)
+SELECT interface_id, type_id, line, is_test, array_to_string(methods, ',') AS methods, row_number() OVER (ORDER BY interface_id, type_id, package, file, line, is_test, len(methods), methods) AS place FROM i""")
+def srt_02_implementations(spark, sf_dir):
+    kind = C("o_custkey") % 200
+    m = t(spark, sf_dir, "orders").groupBy(kind.alias("type"), C("o_orderpriority").alias("interface_id")).agg(F.array_sort(F.collect_set(F.struct(C("o_orderstatus").alias("method"), F.lit("n").alias("node_id")))).alias("methods"))
+    i = m.select("interface_id", F.concat(F.lit("t"), C("type").cast("string")).alias("type_id"), F.lit("p").alias("package"), F.lit("f.go").alias("file"), (C("type") % 3).alias("line"), (C("type") % 2 == 0).alias("is_test"), "methods")
+    return rollup.implementations_placed(i).select("interface_id", "type_id", "line", "is_test", F.array_join("methods.method", ",").alias("methods"), "place")
+
+
+@query(_ordered(REFS, rollup.SYMBOL_REF_ORDER))
+def srt_11_symbol_refs(spark, sf_dir):
+    return rollup.placed(_rows(spark, sf_dir, REFS), rollup.SYMBOL_REF_ORDER)
+
+
 # ---- functions -----------------------------------------------------------------------------------------
 
 KNOBS = (*catalogues.GODEBUG_TIERS, "nosuch", "")

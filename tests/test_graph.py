@@ -1,3 +1,4 @@
+import heapq
 import hashlib
 import random
 
@@ -59,6 +60,22 @@ def test_widest_path_against_brute_force(spark):
     assert got == {str(k): v for k, v in want.items()}
 
 
+def test_widest_path_depths_and_predecessors_against_brute_force(spark):
+    rng = random.Random(11)
+    raw = {(str(rng.randrange(15)), str(rng.randrange(15))): rng.choice([4, 4, 3, 1, 0]) for _ in range(45)}
+    rows = [(a, b, r) for (a, b), r in raw.items()] + [(a, b, 0) for a, b in list(raw)[:5]] + [("0", None, 4), (None, "3", 4), ("0", "null", None)]
+    got = {r["node"]: (r["rank"], r["depth"], r["pred"]) for r in graph.widest_paths(spark.createDataFrame(rows, "src string, dst string, rank int"), nodes(spark, "0")).collect()}
+    want, heap = {}, [(-5, 0, "", "0")]
+    while heap:
+        down, depth, pred, n = heapq.heappop(heap)
+        if n not in want:
+            want[n] = (-down, depth, pred or None)
+            for (a, b), r in raw.items():
+                if a == n and b not in want:
+                    heapq.heappush(heap, (-min(-down, r), depth + 1, n, b))
+    assert got == want
+
+
 def test_widest_path_carries_the_depth_of_the_settled_predecessor(spark):
     # x is strong by a long path, weak by a short one; y hangs on x by a weak edge
     e = spark.createDataFrame([("r", "a", 4), ("a", "b", 4), ("b", "x", 4), ("r", "x", 1), ("x", "y", 1)], "src string, dst string, rank int")
@@ -152,7 +169,7 @@ def test_edge_order_covers_every_edge(spark, small):
     from depquarry.plans.carriers import carrier
     from depquarry.plans.registry import QUERIES
 
-    assert QUERIES["srt_01_whole_edge_order"](spark, small).count() == carrier(spark, small, "deps").count()
+    assert QUERIES["srt_01_total_edge_order"](spark, small).count() == carrier(spark, small, "deps").count()
 
 
 def test_run_totals_count_every_event(spark, small):
