@@ -43,6 +43,15 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Rows of a frontier (a name or two and two numbers each) up to which it is broadcast; larger ones are shuffled.
+FRONTIER_ROWS = 100_000
+
+
+def _sized(frontier: DataFrame, rows: int) -> DataFrame:
+    """A frontier as a side of a join: broadcast if its counted rows are few, so the edges stay where they are."""
+    return F.broadcast(frontier) if rows <= FRONTIER_ROWS else frontier
+
+
 def _grown(settled: DataFrame, step: DataFrame, rounds: int) -> DataFrame:
     """``settled`` with a step that is checkpointed itself; the union is written anew every eighth round, so plans stay short."""
     out = settled.unionByName(step)
@@ -66,11 +75,13 @@ def levels(edges: DataFrame, roots: DataFrame, max_depth: int = 0) -> DataFrame:
     e = edges.select("src", "dst").distinct().checkpoint()
     settled = roots.select("node").distinct().withColumn("depth", F.lit(0)).checkpoint()
     frontier, depth = settled.select("node"), 0
+    rows = frontier.count()
     while max_depth == 0 or depth < max_depth:
         depth += 1
-        found = frontier.join(e, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(settled, "node", "left_anti")
+        found = _sized(frontier, rows).join(e, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(settled, "node", "left_anti")
         frontier = found.checkpoint()
-        if frontier.isEmpty():
+        rows = frontier.count()
+        if not rows:
             break
         settled = _grown(settled, frontier.withColumn("depth", F.lit(depth)), depth)
     return settled
@@ -134,10 +145,10 @@ def widest_paths(edges: DataFrame, roots: DataFrame) -> DataFrame:
     _checkpoints(edges.sparkSession)
     e = edges.where("rank BETWEEN 0 AND 4 AND src IS NOT NULL AND dst IS NOT NULL").groupBy("src", "dst").agg(F.max("rank").alias("edge")).checkpoint()
     settled = roots.select("node").distinct().select("node", F.lit(5).alias("rank"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("pred")).checkpoint()
-    step, offers, rounds = settled, None, 0
+    step, offers, rounds, rows = settled, None, 0, settled.count()
     while True:
         rounds += 1
-        new = step.join(e, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), F.least("rank", "edge").alias("rank"), (F.col("depth") + 1).alias("depth"), F.col("src").alias("pred"))
+        new = _sized(step, rows).join(e, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), F.least("rank", "edge").alias("rank"), (F.col("depth") + 1).alias("depth"), F.col("src").alias("pred"))
         new = new.join(settled.select("node"), "node", "left_anti")
         best = F.min(F.struct((-F.col("rank")).alias("down"), "depth", "pred")).alias("x")
         every = new if offers is None else offers.where(later).unionByName(new)
@@ -148,6 +159,7 @@ def widest_paths(edges: DataFrame, roots: DataFrame) -> DataFrame:
             return settled
         now = (F.col("rank") == -head["down"]) & (F.col("depth") == head["depth"])
         step, later = offers.where(now), ~now
+        rows = step.count()
         settled = _grown(settled, step, rounds)
 
 
