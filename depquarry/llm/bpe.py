@@ -6,7 +6,7 @@ segment holds beside (other white space, special tokens, combining marks) is lef
 
 Rows are taken in chunks of bounded size. Each chunk gives its distinct segments once, in blocks by a
 hash of the segment; equal segments of all chunks so meet in one partition, where the library encodes
-each once. Blocks of ids go back to their chunks, and each text is put together by the positions of
+each once (again only where a block's segments exceed a bound of bytes). Blocks of ids go back to their chunks, and each text is put together by the positions of
 its segments. Blocks hold many segments in one deflated row, so little is shuffled beside the texts.
 Decoding joins ids with the table of pieces, which the vocabulary bounds.
 """
@@ -29,6 +29,12 @@ from depquarry.llm.common import release, shuffle_partitions, small_batches
 #: UTF-8 bytes of the texts of a chunk; a longer text is a chunk of its own.
 CHUNK_BYTES = 4 << 20
 
+#: Bytes of segments and their ids that a task keeps of a block; beyond them it starts anew, and encodes again what comes back.
+KNOWN_BYTES = 128 << 20
+
+#: What a segment takes beside its characters and ids: two objects' heads and a place in the table.
+OBJECT_BYTES = 200
+
 CHUNK_FIELDS = "chunk long, doc_id {id}, words binary"
 
 
@@ -141,17 +147,18 @@ def encoded_words(words: DataFrame, path: str, blocks: int) -> DataFrame:
     """(chunk, numbers, sizes, ids): all chunks' blocks of one hash are in one partition, and each segment is encoded there once."""
 
     def run(batches):
-        t, known, here = tokenizer(path), {}, None
+        t, known, here, size = tokenizer(path), {}, None, 0
         for batch in batches:
             out = [[], [], []]
             for block, raw in zip(batch.column("block").to_pylist(), batch.column("words").to_pylist()):
-                if block != here:
-                    known, here = {}, block
+                if block != here or size > KNOWN_BYTES:
+                    known, here, size = {}, block, 0
                 got = zlib.decompress(raw).decode("utf-8", "surrogatepass").split("\n")
                 new = [w for w in got if w not in known]
                 for i in range(0, len(new), 8192):
                     part = new[i : i + 8192]
                     known.update((w, np.array(e.ids, np.uint32).tobytes()) for w, e in zip(part, t.encode_batch_fast(part, add_special_tokens=False)))
+                    size += sum(len(w) + len(known[w]) + OBJECT_BYTES for w in part)
                 ids = list(map(known.__getitem__, got))
                 out[1].append(packed(np.fromiter(map(len, ids), np.uint32, len(ids)) // 4))
                 out[2].append(packed(np.frombuffer(b"".join(ids), np.uint32)))

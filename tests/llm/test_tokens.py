@@ -32,6 +32,16 @@ def test_word_bpe_equals_the_library(spark, make_docs, monkeypatch):
         bpe.encode(make_docs([(1, "hello big world")]), tokenizer_file("byte_bpe_50k.json"))
 
 
+def test_word_bpe_with_little_room_for_segments(spark, make_docs, monkeypatch):
+    path = tokenizer_file("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    monkeypatch.setattr(bpe, "KNOWN_BYTES", 500)
+    monkeypatch.setattr(bpe, "CHUNK_BYTES", 200)
+    rows = [(i, f"word{i % 7} of the {x}") for i, x in enumerate(texts(100))]
+    got = {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in bpe.encode(make_docs(rows), path).collect()}
+    assert got == {d: t.encode(x, add_special_tokens=False).ids for d, x in rows}
+
+
 def test_byte_bpe_equals_the_library():
     path = tokenizer_file("byte_bpe_50k.json")
     t, e = Tokenizer.from_file(path), tokenbin.Encoder(path)
