@@ -9,6 +9,7 @@ from depquarry.llm import bpe, chat, chatrepair, expiring, ngramlm, sitetree, to
 from depquarry.llm.common import shared_path, table, written
 from depquarry.llm.decontam import decontaminate
 from depquarry.llm.minhash import NearDup, near_duplicates
+from depquarry.llm.projections import near_embeddings
 
 
 def tokenizer_file(name: str) -> str:
@@ -79,6 +80,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.encode(names, "UTF-8"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op11_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations")
     return chatrepair.digest(rows, *chatrepair.repair(chatrepair.damage(rows)))
@@ -94,5 +99,5 @@ def op13_expiring_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_warc_round_trip, op2_minhash_near_dedup, op3_winnowing_fingerprints, op4_bpe_encode_decode, op5_html_main_text, op6_chat_format, op7_token_files, op8_backoff_lm, op9_toxicity, op10_decontamination, op12_conversation_repair, op13_expiring_clicks)
+    for f in (op1_warc_round_trip, op2_minhash_near_dedup, op3_winnowing_fingerprints, op4_bpe_encode_decode, op5_html_main_text, op6_chat_format, op7_token_files, op8_backoff_lm, op9_toxicity, op10_decontamination, op11_embedding_near_dedup, op12_conversation_repair, op13_expiring_clicks)
 }
