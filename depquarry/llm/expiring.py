@@ -34,6 +34,9 @@ OPEN = "<5q32s"
 #: The block of the sentinel; no click_id is in it.
 NOWHERE = -(1 << 63)
 
+#: While the query runs: a batch's rows are late by the watermark that its windows time out by, not by the one before.
+SETTINGS = {"spark.sql.streaming.noDataMicroBatches.enabled": "false", "spark.sql.streaming.statefulOperator.allowMultiple": "false"}
+
 WINDOWS = "click_id long, start_hour long, closed_batch long, n_repeats long, n_conflicts long, conflict_crc long, hash string"
 
 
@@ -50,23 +53,22 @@ def utc_micros(df: DataFrame, name: str) -> Column:
     return F.unix_micros(name)
 
 
-def fold(p: Expiry, batch: int, first: int):
-    """The stateful function of the query that takes ``batch``; event times count hours from ``first``."""
+def fold(p: Expiry, batch: int, before: int, first: int):
+    """The stateful function of the query that takes ``batch``, the next with rows after ``before``; event times count hours from ``first``."""
     deadline = lambda start: (start - first + 1 + p.window) * HOUR_MS
 
     def run(key, chunks, state):
         held = {w[0]: list(w[1:]) for w in struct.iter_unpack(OPEN, state.get[0])} if state.exists else {}
         done = []
 
-        def close(click: int) -> None:
+        def close(click: int, at: int) -> None:
             start, repeats, conflicts, crc, digest = held.pop(click)
-            done.append((click, start, batch, repeats, conflicts, crc, digest.hex()))
+            done.append((click, start, at, repeats, conflicts, crc, digest.hex()))
 
-        if state.hasTimedOut:
-            now = state.getCurrentWatermarkMs()
-            for click in [c for c, w in held.items() if deadline(w[0]) < now]:
-                close(click)
-        else:
+        now = state.getCurrentWatermarkMs()
+        for click in [c for c, w in held.items() if deadline(w[0]) < now]:
+            close(click, before)
+        if not state.hasTimedOut:
             rows = []
             for c in chunks:
                 rows += zip(c["click_id"].tolist(), c["hour"].tolist(), c["hash"], c["n"].tolist())
@@ -77,7 +79,7 @@ def fold(p: Expiry, batch: int, first: int):
                 w = held.get(click)
                 if w is None or hour > w[0] + p.window:
                     if w is not None:
-                        close(click)
+                        close(click, batch)
                     w = held[click] = [hour, 0, 0, 0, digest]
                     n -= 1
                 w[1] += n
@@ -114,7 +116,8 @@ def deduplicate(copies: DataFrame, batches: int, p: Expiry = Expiry()) -> DataFr
 
     Rows in which click_id, hour, hash or batch is null belong to no window and are left out, as are those of
     batches outside [0, batches). Equal rows are repeats of one another. An empty table has no windows; a batch
-    without rows starts no query, as it moves no watermark. Every call has a folder of its own with the batches, the checkpoint and the result.
+    without rows starts no query, as it moves no watermark. Every call has a folder of its own with the batches,
+    the checkpoint and the result.
     """
     spark, root = copies.sparkSession, shared_path(copies.sparkSession, "expiring")
     used = copies.select(F.col("batch").cast("int").alias("batch"), F.col("click_id").cast("long").alias("click_id"), F.col("hour").cast("long").alias("hour"), "hash")
@@ -125,20 +128,35 @@ def deduplicate(copies: DataFrame, batches: int, p: Expiry = Expiry()) -> DataFr
     if ends["first"] is None:
         return spark.createDataFrame([], WINDOWS)
     first = ends["first"]
-    # the sentinel: a row without copies, by which all that is left closes in the name of the last batch
+    # the sentinels: rows without copies, of which the first moves the watermark and the second lets it act
     beyond = spark.range(1).select(F.lit(0).cast("long").alias("click_id"), F.lit(ends["last"] + p.window + p.late + 1).cast("long").alias("hour"), F.lit(b"").alias("hash"), F.lit(0).cast("long").alias("n"))
-    beyond.write.parquet(f"{root}/cut/batch={batches}")
-    for batch in range(batches + 1):
+    for batch in (batches, batches + 1):
+        beyond.write.parquet(f"{root}/cut/batch={batch}")
+    was = {k: spark.conf.get(k) for k in SETTINGS}
+    try:
+        for k, v in SETTINGS.items():
+            spark.conf.set(k, v)
+        _feed(spark, root, batches, first, columns, p)
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    return spark.read.schema(WINDOWS).parquet(f"{root}/windows")
+
+
+def _feed(spark: SparkSession, root: str, batches: int, first: int, columns: str, p: Expiry) -> None:
+    """Starts the query anew for each batch that has rows, and for the sentinels."""
+    last = 0
+    for batch in range(batches + 2):
         if not rename(spark, f"{root}/cut/batch={batch}", f"{root}/fed/{batch}"):
             continue
         rows = spark.readStream.schema(columns).option("recursiveFileLookup", "true").parquet(f"{root}/fed")
         # whole hours, so a millisecond keeps those that are exactly as old as is allowed
         rows = rows.withColumn("event_time", F.timestamp_seconds((F.col("hour") - first + 1) * 3600)).withWatermark("event_time", f"{p.late} hours 1 millisecond")
         rows = rows.withColumn("block", F.when(F.col("n") == 0, F.lit(NOWHERE)).otherwise(F.shiftright("click_id", BLOCK_BITS)))
-        windows = rows.groupBy("block").applyInPandasWithState(fold(p, min(batch, batches - 1), first), WINDOWS, "windows binary", "append", "EventTimeTimeout")
+        windows = rows.groupBy("block").applyInPandasWithState(fold(p, batch, batches - 1 if batch > batches else last, first), WINDOWS, "windows binary", "append", "EventTimeTimeout")
         query = windows.writeStream.format("parquet").option("path", f"{root}/windows").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
         query.awaitTermination()
-    return spark.read.schema(WINDOWS).parquet(f"{root}/windows")
+        last = batch if batch < batches else last
 
 
 def click_copies(clicks: DataFrame, batches: int = 10) -> DataFrame:
