@@ -13,7 +13,6 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from depquarry.functions import semver
 
 #: Edge confidences, the weakest first; what is not named ranks with Unknown.
 CONFIDENCES = ("Unknown", "CHA-overapprox", "Framework", "VTA", "Direct")
@@ -221,69 +220,6 @@ def satisfied(required: DataFrame, provided: DataFrame) -> DataFrame:
     return got.join(size, "interface").where("got = need").select("interface", "type")
 
 
-def select_versions(requires: DataFrame, target: tuple[str, str], replaces: DataFrame | None = None, excludes: DataFrame | None = None, max_depth: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of a target by minimum version selection, wave by wave.
-
-    ``requires`` (path, version, req_path, req_version, go_version); ``replaces`` (old_path,
-    old_version — empty for any, new_path, new_version); ``excludes`` (path, version).
-
-    In a wave, each path's selected version is the newest asked for so far; only that one is expanded,
-    once. A module from before pruning (its language version under 1.17, or unknown) has its
-    requirements' requirements expanded; of others only paths that the target itself requires are. An
-    excluded requirement is dropped. A replaced one stands under its new coordinate, is pinned, and not
-    moved to the selected version. At ``max_depth`` nodes are recorded but not expanded. At the end
-    edges go to the selected versions. nodes: (path, version, depth, pinned); edges: (from_path,
-    from_version, to_path, to_version, wanted).
-    """
-    spark = requires.sparkSession
-    _checkpoints(spark)
-    req = requires.select("path", "version", "req_path", "req_version", "go_version").distinct()
-    if excludes is not None:
-        req = req.join(excludes.select(F.col("path").alias("req_path"), F.col("version").alias("req_version")), ["req_path", "req_version"], "left_anti")
-    req = req.withColumn("to_path", F.col("req_path")).withColumn("to_version", F.col("req_version")).withColumn("pinned", F.lit(False))
-    if replaces is not None:
-        exact = replaces.where("old_version <> ''").select(F.col("old_path").alias("req_path"), F.col("old_version").alias("req_version"), F.col("new_path").alias("_ep"), F.col("new_version").alias("_ev"))
-        wild = replaces.where("old_version = ''").select(F.col("old_path").alias("req_path"), F.col("new_path").alias("_wp"), F.col("new_version").alias("_wv"))
-        req = req.join(exact, ["req_path", "req_version"], "left").join(wild, "req_path", "left")
-        req = req.withColumn("to_path", F.coalesce("_ep", "_wp", "req_path")).withColumn("to_version", F.when(F.col("_ep").isNotNull(), F.col("_ev")).when(F.col("_wp").isNotNull(), F.col("_wv")).otherwise(F.col("req_version")))
-        req = req.withColumn("pinned", F.col("_ep").isNotNull() | F.col("_wp").isNotNull()).drop("_ep", "_ev", "_wp", "_wv")
-    req = req.withColumn("lazy", ~semver.before_pruning(F.col("go_version"))).checkpoint()
-
-    path, version = target
-    asked = spark.createDataFrame([(path, path, version, 0, True, False)], "own string, path string, version string, depth int, expand boolean, pinned boolean").checkpoint()
-    done = spark.createDataFrame([], "path string, version string").checkpoint()
-    edges = None
-    direct = req.where((F.col("path") == path) & (F.col("version") == version)).select(F.col("req_path").alias("own")).distinct().withColumn("_direct", F.lit(True)).checkpoint()
-    while True:
-        best = selected(asked)
-        wave = best.where("expand").join(done, ["path", "version"], "left_anti")
-        if max_depth:
-            wave = wave.where(F.col("depth") < max_depth)
-        wave = wave.select("path", "version", "depth").checkpoint()
-        if wave.isEmpty():
-            break
-        hop = wave.join(req, ["path", "version"]).checkpoint()
-        out = hop.select(F.col("path").alias("from_path"), F.col("version").alias("from_version"), "to_path", "to_version", F.col("req_version").alias("wanted"), F.col("req_path").alias("own"), "pinned")
-        edges = (out if edges is None else edges.unionByName(out)).checkpoint()
-        new = hop.join(direct, F.col("req_path") == F.col("own"), "left")
-        new = new.select(F.col("req_path").alias("own"), F.col("to_path").alias("path"), F.col("to_version").alias("version"), (F.col("depth") + 1).alias("depth"), (F.coalesce("_direct", F.lit(False)) | ~F.col("lazy")).alias("expand"), "pinned")
-        asked = asked.unionByName(new).groupBy("own", "path", "version").agg(F.min("depth").alias("depth"), F.max("expand").alias("expand"), F.max("pinned").alias("pinned")).checkpoint()
-        done = done.unionByName(wave.select("path", "version")).checkpoint()
-    nodes = selected(asked).select("path", "version", "depth", "pinned")
-    if edges is None:
-        edges = spark.createDataFrame([], "from_path string, from_version string, to_path string, to_version string, wanted string, own string, pinned boolean")
-    best = selected(asked).select("own", F.col("version").alias("_v"))
-    moved = edges.join(best, "own", "left").withColumn("to_version", F.when(F.col("pinned"), F.col("to_version")).otherwise(F.coalesce("_v", "to_version")))
-    return nodes, moved.select("from_path", "from_version", "to_path", "to_version", "wanted").distinct()
-
-
-def selected(asked: DataFrame) -> DataFrame:
-    """The newest version asked for of each own path, with the least depth and whether any asker has it expanded."""
-    w = Window.partitionBy("own")
-    newest = F.row_number().over(w.orderBy(semver.key(F.col("version")).desc_nulls_last(), F.col("version").desc()))
-    return asked.withColumn("_expand", F.max("expand").over(w)).withColumn("_depth", F.min("depth").over(w)).withColumn("_n", newest).where("_n = 1").select("own", "path", "version", F.col("_depth").alias("depth"), F.col("_expand").alias("expand"), "pinned")
-
-
 def newest_major(known: DataFrame, family: DataFrame, limit: int = 32) -> DataFrame:
     """(stem, last): the last major of the unbroken run of majors known above ``base``, at most ``limit`` on; null if there is none.
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from depquarry.functions import classify, licence, semver, text
-from depquarry.operators import compose, diff, graph, joins, rollup
+from depquarry.operators import compose, diff, graph, joins, resolve, rollup
 from depquarry.plans import oracle as o
 from depquarry.plans.carriers import carrier, cte
 from depquarry.plans.queries import RANK, RUNG, _roots, query, t
@@ -115,7 +115,7 @@ def grf_13_version_selection(spark, sf_dir):
     # each line an edge from the smaller module to the larger, so there are no cycles
     r = t(spark, sf_dir, "lineitem").where(a != b).select(name(F.least(a, b)).alias("path"), v(F.least(a, b)).alias("version"), name(F.greatest(a, b)).alias("req_path"), v(C("l_suppkey")).alias("req_version"), F.when(C("l_linenumber") > 2, "1.21").otherwise("1.16").alias("go_version"))
     first = r.agg(F.min(F.struct("path", "version")).alias("x")).first()["x"]
-    return graph.select_versions(r, (first["path"], first["version"]))[0]
+    return resolve.select_versions(r, (first["path"], first["version"]))[0]
 
 
 # ---- roll-ups, composition ----------------------------------------------------------------------------

@@ -122,13 +122,13 @@ def test_faults_by_line(spark):
 
 
 def test_manifests_feed_version_selection(spark):
-    from depquarry.operators import graph
+    from depquarry.operators import resolve
 
     texts = [(0, "module r\ngo 1.20\nrequire (\n a v1.0.0\n b v1.0.0\n)\nexclude c v9.0.0", "v0.0.0"), (1, "module a\ngo 1.20\nrequire c v1.1.0", "v1.0.0"), (2, "module b\ngo 1.16\nrequire c v1.2.0\nrequire a v1.0.0", "v1.0.0"), (3, "module c\ngo 1.20", "v1.2.0"), (4, "module a\nbroken", "v1.0.0")]
     df = spark.createDataFrame(texts, "m long, body string, version string")
     rows = manifest.faultless(manifest.parse(df, "m", "body"))
     req = manifest.requirements(rows, df.withColumnRenamed("m", "id"))
-    nodes, _ = graph.select_versions(req, ("r", "v0.0.0"))
+    nodes, _ = resolve.select_versions(req, ("r", "v0.0.0"))
     assert sorted((r["path"], r["version"]) for r in nodes.collect()) == [("a", "v1.0.0"), ("b", "v1.0.0"), ("c", "v1.2.0"), ("r", "v0.0.0")]
 
 
