@@ -107,17 +107,6 @@ def x_05_entry_ancestry_references(spark, sf_dir):
     return graph.entry_ancestry(e, "n3", t(spark, sf_dir, "orders").select(F.concat(F.lit("o"), C("o_orderkey").cast("string")).alias("node")))
 
 
-@query()
-def grf_13_version_selection(spark, sf_dir):
-    a, b = C("l_orderkey") % 300, C("l_partkey") % 300
-    v = lambda c: F.concat(F.lit("v1."), (c % 4).cast("string"), F.lit(".0"))
-    name = lambda c: F.concat(F.lit("m"), c.cast("string"))
-    # each line an edge from the smaller module to the larger, so there are no cycles
-    r = t(spark, sf_dir, "lineitem").where(a != b).select(name(F.least(a, b)).alias("path"), v(F.least(a, b)).alias("version"), name(F.greatest(a, b)).alias("req_path"), v(C("l_suppkey")).alias("req_version"), F.when(C("l_linenumber") > 2, "1.21").otherwise("1.16").alias("go_version"))
-    first = r.agg(F.min(F.struct("path", "version")).alias("x")).first()["x"]
-    return resolve.select_versions(r, (first["path"], first["version"]))[0]
-
-
 # ---- roll-ups, composition ----------------------------------------------------------------------------
 
 
@@ -148,16 +137,6 @@ def cmp_03_interface(spark, sf_dir):
     return compose.served(g, ["module"], r, C("identity"), C("source"), top).select("module", "event_id", "conflict")
 
 
-@query(cte("gens") + f""", q AS (SELECT *, max(source = 'view') OVER (PARTITION BY module) AS own, max(source = 'click') OVER (PARTITION BY module) AS iso FROM gens),
-k AS (SELECT * FROM q WHERE CASE WHEN own THEN source = 'view' WHEN iso THEN source = 'click' ELSE true END)
-SELECT module, event_id FROM (SELECT *, row_number() OVER (PARTITION BY module ORDER BY {RUNG} DESC, taken DESC, event_id) AS n FROM k) WHERE n = 1""")
-def cmp_07_for_a_tree(spark, sf_dir):
-    prefer = F.when(C("source") == "view", 2).when(C("source") == "click", 1).otherwise(0)
-    g = compose.preferred_group(carrier(spark, sf_dir, "gens"), ["module"], prefer)
-    rung = compose.rank_of(C("completeness"), compose.COMPLETENESS)
-    return compose.served(g, ["module"], [rung.desc(), C("taken").desc(), C("event_id").asc()]).select("module", "event_id")
-
-
 @query(cte("gens") + """ SELECT module, event_id FROM (SELECT *, row_number() OVER (PARTITION BY module ORDER BY (coverage = 'Failed'), (completeness = 'TypeOnly'), CASE source WHEN 'error' THEN 5 WHEN 'purchase' THEN 4 WHEN 'click' THEN 3 WHEN 'view' THEN 2 ELSE 0 END DESC, findings DESC, taken DESC, event_id) AS n FROM gens) WHERE n = 1""")
 def cmp_08_fetch(spark, sf_dir):
     strength = F.when(C("source") == "error", "cross-verified").when(C("source") == "purchase", "checksum db").when(C("source") == "click", "go.sum").when(C("source") == "view", "local").otherwise("odd")

@@ -85,23 +85,6 @@ def agg_21_affected_modules(spark, sf_dir):
 # ---- composition, order ------------------------------------------------------------------------------
 
 
-@query(cte("gens") + f""", q AS (SELECT *, max(identity <> '') OVER (PARTITION BY module) AS any FROM gens), k AS (SELECT * FROM q WHERE identity = 'sha-3' OR NOT "any")
-SELECT module, event_id FROM (SELECT *, row_number() OVER (PARTITION BY module ORDER BY {RUNG} DESC, taken DESC, event_id) AS n FROM k) WHERE n = 1""")
-def cmp_05_at_a_rooting(spark, sf_dir):
-    stated = F.max(C("identity") != "").over(Window.partitionBy("module"))
-    g = carrier(spark, sf_dir, "gens").withColumn("any", stated).where((C("identity") == "sha-3") | ~C("any"))
-    rung = compose.rank_of(C("completeness"), compose.COMPLETENESS)
-    return compose.served(g, ["module"], [rung.desc(), C("taken").desc(), C("event_id").asc()]).select("module", "event_id")
-
-
-@query(cte("gens") + """, f AS (SELECT module, source = 'view' AS rooted, event_id, row_number() OVER (PARTITION BY module, source = 'view' ORDER BY taken DESC, event_id) AS n FROM gens)
-SELECT module, max(event_id) FILTER (WHERE rooted) AS rooted, max(event_id) FILTER (WHERE NOT rooted) AS isolated FROM f WHERE n = 1 GROUP BY module""")
-def cmp_06_for_a_consumer(spark, sf_dir):
-    g = carrier(spark, sf_dir, "gens").withColumn("r", C("source") == "view")
-    s = compose.served(g, ["module", "r"], [C("taken").desc(), C("event_id").asc()])
-    return s.groupBy("module").agg(F.max(F.when(C("r"), C("event_id"))).alias("rooted"), F.max(F.when(~C("r"), C("event_id"))).alias("isolated"))
-
-
 @query(cte("mods") + """ SELECT id, path, version, row_number() OVER (ORDER BY path, version, id) AS place FROM mods""")
 def srt_01_node_order(spark, sf_dir):
     return rollup.placed(carrier(spark, sf_dir, "mods").select("id", "path", "version"), ["path", "version", "id"])
