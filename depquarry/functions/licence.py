@@ -123,7 +123,8 @@ def snippets(content: Column) -> Column:
     and a comment that names path@version.
     """
     tags = F.filter(F.transform(F.filter(F.split(content, "\n"), lambda x: x.rlike(r"^\s*//")), lambda x: F.trim(F.regexp_replace(x, r"^\s*//", ""))), lambda x: x != "")
-    blocks = F.slice(F.split(F.array_join(tags, "\n"), r"(?m)^SPDX-SnippetBegin$"), 2, 1_000_000)
+    parts = F.split(F.array_join(tags, "\n"), r"(?m)^SPDX-SnippetBegin$")
+    blocks = F.slice(parts, F.lit(2), F.size(parts))
 
     def read(b: Column) -> Column:
         body = F.regexp_extract(b, r"(?s)^(.*?)(?:^|\n)SPDX-SnippetEnd(?:\n|$)", 1)
@@ -222,6 +223,7 @@ TEXT_ANCHORS = {
     "BSD-3-Clause-New": "redistribution and use in source and binary forms",
 }
 #: How far before a grant its notice may stand.
+#: Fixed value: characters of a text's head in which a notice counts.
 NOTICE_WINDOW = 600
 
 

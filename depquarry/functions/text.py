@@ -156,7 +156,7 @@ def holder_names_owner(holder: Column, path: Column) -> Column:
     """Whether a word of five letters or more in a copyright holder's name contains, or lies in, an element of a path behind its host."""
     words = F.filter(F.split(F.lower(holder), "[^a-z0-9]+"), lambda w: F.length(w) >= 5)
     parts = F.split(F.lower(path), "/")
-    owners = F.filter(F.slice(parts, 2, 1_000_000), lambda o: o != "")
+    owners = F.filter(F.slice(parts, F.lit(2), F.size(parts)), lambda o: o != "")
     return F.exists(words, lambda w: F.exists(owners, lambda o: F.contains(o, w) | F.contains(w, o)))
 
 

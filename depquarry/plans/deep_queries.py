@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depquarry.operators import compose, frames, graph, merkle, resolve, seal, staleness
+from depquarry.functions import classify
+from depquarry.operators import compose, frames, graph, merkle, reports, resolve, rollup, seal, staleness
 from depquarry.plans import oracle as o
 from depquarry.plans.carriers import carrier, cte
 from depquarry.plans.queries import RUNG, query, t
@@ -339,3 +340,139 @@ def grf_14_replaced_graph(spark, sf_dir):
     return nodes.withColumn("partial", F.lit(told["partial"])).withColumn("reasons", F.lit(", ".join(told["reasons"])))
 
 
+
+
+# ---- reports -----------------------------------------------------------------------------------------
+
+SPDX = {0: "MIT", 1: "Apache-2.0", 2: "GPL-3.0-only", 3: "AGPL-3.0-only", 4: "MPL-2.0", 5: "CC-BY-4.0", 6: "Vendor-1.0", 7: ""}
+
+
+@query("""WITH s(i, id) AS (VALUES (0, 'MIT'), (1, 'Apache-2.0'), (2, 'GPL-3.0-only'), (3, 'AGPL-3.0-only'), (4, 'MPL-2.0'), (5, 'CC-BY-4.0'), (6, 'Vendor-1.0'), (7, '')),
+i AS (SELECT l_orderkey AS walk, 'p' || l_partkey AS path, CASE WHEN o_orderpriority = '1-URGENT' THEN 'MIT' WHEN o_orderpriority = '2-HIGH' THEN 'GPL-3.0-only' ELSE 'Apache-2.0' END AS target, CASE WHEN l_partkey % 11 = 0 THEN NULL ELSE (SELECT id FROM s WHERE s.i = l_partkey % 8) END AS spdx, l_partkey % 11 = 0 AS choice,
+  CASE WHEN l_partkey % 22 = 0 THEN ['AGPL-3.0-only', 'GPL-3.0-only'] ELSE ['GPL-3.0-only', 'MIT'] END AS arms FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL),
+v AS (SELECT *, CASE WHEN choice THEN CASE WHEN target = 'GPL-3.0-only' THEN CASE WHEN arms[1] = 'AGPL-3.0-only' THEN 'electable' ELSE 'compatible' END WHEN arms[2] = 'MIT' THEN 'electable' ELSE 'incompatible' END
+  WHEN spdx IN ('', 'CC-BY-4.0', 'Vendor-1.0') THEN 'unknown_pair' WHEN spdx IN ('MIT', 'Apache-2.0', 'MPL-2.0') THEN 'compatible' WHEN spdx = target THEN 'compatible' WHEN target = 'GPL-3.0-only' THEN 'unknown_pair' ELSE 'incompatible' END AS verdict,
+  CASE WHEN choice THEN array_to_string(arms, ' OR ') ELSE spdx END AS dep FROM i),
+k AS (SELECT *, CASE WHEN verdict = 'electable' THEN 'election_required' WHEN verdict = 'unknown_pair' THEN 'unknown_pair' WHEN dep LIKE 'AGPL%' THEN 'network_trigger' ELSE 'copyleft_propagation' END AS kind FROM v WHERE verdict <> 'compatible'),
+c AS (SELECT walk, string_agg(path || ':' || dep || ':' || verdict || ':' || kind || ':' || CASE WHEN dep = '' THEN 'unmeasured' ELSE 'classified' END, ';' ORDER BY path, dep) AS conflicts FROM k GROUP BY walk),
+h AS (SELECT walk, string_agg(spdx || ':' || n || ':' || CASE WHEN spdx = 'CC-BY-4.0' THEN 'true' ELSE 'false' END, ';' ORDER BY spdx) AS holes FROM (SELECT walk, spdx, count(DISTINCT path) AS n FROM i WHERE spdx IN ('CC-BY-4.0', 'Vendor-1.0') GROUP BY ALL) GROUP BY walk)
+SELECT walk, max(target) AS target, c.walk IS NULL AS clean, coalesce(conflicts, '') AS conflicts, coalesce(holes, '') AS holes FROM i LEFT JOIN c USING (walk) LEFT JOIN h USING (walk) GROUP BY ALL""")
+def fn_25_closure_reports(spark, sf_dir):
+    """The licence closure of every order against a target of its own."""
+    p = C("l_partkey")
+    target = F.when(C("o_orderpriority") == "1-URGENT", "MIT").when(C("o_orderpriority") == "2-HIGH", "GPL-3.0-only").otherwise("Apache-2.0")
+    one = F.coalesce(*[F.when(p % 8 == k, v) for k, v in SPDX.items()])
+    arms = F.when(p % 22 == 0, F.array(F.lit("AGPL-3.0-only"), F.lit("GPL-3.0-only"))).when(p % 11 == 0, F.array(F.lit("GPL-3.0-only"), F.lit("MIT")))
+    x = t(spark, sf_dir, "lineitem").join(t(spark, sf_dir, "orders"), C("o_orderkey") == C("l_orderkey"))
+    i = x.select(C("l_orderkey").alias("walk"), F.concat(F.lit("p"), s(p)).alias("path"), F.lit("v1").alias("version"), F.when(p % 11 != 0, one).alias("spdx"), arms.alias("arms"), F.lit("unmeasured").alias("measurement"), target.alias("target")).distinct()
+    r = reports.closure_report(i, ["walk"])
+    conflict = lambda c: F.concat_ws(":", c["path"], c["dep"], c["verdict"], c["kind"], c["measurement"])
+    hole = lambda h: F.concat_ws(":", h["spdx"], s(h["modules"]), s(h["deliberate"]))
+    joined = lambda c, f: F.coalesce(F.array_join(F.transform(c, f), ";"), F.lit(""))
+    return r.select("walk", "target", "clean", joined("conflicts", conflict).alias("conflicts"), joined("holes", hole).alias("holes"))
+
+
+@query("""WITH x AS (SELECT o_custkey AS walk, CASE WHEN l_suppkey % 9 = 0 THEN NULL ELSE CASE l_partkey % 6 WHEN 0 THEN 'Verified' WHEN 1 THEN 'VerifiedBySumDBOnly' WHEN 2 THEN 'VerifiedByGoSum' WHEN 3 THEN 'UnverifiedNoVCS' WHEN 4 THEN 'LocalSource' ELSE 'odd' END END AS st, l_linenumber AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+y AS (SELECT walk, CASE WHEN st IS NULL THEN 'unrecorded' WHEN st = 'Verified' THEN 'cross_verified' WHEN st = 'VerifiedBySumDBOnly' THEN 'checksum_db' WHEN st = 'VerifiedByGoSum' THEN 'go_sum' WHEN st = 'UnverifiedNoVCS' THEN 'unverified' WHEN st = 'LocalSource' THEN 'local_source' ELSE 'unrecognised' END AS c, CASE WHEN n = 1 THEN 'not_measured' WHEN n = 2 THEN 'never' WHEN n = 3 THEN 'inherited' WHEN n = 4 THEN 'never' ELSE 'rechecked' END AS e FROM x),
+g AS (SELECT walk, count(*) AS total, count(*) FILTER (c = 'cross_verified') AS cross_verified, count(*) FILTER (c = 'checksum_db') AS checksum_db, count(*) FILTER (c = 'go_sum') AS go_sum, count(*) FILTER (c = 'unverified') AS unverified, count(*) FILTER (c = 'local_source') AS local_source, count(*) FILTER (c = 'unrecognised') AS unrecognised, count(*) FILTER (c = 'unrecorded') AS unrecorded,
+  count(*) FILTER (e = 'rechecked' AND c NOT IN ('unrecorded', 'local_source')) AS vcs_rechecked, count(*) FILTER (e = 'inherited' AND c NOT IN ('unrecorded', 'local_source')) AS vcs_inherited, count(*) FILTER (e = 'never' AND c NOT IN ('unrecorded', 'local_source')) AS vcs_never, count(*) FILTER (e = 'not_measured' AND c NOT IN ('unrecorded', 'local_source')) AS vcs_not_measured FROM y GROUP BY walk)
+SELECT *, total - unrecorded AS recorded, total - unrecorded - local_source AS cross_verifiable, total - unrecorded - local_source > 0 AND cross_verified = 0 AS collapsed FROM g""")
+def agg_03_verification_evidence(spark, sf_dir):
+    """How the lines of each customer's orders were verified, and what their legs say of version control."""
+    p, n = C("l_partkey") % 6, C("l_linenumber")
+    status = F.when(C("l_suppkey") % 9 != 0, F.when(p == 0, "Verified").when(p == 1, "VerifiedBySumDBOnly").when(p == 2, "VerifiedByGoSum").when(p == 3, "UnverifiedNoVCS").when(p == 4, "LocalSource").otherwise("odd"))
+    leg = lambda kind, how: F.struct(F.lit(kind).alias("kind"), F.lit(how).alias("provenance"))
+    legs = F.when(n == 2, F.array(leg("sum", "rechecked"))).when(n == 3, F.array(leg("sum", "rechecked"), leg("vcs", "inherited"))).when(n == 4, F.array(leg("vcs", "absent"))).when(n > 4, F.array(leg("vcs", "odd"), leg("vcs", "rechecked")))
+    x = t(spark, sf_dir, "lineitem").join(t(spark, sf_dir, "orders"), C("o_orderkey") == C("l_orderkey"))
+    return reports.verification_report(x.select(C("o_custkey").alias("walk"), status.alias("status"), legs.alias("legs")), ["walk"], "status", "legs")
+
+
+USE_NODES = """n AS (SELECT DISTINCT l_orderkey AS walk, 'p' || l_partkey AS path, CASE WHEN l_partkey % 7 = 0 THEN 'stdlib' WHEN l_partkey % 7 = 1 THEN 'local_replace' ELSE 'mvs' END AS source FROM lineitem)"""
+
+
+def _use(spark, sf_dir, recursive):
+    p = C("l_partkey")
+    source = F.when(p % 7 == 0, "stdlib").when(p % 7 == 1, "local_replace").otherwise("mvs")
+    nodes = t(spark, sf_dir, "lineitem").select(C("l_orderkey").alias("walk"), F.concat(F.lit("p"), s(p)).alias("path"), F.lit("v1").alias("version"), source.alias("source"))
+    targets = t(spark, sf_dir, "orders").select(C("o_orderkey").alias("walk"), F.concat(F.lit("p"), s(C("o_custkey") % 200)).alias("path"), F.lit("v1").alias("version"))
+    return reports.use_selection(nodes, targets, recursive)
+
+
+@query(f"WITH {USE_NODES} SELECT walk, path, 'v1' AS version, source, source = 'mvs' AS copied FROM n")
+def cmd_22_use_recursive(spark, sf_dir):
+    return _use(spark, sf_dir, True)
+
+
+@query(f"""WITH {USE_NODES} SELECT o_orderkey AS walk, 'p' || (o_custkey % 200) AS path, 'v1' AS version, coalesce(source, 'target') AS source, coalesce(source, 'target') IN ('mvs', 'target') AS copied FROM orders LEFT JOIN n ON walk = o_orderkey AND path = 'p' || (o_custkey % 200)""")
+def cmd_22_use_target(spark, sf_dir):
+    return _use(spark, sf_dir, False)
+
+
+CONTEXT = """nodes AS (SELECT DISTINCT p_partkey AS id FROM part), ev AS (SELECT CAST(user_id AS BIGINT) AS id, event_id, event_type, ts, value FROM events),
+fac AS (SELECT id, event_id, CASE WHEN value > 20 THEN 'ok' ELSE 'weak' END AS status, ts, count(*) OVER (PARTITION BY id) AS g, row_number() OVER (PARTITION BY id ORDER BY ts DESC, event_id) AS n FROM ev WHERE event_type = 'view'),
+lic AS (SELECT id, event_id, 'Detected' AS status, event_id % 3 <> 0 AS ok, ts, count(*) OVER (PARTITION BY id) AS g, row_number() OVER (PARTITION BY id ORDER BY (event_id % 3 <> 0) DESC, ts DESC, event_id) AS n FROM ev WHERE event_type = 'purchase')"""
+
+
+def _context(spark, sf_dir):
+    e = t(spark, sf_dir, "events").select(C("user_id").cast("long").alias("id"), "event_id", "event_type", "ts", "value")
+    fetch = e.where("event_type = 'view'").select("id", F.when(C("value") > 20, "ok").otherwise("weak").alias("status"), "event_id", "ts")
+    lic = e.where("event_type = 'purchase'").select("id", F.lit("Detected").alias("status"), "event_id", "ts")
+    newest = [C("ts").desc(), C("event_id").asc()]
+    modules = t(spark, sf_dir, "part").select(C("p_partkey").alias("id"))
+    return reports.context(modules, ["id"], {"verification": (fetch, newest), "licence": (lic, newest)}, {"licence": C("event_id") % 3 != 0})
+
+
+@query(f"""WITH {CONTEXT} SELECT nodes.id, coalesce(f.status, 'not_run') AS verification, coalesce(f.g, 0) AS fetches, f.event_id AS fetched, CASE WHEN l.id IS NULL THEN 'not_run' WHEN l.ok THEN l.status ELSE 'superseded' END AS licence, coalesce(l.g, 0) AS extractions, CASE WHEN l.ok THEN l.event_id END AS extraction,
+CASE WHEN f.id IS NULL THEN 0 ELSE 1 END + CASE WHEN coalesce(l.ok, false) THEN 1 ELSE 0 END AS measured FROM nodes LEFT JOIN fac f ON f.id = nodes.id AND f.n = 1 LEFT JOIN lic l ON l.id = nodes.id AND l.n = 1""")
+def cmd_12_module_context(spark, sf_dir):
+    v, l = "verification", "licence"
+    return _context(spark, sf_dir).select("id", C(f"{v}.status").alias(v), C(f"{v}.generations").alias("fetches"), C(f"{v}.event_id").alias("fetched"), C(f"{l}.status").alias(l), C(f"{l}.generations").alias("extractions"), C(f"{l}.event_id").alias("extraction"), "measured")
+
+
+@query(f"""WITH {CONTEXT}, w AS (SELECT DISTINCT l_orderkey AS walk, l_partkey AS id FROM lineitem)
+SELECT walk, count(*) AS modules, count(f.id) AS verification, count(*) FILTER (coalesce(l.ok, false)) AS licence, least(count(f.id), count(*) FILTER (coalesce(l.ok, false))) = count(*) AS complete FROM w LEFT JOIN fac f ON f.id = w.id AND f.n = 1 LEFT JOIN lic l ON l.id = w.id AND l.n = 1 GROUP BY walk""")
+def cmd_12_project_context(spark, sf_dir):
+    nodes = t(spark, sf_dir, "lineitem").select(C("l_orderkey").alias("walk"), C("l_partkey").alias("id"))
+    return reports.project_context(_context(spark, sf_dir), nodes, ["id"], "walk", ["verification", "licence"])
+
+
+@query(cte("mods", "licences") + f""", {SCANS_SQL}, nodes AS (SELECT path, version, max(size % 2 = 0) AS direct, min(id) AS id FROM mods WHERE size <> 50 GROUP BY path, version),
+lic AS (SELECT * FROM (SELECT m.path, m.version, l.expression, row_number() OVER (PARTITION BY m.path, m.version ORDER BY m.price DESC, m.id) AS n FROM mods m JOIN licences l ON l.id = m.id WHERE m.id % 5 <> 0) WHERE n = 1),
+fet AS (SELECT * FROM (SELECT path, version, CASE WHEN size % 3 = 0 THEN 'Verified' ELSE 'VerifiedByGoSum' END AS status, row_number() OVER (PARTITION BY path, version ORDER BY id DESC) AS n FROM mods WHERE id % 3 <> 1) WHERE n = 1),
+vul AS (SELECT m.path, m.version, s.*, s.rooting LIKE 'target:%' AND s.rooting <> 'target:' || m.path || '@' || m.version AS consumer, s.rooting = 'isolated' AS isolated FROM scans s JOIN mods m ON m.id = s.id), va AS (SELECT *, max(consumer) OVER (PARTITION BY path, version) AS "any" FROM vul),
+ser AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path, version ORDER BY {RANKED}) AS n FROM va WHERE consumer OR NOT "any") WHERE n = 1), asi AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path, version ORDER BY {RANKED}) AS n FROM va WHERE isolated AND "any") WHERE n = 1),
+top AS (SELECT path, version FROM (SELECT path, version, row_number() OVER (PARTITION BY path ORDER BY {o.key('version')} DESC NULLS LAST, version DESC) AS n FROM mods WHERE id % 40 <> 3) WHERE n = 1),
+x AS (SELECT d.path, d.version, d.direct, coalesce(fet.status, '(not fetched)') AS verification, CASE WHEN d.path = 'example.com/m4' THEN CASE WHEN d.version = 'v1.4.1' THEN 'ISC' ELSE 'AGPL-3.0-only' END WHEN lic.path IS NULL THEN '(not run)' WHEN lic.expression = '' THEN '(unclassified)' ELSE lic.expression END AS licence,
+  CASE WHEN d.path = 'example.com/m4' THEN 'override' WHEN lic.path IS NULL THEN 'none' ELSE 'record' END AS licence_source, coalesce(ser.findings, '(not run)') AS vulnerability, asi.findings AS declined, top.version AS latest
+  FROM nodes d LEFT JOIN fet ON fet.path = d.path AND fet.version = d.version LEFT JOIN lic ON lic.path = d.path AND lic.version = d.version LEFT JOIN ser ON ser.path = d.path AND ser.version = d.version LEFT JOIN asi ON asi.path = d.path AND asi.version = d.version LEFT JOIN top ON top.path = d.path)
+SELECT *, CASE WHEN latest IS NULL THEN NULL WHEN version = latest THEN 'level' WHEN NOT {o.valid('version')} OR NOT {o.valid('latest')} THEN 'behind' WHEN {o.key('version')} < {o.key('latest')} THEN 'behind' WHEN {o.key('version')} > {o.key('latest')} THEN 'ahead' ELSE 'level' END AS pin,
+  vulnerability = 'Affected' OR licence IN ('AGPL-3.0-only', 'GPL-3.0-only', 'MIT OR GPL-3.0-only') AND licence <> 'MIT OR GPL-3.0-only' AS blocking FROM x""")
+def cmd_01_audit_of_tables(spark, sf_dir):
+    """The audit of all modules as one project's: generations of fetches, licences and scans, overrides, newest versions."""
+    m = carrier(spark, sf_dir, "mods")
+    nodes = m.select("path", "version", (C("size") == 50).alias("root"), (C("size") % 2 == 0).alias("direct"))
+    fetches = m.where(C("id") % 3 != 1).select("path", "version", F.when(C("size") % 3 == 0, "Verified").otherwise("VerifiedByGoSum").alias("status"), "id")
+    lic = m.where(C("id") % 5 != 0).join(carrier(spark, sf_dir, "licences").select("id", "expression"), "id").select("path", "version", "expression", "price", "id")
+    vul = scans(spark, sf_dir).join(m.select("id", "path", "version"), "id")
+    over = m.where("path = 'example.com/m4'").select("path", F.explode(F.array(F.struct(F.lit("").alias("version"), F.lit("AGPL-3.0-only").alias("spdx")), F.struct(F.lit("v1.4.1").alias("version"), F.lit("ISC").alias("spdx")))).alias("o")).select("path", "o.version", "o.spdx")
+    rankings = {"fetch": [C("id").desc()], "licence": [C("price").desc(), C("id").asc()], "vulnerability": ranking()}
+    return reports.audit(nodes, fetches, lic, vul, over, m.where(C("id") % 40 != 3).select("path", "version"), rankings, denied=["AGPL-3.0-only", "GPL-3.0-only"])
+
+
+@query(f"""WITH {SCANS_SQL}, q AS (SELECT *, rooting LIKE 'target:%' AND rooting <> 'target:' || module || '@v1' AS consumer FROM scans), a AS (SELECT *, max(consumer) OVER (PARTITION BY module) AS "any" FROM q), f AS (SELECT *, row_number() OVER (PARTITION BY module ORDER BY {RANKED}) AS n FROM a WHERE consumer OR NOT "any")
+SELECT module, CASE WHEN confidence > 100 THEN 'reachable' WHEN confidence > 20 THEN 'not reachable' ELSE 'not measured' END AS reach, CASE WHEN confidence <= 20 OR confidence > 100 THEN 'NotStated' WHEN completeness = 'BuiltWithBodies' THEN 'Confirmed' ELSE 'Unconfirmed' END AS soundness FROM f WHERE n = 1""")
+def cmd_15_reachability(spark, sf_dir):
+    g = frames.for_consumer(scans(spark, sf_dir), ["module"], "rooting", F.concat("module", F.lit("@v1")), ranking())
+    r = F.when(C("confidence") > 20, C("confidence") > 100)
+    rung = classify.negative_soundness(r, F.lit(False), F.lit("callgraph"), C("completeness"), F.lit(None).cast("boolean"), F.lit(False))
+    return g.select("module", classify.reachability(r).alias("reach"), rung.alias("soundness"))
+
+
+@query(f"""WITH s AS (SELECT CAST(floor(event_id / 4) AS BIGINT) AS run, CASE event_type WHEN 'error' THEN 'Failed' WHEN 'signup' THEN 'Unscannable' WHEN 'purchase' THEN 'Affected' ELSE 'Clean' END AS status FROM events),
+g AS (SELECT run, bool_and(status = 'Failed') AS f, bool_or(status IN ('Failed', 'Unscannable')) AS p, bool_or(status = 'Affected') AS a FROM s GROUP BY run) SELECT run, CASE WHEN f THEN 1 WHEN p THEN 5 WHEN a THEN 4 ELSE 0 END AS code FROM g""")
+def cmd_24_exit_codes(spark, sf_dir):
+    """The exit code of every scan run, by its status."""
+    m = t(spark, sf_dir, "events").select(F.floor(C("event_id") / 4).alias("run"), F.when(C("event_type") == "error", "Failed").when(C("event_type") == "signup", "Unscannable").when(C("event_type") == "purchase", "Affected").otherwise("Clean").alias("status"))
+    r = C("run_status")
+    outcome = F.when(r == "ScanFailed", "error").when(r == "Partial", "partial").when(r == "Affected", "findings").otherwise("ok")
+    return rollup.run_status(m, ["run"], "status").select("run", classify.exit_code(outcome).alias("code"))

@@ -96,9 +96,3 @@ def fn_11_v_prefixed(spark, sf_dir):
 @query("SELECT event_id, ts > TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 5 DAY AS fresh FROM events WHERE ts IS NOT NULL")
 def fn_44_freshness_of_lookups(spark, sf_dir):
     return t(spark, sf_dir, "events").where("ts IS NOT NULL").select("event_id", text.is_fresh(C("ts"), F.lit("2024-01-20 00:00:00").cast("timestamp"), 5 * 86400).alias("fresh"))
-
-
-@query("SELECT * FROM (VALUES ('ok', 0), ('error', 1), ('usage', 2), ('not found', 3), ('findings', 4), ('partial', 5), ('blocked', 10), ('internal', 20)) v(status, code)")
-def cmd_24_exit_codes(spark, sf_dir):
-    names = ["ok", "error", "usage", "not found", "findings", "partial", "blocked", "internal"]
-    return spark.createDataFrame([(n,) for n in names], "status string").select("status", classify.exit_code(C("status")).alias("code"))

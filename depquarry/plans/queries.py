@@ -336,11 +336,11 @@ def agg_23_walk_status(spark, sf_dir):
     return rollup.walk_status(s, ["walk"])
 
 
-@query("""WITH s AS (SELECT user_id AS run, CASE event_type WHEN 'error' THEN 'Failed' WHEN 'signup' THEN 'Unscannable' WHEN 'purchase' THEN 'Affected' ELSE 'Clean' END AS status FROM events WHERE value > 200),
+@query("""WITH s AS (SELECT user_id AS run, CASE event_type WHEN 'error' THEN 'Failed' WHEN 'signup' THEN 'Unscannable' WHEN 'purchase' THEN 'Affected' ELSE 'Clean' END AS status FROM events),
 g AS (SELECT run, count(*) AS total, count(*) FILTER (WHERE status = 'Failed') AS failed, count(*) FILTER (WHERE status IN ('Failed', 'Unscannable')) AS gaps, count(*) FILTER (WHERE status = 'Affected') AS affected FROM s GROUP BY run)
 SELECT *, CASE WHEN failed = total THEN 'ScanFailed' WHEN gaps > 0 THEN 'Partial' WHEN affected > 0 THEN 'Affected' ELSE 'AllClean' END AS run_status FROM g""")
 def agg_07_run_status(spark, sf_dir):
-    s = t(spark, sf_dir, "events").where("value > 200").select(F.col("user_id").alias("run"), F.when(F.col("event_type") == "error", "Failed").when(F.col("event_type") == "signup", "Unscannable").when(F.col("event_type") == "purchase", "Affected").otherwise("Clean").alias("status"))
+    s = t(spark, sf_dir, "events").select(F.col("user_id").alias("run"), F.when(F.col("event_type") == "error", "Failed").when(F.col("event_type") == "signup", "Unscannable").when(F.col("event_type") == "purchase", "Affected").otherwise("Clean").alias("status"))
     return rollup.run_status(s, ["run"], "status")
 
 
@@ -352,9 +352,9 @@ def agg_07_run_status_all_events(spark, sf_dir):
     return rollup.run_status(s, ["run"], "status")
 
 
-@query("""SELECT o_custkey AS k, count(l_orderkey) AS n_findings, CASE WHEN count(l_orderkey) = 0 THEN 'Clean' WHEN bool_or(l_orderkey IS NOT NULL AND l_returnflag <> 'R') THEN 'Affected' ELSE 'Withdrawn' END AS axis FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_quantity > 45 GROUP BY o_custkey""")
+@query("""SELECT o_custkey AS k, count(l_orderkey) AS n_findings, CASE WHEN count(l_orderkey) = 0 THEN 'Clean' WHEN bool_or(l_orderkey IS NOT NULL AND l_returnflag <> 'R') THEN 'Affected' ELSE 'Withdrawn' END AS axis FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_custkey""")
 def agg_08_findings_axis(spark, sf_dir):
-    l = t(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_orderkey").alias("f"), (F.col("l_returnflag") == "R").alias("w"))
+    l = t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_orderkey").alias("f"), (F.col("l_returnflag") == "R").alias("w"))
     return rollup.findings_axis(t(spark, sf_dir, "orders").join(l, "o_orderkey", "left").withColumnRenamed("o_custkey", "k"), ["k"], "f", "w")
 
 

@@ -151,22 +151,6 @@ def cmd_05_capability_diff(spark, sf_dir):
     return both.select(diff.list_diff(C("o7"), C("o8")).alias("d")).select("d.*")
 
 
-@query(cte("gens") + """, f AS (SELECT *, row_number() OVER (PARTITION BY module ORDER BY (source = 'view') DESC, taken DESC, event_id) AS n FROM gens)
-SELECT module, CASE WHEN confidence > 100 THEN 'reachable' WHEN confidence > 20 THEN 'not reachable' ELSE 'not measured' END AS reach, CASE WHEN confidence <= 20 OR confidence > 100 THEN 'NotStated' WHEN completeness = 'BuiltWithBodies' THEN 'Confirmed' ELSE 'Unconfirmed' END AS soundness FROM f WHERE n = 1""")
-def cmd_15_reachability(spark, sf_dir):
-    g = compose.served(carrier(spark, sf_dir, "gens"), ["module"], [(C("source") == "view").desc(), C("taken").desc(), C("event_id").asc()])
-    r = F.when(C("confidence") > 20, C("confidence") > 100)
-    rung = classify.negative_soundness(r, F.lit(False), F.lit("callgraph"), C("completeness"), F.lit(None).cast("boolean"), F.lit(False))
-    return g.select("module", classify.reachability(r).alias("reach"), rung.alias("soundness"))
-
-
-@query("""SELECT l_orderkey AS walk, l_partkey AS module, true AS selected FROM lineitem WHERE l_orderkey = 7 AND l_returnflag <> 'R' GROUP BY ALL""")
-def cmd_22_use_selection(spark, sf_dir):
-    source = F.when(C("l_returnflag") == "R", "local_replace").otherwise("proxy")
-    x = t(spark, sf_dir, "lineitem").where("l_orderkey = 7").select(C("l_orderkey").alias("walk"), C("l_partkey").alias("module"), classify.has_fetched_artefact(source).alias("selected"))
-    return x.where("selected").distinct()
-
-
 @query("""SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 'election' WHEN 1 THEN 'split' WHEN 2 THEN 'bundled' ELSE 'unstated' END AS shape, CASE p_size % 5 WHEN 2 THEN ['MIT'] WHEN 4 THEN ['MIT'] ELSE ['ISC', 'MIT'] END AS own, CASE WHEN p_size % 5 = 2 THEN ['ISC'] ELSE [] END AS bundled FROM part""")
 def fn_22_compound_reading(spark, sf_dir):
     mit, isc = "Permission is hereby granted, free of charge\n", "Permission to use, copy, modify, and/or distribute this software\n"

@@ -23,8 +23,14 @@ def verified(df: DataFrame, row: Column, stored_hash: str, schema_version: str |
 
 
 def append_new(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows of ``new`` that an idempotent append adds: none whose key is there, the first of repeated keys."""
-    return new.dropDuplicates(keys).join(existing.select(*keys), keys, "left_anti")
+    """The rows of ``new`` that an idempotent append adds: none whose key is there; of repeated keys the least row, column by column."""
+    rest = [c for c in new.columns if c not in keys]
+    if rest:
+        least = F.min(F.struct(*rest)).alias("_row")
+        new = new.groupBy(*keys).agg(least).select(*keys, "_row.*").select(*new.columns)
+    else:
+        new = new.distinct()
+    return new.join(existing.select(*keys), keys, "left_anti")
 
 
 def append_hashed(existing: DataFrame, new: DataFrame, row: Column) -> DataFrame:

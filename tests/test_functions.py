@@ -79,9 +79,12 @@ def test_ledger_faults_are_kept_and_bounded(spark, tmp_path):
 def test_ledger_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.jsonl").write_text('{"event":"scan","ts":"2024-01-02T00:10:00Z"}\n{"event":"scan","ts":"2024-01-02T00:20:00Z"}\n{oops\n')
-    q = ledger_stream.run_to_table(ledger_stream.event_counts(ledger_stream.stream_ledger(spark, str(tmp_path / "in"))), "counts", str(tmp_path / "ck"))
-    q.awaitTermination(60)
-    assert [(r["event"], r["n"]) for r in spark.table("counts").collect()] == [("scan", 2)]
+    run = lambda: ledger_stream.run_to_table(ledger_stream.event_counts(ledger_stream.stream_ledger(spark, str(tmp_path / "in"))), str(tmp_path / "counts"), str(tmp_path / "ck")).awaitTermination(60)
+    run()
+    assert [(r["event"], r["n"]) for r in ledger_stream.counted(spark, str(tmp_path / "counts")).collect()] == [("scan", 2)]
+    (tmp_path / "in" / "b.jsonl").write_text('{"event":"scan","ts":"2024-01-02T00:30:00Z"}\n{"event":"walk","ts":"2024-01-02T01:30:00Z"}\n')
+    run()
+    assert sorted((r["event"], r["n"]) for r in ledger_stream.counted(spark, str(tmp_path / "counts")).collect()) == [("scan", 3), ("walk", 1)]
 
 
 def test_advisories(spark, tmp_path):
