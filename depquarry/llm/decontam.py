@@ -2,37 +2,41 @@
 
 A prefix-filtered set join. A window is ``window`` consecutive words of an item (all its words, if
 fewer); its tokens are its shingles of ``shingle`` words. As every token of a window must occur for the
-window to be contained, one token is a sufficient prefix: the rarest over all documents. A document's
-shingles are held against these prefix tokens alone; where one is met, the window can lie in one place
-only, which must fit between the document's ends (positional and length bounds), and there the words
-are compared themselves.
-
-Items are dealt to blocks of bounded size, whose indices are files in the shared folder. A worker holds
-as many as fit HELD_BYTES, and reads the others again for each batch of documents, so a benchmark of any
-size is held against all documents; an item is in one block, however long.
+window to be contained, one token is a sufficient prefix: the rarest over all documents, and a window
+one of whose tokens no document has is ruled out. A document's shingles are joined with these prefix
+tokens; where one is met, the window can lie in one place only, which must fit between the document's
+ends (positional and length bounds), and there the words are compared themselves.
+
+Before the join, shingles pass a bitmap of the benchmark's tokens, of a size that is fixed: it lets few
+others through, which then meet nothing. So what is shuffled are places of prefix tokens, with the few
+words around them, and the benchmark may be of any size. A text is named by its hash; equal texts are
+searched once a task, and a wrong match of names is ruled out as the words are compared.
 """
 
 from __future__ import annotations
 
-import pickle
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from depquarry.llm.common import filesystem, put_file, shared_path, sliced, small_batches, written
+from depquarry.llm.common import sliced, small_batches, written
 from depquarry.llm.minhash import WordHashes, mix
 
 #: A-Z to a-z, every other ASCII byte that is no letter or digit to a blank.
 WORDS_ONLY = bytes(c if c >= 128 or chr(c).isdigit() or chr(c).islower() else c + 32 if chr(c).isascii() and chr(c).isupper() else 32 for c in range(256))
+#: The same words as a pattern, for counts; letters of either case.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
-#: UTF-8 bytes of item texts in a block.
-BLOCK_BYTES = 1 << 20
+#: Bits of the bitmap that shingles have to pass before they are joined: 8 MB in all, whatever the benchmark.
+BITMAP_BITS = 1 << 26
+#: Bits in a piece of it, as Spark's bitmaps are cut.
+PIECE_BITS = 1 << 15
 
-#: Counts that a task holds before it hands them on.
-MOST_SUMS = 2_000_000
+#: Different tokens that a task counts before it hands the counts on.
+MOST_COUNTS = 1_000_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -47,152 +51,165 @@ def shingles(h: np.ndarray, size: int) -> np.ndarray:
     return mix(acc)
 
 
-class Windows:
-    """The windows of a block's items and, once ``rarity`` is known, the index of their prefix tokens."""
+def windows_of(benchmark: DataFrame, window: int, shingle: int) -> DataFrame:
+    """(item_id, w, size, tokens): each item's windows, as words joined by blanks, with the hashes of their shingles in order."""
+    id_type = benchmark.schema["item_id"].dataType.simpleString()
 
-    def __init__(self, items: list[tuple], window: int, shingle: int):
-        self.shingle, self.names = shingle, []
-        self.windows: dict[tuple[bytes, ...], set[int]] = defaultdict(set)
-        for item, words in items:
-            if words:
-                size = min(window, len(words))
-                self.names.append(item)
-                for i in range(len(words) - size + 1):
-                    self.windows[tuple(words[i : i + size])].add(len(self.names) - 1)
+    def run(batches):
         known = WordHashes()
-        self.tokens = {w: shingles(np.array([known[x] for x in w], np.uint64), min(shingle, len(w))) for w in self.windows}
-        self.sizes = sorted({min(shingle, len(w)) for w in self.windows})
-        self.all_tokens = {s: np.unique(np.concatenate([t for w, t in self.tokens.items() if min(shingle, len(w)) == s])) for s in self.sizes}
-
-    def index(self, rarity: dict[int, int]) -> dict:
-        """By token size: sorted prefix tokens, and for each the windows to try as (offset, length, words, items)."""
-        found: dict[int, dict[int, dict]] = {s: defaultdict(lambda: defaultdict(dict)) for s in self.sizes}
-        for w, t in self.tokens.items():
-            at = min(range(len(t)), key=lambda i: (rarity.get(int(t[i]), 0), int(t[i]), i))
-            found[min(self.shingle, len(w))][int(t[at])][at, len(w)][w] = tuple(sorted(self.windows[w]))
-        return {"names": self.names, "by_size": {s: (np.array(sorted(x), np.uint64), [dict(x[k]) for k in sorted(x)]) for s, x in found.items()}}
+        for batch in sliced(batches, 200):
+            ids, ws, sizes, tokens = [], [], [], []
 
+            def made():
+                of = [pa.array(ids, batch.schema.field("item_id").type), pa.array(ws, pa.string()), pa.array(sizes, pa.int32()), pa.array(tokens, pa.list_(pa.int64()))]  # noqa: B023
+                return pa.RecordBatch.from_arrays(of, ["item_id", "w", "size", "tokens"])
 
-def present(h: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places in h, places in tokens) of the hashes that are tokens."""
-    at = np.searchsorted(tokens, h)
-    at[at == len(tokens)] = 0
-    hit = np.flatnonzero(tokens[at] == h)
-    return hit, at[hit]
-
+            for item, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                words = words_of(text)
+                size = min(window, len(words))
+                if not size:
+                    continue
+                s = min(shingle, size)
+                t = shingles(np.array([known[x] for x in words], np.uint64), s).view(np.int64)
+                for i in range(len(words) - size + 1):
+                    ids.append(item)
+                    ws.append(b" ".join(words[i : i + size]).decode("utf-8", "replace"))
+                    sizes.append(size)
+                    tokens.append(t[i : i + size - s + 1])
+                    if len(ids) >= 10_000:
+                        yield made()
+                        ids, ws, sizes, tokens = [], [], [], []
+            yield made()
 
-#: Bytes of blocks' files that a worker keeps at once.
-HELD_BYTES = 24 << 20
+    return benchmark.select("item_id", "text").where("text is not null").mapInArrow(run, f"item_id {id_type}, w string, size int, tokens array<bigint>")
 
-_held: dict[str, tuple[int, object]] = {}
 
+def place(token: Column) -> Column:
+    """The bit of a token, from 1."""
+    return F.pmod(token, F.lit(BITMAP_BITS)) + 1
 
-def held(path: str):
-    """A block's file; those read last stay in the worker, up to HELD_BYTES."""
-    if path not in _held:
-        files, at = filesystem(path)
-        with files.open_input_file(at) as f:
-            raw = f.read()
-        while _held and sum(n for n, _ in _held.values()) + len(raw) > HELD_BYTES:
-            del _held[next(iter(_held))]
-        _held[path] = len(raw), pickle.loads(raw)
-    return _held[path][1]
 
+def bitmap(tokens: DataFrame) -> np.ndarray:
+    """The bits of all ``tokens`` (token), as bytes: at most BITMAP_BITS of them come to the driver."""
+    at = place(F.col("token"))
+    rows = tokens.groupBy(F.bitmap_bucket_number(at).alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
+    out = np.zeros(BITMAP_BITS // 8, np.uint8)
+    for r in rows:
+        start = (r["piece"] - 1) * PIECE_BITS // 8
+        out[start : start + len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
+    return out
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 3) -> DataFrame:
-    """``docs`` with n_words, n_hit, item_ids (ascending as text) and spans (array of hit word ranges [start, end)).
 
-    ``docs`` has text and ``benchmark`` (item_id, text) beside any other columns; columns of ``docs`` that
-    clash with the added ones are replaced. Null texts and items have no words; an empty benchmark or one
-    without words hits nothing. Equal item_ids count once.
-    """
-    spark = docs.sparkSession
-    small_batches(docs)
-    folder = shared_path(spark, "windows")
-    id_type = benchmark.schema["item_id"].dataType.simpleString()
-    items = written(benchmark.select("item_id", "text").where("text is not null"), "decontam-items")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    items = items.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(size // BLOCK_BYTES + 1)).cast("int"))
+def passing(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """The places of the hashes whose bit is set."""
+    at = h & np.uint64(8 * len(bits) - 1)
+    return np.flatnonzero(bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
 
-    def save_windows(key, rows):
-        w = Windows([(i, words_of(t)) for i, t in zip(rows.column("item_id").to_pylist(), rows.column("text").to_pylist())], window, shingle)
-        path = f"{folder}/tokens-{key[0].as_py():06d}"
-        put_file(path, [pickle.dumps((key[0].as_py(), w.all_tokens))])
-        return pa.table({"path": [path]})
 
-    # a path per MB of benchmark text
-    token_files = sorted(r["path"] for r in items.groupBy("block").applyInArrow(save_windows, "path string").collect())
+def token_counts(docs: DataFrame, sizes: list[int], bits) -> DataFrame:
+    """(token, n): in how many documents (text) each token of the benchmark stands; ``bits`` is a broadcast bitmap."""
 
-    def count(batches):
-        known, sums, held_sums = WordHashes(), {}, 0
+    def run(batches):
+        known, counts = WordHashes(), defaultdict(int)
 
         def flush():
-            for (_, size), (block, some, n) in sums.items():
-                on = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(on), block, np.int32)), pa.array(some[on].view(np.int64)), pa.array(n[on])], ["block", "token", "n"])
-            sums.clear()
-
-        for batch in batches:
-            hashes = [np.fromiter(map(known.__getitem__, w), np.uint64, len(w)) for w in map(words_of, batch.column("text").to_pylist())]
-            for path in token_files:
-                block, tokens = held(path)
-                for size, some in tokens.items():
-                    if (path, size) not in sums:
-                        sums[path, size] = block, some, np.zeros(len(some), np.int64)
-                        held_sums += len(some)
-                    n = sums[path, size][2]
-                    for h in hashes:
-                        if len(h) >= size:
-                            n[np.unique(present(shingles(h, size), some)[1])] += 1
-                if held_sums > MOST_SUMS:
-                    yield from flush()
-                    held_sums = 0
+            tokens = np.fromiter(counts.keys(), np.uint64, len(counts)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(np.fromiter(counts.values(), np.int64, len(counts)))], ["token", "n"])
+            counts.clear()
+
+        for batch in sliced(batches):
+            for text in batch.column("text"):
+                words = words_of(text.as_py())
+                h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+                for size in sizes:
+                    if len(h) >= size:
+                        s = shingles(h, size)
+                        for token in np.unique(s[passing(s, bits.value)]).tolist():
+                            counts[token] += 1
+            if len(counts) > MOST_COUNTS:
+                yield from flush()
         yield from flush()
 
-    rarity = docs.select("text").mapInArrow(count, "block int, token long, n long").groupBy("block", "token").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
-    def save_index(key, rows, counts):
-        w = Windows([(i, words_of(t)) for i, t in zip(rows.column("item_id").to_pylist(), rows.column("text").to_pylist())], window, shingle)
-        n = dict(zip(counts.column("token").to_numpy().view(np.uint64).tolist(), counts.column("n").to_pylist()))
-        path = f"{folder}/index-{key[0].as_py():06d}"
-        put_file(path, [pickle.dumps(w.index(n))])
-        return pa.table({"path": [path]})
 
-    index_files = sorted(r["path"] for r in items.groupBy("block").cogroup(rarity.groupBy("block")).applyInArrow(save_index, "path string").collect())
-    added = {"n_words": "long", "n_hit": "long", "item_ids": f"array<{id_type}>", "spans": "array<struct<start:int,end:int>>"}
-    kept = docs.select(*[c for c in docs.columns if c not in added])
+def token_places(docs: DataFrame, sizes: list[int], bits, window: int) -> DataFrame:
+    """(text, token, at, first, near): where tokens that pass stand in each text (key, text), with the words from ``first`` on around them."""
 
-    def search(batches):
+    def run(batches):
         known = WordHashes()
         for batch in sliced(batches):
-            words = list(map(words_of, batch.column("text").to_pylist()))
-            hits = [np.zeros(len(w) + 1, np.int32) for w in words]
-            items: list[set] = [set() for _ in words]
-            hashes = [np.fromiter(map(known.__getitem__, w), np.uint64, len(w)) for w in words]
-            for path in index_files:
-                index = held(path)
-                for size, (tokens, tries) in index["by_size"].items():
-                    for w, h, hit, found in zip(words, hashes, hits, items):
-                        if len(h) < size or not len(tokens):
-                            continue
-                        for p, k in zip(*(x.tolist() for x in present(shingles(h, size), tokens))):
-                            for (offset, length), here in tries[k].items():
-                                start = p - offset
-                                if start >= 0 and start + length <= len(w) and (names := here.get(tuple(w[start : start + length]))):
-                                    hit[start] += 1
-                                    hit[start + length] -= 1
-                                    found.update(index["names"][i] for i in names)
-            n_hit, spans = [], []
-            for hit in hits:
-                on = np.cumsum(hit) > 0
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], on.astype(np.int8), [0]])))
-                n_hit.append(int(on.sum()))
-                spans.append([{"start": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2])])
-            more = [pa.array([len(w) for w in words], pa.int64()), pa.array(n_hit, pa.int64()), pa.array([sorted(x, key=str) for x in items], schema.field("item_ids").type), pa.array(spans, schema.field("spans").type)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, *added])
-
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    out = kept.select("*", *[F.lit(None).cast(t).alias(c) for c, t in added.items()]).schema
-    schema = to_arrow_schema(out)
-    return kept.mapInArrow(search, out)
+            keys, tokens, ats, firsts, nears = [], [], [], [], []
+            for key, text in zip(batch.column("key").to_pylist(), batch.column("text"), strict=True):
+                words = words_of(text.as_py())
+                h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+                for size in sizes:
+                    if len(h) < size:
+                        continue
+                    s = shingles(h, size)
+                    on = passing(s, bits.value)
+                    for p, token in zip(on.tolist(), s[on].view(np.int64).tolist(), strict=True):
+                        first = max(0, p + size - window)
+                        keys.append(key)
+                        tokens.append(token)
+                        ats.append(p)
+                        firsts.append(first)
+                        nears.append(b" ".join(words[first : p + window]).decode("utf-8", "replace"))
+            for i in range(0, len(keys), 10_000):
+                part = slice(i, i + 10_000)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[part], pa.int64()), pa.array(tokens[part], pa.int64()), pa.array(ats[part], pa.int32()), pa.array(firsts[part], pa.int32()), pa.array(nears[part], pa.string())], ["key", "token", "at", "first", "near"])
+
+    return docs.mapInArrow(run, "key long, token long, at int, first int, near string")
+
+
+def merged_spans(places: Column) -> Column:
+    """Sorted (start, end) ranges without overlaps, of ranges in any order; neighbours that touch are one."""
+
+    def step(done: Column, x: Column) -> Column:
+        last = F.get(done, F.size(done) - 1)
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
+        return F.when((F.size(done) > 0) & (x["start"] <= last["end"]), F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(longer))).otherwise(F.concat(done, F.array(x)))
+
+    return F.aggregate(F.sort_array(places), F.array().cast("array<struct<start:int,end:int>>"), step)
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 3) -> DataFrame:
+    """``docs`` with n_words, n_hit, item_ids (ascending as text) and spans (array of hit word ranges [start, end)).
+
+    ``docs`` has text and ``benchmark`` (item_id, text) beside any other columns; columns of ``docs`` that
+    clash with the added ones are replaced. Null texts and items have no words; an empty benchmark or one
+    without words hits nothing. Equal item_ids count once, a null item_id not at all; its windows hit.
+    Repeated documents have a row each. ``docs`` is read three times.
+    """
+    sc = docs.sparkSession.sparkContext
+    small_batches(docs)
+    windows = written(windows_of(benchmark, window, shingle), "decontam-windows")
+    sizes = sorted(r["s"] for r in windows.select(F.least(F.lit(shingle), F.col("size")).alias("s")).distinct().collect())  # at most ``shingle`` rows
+    once = windows.groupBy("w").agg(F.first("size").alias("size"), F.first("tokens").alias("tokens"))
+    tokens = once.select("w", "size", F.posexplode("tokens").alias("offset", "token"))
+
+    rarity = token_counts(docs, sizes, sc.broadcast(bitmap(windows.select(F.explode("tokens").alias("token")))))
+    rare = tokens.join(rarity, "token", "left").groupBy("w").agg(F.first("size").alias("size"), F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token", "offset")).alias("r"))
+    prefixes = written(rare.where("r.n > 0").select("w", "size", "r.token", "r.offset"), "decontam-prefixes")
+
+    key = F.xxhash64("text")
+    near = token_places(docs.where("text is not null").select(key.alias("key"), "text"), sizes, sc.broadcast(bitmap(prefixes.select("token"))), window)
+    start = F.col("at") - F.col("offset")
+    met = near.distinct().join(prefixes, "token").where(start >= F.col("first"))
+    there = F.array_join(F.slice(F.split("near", " "), start - F.col("first") + 1, F.col("size")), " ")
+    found = written(met.where(there == F.col("w")).select("key", "w", F.struct(start.alias("start"), (start + F.col("size")).alias("end")).alias("at")), "decontam-found")
+    spans = found.groupBy("key").agg(merged_spans(F.collect_set("at")).alias("spans"))
+    named = found.select("key", "w").distinct().join(windows.select("w", "item_id").distinct(), "w")
+    items = named.groupBy("key").agg(F.collect_set("item_id").alias("item_ids"))
+    result = spans.join(items, "key", "left")
+
+    added = {"n_words": "long", "n_hit": "long", "item_ids": f"array<{benchmark.schema['item_id'].dataType.simpleString()}>", "spans": "array<struct<start:int,end:int>>"}
+    kept = docs.select(*[c for c in docs.columns if c not in added])
+    mine = [F.col(f"d.{c}") for c in kept.columns]
+    out = kept.alias("d").join(result.alias("r"), F.xxhash64("d.text") == F.col("r.key"), "left")
+    by_name = F.transform(F.sort_array(F.transform("r.item_ids", lambda i: F.struct(i.cast("string").alias("n"), i.alias("i")))), lambda x: x["i"])
+    values = {
+        "n_words": F.coalesce(F.regexp_count("d.text", F.lit(WORD)), F.lit(0)), "n_hit": F.coalesce(F.aggregate("r.spans", F.lit(0), lambda n, x: n + x["end"] - x["start"]), F.lit(0)),
+        "item_ids": F.coalesce(by_name, F.array()), "spans": F.coalesce("r.spans", F.array()),
+    }
+    return out.select(*mine, *[v.cast(added[c]).alias(c) for c, v in values.items()])

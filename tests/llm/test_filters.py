@@ -43,8 +43,8 @@ def test_windows_against_brute_force(spark, make_docs, monkeypatch):
         docs.append((d, ", ".join(w)))
     docs += [(100, None), (101, ""), (102, docs[0][1]), (102, docs[0][1]), (None, items[0][1])]
     bench = spark.createDataFrame([(*x, 1) for x in items], "item_id long, text string, n_hit int")
-    for block in (1 << 20, 300):
-        monkeypatch.setattr(decontam, "BLOCK_BYTES", block)
+    for bits in (1 << 26, 1 << 15):  # the small one lets much through that meets nothing
+        monkeypatch.setattr(decontam, "BITMAP_BITS", bits)
         got = decontaminate(make_docs([(*x, 7) for x in docs], ", n_hit int"), bench).collect()
         assert sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["item_ids"]) for r in got), key=str) == brute(docs, items)
         assert all(sum(s["end"] - s["start"] for s in r["spans"]) == r["n_hit"] for r in got)
@@ -110,3 +110,22 @@ def test_pipeline_against_its_parts_by_brute_force(spark, small):
     want = {d: t.encode(x, add_special_tokens=False).ids for d, x in left if d in clean}
     got = {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in corpus_pipeline.run(spark, small).collect()}
     assert got == want
+
+
+def test_very_long_texts_and_items_and_a_plan_that_joins_on_tokens(spark, make_docs):
+    rng = random.Random(9)
+    long = [f"w{rng.randrange(5000)}" for _ in range(120_000)]
+    item = [f"w{rng.randrange(5000)}" for _ in range(20_000)]
+    docs = [(1, " ".join(long[:60_000] + item[100:130] + long[60_000:])), (2, " ".join(long)), (3, " ".join(item)), (4, " ".join(item[:9]))] + [(5, " ".join(item[-12:]))] * 50
+    items = [(7, " ".join(item)), (8, " ".join(item[:40])), (None, " ".join(item[50:70]))]
+    found = decontaminate(make_docs(docs), spark.createDataFrame(items, "item_id long, text string"))
+    plan = found._jdf.queryExecution().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+    want = brute(docs, [i for i in items if i[0] is not None])
+    assert sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["item_ids"]) for r in found.collect()), key=str) == want
+
+
+def test_spans_are_merged(spark):
+    rows = [([(5, 9), (1, 3), (2, 4), (4, 5), (20, 30), (21, 22)],), ([],)]
+    df = spark.createDataFrame(rows, "p array<struct<start:int,end:int>>")
+    assert [[tuple(x) for x in r[0]] for r in df.select(decontam.merged_spans(F.col("p"))).collect()] == [[(1, 9), (20, 30)], []]
