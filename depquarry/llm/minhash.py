@@ -12,6 +12,7 @@ so that it lies over four standard deviations above that.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -29,6 +30,8 @@ BITS = 2048
 
 #: Under a key with more components than this, pairs are sought by shared rare shingles instead.
 ALL_PAIRS = 256
+#: There, shingles of more sets than this are a template's; sizes in a band differ by this factor.
+CORE, BAND = 64, 1.05
 
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -164,20 +167,38 @@ def sets_of(docs: DataFrame, wanted: DataFrame, p: NearDup) -> DataFrame:
     return named.unionByName(nameless).dropDuplicates(["cls"])
 
 
-def rare_prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """(item, cls): of each set (cls, items) the items of which it must share one with any set that is similar enough.
+def rare_prefixes(sets: DataFrame, percent: int, core: int = CORE) -> DataFrame:
+    """(item, cls, side): names under which any two of the sets (cls, items) that are similar enough meet.
 
-    Items are ordered by how many sets have them. Two sets that share ``percent`` of their union share so much
-    of each, so the first ``n - ceil(n * percent / 100) + 1`` of both have an item in common. Items of one set
-    alone stand first and join with nothing; they are only counted.
+    side is 0 for partners of the set's own size band, -1 where those under the name are larger, 1 where they are
+    smaller: only sets of side 0, or of -1 and 1, are to be paired.
+
+    Items that more than ``core`` sets have, as those of a template, are the core; the others are a set's own. Sizes are
+    cut into bands. A set of size n that is similar to one of a band shares at least ``o = percent / (100 + percent) *
+    (n + the band's least size)`` items with it, so of its own items at least ``o`` less its core items. By the rarity of
+    items, the first ``own - that + 1`` of its own ones have one that both share: it is entered under these, with the two
+    bands. Where its core alone could make it similar, it is entered under all its own items, for partners of which that
+    is not so, and apart from these under the first ``n - o + 1`` of all its items, for partners of which it is. So pages
+    of one template don't meet by the template, unless that makes them alike; and no item of their own brings more than
+    ``core`` sets together. Items of one set alone stand first and join with nothing; they are only counted.
     """
     items = sets.select("cls", F.explode("items").alias("item"))
     shared = items.groupBy("item").agg(F.count("*").alias("sets")).where("sets > 1")
-    n = F.size("items")
-    most = sets.select("cls", n.alias("n"), (n - F.ceil(n * percent / 100).cast("int") + 1).alias("most"))
-    firsts = items.join(shared, "item").groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("sets", "item"))).alias("by")).join(most, "cls")
-    take = F.col("most") - (F.col("n") - F.size("by"))
-    return firsts.where(take > 0).select("cls", F.explode(F.slice("by", F.lit(1), take)).alias("x")).select("x.item", "cls")
+    by = F.sort_array(F.collect_list(F.struct("sets", "item")))
+    x = items.join(shared, "item").groupBy("cls").agg(by.alias("by")).join(sets.select("cls", F.size("items").alias("n")), "cls")
+    x = x.withColumn("c", F.size(F.filter("by", lambda i: i["sets"] > core))).withColumn("few", F.size("by") - F.col("c"))
+    band = lambda n: F.floor(F.log(n.cast("double")) / math.log(BAND)).cast("int")
+    least = F.ceil(F.col("n") * percent / 100)
+    x = x.withColumn("own", band(F.col("n"))).withColumn("k", F.explode(F.sequence(band(least), band(F.floor(F.col("n") * 100 / percent)))))
+    # a band's least size, a little low rather than high
+    partner = F.greatest(least, F.floor(F.pow(F.lit(BAND), F.col("k") - 1e-9)).cast("long"))
+    x = x.withColumn("o", F.ceil((F.col("n") + partner) * percent / (100 + percent) - 1e-9).cast("int")).withColumn("need", F.col("o") - F.col("c"))
+    alone = F.col("n") - F.size("by")  # own items that no other set has
+    firsts = F.when(F.col("need") >= 1, F.col("n") - F.col("c") - F.col("need") + 1 - alone).otherwise(F.col("few"))
+    under = lambda kind, count: F.transform(F.slice("by", F.lit(1), F.greatest(F.lit(0), count)), lambda i: F.xxhash64(i["item"], F.least("own", "k"), F.greatest("own", "k"), F.lit(kind)))
+    entered = F.concat(under(0, F.least(firsts, F.col("few"))), F.when(F.col("need") < 1, under(1, F.col("n") - F.col("o") + 1 - alone)).otherwise(F.array().cast("array<bigint>")))
+    side = F.signum(F.col("own") - F.col("k")).cast("int")
+    return x.select(F.explode(F.array_distinct(entered)).alias("item"), "cls", side.alias("side"))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -277,10 +298,12 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
             if not crowd.isEmpty():
                 firsts = rare_prefixes(sets.join(crowd.select("cls").distinct(), "cls", "left_semi"), p.percent)
                 # the keys of the crowded members are their rare shingles from here on
-                firsts = firsts.join(crowd.dropDuplicates(["cls"]).drop("key"), "cls").select(F.col("item").alias("key"), *[c for c in open_.columns if c != "key"])
-                rest = open_.join(crowd.select("key").distinct(), "key", "left_anti")
-                open_ = written(rest.unionByName(firsts.select(*open_.columns)), "minhash-pairs")
-            x, y, order = open_.alias("x"), open_.alias("y"), F.col("x.cls") < F.col("y.cls")
+                firsts = firsts.join(crowd.dropDuplicates(["cls"]).drop("key"), "cls").select(F.col("item").alias("key"), "side", *[c for c in open_.columns if c != "key"])
+                rest = open_.join(crowd.select("key").distinct(), "key", "left_anti").withColumn("side", F.lit(0))
+                open_ = written(rest.unionByName(firsts), "minhash-pairs")
+            sides = open_ if "side" in open_.columns else open_.withColumn("side", F.lit(0))
+            x, y = sides.where("side <= 0").alias("x"), sides.where("side >= 0").alias("y")
+            order = (F.col("x.side") < F.col("y.side")) & (F.col("x.cls") != F.col("y.cls")) | (F.col("x.side") == F.col("y.side")) & (F.col("x.cls") < F.col("y.cls"))
         close = order & (F.col("x.root") != F.col("y.root")) & near(F.col("x.nib"), F.col("y.nib"), p) & may_link(of_row("x"), of_row("y"), p.percent)
         pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & close).select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"), F.least("x.root", "y.root").alias("ra"), F.greatest("x.root", "y.root").alias("rb")).distinct()
         roots = merged(roots, confirmed(pairs, sets, p.percent), f"minhash-roots-{i + 1}")

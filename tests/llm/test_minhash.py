@@ -81,3 +81,32 @@ def test_crowded_keys_are_split_by_rare_shingles(spark, make_docs, monkeypatch):
     monkeypatch.setattr(minhash, "ALL_PAIRS", 3)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(make_docs(rows), NearDup(shingle_words=2)).collect()}
     assert got == brute(rows, 2) and len({c for _, c in got.values()}) == 150
+
+
+def test_similar_sets_meet_under_rare_prefixes_and_templates_do_not(spark):
+    rng = random.Random(3)
+    made = []
+    for t in range(4):
+        template = rng.sample(range(10_000 * t, 10_000 * t + 5000), rng.choice([5, 30, 60, 200]))
+        for _ in range(25):
+            base = set(rng.sample(template, round(len(template) * rng.choice([0.5, 0.9, 0.97, 1]))))
+            made.append(base | {rng.randrange(10**6, 10**9) for _ in range(rng.choice([0, 1, 3, 12, 30]))})
+    for x in list(made):
+        y = set(x)
+        for item in rng.sample(sorted(y), min(len(y), rng.choice([0, 1, 2, 5]))):
+            y.discard(item)
+        made.append(y | {rng.randrange(10**6) * 7 for _ in range(rng.choice([0, 1, 4]))})
+    made = [s for s in made if s]
+    df = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(made)], "cls long, items array<long>")
+    for core in (2, 64, 1000):
+        under = {}
+        for r in minhash.rare_prefixes(df, 80, core).collect():
+            under.setdefault(r["cls"], set()).add((r["item"], r["side"]))
+        for i, a in enumerate(made):
+            for j in range(i):
+                both = len(a & made[j])
+                if 100 * both >= 80 * (len(a) + len(made[j]) - both):
+                    assert any((item, -side) in under[j] for item, side in under[i]), (core, i, j)
+    rows = [(i, list(range(70)) + [10**6 + 100 * i + k for k in range(12)]) for i in range(200)]
+    many = minhash.rare_prefixes(spark.createDataFrame(rows, "cls long, items array<long>"), 80)
+    assert many.where("side = 0").groupBy("item").count().where("count > 1").count() == 0  # sets of one template, none of which are alike
