@@ -9,8 +9,8 @@ ends (positional and length bounds), and there the words are compared themselves
 
 Before the join, shingles pass a bitmap of the benchmark's tokens, of a size that is fixed: it lets few
 others through, which then meet nothing. So what is shuffled are places of prefix tokens, with the few
-words around them, and the benchmark may be of any size. A text is named by its hash; equal texts are
-searched once a task, and a wrong match of names is ruled out as the words are compared.
+words around them, and the benchmark may be of any size. A text is named by its 64-bit hash, by which what was
+found in it comes back to its documents; so the texts themselves are shuffled only if they are asked for.
 """
 
 from __future__ import annotations
@@ -27,8 +27,6 @@ from depquarry.llm.minhash import WordHashes, mix
 
 #: A-Z to a-z, every other ASCII byte that is no letter or digit to a blank.
 WORDS_ONLY = bytes(c if c >= 128 or chr(c).isdigit() or chr(c).islower() else c + 32 if chr(c).isascii() and chr(c).isupper() else 32 for c in range(256))
-#: The same words as a pattern, for counts; letters of either case.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 #: Bits of the bitmap that shingles have to pass before they are joined: 8 MB in all, whatever the benchmark.
 BITMAP_BITS = 1 << 26
@@ -134,7 +132,10 @@ def token_counts(docs: DataFrame, sizes: list[int], bits) -> DataFrame:
 
 
 def token_places(docs: DataFrame, sizes: list[int], bits, window: int) -> DataFrame:
-    """(text, token, at, first, near): where tokens that pass stand in each text (key, text), with the words from ``first`` on around them."""
+    """(key, token, at, first, near): where tokens that pass stand in each text (key, text), with the words from ``first`` on around them.
+
+    Each text has one row without a token besides, whose ``at`` is the number of its words.
+    """
 
     def run(batches):
         known = WordHashes()
@@ -142,7 +143,9 @@ def token_places(docs: DataFrame, sizes: list[int], bits, window: int) -> DataFr
             keys, tokens, ats, firsts, nears = [], [], [], [], []
             for key, text in zip(batch.column("key").to_pylist(), batch.column("text"), strict=True):
                 words = words_of(text.as_py())
-                h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+                for column, value in zip((keys, tokens, ats, firsts, nears), (key, None, len(words), None, None), strict=True):
+                    column.append(value)
+                h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words)) if sizes else ()
                 for size in sizes:
                     if len(h) < size:
                         continue
@@ -192,8 +195,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
     rare = tokens.join(rarity, "token", "left").groupBy("w").agg(F.first("size").alias("size"), F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token", "offset")).alias("r"))
     prefixes = written(rare.where("r.n > 0").select("w", "size", "r.token", "r.offset"), "decontam-prefixes")
 
-    key = F.xxhash64("text")
-    near = token_places(docs.where("text is not null").select(key.alias("key"), "text"), sizes, sc.broadcast(bitmap(prefixes.select("token"))), window)
+    key = F.when(F.col("text").isNotNull(), F.xxhash64("text"))
+    texts = docs.where("text is not null").select(key.alias("key"), "text")
+    places = written(token_places(texts, sizes, sc.broadcast(bitmap(prefixes.select("token"))), window), "decontam-places")
+    words = places.where("token is null").groupBy("key").agg(F.max("at").alias("n_words"))
+    near = places.where("token is not null")
     start = F.col("at") - F.col("offset")
     met = near.distinct().join(prefixes, "token").where(start >= F.col("first"))
     there = F.array_join(F.slice(F.split("near", " "), start - F.col("first") + 1, F.col("size")), " ")
@@ -201,15 +207,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
     spans = found.groupBy("key").agg(merged_spans(F.collect_set("at")).alias("spans"))
     named = found.select("key", "w").distinct().join(windows.select("w", "item_id").distinct(), "w")
     items = named.groupBy("key").agg(F.collect_set("item_id").alias("item_ids"))
-    result = spans.join(items, "key", "left")
+    result = words.join(spans, "key", "left").join(items, "key", "left").withColumnRenamed("key", "_key")
 
     added = {"n_words": "long", "n_hit": "long", "item_ids": f"array<{benchmark.schema['item_id'].dataType.simpleString()}>", "spans": "array<struct<start:int,end:int>>"}
     kept = docs.select(*[c for c in docs.columns if c not in added])
     mine = [F.col(f"d.{c}") for c in kept.columns]
-    out = kept.alias("d").join(result.alias("r"), F.xxhash64("d.text") == F.col("r.key"), "left")
+    out = kept.withColumn("_key", key).alias("d").join(result.alias("r"), F.col("d._key") == F.col("r._key"), "left")
     by_name = F.transform(F.sort_array(F.transform("r.item_ids", lambda i: F.struct(i.cast("string").alias("n"), i.alias("i")))), lambda x: x["i"])
     values = {
-        "n_words": F.coalesce(F.regexp_count("d.text", F.lit(WORD)), F.lit(0)), "n_hit": F.coalesce(F.aggregate("r.spans", F.lit(0), lambda n, x: n + x["end"] - x["start"]), F.lit(0)),
+        "n_words": F.coalesce("r.n_words", F.lit(0)), "n_hit": F.coalesce(F.aggregate("r.spans", F.lit(0), lambda n, x: n + x["end"] - x["start"]), F.lit(0)),
         "item_ids": F.coalesce(by_name, F.array()), "spans": F.coalesce("r.spans", F.array()),
     }
     return out.select(*mine, *[v.cast(added[c]).alias(c) for c, v in values.items()])
