@@ -97,9 +97,11 @@ def srt_03_findings_in_order(spark, sf_dir):
     return g.select("module", F.transform("l", lambda x: x.o_orderkey).alias("findings"))
 
 
-@query("SELECT o_orderkey FROM orders ORDER BY o_orderkey DESC OFFSET 14990")
+@query("SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey DESC) AS n, count(*) OVER () AS k FROM orders) WHERE n > k // 2")
 def srt_07_skip(spark, sf_dir):
-    return rollup.page(t(spark, sf_dir, "orders").select("o_orderkey"), [C("o_orderkey").desc()], 0, 14990)
+    """The lesser half of all orders."""
+    orders = t(spark, sf_dir, "orders").select("o_orderkey")
+    return rollup.page(orders, [C("o_orderkey").desc()], 0, orders.count() // 2)
 
 
 @query("""WITH w AS (SELECT o_custkey AS project, o_orderkey AS walk, o_orderdate AS taken, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n, o_orderstatus = 'F' AS agrees FROM orders)

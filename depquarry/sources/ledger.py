@@ -26,8 +26,12 @@ def decoded(lines: DataFrame, raw: str = "raw") -> DataFrame:
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     """Lines of a JSON-lines file in order, decoded, with the times around each fault. ``path`` names one file.
 
-    The high bits of a line's number are those of the split that it was read from: blocks of the order.
+    The high bits of a line's number are those of the split that it was read from: blocks of the order. Only the
+    splits of one file are in such an order, so a folder or a pattern of names is refused.
     """
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).isFile(hadoop):
+        raise ValueError(f"{path} is no file: the lines of several files have no order")
     text = spark.read.text(path).withColumn("line", F.monotonically_increasing_id()).withColumnRenamed("value", "raw")
     return fault_bounds(decoded(text.where("raw <> ''")), "line", "ts", block=F.shiftright("line", 33))
 
