@@ -198,3 +198,40 @@ def audit(nodes: DataFrame, fetches: DataFrame, licences: DataFrame, vulnerabili
         *key, "direct", F.coalesce("verification", F.lit("(not fetched)")).alias("verification"), name.alias("licence"), source.alias("licence_source"), F.coalesce("vulnerability", F.lit("(not run)")).alias("vulnerability"), "declined",
         "latest", F.when(F.col("latest").isNotNull(), semver.compare_pin(F.col("version"), F.col("latest"))).alias("pin"), blocking.alias("blocking"),
     )
+
+
+# ---- scan history ------------------------------------------------------------------------------------
+
+
+def scan_history(runs: DataFrame, results: DataFrame, records: DataFrame, findings: DataFrame, walks: DataFrame, pipeline: str) -> DataFrame:
+    """Every scan run of every walk in its order, what stands behind its verdicts, and what changed against the run before.
+
+    ``runs`` (walk, run, at, snapshot), ``results`` (run, module, status; one row a module), ``records`` (run, module,
+    pipeline), ``findings`` (run, module, finding), ``walks`` (walk): those that are still there.
+
+    (walk, run, ordinal, at, snapshot, run_status, total, failed, gaps, affected, missing, superseded, new, resolved,
+    resolvable). ordinal counts from 1 by time, then name. missing: modules with a verdict that no record backs;
+    superseded: those with records of other pipelines alone. new: findings that the run before did not have, all of the
+    first run; resolved: those that it had and this one has not, of modules that this run measured, as a failed scan
+    resolves nothing. resolvable: the walk is there. A run without results has failed.
+    """
+    from depquarry.operators import rollup
+
+    r = runs.withColumn("ordinal", F.row_number().over(Window.partitionBy("walk").orderBy("at", "run")))
+    status = rollup.run_status(runs.select("run").distinct().join(results, "run", "left"), ["run"], "status")
+    behind = records.groupBy("run", "module").agg(F.max(F.col("pipeline") == pipeline).alias("current"))
+    b = results.join(behind, ["run", "module"], "left")
+    b = b.groupBy("run").agg(F.count_if(F.col("current").isNull()).alias("missing"), F.count_if(~F.col("current")).alias("superseded"))
+
+    place = r.select("run", "walk", "ordinal")
+    measured = results.where(~F.col("status").isin("Failed", "Unscannable")).select("run", "module").distinct().join(place, "run").select("walk", "ordinal", "module", F.lit(True).alias("_m"))
+    now = findings.select("run", "module", "finding").distinct().join(place, "run").select("walk", "ordinal", "module", "finding")
+    key = ["walk", "ordinal", "module", "finding"]
+    prior = now.withColumn("ordinal", F.col("ordinal") + 1).withColumn("_before", F.lit(True))
+    x = now.withColumn("_now", F.lit(True)).join(prior, key, "full").join(measured, ["walk", "ordinal", "module"], "left")
+    gone = F.col("_now").isNull() & F.col("_m")
+    change = x.groupBy("walk", "ordinal").agg(F.count_if(F.col("_before").isNull()).alias("new"), F.count_if(gone).alias("resolved"))
+    there = walks.select("walk").distinct().withColumn("_there", F.lit(True))
+    out = r.join(status, "run", "left").join(b, "run", "left").join(change, ["walk", "ordinal"], "left").join(there, "walk", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return out.select("walk", "run", "ordinal", "at", "snapshot", "run_status", "total", "failed", "gaps", "affected", *[zero(c) for c in ("missing", "superseded", "new", "resolved")], F.col("_there").isNotNull().alias("resolvable"))

@@ -476,3 +476,25 @@ def cmd_24_exit_codes(spark, sf_dir):
     r = C("run_status")
     outcome = F.when(r == "ScanFailed", "error").when(r == "Partial", "partial").when(r == "Affected", "findings").otherwise("ok")
     return rollup.run_status(m, ["run"], "status").select("run", classify.exit_code(outcome).alias("code"))
+
+
+@query("""WITH ln AS (SELECT l_orderkey AS run, l_partkey % 50 AS module, l_suppkey % 5 AS v, l_returnflag AS f, l_linenumber AS n FROM lineitem),
+res AS (SELECT run, module, min(CASE f WHEN 'A' THEN 'Affected' WHEN 'R' THEN 'Failed' ELSE 'Clean' END) AS status FROM ln GROUP BY ALL),
+fin AS (SELECT DISTINCT run, module, v FROM ln WHERE f = 'A'), rec AS (SELECT run, module, max(n <> 3) AS current FROM ln WHERE n <> 2 GROUP BY ALL),
+r AS (SELECT o_custkey AS walk, o_orderkey AS run, o_orderdate AS at, o_orderpriority AS snapshot, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS ordinal FROM orders),
+st AS (SELECT run, count(*) AS total, count(*) FILTER (status = 'Failed') AS failed, count(*) FILTER (status = 'Affected') AS affected, count(*) FILTER (rec.run IS NULL) AS missing, count(*) FILTER (NOT current) AS superseded FROM res LEFT JOIN rec USING (run, module) GROUP BY run),
+fr AS (SELECT walk, ordinal, module, v FROM fin JOIN r USING (run)), ms AS (SELECT walk, ordinal, module FROM res JOIN r USING (run) WHERE status <> 'Failed'),
+nw AS (SELECT walk, ordinal, count(*) AS n FROM fr WHERE NOT EXISTS (SELECT 1 FROM fr p WHERE p.walk = fr.walk AND p.ordinal = fr.ordinal - 1 AND p.module = fr.module AND p.v = fr.v) GROUP BY ALL),
+gn AS (SELECT fr.walk, fr.ordinal + 1 AS ordinal, count(*) AS n FROM fr JOIN ms ON ms.walk = fr.walk AND ms.ordinal = fr.ordinal + 1 AND ms.module = fr.module WHERE NOT EXISTS (SELECT 1 FROM fr p WHERE p.walk = fr.walk AND p.ordinal = fr.ordinal + 1 AND p.module = fr.module AND p.v = fr.v) GROUP BY ALL)
+SELECT r.walk, r.run, r.ordinal, r.at, r.snapshot, CASE WHEN coalesce(failed, 0) = coalesce(total, 0) THEN 'ScanFailed' WHEN failed > 0 THEN 'Partial' WHEN affected > 0 THEN 'Affected' ELSE 'AllClean' END AS run_status, coalesce(total, 0) AS total, coalesce(failed, 0) AS failed, coalesce(failed, 0) AS gaps, coalesce(affected, 0) AS affected,
+  coalesce(missing, 0) AS missing, coalesce(superseded, 0) AS superseded, coalesce(nw.n, 0) AS new, coalesce(gn.n, 0) AS resolved, r.walk % 10 <> 0 AS resolvable
+FROM r LEFT JOIN st ON st.run = r.run LEFT JOIN nw ON nw.walk = r.walk AND nw.ordinal = r.ordinal LEFT JOIN gn ON gn.walk = r.walk AND gn.ordinal = r.ordinal""")
+def cmd_14_scan_history(spark, sf_dir):
+    """Orders as the scan runs of their customer, their lines as results, records and findings."""
+    l = t(spark, sf_dir, "lineitem").select(C("l_orderkey").alias("run"), (C("l_partkey") % 50).alias("module"), (C("l_suppkey") % 5).alias("finding"), "l_returnflag", C("l_linenumber").alias("n"))
+    status = F.when(C("l_returnflag") == "A", "Affected").when(C("l_returnflag") == "R", "Failed").otherwise("Clean")
+    results = l.groupBy("run", "module").agg(F.min(status).alias("status"))
+    recs = l.where("n <> 2").select("run", "module", F.when(C("n") == 3, "p1").otherwise("p2").alias("pipeline"))
+    runs = t(spark, sf_dir, "orders").select(C("o_custkey").alias("walk"), C("o_orderkey").alias("run"), C("o_orderdate").alias("at"), C("o_orderpriority").alias("snapshot"))
+    walks = t(spark, sf_dir, "customer").where("c_custkey % 10 <> 0").select(C("c_custkey").alias("walk"))
+    return reports.scan_history(runs, results, recs, l.where("l_returnflag = 'A'"), walks, "p2")
