@@ -143,7 +143,30 @@ def soundness_rank(rung: Column) -> Column:
 
 def completeness_parity(level_a: Column, algorithm_a: Column, level_b: Column, algorithm_b: Column) -> Column:
     """Why two graphs can't be compared, or null if they can."""
-    return F.when(level_a != level_b, F.concat(F.lit("completeness level differs: before="), level_a, F.lit(" after="), level_b)).when(algorithm_a != algorithm_b, F.concat(F.lit("algorithm differs: before="), algorithm_a, F.lit(" after="), algorithm_b))
+    return F.when(level_a != level_b, F.concat(F.lit("completeness level differs: before="), level_a, F.lit(" after="), level_b)).when(algorithm_a != algorithm_b, F.concat(F.lit("algorithm/devirt tier differs: before="), algorithm_a, F.lit(" after="), algorithm_b))
+
+
+def completeness_caveat(level: Column, phase: str = "") -> Column:
+    """What to bear in mind of a graph that is below full fidelity; empty for one with bodies. Phases: coding, inclusion, diff, or none."""
+    # fixed values: the texts
+    texts = {
+        "coding": "run `go generate ./...` and `go build ./...`, then re-analyse; verdicts over this module may be incomplete",
+        "inclusion": "generators are not run on untrusted code, so this verdict is degraded and may be incomplete",
+        "diff": "a before/after verdict over this module is unresolved unless both sides match",
+    }
+    why = texts.get(phase, "verdicts over this module may be incomplete")
+    return F.when(level.isin("BuiltWithBodies", "BUILT_WITH_BODIES"), "").otherwise(F.concat(F.lit("call graph is "), level, F.lit(f", not built with bodies — {why}")))
+
+
+def attested(path: Column, version: Column, replacement_path: Column, replacement_version: Column) -> Column:
+    """struct(path, version) whose published checksum stands for a vendored module's bytes; null for a folder that replaces it: nothing is published."""
+    other, at = F.coalesce(replacement_path, F.lit("")), F.coalesce(replacement_version, F.lit(""))
+    return F.when(other == "", F.struct(path.alias("path"), version.alias("version"))).when(at != "", F.struct(other.alias("path"), at.alias("version")))
+
+
+def vendor_category(kind: Column) -> Column:
+    """The policy's category of a vendored tree's finding: drift stands alone, all else disagrees."""
+    return F.when(kind == "drift", "drift").otherwise("inconsistency")
 
 
 def fips_category(kind: Column, toolchain_capable: Column) -> Column:

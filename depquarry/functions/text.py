@@ -65,6 +65,11 @@ def method_name(symbol: Column) -> Column:
     return F.substring_index(symbol, ".", -1)
 
 
+def bare_signature(signature: Column) -> Column:
+    """A declaration without the line comments that lead it and the white space around; block comments stay."""
+    return F.regexp_replace(F.regexp_replace(signature, r"^(?:[^\S\n]*//[^\n]*(?:\n|\z))+", ""), r"^\s+|\s+\z", "")
+
+
 def has_segment(path: Column, *names: str) -> Column:
     return F.arrays_overlap(F.split(path, "/"), F.array(*[F.lit(n) for n in names]))
 

@@ -133,6 +133,42 @@ def shortest_path(edges: DataFrame, entries: DataFrame, targets: DataFrame) -> D
         settled = _grown(settled, frontier, rounds)
 
 
+def predecessors(edges: DataFrame, reached: DataFrame) -> DataFrame:
+    """(node, pred, depth): for every node of ``reached`` (node, depth) the smallest node one level nearer that names it; null at depth 0."""
+    up = edges.select("src", "dst").distinct().join(reached.select(F.col("node").alias("src"), (F.col("depth") + 1).alias("depth")), "src")
+    best = up.groupBy(F.col("dst").alias("node"), "depth").agg(F.min("src").alias("pred"))
+    return reached.select("node", "depth").join(best, ["node", "depth"], "left").select("node", "pred", "depth")
+
+
+def paths_back(preds: DataFrame, targets: DataFrame) -> DataFrame:
+    """(node, path): the way from a root to each of ``targets`` (node) that ``preds`` (node, pred; null for a root) state, root first.
+
+    ``preds`` has a row for each node. Jumps double every round, first without paths, to find what leads to a target;
+    only those nodes' pieces of path are then put together, so rounds grow with the logarithm of the longest path. A
+    target that ``preds`` doesn't name, or whose way ends at such a node, has no row. Circles are refused.
+    """
+    _checkpoints(preds.sparkSession)
+    p = preds.select("node", "pred").checkpoint()
+    most = p.count().bit_length()
+    jumps = [p.where("pred IS NOT NULL").select("node", F.col("pred").alias("head")).checkpoint()]
+    while not jumps[-1].isEmpty():
+        if len(jumps) > most:
+            raise ValueError("predecessors run in a circle")
+        j = jumps[-1]
+        jumps.append(j.join(j.select(F.col("node").alias("head"), F.col("head").alias("_next")), "head").select("node", F.col("_next").alias("head")).checkpoint())
+    need = targets.select("node").distinct()
+    used = need
+    for j in reversed(jumps[:-1]):
+        used = used.unionByName(used.join(j, "node").select(F.col("head").alias("node"))).distinct().checkpoint()
+    # a piece ends at its node and starts behind ``head``, the next node up
+    pieces = p.join(used, "node", "left_semi").select("node", F.col("pred").alias("head"), F.array("node").alias("path")).checkpoint()
+    while not pieces.where("head IS NOT NULL").isEmpty():
+        upper = pieces.select(F.col("node").alias("head"), F.col("head").alias("_next"), F.col("path").alias("_upper"))
+        joined = pieces.where("head IS NOT NULL").join(upper, "head").select("node", F.col("_next").alias("head"), F.concat("_upper", "path").alias("path"))
+        pieces = pieces.where("head IS NULL").unionByName(joined).checkpoint()
+    return pieces.join(need, "node", "left_semi").select("node", "path")
+
+
 def widest_paths(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(node, rank, depth, pred): the widest path to each node: the strongest weakest edge, then the fewest hops, then the smallest predecessor.
 

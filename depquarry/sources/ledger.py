@@ -51,3 +51,42 @@ def matches(since: str | None = None, until: str | None = None, event: str | Non
         stated = F.coalesce(*[F.col("payload")[k] for k in VERSION_KEYS])
         out &= stated.isNull() | (stated == version)
     return F.coalesce(out, F.lit(False))
+
+
+def report(lines: DataFrame, keys: list[str], since: str | None = None, until: str | None = None, event: str | None = None, module: str | None = None, version: str | None = None) -> DataFrame:
+    """A row for each log (``keys``): its window, what can't be read, how much a question matches, and why it matches nothing.
+
+    ``lines`` are decoded ones with the times around each fault (ts, event, payload, fault, after, before). Columns:
+    first_event, last_event, events, lines_read, unreadable, unreadable_in_window (faults whose times overlap the
+    window; an unknown end is open), matched, zero_reasons: of ``outside_coverage``, ``empty_window``, ``other_version``,
+    ``unknown_module``, ``unknown_event`` those that empty it alone, else ``together``; none for a log without events.
+    """
+    if since and until and since > until:
+        raise ValueError(f"until {until} lies before since {since}")
+    ok, fault = ~F.col("fault"), F.col("fault")
+    at = lambda x: F.lit(x).cast("timestamp")
+    count = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    outside = F.lit(False)
+    if until:
+        outside = outside | F.coalesce(F.col("after") > at(until), F.lit(False))
+    if since:
+        outside = outside | F.coalesce(F.col("before") < at(since), F.lit(False))
+    g = lines.groupBy(*keys).agg(
+        F.min(F.when(ok, F.col("ts"))).alias("first_event"), F.max(F.when(ok, F.col("ts"))).alias("last_event"),
+        count(ok).alias("events"), F.count("*").alias("lines_read"), count(fault).alias("unreadable"), count(fault & ~outside).alias("unreadable_in_window"),
+        count(ok & matches(since, until, event, module, version)).alias("matched"), count(ok & matches(since, until)).alias("_window"), count(ok & matches(module=module, version=version)).alias("_module"),
+        count(ok & matches(module=module)).alias("_path"), count(ok & matches(event=event)).alias("_event"),
+    )
+    apart = F.lit(False)
+    if until:
+        apart = apart | (at(until) < F.col("first_event"))
+    if since:
+        apart = apart | (at(since) > F.col("last_event"))
+    alone = F.array_compact(F.array(
+        F.when((F.col("_window") == 0) & F.lit(bool(since or until)), F.when(apart, "outside_coverage").otherwise("empty_window")),
+        F.when((F.col("_module") == 0) & F.lit(bool(module)), F.when((F.col("_path") > 0) & F.lit(bool(version)), "other_version").otherwise("unknown_module")),
+        F.when((F.col("_event") == 0) & F.lit(bool(event)), "unknown_event"),
+    ))
+    why = F.when(F.size(alone) == 0, F.array(F.lit("together"))).otherwise(alone)
+    reasons = F.when((F.col("matched") == 0) & (F.col("events") > 0), why).otherwise(F.array().cast("array<string>"))
+    return g.select(*keys, "first_event", "last_event", "events", "lines_read", "unreadable", "unreadable_in_window", "matched", reasons.alias("zero_reasons"))
