@@ -100,8 +100,9 @@ def age_days(then: Column, now: Column) -> Column:
 
 
 def is_fresh(looked_up: Column, now: Column, ttl_seconds: int) -> Column:
-    """Looked up less than a positive ttl ago."""
-    return F.coalesce(F.lit(ttl_seconds > 0) & (F.unix_timestamp(now) - F.unix_timestamp(looked_up) < ttl_seconds), F.lit(False))
+    """Looked up less than a positive ttl ago, to the microsecond."""
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    return F.coalesce(F.lit(ttl_seconds > 0) & (micros(now) - micros(looked_up) < round(ttl_seconds * 1_000_000)), F.lit(False))
 
 
 # How licence texts name copyright and ways to contribute.

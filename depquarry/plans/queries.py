@@ -114,7 +114,8 @@ def flt_12_importable_and_unbuilt(spark, sf_dir):
 
 @query("""SELECT event_id, epoch(TIMESTAMP '2024-01-31 00:00:00') - floor(epoch(ts)) < 864000 AS fresh, CAST(floor((epoch(TIMESTAMP '2024-01-31 00:00:00') - floor(epoch(ts))) / 86400) AS BIGINT) AS age_days FROM events""")
 def flt_18_freshness(spark, sf_dir):
-    now, taken = F.lit("2024-01-31 00:00:00").cast("timestamp"), F.col("ts").cast("timestamp")
+    # looked up in whole seconds
+    now, taken = F.lit("2024-01-31 00:00:00").cast("timestamp"), F.date_trunc("second", F.col("ts").cast("timestamp"))
     return t(spark, sf_dir, "events").select("event_id", text.is_fresh(taken, now, 864000).alias("fresh"), text.age_days(taken, now).alias("age_days"))
 
 

@@ -168,3 +168,34 @@ def test_build_list_ends(spark):
     nodes, ends = audit.from_build_list(modules, edges)
     assert {tuple(r) for r in nodes.collect()} == {("f/a", "v2", "proxy"), ("b", "v1", "local_replace")}
     assert {tuple(r) for r in ends.collect()} == {("t", None, "f/a", "v2", "v0"), ("f/a", "v2", "b", "v1", "v1"), ("f/a", "v2", "z", "v3", "v3")}
+
+
+def test_freshness_counts_parts_of_a_second(spark, tmp_path):
+    from compare import rows_of
+    from depquarry.plans.registry import ORACLES, QUERIES
+
+    now = F.lit("2024-01-20 00:00:00").cast("timestamp")
+    for at, want in (("2024-01-15 00:00:00", False), ("2024-01-15 00:00:00.000001", True), ("2024-01-14 23:59:59.999999", False), (None, False)):
+        assert one(spark, text.is_fresh(F.lit(at).cast("timestamp"), now, 5 * 86400)) is want
+    # at and around the boundary of both queries, against their SQL
+    for i, day in enumerate(("2024-01-15", "2024-01-21")):
+        at = [f"timestamp_ntz '{day} 00:00:00' + interval '{n}' second" for n in ("-1", "-0.5", "-0.000001", "0", "0.000001", "0.5", "1")]
+        rows = " union all ".join(f"select {i * 10 + k} as event_id, {x} as ts" for k, x in enumerate(at))
+        spark.sql(rows).coalesce(1).write.parquet(f"{tmp_path}/{i}/events.parquet")
+        part = next((tmp_path / str(i) / "events.parquet").glob("*.parquet"))
+        (tmp_path / f"sf{i}").mkdir()
+        part.rename(tmp_path / f"sf{i}" / "events.parquet")
+        for name in ("fn_44_freshness_of_lookups", "flt_18_freshness"):
+            assert rows_of(QUERIES[name](spark, str(tmp_path / f"sf{i}"))) == events_rows(ORACLES[name], tmp_path / f"sf{i}")
+
+
+def events_rows(sql, folder):
+    import duckdb
+    from compare import plain
+
+    con = duckdb.connect()
+    con.sql("SET TimeZone='UTC'")
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet'")
+    r = con.sql(sql)
+    at = [r.columns.index(c) for c in sorted(r.columns)]
+    return sorted(r.columns), sorted((tuple(plain(x[i]) for i in at) for x in r.fetchall()), key=str)
