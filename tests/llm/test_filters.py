@@ -85,6 +85,32 @@ def test_classifier_learns_and_generalises_over_suffixes(spark, make_docs):
     assert model.score([long], known)[0] > 0.5 > model.score(["stone " * 200_000], known)[0]
 
 
+def test_classifier_learns_from_all_labels(spark, make_docs):
+    rng = random.Random(4)
+    plain = "the of and stone river paper candle winter forest mirror".split()
+    text = lambda *more: " ".join(rng.sample([*rng.choices(plain, k=6), *more], 6 + len(more)))
+    by_hash = [r["id"] for r in spark.range(9000).orderBy(F.xxhash64("id"), "id").collect()]
+    # the last toxic ids by hash use another word, which 3000 of each label don't hold
+    toxic = [(d, text("scumble" if k < 3500 else "gorblight"), 1) for k, d in enumerate(x for x in by_hash if x % 2)]
+    clean = [(d, text(), 0) for d in by_hash if d % 2 == 0]
+    rows = toxic + clean
+    docs = make_docs([(d, t, "en" if d % 3 else None) for d, t, _ in rows], ", lang string")
+    model = toxicity.fit(docs, spark.createDataFrame([(d, y) for d, _, y in rows], "doc_id long, toxic int"), F.lit(True))
+    known = toxicity.Features(model.settings.buckets)
+    got = model.score(["the stone gorblight river paper", "the stone scumble river paper", "the stone winter river paper"], known)
+    assert (got >= 0.5).tolist() == [True, True, False] and set(model.thresholds) == {"", "en"}
+
+
+def test_thresholds_from_counts_are_those_of_the_rows():
+    rng = np.random.default_rng(3)
+    scores, y = rng.random(500).round(3), rng.integers(0, 2, 500)
+    counts = np.zeros((2, 92), np.int64)
+    np.add.at(counts, (y, (scores[:, None] >= toxicity.GRID).sum(axis=1)), 1)
+    f1 = [2 * ((scores >= t) & (y == 1)).sum() / max(1, (scores >= t).sum() + (y == 1).sum()) for t in toxicity.GRID]
+    assert f1[int(np.abs(toxicity.GRID - toxicity.best_threshold(counts)).argmin())] == max(f1)
+    assert toxicity.best_threshold(np.zeros((2, 92))) == 0.5
+
+
 def test_no_labels_and_one_label(spark, make_docs):
     docs = make_docs([(1, "a"), (2, "b")])
     labels = spark.createDataFrame([(1, 0), (2, 0)], "doc_id long, toxic int")
