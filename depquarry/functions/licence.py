@@ -16,16 +16,18 @@ ALIASES = {"GPL-2.0": "GPL-2.0-only", "GPL-3.0": "GPL-3.0-only", "LGPL-2.0": "LG
 
 
 def canonical(spdx: Column) -> Column:
-    out = spdx
-    for old, new in ALIASES.items():
-        out = F.when(spdx == old, new).otherwise(out)
-    return out
+    return F.coalesce(F.try_element_at(_map(ALIASES), spdx), spdx)
+
+
+def _map(entries: dict[str, str | int]) -> Column:
+    return F.create_map(*[F.lit(x) for kv in entries.items() for x in kv])
 
 
 def strength(spdx: Column) -> Column:
     """0 to 3; null for an identifier that isn't modelled."""
-    c = canonical(spdx)
-    return F.when(c.isin(*PERMISSIVE), 0).when(c.isin(*WEAK), 1).when(c.isin(*STRONG), 2).when(c.isin(*NETWORK), 3)
+    # looked up, as tests of each name by itself multiply where this stands in other expressions
+    rungs = {n: k for k, names in reversed(list(enumerate((PERMISSIVE, WEAK, STRONG, NETWORK)))) for n in names}
+    return F.try_element_at(_map(rungs), canonical(spdx))
 
 
 def compatibility(dep: Column, target: Column) -> Column:

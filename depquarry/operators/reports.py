@@ -29,16 +29,36 @@ def closure_conflicts(inputs: DataFrame, keys: list[str]) -> DataFrame:
     nothing was measured that could be called compatible. A choice of which all arms fit is none; of which some do, it
     is electable by those; else the verdict is that of its arms, and its kind that of the first. ``keys`` tell closures apart.
     """
-    choice = F.coalesce(F.size("arms"), F.lit(0)) >= 2
+    c = _conflict()
+    return _judged(inputs).where("_verdict <> 'compatible'").select(*keys, "path", "version", "target", *[c[n].alias(n) for n in ("dep", "verdict", "kind", "electable", "measurement")])
+
+
+def _choice() -> Column:
+    return F.coalesce(F.size("arms"), F.lit(0)) >= 2
+
+
+def _judged(inputs: DataFrame) -> DataFrame:
+    """``inputs`` with ``_verdict``; the verdict is worked out once a row."""
     spdx = F.coalesce("spdx", F.lit(""))
-    verdict = F.when(choice, licence.election(F.col("arms"), F.col("target"))).when(spdx == "", "unknown_pair").otherwise(licence.compatibility(licence.canonical(spdx), F.col("target")))
-    x = inputs.withColumn("verdict", verdict).where("verdict <> 'compatible'")
+    verdict = F.when(_choice(), licence.election(F.col("arms"), F.col("target"))).when(spdx == "", "unknown_pair").otherwise(licence.compatibility(licence.canonical(spdx), F.col("target")))
+    # behind an array, so that it isn't put into each place that names it
+    return inputs.withColumn("_verdict", F.explode(F.array(verdict)))
+
+
+def _conflict() -> dict[str, Column]:
+    """The columns of an open item, over :func:`_judged` rows."""
+    choice, spdx, verdict = _choice(), F.coalesce("spdx", F.lit("")), F.col("_verdict")
     dep = F.when(choice, F.array_join("arms", " OR ")).otherwise(spdx)
     first = F.when(choice, F.col("arms")[0]).otherwise(spdx)
-    kind = F.when(F.col("verdict") == "electable", "election_required").when(F.col("verdict") == "unknown_pair", "unknown_pair").otherwise(licence.conflict_kind(licence.canonical(first)))
-    able = F.when(F.col("verdict") == "electable", F.filter("arms", lambda a: licence.compatibility(licence.canonical(a), F.col("target")) == "compatible"))
+    kind = F.when(verdict == "electable", "election_required").when(verdict == "unknown_pair", "unknown_pair").otherwise(licence.conflict_kind(licence.canonical(first)))
+    able = F.when(verdict == "electable", F.filter("arms", lambda a: licence.compatibility(licence.canonical(a), F.col("target")) == "compatible"))
     measured = F.when(choice | (spdx != ""), "classified").otherwise(F.col("measurement"))
-    return x.select(*keys, "path", "version", "target", dep.alias("dep"), "verdict", kind.alias("kind"), able.alias("electable"), measured.alias("measurement"))
+    return {"dep": dep, "verdict": verdict, "kind": kind, "electable": able, "measurement": measured}
+
+
+def _identifiers() -> Column:
+    """The identifiers that a row of a closure bears."""
+    return F.when(_choice(), F.col("arms")).when(F.coalesce("spdx", F.lit("")) != "", F.array("spdx")).otherwise(F.array().cast("array<string>"))
 
 
 def coverage_holes(inputs: DataFrame, keys: list[str]) -> DataFrame:
@@ -46,8 +66,7 @@ def coverage_holes(inputs: DataFrame, keys: list[str]) -> DataFrame:
 
     Arms of a choice count each; a module without an identifier is no hole, as nothing was read.
     """
-    ids = F.when(F.coalesce(F.size("arms"), F.lit(0)) >= 2, F.col("arms")).when(F.coalesce("spdx", F.lit("")) != "", F.array("spdx")).otherwise(F.array().cast("array<string>"))
-    x = inputs.select(*keys, "path", "version", F.explode(ids).alias("spdx")).where(licence.strength(licence.canonical(F.col("spdx"))).isNull())
+    x = inputs.select(*keys, "path", "version", F.explode(_identifiers()).alias("spdx")).where(licence.strength(licence.canonical(F.col("spdx"))).isNull())
     g = x.groupBy(*keys, "spdx").agg(F.count_distinct(F.struct(F.coalesce("path", F.lit("")), F.coalesce("version", F.lit("")))).alias("modules"))
     why = F.coalesce(*[F.when(licence.canonical(F.col("spdx")) == k, v) for k, v in DELIBERATE.items()])
     return g.withColumn("deliberate", why.isNotNull()).withColumn("reason", F.coalesce(why, F.lit("")))
@@ -58,11 +77,17 @@ def closure_report(inputs: DataFrame, keys: list[str]) -> DataFrame:
 
     Conflicts are in the order of path, version and identifier, holes in that of the identifier. clean: no conflict.
     """
-    c, h = closure_conflicts(inputs, keys), coverage_holes(inputs, keys)
-    conflicts = c.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("path", "version", "dep", "verdict", "kind", "electable", "measurement"))).alias("conflicts"))
-    holes = h.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("spdx", "modules", "deliberate", "reason"))).alias("holes"))
-    all_ = inputs.groupBy(*keys).agg(F.max("target").alias("target"))
-    out = all_.join(conflicts, keys, "left").join(holes, keys, "left")
+    # one pass: a closure's open items and unmodelled identifiers meet in one aggregation
+    x = _judged(inputs)
+    item = F.when(F.col("_verdict") != "compatible", F.struct("path", "version", *[c.alias(n) for n, c in _conflict().items()]))
+    hole = F.transform(F.filter(_identifiers(), lambda i: licence.strength(licence.canonical(i)).isNull()), lambda i: F.struct(i.alias("spdx"), F.coalesce("path", F.lit("")).alias("path"), F.coalesce("version", F.lit("")).alias("version")))
+    g = x.select(*keys, "target", item.alias("_item"), hole.alias("_holes")).groupBy(*keys)
+    out = g.agg(F.max("target").alias("target"), F.sort_array(F.collect_list("_item")).alias("_items"), F.array_distinct(F.flatten(F.collect_list("_holes"))).alias("_of"))
+    ids = F.array_sort(F.array_distinct(F.transform("_of", lambda o: o["spdx"])))
+    why = lambda i: F.coalesce(*[F.when(licence.canonical(i) == k, v) for k, v in DELIBERATE.items()])
+    entry = lambda i: F.struct(i.alias("spdx"), F.size(F.filter("_of", lambda o: o["spdx"] == i)).cast("long").alias("modules"), why(i).isNotNull().alias("deliberate"), F.coalesce(why(i), F.lit("")).alias("reason"))
+    some = lambda c: F.when(F.size(c) > 0, c)
+    out = out.withColumn("conflicts", some(F.col("_items"))).withColumn("holes", some(F.transform(ids, entry)))
     size = F.coalesce(F.size("conflicts"), F.lit(0))
     return out.select(*keys, "target", licence.strength(F.col("target")).isNotNull().alias("modelled"), (size <= 0).alias("clean"), "conflicts", "holes")
 

@@ -9,7 +9,7 @@ from depquarry.functions import classify
 from depquarry.operators import compose, frames, graph, merkle, reports, resolve, rollup, seal, staleness
 from depquarry.plans import oracle as o
 from depquarry.plans.carriers import carrier, cte
-from depquarry.plans.queries import RUNG, query, t
+from depquarry.plans.queries import RUNG, query, spread, t
 from depquarry.sources import manifest, records, scanner
 from depquarry.streaming import sinks
 
@@ -363,7 +363,8 @@ def fn_25_closure_reports(spark, sf_dir):
     target = F.when(C("o_orderpriority") == "1-URGENT", "MIT").when(C("o_orderpriority") == "2-HIGH", "GPL-3.0-only").otherwise("Apache-2.0")
     one = F.coalesce(*[F.when(p % 8 == k, v) for k, v in SPDX.items()])
     arms = F.when(p % 22 == 0, F.array(F.lit("AGPL-3.0-only"), F.lit("GPL-3.0-only"))).when(p % 11 == 0, F.array(F.lit("GPL-3.0-only"), F.lit("MIT")))
-    x = t(spark, sf_dir, "lineitem").join(t(spark, sf_dir, "orders"), C("o_orderkey") == C("l_orderkey"))
+    l = spread(t(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey"), "l_orderkey")
+    x = l.join(t(spark, sf_dir, "orders"), C("o_orderkey") == C("l_orderkey"))
     i = x.select(C("l_orderkey").alias("walk"), F.concat(F.lit("p"), s(p)).alias("path"), F.lit("v1").alias("version"), F.when(p % 11 != 0, one).alias("spdx"), arms.alias("arms"), F.lit("unmeasured").alias("measurement"), target.alias("target")).distinct()
     r = reports.closure_report(i, ["walk"])
     conflict = lambda c: F.concat_ws(":", c["path"], c["dep"], c["verdict"], c["kind"], c["measurement"])

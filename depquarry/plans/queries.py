@@ -31,6 +31,16 @@ def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a table that a task sorts at most, on average, where it is dealt by :func:`spread`.
+TASK_ROWS = 1_000_000
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` over as many partitions as its rows need, so that a task's sort doesn't grow with the table."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(parts, -(-df.count() // TASK_ROWS)), *keys)
+
+
 # ---- sources, sinks ---------------------------------------------------------------------------------
 
 LEDGER = """SELECT event_id AS line, user_id, CASE WHEN value < 10 THEN '{broken ' || props ELSE '{"event": "' || event_type || '", "ts": "2024-01-02 00:00:00", "path": "m' || CAST(user_id % 9 AS STRING) || '", "payload": ' || props || '}' END AS raw FROM {events}"""

@@ -72,3 +72,21 @@ def test_history_resolves_only_what_was_measured(spark):
     out = reports.scan_history(runs, results, records, found, spark.createDataFrame([(1,)], "walk int"), "p2")
     got = {r["run"]: (r["ordinal"], r["run_status"], r["missing"], r["superseded"], r["new"], r["resolved"], r["resolvable"]) for r in out.collect()}
     assert got == {"r1": (1, "Affected", 0, 1, 2, 0, True), "r2": (2, "Partial", 2, 0, 0, 1, True), "r3": (3, "Affected", 1, 0, 1, 0, True), "q": (1, "ScanFailed", 0, 0, 0, 0, False)}
+
+
+def test_closure_report_reads_its_inputs_once(spark):
+    rows = [("w", "p", "v1", "GPL-2.0", None, "x", "MIT"), ("w", "p", "v1", "Odd-1.0", None, "x", "MIT"), ("w", None, None, "Odd-1.0", None, "x", "MIT"), ("w", "p", "v1", "Odd-1.0", None, "y", "MIT"), ("u", "q", "v1", None, None, "unread", "MIT")]
+    i = spark.createDataFrame(rows, "walk string, path string, version string, spdx string, arms array<string>, measurement string, target string")
+    r = reports.closure_report(i, ["walk"])
+    assert "Join" not in r._jdf.queryExecution().optimizedPlan().toString()
+    got = {x["walk"]: x for x in r.collect()}
+    assert [(h["spdx"], h["modules"]) for h in got["w"]["holes"]] == [("Odd-1.0", 2)] and len(got["w"]["conflicts"]) == 4
+    assert got["u"]["holes"] is None and not got["u"]["clean"]
+
+
+def test_tables_are_dealt_by_their_rows(spark, monkeypatch):
+    from depquarry.plans import queries
+
+    monkeypatch.setattr(queries, "TASK_ROWS", 100)
+    assert queries.spread(spark.range(1001), "id").rdd.getNumPartitions() == 11
+    assert queries.spread(spark.range(10), "id").rdd.getNumPartitions() == 4
