@@ -51,6 +51,13 @@ def _sized(frontier: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(frontier) if rows <= FRONTIER_ROWS else frontier
 
 
+def _kept(edges: DataFrame) -> DataFrame:
+    """Edges that every round reads, as a Parquet table in the shared folder: in columns and packed, as a checkpoint is not."""
+    path = shared_path(edges.sparkSession, "edges")
+    edges.write.parquet(path)
+    return edges.sparkSession.read.schema(edges.schema).parquet(path)
+
+
 def _grown(settled: DataFrame, step: DataFrame, rounds: int) -> DataFrame:
     """``settled`` with a step that is checkpointed itself; the union is written anew every eighth round, so plans stay short."""
     out = settled.unionByName(step)
@@ -70,8 +77,7 @@ def levels(edges: DataFrame, roots: DataFrame, max_depth: int = 0) -> DataFrame:
 
     Level by level; ``max_depth`` 0 is unlimited. Cycles, self-edges and repeated edges don't matter.
     """
-    _checkpoints(edges.sparkSession)
-    e = edges.select("src", "dst").distinct().checkpoint()
+    e = _kept(edges.select("src", "dst"))
     settled = roots.select("node").distinct().withColumn("depth", F.lit(0)).checkpoint()
     frontier, depth = settled.select("node"), 0
     rows = frontier.count()
@@ -177,8 +183,8 @@ def widest_paths(edges: DataFrame, roots: DataFrame) -> DataFrame:
     the edges with the nodes that just settled only; the best offer to each node that is still open is
     kept. Edges without a rank or an end are left out; an edge to a node that nothing names is one like another.
     """
-    _checkpoints(edges.sparkSession)
-    e = edges.where("rank BETWEEN 0 AND 4 AND src IS NOT NULL AND dst IS NOT NULL").groupBy("src", "dst").agg(F.max("rank").alias("edge")).checkpoint()
+    # of repeated edges the strongest wins by itself, as the best offer to a node is kept
+    e = _kept(edges.where("rank BETWEEN 0 AND 4 AND src IS NOT NULL AND dst IS NOT NULL").select("src", "dst", F.col("rank").alias("edge")))
     settled = roots.select("node").distinct().select("node", F.lit(5).alias("rank"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("pred")).checkpoint()
     step, offers, rounds, rows = settled, None, 0, settled.count()
     while True:

@@ -50,8 +50,9 @@ CARRIERS = {
 }
 
 
-def carrier(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    text = CARRIERS[name]
+def carrier(spark: SparkSession, sf_dir: str, name: str, distinct: bool = True) -> DataFrame:
+    """The rows of a carrier; without ``distinct``, rows that unions state several times stay so, for readers to whom that is all one."""
+    text = CARRIERS[name] if distinct else CARRIERS[name].replace(" UNION SELECT", " UNION ALL SELECT")
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if f"{{{t}}}" in text}
     return spark.sql(text, **used)
 

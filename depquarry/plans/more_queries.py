@@ -72,7 +72,7 @@ def x_08_require_pins(spark, sf_dir):
 k AS (SELECT src AS node FROM deps UNION SELECT dst FROM deps)
 SELECT finding, bool_or(CASE WHEN symbol IN (SELECT node FROM k) THEN symbol IN (SELECT node FROM b) END) AS is_reachable FROM s GROUP BY finding""")
 def grf_21_reachability(spark, sf_dir):
-    e = carrier(spark, sf_dir, "deps")
+    e = carrier(spark, sf_dir, "deps", distinct=False)
     s = t(spark, sf_dir, "lineitem").select((C("l_suppkey") % 40).alias("finding"), F.concat(F.lit("s"), C("l_suppkey").cast("string")).alias("symbol"))
     p = t(spark, sf_dir, "part").select((1000 + C("p_partkey") % 10).alias("finding"), F.when(C("p_partkey") % 10 == 3, "none").otherwise(F.concat(F.lit("p"), C("p_partkey").cast("string"))).alias("symbol"))
     return graph.reachability(e, _roots(spark, "o7"), s.union(p).distinct(), e.select(C("src").alias("node")).union(e.select("dst")))
@@ -81,7 +81,7 @@ def grf_21_reachability(spark, sf_dir):
 @query(cte("deps", recursive=True) + f""", b(node, rank) AS (SELECT 'o7', 5 UNION SELECT dst, least(rank, {RANK}) FROM b JOIN deps ON src = node), w AS (SELECT node, max(rank) AS rank FROM b GROUP BY node)
 SELECT n_name AS capability, max(rank) AS rank FROM w JOIN nation ON node = 'n' || CAST(n_nationkey AS STRING) GROUP BY n_name""")
 def grf_23_capabilities(spark, sf_dir):
-    e = carrier(spark, sf_dir, "deps").select("src", "dst", graph.confidence_rank(C("confidence")).alias("rank"))
+    e = carrier(spark, sf_dir, "deps", distinct=False).select("src", "dst", graph.confidence_rank(C("confidence")).alias("rank"))
     sinks = t(spark, sf_dir, "nation").select(F.concat(F.lit("n"), C("n_nationkey").cast("string")).alias("node"), C("n_name").alias("capability"))
     return graph.capabilities(graph.widest_paths(e, _roots(spark, "o7")), sinks).select("capability", "rank")
 

@@ -229,12 +229,12 @@ def grf_03_edges_to_depth(spark, sf_dir):
 
 @query(cte("deps", recursive=True) + """, b(node) AS (SELECT 'r1' UNION SELECT dst FROM b JOIN deps ON src = node) SELECT node FROM b WHERE node <> 'r1'""")
 def grf_04_closure(spark, sf_dir):
-    return graph.reachable(carrier(spark, sf_dir, "deps"), _roots(spark, "r1"))
+    return graph.reachable(carrier(spark, sf_dir, "deps", distinct=False), _roots(spark, "r1"))
 
 
 @query(cte("deps", recursive=True) + """, b(node) AS (SELECT 'n3' UNION SELECT src FROM b JOIN deps ON dst = node) SELECT node FROM b WHERE node <> 'n3'""")
 def grf_04_dependents_closure(spark, sf_dir):
-    return graph.reachable(graph.reversed_edges(carrier(spark, sf_dir, "deps")), _roots(spark, "n3"))
+    return graph.reachable(graph.reversed_edges(carrier(spark, sf_dir, "deps", distinct=False)), _roots(spark, "n3"))
 
 
 @query(cte("deps") + """ SELECT DISTINCT src AS node, c_acctbal > 0 AS direct, src = 'c7' AS is_root FROM deps LEFT JOIN customer ON src = 'c' || CAST(c_custkey AS STRING) WHERE dst = 'n3'""")
@@ -259,7 +259,7 @@ RANK = "CASE confidence WHEN 'Direct' THEN 4 WHEN 'VTA' THEN 3 WHEN 'Framework'
 @query(cte("deps", recursive=True) + f""", b(node, rank) AS (SELECT 'o7', 5 UNION SELECT dst, least(rank, {RANK}) FROM b JOIN deps ON src = node)
 SELECT node, max(rank) AS rank FROM b GROUP BY node""")
 def grf_07_widest_path(spark, sf_dir):
-    e = carrier(spark, sf_dir, "deps").select("src", "dst", graph.confidence_rank(F.col("confidence")).alias("rank"))
+    e = carrier(spark, sf_dir, "deps", distinct=False).select("src", "dst", graph.confidence_rank(F.col("confidence")).alias("rank"))
     return graph.widest_paths(e, _roots(spark, "o7")).select("node", "rank")
 
 

@@ -147,7 +147,7 @@ def cmd_02_dependents(spark, sf_dir):
 x AS (SELECT list(DISTINCT node) AS l FROM a WHERE node LIKE 's%'), y AS (SELECT list(DISTINCT node) AS l FROM b WHERE node LIKE 's%')
 SELECT list_sort(list_filter(y.l, lambda v: NOT list_contains(x.l, v))) AS added, list_sort(list_filter(x.l, lambda v: NOT list_contains(y.l, v))) AS removed, list_sort(list_filter(x.l, lambda v: list_contains(y.l, v))) AS common FROM x, y""")
 def cmd_05_capability_diff(spark, sf_dir):
-    e = carrier(spark, sf_dir, "deps")
+    e = carrier(spark, sf_dir, "deps", distinct=False)
     of = lambda n: graph.reachable(e, _roots(spark, n)).where(C("node").startswith("s")).select("node", F.lit(n).alias("side"))
     both = of("o7").union(of("o8")).agg(*[F.collect_set(F.when(C("side") == n, C("node"))).alias(n) for n in ("o7", "o8")])
     return both.select(diff.list_diff(C("o7"), C("o8")).alias("d")).select("d.*")

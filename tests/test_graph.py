@@ -178,3 +178,19 @@ def test_run_totals_count_every_event(spark, small):
 
     total = QUERIES["agg_07_run_status_all_events"](spark, small).agg(F.sum("total")).first()[0]
     assert total == spark.read.parquet(f"{small}/events.parquet").count()
+
+
+def test_walks_take_repeated_edges_as_they_come(spark, small, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from depquarry.operators import graph
+    from depquarry.plans.carriers import carrier
+
+    monkeypatch.setattr(graph, "FRONTIER_ROWS", 3)  # some rounds broadcast, others shuffle
+    every = carrier(spark, small, "deps", distinct=False)
+    assert "Aggregate" not in every._jdf.queryExecution().optimizedPlan().toString()
+    assert every.distinct().exceptAll(carrier(spark, small, "deps")).isEmpty()
+    one = spark.createDataFrame([("o7",)], "node string")
+    rank = lambda e: e.select("src", "dst", graph.confidence_rank(F.col("confidence")).alias("rank"))
+    for f in (lambda e: graph.levels(e, one), lambda e: graph.widest_paths(rank(e), one)):
+        assert sorted(f(every).collect()) == sorted(f(carrier(spark, small, "deps")).collect())
