@@ -170,10 +170,36 @@ def fault_bounds(lines: DataFrame, order: str, at: str, keys: list[str] | None =
     return _beside(x, ends, by).withColumn("after", F.coalesce("after", "_last")).withColumn("before", F.coalesce("before", "_first")).drop("_block", "_last", "_first")
 
 
+#: Rows up to the end of a page that one task takes; pages that end later are cut from ranges.
+PAGE_ROWS = 10_000
+
+
 def page(df: DataFrame, order: list[Column], limit: int = 0, offset: int = 0) -> DataFrame:
     """Rows in a total order, from ``offset``; a limit of 0 or less is none."""
-    out = df.orderBy(*order).offset(offset)
-    return out.limit(limit) if limit > 0 else out
+    if offset <= 0:
+        out = df.orderBy(*order)
+        return out.limit(limit) if limit > 0 else out
+    if 0 < limit <= PAGE_ROWS - offset:
+        return df.orderBy(*order).offset(offset).limit(limit)
+    from depquarry.operators.graph import _checkpoints
+
+    _checkpoints(df.sparkSession)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # cut here, so both reads see the same ranges
+    ranged = df.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()).checkpoint()
+    last, n, whole, cut = offset + limit, 0, [], []
+    for r in ranged.groupBy("_range").count().orderBy("_range").collect():
+        low, n = n, n + r["count"]
+        if low >= offset and (limit <= 0 or n <= last):
+            whole.append(r["_range"])
+        elif n > offset and (limit <= 0 or low < last):
+            cut.append((r["_range"], offset - low, last - low))
+    out = ranged.where(F.col("_range").isin(whole)).drop("_range")
+    # at most two ranges hold an end of the page, and only they are numbered
+    for k, a, b in cut:
+        x = ranged.where(F.col("_range") == k).withColumn("_n", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
+        out = out.unionByName(x.where((F.col("_n") > a) & ((F.col("_n") <= b) if limit > 0 else F.lit(True))).drop("_range", "_n"))
+    return out.orderBy(*order)
 
 
 def truncated(df: DataFrame, order: list[Column], limit: int) -> tuple[DataFrame, bool]:

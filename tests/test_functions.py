@@ -199,3 +199,13 @@ def events_rows(sql, folder):
     r = con.sql(sql)
     at = [r.columns.index(c) for c in sorted(r.columns)]
     return sorted(r.columns), sorted((tuple(plain(x[i]) for i in at) for x in r.fetchall()), key=str)
+
+
+def test_pages_are_cut_from_ranges(spark, monkeypatch):
+    monkeypatch.setattr(rollup, "PAGE_ROWS", 5, raising=False)
+    df = spark.range(100).select((F.col("id") * 37 % 100).alias("id"))
+    for limit, offset in ((0, 50), (0, 99), (0, 200), (7, 3), (40, 33), (3, 98), (1, 0)):
+        want = list(range(99, -1, -1))[offset : offset + limit if limit else None]
+        p = rollup.page(df, [F.col("id").desc()], limit, offset)
+        assert [r["id"] for r in p.collect()] == want
+        assert "Offset" not in p._jdf.queryExecution().optimizedPlan().toString()
