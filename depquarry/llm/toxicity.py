@@ -288,6 +288,29 @@ def best_threshold(reached: np.ndarray) -> float:
     return float(GRID[max(runs, key=len)].mean())
 
 
+#: Bits of the bitmap that ids have to pass before their texts are dealt out: for each label, and in all (8 MB).
+LABEL_BITS, BITMAP_BITS = 16, 1 << 26
+
+
+def labelled(docs: DataFrame, given: DataFrame, n: int, shards: Column) -> DataFrame:
+    """(shard, doc_id, toxic, text, lang) of the rows of ``docs`` whose ids ``given`` (doc_id, toxic) has, a shard in one task.
+
+    ``n``: about how many labels there are; ``shards``: an id's shard. Texts pass a bitmap of the labels' ids, of a size that is
+    bounded, and are shuffled once, by the shard; there they meet their labels. A join would deal out all texts, by their ids.
+    """
+    bits = min(BITMAP_BITS, 1 << max(15, (LABEL_BITS * n - 1).bit_length()))
+    at = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(bits)) + 1
+    pieces = given.groupBy(F.bitmap_bucket_number(at).alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+    place = F.bitmap_bit_position(at)
+    byte = F.conv(F.hex(F.substring("bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    lang = F.col("lang") if "lang" in docs.columns else F.lit("").alias("lang")
+    texts = docs.select("doc_id", F.struct("text", lang).alias("row")).where("doc_id is not null")
+    texts = texts.join(F.broadcast(pieces), F.bitmap_bucket_number(at) == F.col("piece")).where(F.getbit(byte, F.pmod(place, F.lit(8))) == 1)
+    both = texts.select("doc_id", "row").unionByName(given, allowMissingColumns=True)
+    one = both.withColumn("shard", shards).repartition("shard").groupBy("shard", "doc_id").agg(F.min("row").alias("row"), F.max("toxic").alias("toxic"))
+    return one.where("row is not null and toxic is not null").select("shard", "doc_id", "toxic", "row.*")
+
+
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, s: Settings = Settings()) -> Model:
     """A model from all rows of ``labels`` (doc_id, toxic) for which ``usable`` (over doc_id) holds.
 
@@ -298,7 +321,11 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, s: Settings = Settin
     """
     small_batches(docs)
     h, cal = F.xxhash64("doc_id"), F.pmod(F.xxhash64("doc_id"), F.lit(s.calibration_share)) == 0
-    marked = labels.select("doc_id", "toxic").where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).where(usable).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    id_type = labels.schema["doc_id"].dataType
+    if docs.schema["doc_id"].dataType != id_type:  # an id has one hash on both sides
+        docs = docs.withColumn("doc_id", F.col("doc_id").try_cast(id_type))
+    given = labels.select("doc_id", "toxic").where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).where(usable).select("doc_id", F.col("toxic").cast("int"))
+    marked = given.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     found = marked.join(docs.select("doc_id"), "doc_id", "left_semi").where(~cal).groupBy("toxic").count().collect()
     n = {r["toxic"]: r["count"] for r in found}
     if len(n) < 2:  # one label alone: its score for every text
@@ -310,11 +337,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, s: Settings = Settin
     cut = F.pmod(F.shiftright(h, 8), F.lit(cuts))
 
     def rows(which: Column) -> DataFrame:
-        """(shard, doc_id, toxic, text, lang) of labelled rows, a shard in one task."""
-        lang = F.col("lang") if "lang" in docs.columns else F.lit("").alias("lang")
-        x = docs.select("doc_id", "text", lang).join(marked.where(which), "doc_id").withColumn("shard", F.pmod(cut, F.lit(shards)).cast("int"))
-        one = x.repartition("shard").groupBy("shard", "doc_id").agg(F.min(F.struct("text", "lang")).alias("row"), F.max("toxic").alias("toxic"))
-        return one.select("shard", "doc_id", "toxic", "row.*")
+        return labelled(docs.where(which), given.where(which), total, F.pmod(cut, F.lit(shards)).cast("int"))
 
     def ordered(x: DataFrame) -> DataFrame:
         return x.sortWithinPartitions("shard", F.xxhash64("doc_id"), "doc_id").select("shard", "toxic", "text")
@@ -328,12 +351,15 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, s: Settings = Settin
         changed = ordered(rows(~cal)).mapInArrow(shard_trainer(held, 1, False), kind)
         mean = changed.groupBy("block").applyInArrow(mean_change, kind)
         model = merged(start, mean.collect())
+        held.destroy()
     reach = sum(((F.col("score") >= F.lit(float(g))).cast("int") for g in GRID), F.lit(0))
-    scored = score(rows(cal).select("toxic", "lang", "text"), model)
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    scored = scored_by(held, rows(cal).select("toxic", "lang", "text"))
     counts = scored.groupBy(F.coalesce("lang", F.lit("")).alias("lang"), "toxic", reach.alias("reach")).count().collect()
     by: dict[str, np.ndarray] = {}
     for r in counts:
         by.setdefault(r["lang"], np.zeros((2, len(GRID) + 1), np.int64))[r["toxic"], r["reach"]] += r["count"]
+    held.destroy()
     model.thresholds = {g: best_threshold(by[g]) for g in sorted(by)}
     return model
 
@@ -378,10 +404,12 @@ def shard_trainer(held, epochs: int, whole: bool):
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``score`` (0 to 1) of the whole text; null and empty texts score alike. A column score is replaced."""
-    spark = docs.sparkSession
     small_batches(docs)
-    held = spark.sparkContext.broadcast(model)
-    kept = docs.select(*[c for c in docs.columns if c != "score"])
+    return scored_by(docs.sparkSession.sparkContext.broadcast(model), docs.select(*[c for c in docs.columns if c != "score"]))
+
+
+def scored_by(held, kept: DataFrame) -> DataFrame:
+    """``kept`` with the ``score`` of a model that is broadcast."""
 
     def run(batches):
         m = held.value

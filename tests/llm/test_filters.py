@@ -101,6 +101,32 @@ def test_classifier_learns_from_all_labels(spark, make_docs):
     assert (got >= 0.5).tolist() == [True, True, False] and set(model.thresholds) == {"", "en"}
 
 
+def test_texts_without_a_label_are_not_shuffled(spark, make_docs, monkeypatch):
+    rng = random.Random(8)
+    text = lambda: " ".join(f"{rng.getrandbits(64):x}" for _ in range(300))
+    rows = [(d, text(), "en") for d in range(2000)] + [(None, text(), "en"), (7, "a", "de"), (8, None, "en")]
+    docs = make_docs(rows, ", lang string").withColumn("doc_id", F.col("doc_id").cast("int"))
+    marks = [(d, d % 2) for d in range(40)] + [(3, 0), (4, 1), (None, 1), (9999, 1), (5, None), (1 << 40, 1)]
+    labels = spark.createDataFrame(marks, "doc_id long, toxic int")
+    wide = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    for bits in (toxicity.BITMAP_BITS, 1 << 15):
+        monkeypatch.setattr(toxicity, "BITMAP_BITS", bits)
+        got = toxicity.labelled(wide, labels.where("doc_id is not null and toxic is not null"), 40, F.pmod(F.xxhash64("doc_id"), F.lit(3)).cast("int")).collect()
+        want = {d: (1 if d == 4 else d % 2, "a" if d == 7 and rows[7][1] > "a" else rows[d][1]) for d in range(40)}
+        assert {r["doc_id"]: (r["toxic"], r["text"]) for r in got if r["doc_id"] not in (7, 8)} == {d: v for d, v in want.items() if d not in (7, 8)}
+        assert len(got) == 40 and {r["doc_id"]: r["text"] for r in got}[8] is None
+    store, none = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+    stages = lambda: {(x.stageId(), x.attemptId()): x.shuffleWriteBytes() for x in map(seq.apply, range(seq.size()))} if (seq := store.stageList(None, False, False, none, None)) else {}
+    before, at = stages(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        model = toxicity.fit(docs, labels, F.lit(True))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", at)
+    shuffled = sum(n for k, n in stages().items() if k not in before)
+    assert model.thresholds and shuffled < 0.2 * sum(len(r[1] or "") for r in rows)
+
+
 def test_thresholds_from_counts_are_those_of_the_rows():
     rng = np.random.default_rng(3)
     scores, y = rng.random(500).round(3), rng.integers(0, 2, 500)
