@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from depquarry.llm.common import LOWER, sliced, small_batches
+from depquarry.llm.common import LOWER, filesystem, put_file, shared_path, sliced, small_batches
 
 
 @dataclass(frozen=True)
@@ -317,7 +317,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, s: Settings = Settin
     Documents and labels join by doc_id; null labels, and labels without a document, are left out. Of rows that
     repeat a doc_id that with the least text counts, of labels that contradict each other the larger. One of
     ``calibration_share`` ids, by hash, is left out of the training; on all of these the thresholds are set. A task
-    trains the start on about ``start_rows`` rows; the driver gets that, the changes of a model, and counts.
+    trains the start on about ``start_rows`` rows; the driver reads that and the changes of a model, and gets counts.
     """
     small_batches(docs)
     h, cal = F.xxhash64("doc_id"), F.pmod(F.xxhash64("doc_id"), F.lit(s.calibration_share)) == 0
@@ -343,17 +343,20 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, s: Settings = Settin
         return x.sortWithinPartitions("shard", F.xxhash64("doc_id"), "doc_id").select("shard", "toxic", "text")
 
     weights, kind = (total / 2 / n[0], total / 2 / n[1]), "block int, touched binary, change binary"
-    got = ordered(rows(~cal & (cut == 0))).mapInArrow(shard_trainer((s, weights), s.epochs, True), kind).collect()
-    start = pickle.loads(got[0]["change"]) if got else Trainer(s, weights)
+    # both models go through files of the shared folder, which are smaller than what Spark's driver holds to collect or send them
+    folder = shared_path(docs.sparkSession, "toxicity")
+    began = f"{folder}/start"
+    made = ordered(rows(~cal & (cut == 0))).mapInArrow(shard_trainer((s, weights), s.epochs, began), kind).count()
+    start = pickle.loads(read_file(began)) if made else Trainer(s, weights)
     model = start.model
     if cuts > 1:
-        held = docs.sparkSession.sparkContext.broadcast(start)
-        changed = ordered(rows(~cal)).mapInArrow(shard_trainer(held, 1, False), kind)
-        mean = changed.groupBy("block").applyInArrow(mean_change, kind)
-        model = merged(start, mean.collect())
-        held.destroy()
-    reach = sum(((F.col("score") >= F.lit(float(g))).cast("int") for g in GRID), F.lit(0))
+        if not made:
+            put_file(began, [pickle.dumps(start)])
+        changed = ordered(rows(~cal)).mapInArrow(shard_trainer(began, 1), kind)
+        changed.groupBy("block").applyInArrow(mean_change, kind).write.parquet(f"{folder}/changes")
+        model = merged(start, table_rows(f"{folder}/changes"))
     held = docs.sparkSession.sparkContext.broadcast(model)
+    reach = sum(((F.col("score") >= F.lit(float(g))).cast("int") for g in GRID), F.lit(0))
     scored = scored_by(held, rows(cal).select("toxic", "lang", "text"))
     counts = scored.groupBy(F.coalesce("lang", F.lit("")).alias("lang"), "toxic", reach.alias("reach")).count().collect()
     by: dict[str, np.ndarray] = {}
@@ -364,27 +367,46 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, s: Settings = Settin
     return model
 
 
-def shard_trainer(held, epochs: int, whole: bool):
+def read_file(uri: str) -> bytes:
+    files, path = filesystem(uri)
+    with files.open_input_stream(path) as f:
+        return f.read()
+
+
+def table_rows(uri: str):
+    """The rows of a small Parquet table in the shared folder, a file at a time."""
+    from pyarrow import fs, parquet
+
+    files, path = filesystem(uri)
+    for f in sorted(x.path for x in files.get_file_info(fs.FileSelector(path)) if x.path.endswith(".parquet")):
+        yield from zip(*[c.to_pylist() for c in parquet.ParquetFile(files.open_input_file(f)).read().columns], strict=True)
+
+
+def shard_trainer(held, epochs: int, to: str | None = None):
     """For ``mapInArrow`` over (shard, toxic, text) with each shard's rows together: trains each from the same start.
 
-    Gives a shard's changes, or with ``whole`` the trainer itself. Rows are taken in chunks of ``chunk_bytes`` of their
-    features, of which each is passed over ``epochs`` times.
+    ``held``: the start's file, or what a trainer is made of. Gives a shard's changes, or one row after the trainer was put
+    in the file ``to``. Rows are taken in chunks of ``chunk_bytes`` of their features, of which each is passed over ``epochs`` times.
     """
 
     def run(batches):
-        given = Trainer(*held) if isinstance(held, tuple) else held.value
-        s = given.model.settings
-        known = Features(s.buckets)
+        given = None
         shard, now, part, y, size = None, None, [], [], 0
 
         def results():
             now.passes(part, y, epochs)
-            out = [(0, b"", pickle.dumps(now))] if whole else list(changes(given, now))
+            if to:
+                put_file(to, [pickle.dumps(now)])
+            out = [(0, b"", b"")] if to else list(changes(given, now))
             return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary()), pa.array([o[2] for o in out], pa.binary())], ["block", "touched", "change"])
 
         for batch in sliced(batches):
             for k, label, text in zip(batch.column("shard"), batch.column("toxic"), batch.column("text")):
                 k = k.as_py()
+                if given is None:
+                    given = Trainer(*held) if isinstance(held, tuple) else pickle.loads(read_file(held))
+                    s = given.model.settings
+                    known = Features(s.buckets)
                 if k != shard:
                     if now is not None:
                         yield results()
