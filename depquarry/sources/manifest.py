@@ -7,6 +7,8 @@ lines of a manifest by a window; each entry is then read by its kind's pattern.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,39 +45,44 @@ def parse(manifests: DataFrame, id: str, text: str) -> DataFrame:
     lines. Repeated ids are read apart only if their rows are: their lines are one manifest's.
     """
     lines = manifests.select(F.col(id).alias("id"), F.posexplode(F.split(text, r"\r?\n")).alias("line", "raw")).withColumn("line", F.col("line") + 1)
-    said = F.regexp_extract("raw", r"^((?:[^/]|/(?!/))*)(?://(.*))?$", 1)
-    comment = F.regexp_extract("raw", r"^(?:[^/]|/(?!/))*//(.*)$", 1)
+    at = F.instr("raw", "//")
+    said = F.when(at > 0, F.substring("raw", F.lit(1), at - 1)).otherwise(F.col("raw"))
+    comment = F.when(at > 0, F.rtrim(F.substring("raw", at + 2, F.char_length("raw")), F.lit("\r"))).otherwise("")
     x = lines.select("id", "line", F.trim(F.translate(said, "\t", " ")).alias("code"), F.trim(comment).alias("comment")).where("code <> ''")
-    opener = F.regexp_extract("code", r"^(\w+)\s*\(\s*\)?$", 1)
-    empty = F.col("code").rlike(r"^\w+\s*\(\s*\)$")
-    x = x.withColumn("_open", F.when((opener != "") & ~empty, opener)).withColumn("_close", F.col("code") == ")").withColumn("_empty", empty)
-    w = Window.partitionBy("id").orderBy("line")
-    state = F.last(F.coalesce("_open", F.when(F.col("_close"), "")), True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    x = x.withColumn("_in", F.coalesce(state, F.lit("")))
-    after = F.first(F.coalesce("_open", F.when(F.col("_close"), "")), True).over(w.rowsBetween(1, Window.unboundedFollowing))
-    x = x.withColumn("_next", after)
+    bracket = F.contains("code", F.lit("("))
+    x = x.withColumn("_opener", F.when(bracket, F.regexp_extract("code", r"^(\w+)\s*\(\s*\)?$", 1)).otherwise("")).withColumn("_empty", bracket & F.col("code").rlike(r"^\w+\s*\(\s*\)$"))
+    opener = F.col("_opener")
+    x = x.withColumn("_open", F.when((opener != "") & ~F.col("_empty"), opener)).withColumn("_close", F.col("code") == ")")
+    # what opens or closes a block; the one before a line and the one after it are each found in one pass over the manifest
+    x = x.withColumn("_turn", F.coalesce("_open", F.when(F.col("_close"), "")))
+    turn = lambda side: F.expr(f"{side}(_turn) IGNORE NULLS OVER (PARTITION BY id ORDER BY line)")
+    x = x.select("*", F.coalesce(turn("lag"), F.lit("")).alias("_in"), turn("lead").alias("_next"))
     inside, first = F.col("_in") != "", F.regexp_extract("code", r"^(\S+)", 1)
     kind = F.when(F.col("_open").isNotNull(), F.col("_open")).when(F.col("_empty"), opener).when(inside, F.col("_in")).otherwise(first)
     x = x.withColumn("kind", kind).withColumn("_body", F.when(inside, F.col("code")).otherwise(F.trim(F.regexp_replace("code", r"^\S+", ""))))
     x = x.where(~(F.col("_close") & inside) & ~(F.col("_empty") & ~inside & F.col("kind").isin(*DIRECTIVES)))
 
-    group = lambda k, i: F.nullif(_bare(F.regexp_extract("_body", PATTERNS[k], i)), F.lit(""))
+    # the words of an entry, each read once, by the pattern of its kind
+    words = F.coalesce(*[F.when(F.col("kind") == k, F.array(*[F.regexp_extract("_body", p, i + 1) for i in range(re.compile(p).groups)])) for k, p in PATTERNS.items()])
+    x = x.withColumn("_words", F.transform(words, lambda w: F.nullif(_bare(w), F.lit(""))))
+    group = lambda i: F.get("_words", F.lit(i - 1))
     of = lambda **by: F.coalesce(*[F.when(F.col("kind") == k, c) for k, c in by.items()])
-    path = of(module=group("module", 1), require=group("require", 1), exclude=group("exclude", 1), replace=group("replace", 1), tool=group("tool", 1), ignore=group("ignore", 1), godebug=group("godebug", 1))
-    version = of(go=group("go", 1), toolchain=group("toolchain", 1), require=group("require", 2), exclude=group("exclude", 2), replace=group("replace", 2), retract=F.coalesce(group("retract", 1), group("retract", 3)))
-    new_path, new_version = of(replace=group("replace", 3)), of(replace=group("replace", 4), retract=F.coalesce(group("retract", 2), group("retract", 3)))
+    path = F.when(F.col("kind").isin("module", "require", "exclude", "replace", "tool", "ignore", "godebug"), group(1))
+    version = of(go=group(1), toolchain=group(1), require=group(2), exclude=group(2), replace=group(2), retract=F.coalesce(group(1), group(3)))
+    new_path, new_version = of(replace=group(3)), of(replace=group(4), retract=F.coalesce(group(2), group(3)))
     x = x.withColumn("path", path).withColumn("version", version).withColumn("new_path", new_path).withColumn("new_version", new_version)
     x = x.withColumn("local", F.when(F.col("kind") == "replace", F.col("new_path").rlike(LOCAL))).withColumn("indirect", F.when(F.col("kind") == "require", F.col("comment").rlike(r"^indirect(;|$)")))
 
     fits = F.coalesce(*[F.when(F.col("kind") == k, F.col("_body").rlike(p)) for k, p in PATTERNS.items()])
     bad = lambda c: F.col(c).isNotNull() & ~semver.is_valid(F.col(c))
+    x = x.withColumn("_fits", F.coalesce(fits, F.lit(False))).withColumn("_bad", bad("version") | bad("new_version"))
     versioned = F.col("kind").isin("require", "exclude", "retract") | ((F.col("kind") == "replace") & ~F.coalesce("local", F.lit(False)))
     opened = F.col("_open").isNotNull()
     again = F.row_number().over(Window.partitionBy("id", "kind", opened).orderBy("line")) > 1
     fault = (
         F.when(opened & inside, "nested block").when(F.col("_close"), "no open block").when(~F.coalesce(F.col("kind").isin(*DIRECTIVES), F.lit(False)), "unknown directive")
-        .when(opened & F.col("kind").isin(*SINGLE), "malformed").when(opened & F.coalesce(F.col("_next") != "", F.lit(True)), "block not closed").when(~opened & ~F.coalesce(fits, F.lit(False)), "malformed")
-        .when(F.col("kind").isin(*SINGLE) & again, "repeated").when(versioned & (bad("version") | bad("new_version")), "version is none")
+        .when(opened & F.col("kind").isin(*SINGLE), "malformed").when(opened & F.coalesce(F.col("_next") != "", F.lit(True)), "block not closed").when(~opened & ~F.col("_fits"), "malformed")
+        .when(F.col("kind").isin(*SINGLE) & again, "repeated").when(versioned & F.col("_bad"), "version is none")
         .when((F.col("kind") == "replace") & ~F.col("local") & F.col("new_version").isNull(), "replacement without version")
     )
     x = x.withColumn("fault", fault).where(~opened | F.col("fault").isNotNull())

@@ -121,6 +121,15 @@ def test_faults_by_line(spark):
     assert {k[0] for k in got} == set(range(12))
 
 
+def test_long_lines_and_many_lines_of_a_manifest(spark):
+    path = "example.com/" + "a" * 60_000
+    lines = ["require (", *[f"\tb.org/x{i} v1.0.{i} // indirect" for i in range(3000)], f"\t{path} v1.0.0 // {'/c' * 60_000}", ")", "tool (", "a.org/t"]
+    got = [r.asDict() for r in manifest.parse(spark.createDataFrame([("m", "\n".join(lines))], "m string, body string"), "m", "body").orderBy("line").collect()]
+    assert len(got) == 3003 and sum(r["indirect"] or False for r in got) == 3000
+    assert (got[3000]["path"], got[3000]["comment"]) == (path, "/c" * 60_000)
+    assert [(r["line"], r["fault"]) for r in got if r["fault"]] == [(3004, "block not closed")]
+
+
 def test_manifests_feed_version_selection(spark):
     from depquarry.operators import resolve
 
