@@ -6,6 +6,7 @@ import os
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 from urllib.parse import urlsplit
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,10 +42,23 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return _paths[-1]
 
 
+@contextmanager
+def passing_shuffles(spark: SparkSession):
+    """Has Spark delete the shuffle files of each query that is begun inside as soon as it ends, not when the driver next collects garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: ``df`` as a Parquet table in the shared folder, read again with the same schema."""
+    """Cuts the lineage: ``df`` as a Parquet table in the shared folder, read again with the same schema; what was shuffled for it is deleted."""
     spark, path = df.sparkSession, shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with passing_shuffles(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -121,9 +121,27 @@ def featurize(docs: DataFrame, p: NearDup) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, cls long, sig binary, nib array<long>, bits array<long>")
 
 
+def kept_symbols(p: NearDup) -> list[list[int]]:
+    """The symbols of a chunk that remain, for each choice of error positions."""
+    return [[i for i in range(p.width) if i not in out] for out in combinations(range(p.width), p.errors)]
+
+
+def slot_mask(p: NearDup) -> int:
+    """The low bits of a key, which number its index."""
+    return (1 << (p.chunks * math.comb(p.width, p.errors) - 1).bit_length()) - 1
+
+
+def meet_before(x: Column, y: Column, slot: Column, p: NearDup) -> Column:
+    """Whether two sets with the signatures ``x`` and ``y`` meet in an index below ``slot`` too."""
+    slots = F.array(*[F.array(*[F.lit(2 * (c * p.width + i) + 1) for i in at]) for c in range(p.chunks) for at in kept_symbols(p)])
+    same = lambda i: F.substring(x, i, F.lit(2)) == F.substring(y, i, F.lit(2))
+    return F.exists(F.slice(slots, F.lit(1), slot), lambda at: F.forall(at, same))
+
+
 def index_entries(classes: DataFrame, p: NearDup) -> DataFrame:
-    """(key, cls, n): the entries of every set in the indices of all chunks and error positions."""
-    kept = [[i for i in range(p.width) if i not in out] for out in combinations(range(p.width), p.errors)]
+    """(key, cls, n): the entries of every set in the indices of all chunks and error positions; a key ends in its index's number."""
+    kept = kept_symbols(p)
+    low = np.uint64(slot_mask(p))
 
     def run(batches):
         for batch in sliced(batches):
@@ -134,7 +152,7 @@ def index_entries(classes: DataFrame, p: NearDup) -> DataFrame:
                 acc = np.broadcast_to(mix(salt), (batch.num_rows, p.chunks))
                 for i in at:
                     acc = mix(acc + sym[:, :, i])
-                keys[:, :, j] = acc
+                keys[:, :, j] = acc & ~low | np.arange(p.chunks, dtype=np.uint64) * np.uint64(len(kept)) + np.uint64(j)
             each = p.chunks * len(kept)
             cls = batch.column("cls").to_numpy(zero_copy_only=False)
             n = batch.column("n").to_numpy(zero_copy_only=False)
@@ -260,6 +278,7 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     allow the similarity. So a large group of copies costs a few stars, and no link between components is lost.
     Under keys that still have over ALL_PAIRS components, as with pages of one template, those pairs are sought
     by the rarest shingles of the members, which every similar enough pair shares: exact, without all pairs.
+    A pair may share many keys; in that last step only the one of the lowest index brings it.
 
     Null, empty and blank texts have no shingles and stay alone. A null doc_id keeps its row and links as
     others do; its component is the smallest doc_id of its component's rows if there is one, else null, and
@@ -273,7 +292,7 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     keys = entries.groupBy("key").agg(F.min("cls").alias("head"), F.max("cls").alias("tail")).where("head != tail").drop("tail")
     met = written(entries.join(keys, "key"), "minhash-met")
 
-    brief = classes.select("cls", "n", "nib", "bits", (F.col("n") - F.aggregate("bits", F.lit(0), lambda k, b: k + F.bit_count(b))).alias("spare"))
+    brief = classes.select("cls", "n", "nib", "bits", "sig", (F.col("n") - F.aggregate("bits", F.lit(0), lambda k, b: k + F.bit_count(b))).alias("spare"))
     of_row = lambda at: {c: F.col(f"{at}.{c}") for c in ("n", "spare", "bits")}
     star = met.where("cls != head").select("cls", "head").distinct().alias("m").join(brief.alias("x"), F.col("m.cls") == F.col("x.cls")).join(brief.alias("y"), F.col("m.head") == F.col("y.cls"))
     star = star.where(near(F.col("x.nib"), F.col("y.nib"), p) & may_link(of_row("x"), of_row("y"), p.percent)).select(F.col("y.cls").alias("a"), F.col("x.cls").alias("b"), F.col("y.cls").alias("ra"), F.col("x.cls").alias("rb"))
@@ -286,25 +305,28 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
         # what stands under keys that have several components
         g = open_.select("key", "cls", "n").join(roots, "cls")
         mixed = g.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
-        open_ = written(g.join(mixed, "key").join(brief.drop("n"), "cls"), f"minhash-open-{i}")
+        open_ = written(g.join(mixed, "key").join(brief.drop("n", *["sig"][: picks]), "cls"), f"minhash-open-{i}")
         x = open_.alias("x")
         if picks:
             of = lambda r: F.min(F.struct(F.xxhash64("key", "cls", F.lit(100 * i + r)).alias("h"), "cls", "n", "root", "nib", "spare", "bits"))  # noqa: E731, B023
             y = open_.groupBy("key").agg(F.array(*[of(r) for r in range(picks)]).alias("picked")).select("key", F.explode(F.array_distinct("picked")).alias("y")).select("key", "y.cls", "y.n", "y.root", "y.nib", "y.spare", "y.bits").alias("y")
             order = F.col("x.cls") != F.col("y.cls")
         else:
+            slot = F.col("key").bitwiseAND(F.lit(slot_mask(p))).cast("int")
             many = open_.groupBy("key").agg(F.count_distinct("root").alias("roots")).where(F.col("roots") > ALL_PAIRS).select("key")
             crowd = written(open_.join(many, "key"), "minhash-crowd")
             if not crowd.isEmpty():
                 firsts = rare_prefixes(sets.join(crowd.select("cls").distinct(), "cls", "left_semi"), p.percent)
                 # the keys of the crowded members are their rare shingles from here on
-                firsts = firsts.join(crowd.dropDuplicates(["cls"]).drop("key"), "cls").select(F.col("item").alias("key"), "side", *[c for c in open_.columns if c != "key"])
-                rest = open_.join(crowd.select("key").distinct(), "key", "left_anti").withColumn("side", F.lit(0))
+                firsts = firsts.join(crowd.dropDuplicates(["cls"]).drop("key"), "cls").select(F.col("item").alias("key"), "side", F.lit(0).alias("slot"), *[c for c in open_.columns if c != "key"])
+                rest = open_.join(crowd.select("key").distinct(), "key", "left_anti").withColumn("side", F.lit(0)).withColumn("slot", slot)
                 open_ = written(rest.unionByName(firsts), "minhash-pairs")
-            sides = open_ if "side" in open_.columns else open_.withColumn("side", F.lit(0))
+            sides = open_ if "side" in open_.columns else open_.withColumn("side", F.lit(0)).withColumn("slot", slot)
             x, y = sides.where("side <= 0").alias("x"), sides.where("side >= 0").alias("y")
             order = (F.col("x.side") < F.col("y.side")) & (F.col("x.cls") != F.col("y.cls")) | (F.col("x.side") == F.col("y.side")) & (F.col("x.cls") < F.col("y.cls"))
         close = order & (F.col("x.root") != F.col("y.root")) & near(F.col("x.nib"), F.col("y.nib"), p) & may_link(of_row("x"), of_row("y"), p.percent)
+        if not picks:
+            close = close & ~meet_before(F.col("x.sig"), F.col("y.sig"), F.col("x.slot"), p)
         pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & close).select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"), F.least("x.root", "y.root").alias("ra"), F.greatest("x.root", "y.root").alias("rb")).distinct()
         roots = merged(roots, confirmed(pairs, sets, p.percent), f"minhash-roots-{i + 1}")
 

@@ -1,8 +1,13 @@
+import gc
 import random
+import struct
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from depquarry.llm import minhash
+from depquarry.llm.common import written
 from depquarry.llm.components import connected_components
 from depquarry.llm.minhash import NearDup, near_duplicates
 
@@ -110,3 +115,31 @@ def test_similar_sets_meet_under_rare_prefixes_and_templates_do_not(spark):
     rows = [(i, list(range(70)) + [10**6 + 100 * i + k for k in range(12)]) for i in range(200)]
     many = minhash.rare_prefixes(spark.createDataFrame(rows, "cls long, items array<long>"), 80)
     assert many.where("side = 0").groupBy("item").count().where("count > 1").count() == 0  # sets of one template, none of which are alike
+
+
+def test_a_pair_is_brought_by_the_first_of_its_keys_alone(spark):
+    p, rng = NearDup(), random.Random(3)
+    base = [rng.randrange(1 << 16) for _ in range(80)]
+    rows = [(i, 9, struct.pack("<80H", *[b if rng.random() < 0.8 else rng.randrange(1 << 16) for b in base])) for i in range(12)]
+    entries = minhash.index_entries(spark.createDataFrame(rows, "cls long, n long, sig binary"), p).join(spark.createDataFrame(rows, "cls long, n long, sig binary").select("cls", "sig"), "cls")
+    x, y = entries.alias("x"), entries.alias("y")
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.cls") < F.col("y.cls")))
+    slot = F.col("x.key").bitwiseAND(F.lit(minhash.slot_mask(p))).cast("int")
+    first = ~minhash.meet_before(F.col("x.sig"), F.col("y.sig"), slot, p)
+    n = met.groupBy("x.cls", "y.cls").agg(F.count("*").alias("keys"), F.count_if(first).alias("firsts")).collect()
+    assert len(n) > 20 and sum(r["keys"] for r in n) > 3 * len(n)
+    assert all(r["firsts"] == 1 for r in n)
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    files = lambda: sum("shuffle_" in f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()))
+    gc.collect()
+    spark._jvm.System.gc()
+    time.sleep(2)  # for what other tests have left
+    before = files()
+    out = written(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "left")
+    until = time.time() + 10
+    while files() > before and time.time() < until:
+        time.sleep(0.2)
+    assert files() <= before and out.count() == 7
+    assert connected_components(spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")).count() == 3
