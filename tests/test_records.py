@@ -37,6 +37,19 @@ def test_proofs_of_all_leaves_hold_and_altered_ones_fail(spark):
     assert merkle.proofs(df.where("false"), ["n"], "i", F.col("d")).count() == 0
 
 
+def test_proofs_are_those_of_trees_of_several_blocks_and_shuffle_a_leaf_few_times(spark):
+    sizes = [255, 256, 257, 513, 700]
+    rows = [(n, i, f"{n}/{i}") for n in sizes for i in range(n)]
+    df = spark.createDataFrame(rows, "n long, i long, d string")
+    p = merkle.proofs(df, ["n"], "i", F.col("d"))
+    got = p.join(df, ["n", "i"]).select("n", "i", "index", "size", "root", merkle.proven(F.col("d"), F.col("index"), F.col("size"), F.col("siblings"), F.col("root")).alias("right")).collect()
+    assert len(got) == len(rows) and all(r["right"] and r["index"] == r["i"] and r["size"] == r["n"] for r in got)
+    assert {r["n"]: r["root"] for r in got} == {r["n"]: r["root"] for r in rollup.merkle_roots(df, ["n"], "i", F.col("d")).collect()}
+    # two rounds for these sizes, where one a level were ten
+    plan = p._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") <= 1
+
+
 # ---- records -----------------------------------------------------------------------------------------
 
 
