@@ -50,7 +50,9 @@ def src_05_decoded_records(spark, sf_dir):
     edges = t(spark, sf_dir, "lineitem").select(C("l_orderkey").alias("id"), "l_partkey", "l_linenumber", "l_returnflag")
     order = ["l_partkey", "l_linenumber"]
     stored, kept = records.encode_records(orders, ["id"], ["of", "o_orderstatus", "o_orderpriority"], edges, "id", order, 4)
-    k, plain = C("id") % 8, s(records.decompressed("blob"))
+    k = C("id") % 8
+    # behind a condition, as a function of Python right on another's result would run that one once more
+    plain = s(records.decompressed(F.when(k.isin(4, 6, 7), C("blob"))))
     damaged = (
         F.when(k == 2, F.substring("blob", 1, 20)).when(k == 3, F.lit(b"no json")).when(k == 4, F.regexp_replace(plain, '"schema_version":4', '"schema_version":3').cast("binary"))
         .when(k == 6, F.regexp_replace(plain, '"o_orderstatus":".', '"o_orderstatus":"X').cast("binary")).when(k == 7, plain.cast("binary")).when(k != 1, C("blob"))

@@ -34,10 +34,12 @@ def decompressed(blob: pd.Series) -> pd.Series:
     """What a blob holds: itself where it is no zstandard frame, null where the frame is torn or broken."""
     import zstandard
 
+    z = zstandard.ZstdDecompressor()
+
     def of(b):
         if b is None or b[:4] != MAGIC:
             return b
-        d = zstandard.ZstdDecompressor().decompressobj()
+        d = z.decompressobj()
         try:
             out = d.decompress(b)
         except zstandard.ZstdError:
@@ -55,7 +57,8 @@ def ordered_edges(edges: DataFrame, record: str, order: list[str]) -> DataFrame:
 
 def content_hash(fields: list[Column], edges: Column) -> Column:
     """The hash that a record embeds: of its fields, in the order given, and its edges."""
-    return canonical_hash(F.struct(*fields, edges.alias("edges")))
+    # never null, and said so: a join on it else works it out once more to leave nulls out
+    return F.coalesce(canonical_hash(F.struct(*fields, edges.alias("edges"))), F.lit(""))
 
 
 def encode_records(records: DataFrame, keys: list[str], fields: list[str], edges: DataFrame, record: str, order: list[str], version: int) -> tuple[DataFrame, DataFrame]:

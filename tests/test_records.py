@@ -7,6 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from depquarry.operators import merkle, rollup
+from depquarry.plans.registry import QUERIES
 from depquarry.sources import manifest, records, scanner
 
 # ---- Merkle proofs -----------------------------------------------------------------------------------
@@ -53,6 +54,12 @@ def test_proofs_are_those_of_trees_of_several_blocks_and_shuffle_a_leaf_few_time
 # ---- records -----------------------------------------------------------------------------------------
 
 
+def test_a_stored_payload_is_compressed_and_hashed_once(spark, small):
+    plan = QUERIES["src_05_decoded_records"](spark, small)._jdf.queryExecution()
+    assert "decompressed(compressed(" not in plan.executedPlan().toString()
+    assert not any("Filter" in l and "sha2(" in l for l in plan.optimizedPlan().toString().splitlines())
+
+
 def stored(spark):
     recs = spark.createDataFrame([(i, f"mod{i}", i * 2) for i in range(8)] + [(8, "x" * 300_000, None)], "id long, name string, n long")
     edges = spark.createDataFrame([(i, f"a{j}", j % 3, None if j == 1 else "k") for i in range(6) for j in range(i)] + [(1, "a0", 0, "k")], "id long, src string, line int, kind string")
