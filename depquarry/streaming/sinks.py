@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from depquarry.functions.text import canonical_hash
+from depquarry.operators.dealing import dealt
 
 
 def _fs(spark: SparkSession, path: str):
@@ -61,7 +62,9 @@ def append_batch(folder: str, schema: str, row: Callable[[], Column]) -> Callabl
         if done(df.sparkSession, folder, batch):
             return
         there = committed(df.sparkSession, folder, f"{schema}, hash string").select("hash")
-        commit(df.withColumn("hash", canonical_hash(row())).dropDuplicates(["hash"]).join(there, "hash", "left_anti"), folder, batch)
+        n = df.count() + there.count()
+        new = dealt(df.withColumn("hash", canonical_hash(row())), ["hash"], n).dropDuplicates(["hash"])
+        commit(new.join(dealt(there, ["hash"], n), "hash", "left_anti"), folder, batch)
 
     return put
 
@@ -70,6 +73,7 @@ def latest(spark: SparkSession, folder: str, schema: str, keys: list[str]) -> Da
     """The rows of the last batch that touched each of ``keys``: what stands in a table kept up by :func:`replace_batch`."""
     w = Window.partitionBy(*keys)
     x = committed(spark, folder, schema)
+    x = dealt(x, keys, x.count())
     return x.withColumn("_b", F.max("batch").over(w)).where("batch = _b and not gone").drop("_b", "batch", "gone")
 
 
@@ -97,12 +101,14 @@ def index_batch(records: str, record_schema: str, index: str, frame: list[str],
         put(df, batch)
         if done(spark, index, batch):
             return
-        touched = df.select(*frame).distinct()
-        known = committed(spark, records, f"{record_schema}, hash string").join(touched, frame, "left_semi")
+        known = committed(spark, records, f"{record_schema}, hash string")
+        n = known.count()
+        touched = dealt(df.select(*frame), frame, n).distinct()
         w = Window.partitionBy(*frame).orderBy(*ranking())
-        served = known.withColumn("_n", F.row_number().over(w)).where("_n = 1")
-        entries = served.select(*frame, F.explode(ids).alias("finding_id")).distinct()
-        replace_batch(entries, touched, frame, index, batch)
+        served = dealt(known, frame, n).join(touched, frame, "left_semi").withColumn("_n", F.row_number().over(w)).where("_n = 1")
+        # one row a frame, so its own ids need no other rows to be told apart, nor is what it clears looked for
+        one = touched.join(served.select(*frame, F.array_distinct(ids).alias("_ids")), frame, "left")
+        commit(one.select(*frame, F.explode_outer("_ids").alias("finding_id"), (F.coalesce(F.size("_ids"), F.lit(0)) < 1).alias("gone")), index, batch)
 
     return reconcile
 

@@ -264,3 +264,19 @@ def test_replayed_batches_change_nothing_and_the_index_follows(spark, tmp_path):
         put(df, b)  # replayed
         put(spark.createDataFrame(given[0], schema), 0)
         assert (entries(), sinks.committed(spark, records_, f"{schema}, hash string").count()) == before[:2]
+
+
+def test_an_index_is_dealt_over_more_tasks_as_it_grows(spark, tmp_path, monkeypatch):
+    from depquarry.operators import dealing
+    from depquarry.streaming import sinks
+
+    monkeypatch.setattr(dealing, "TASK_ROWS", 10)
+    df = spark.range(200).select(F.concat(F.lit("m"), F.col("id") % 100).alias("module"), "id")
+    ids = F.when(F.col("id") % 100 < 98, F.array(F.lit("V"), F.lit("V"), F.lit("C"))).when(F.col("id") % 100 == 98, F.array().cast("array<string>"))
+    sinks.index_batch(f"{tmp_path}/r", "module string, id long", f"{tmp_path}/i", ["module"], lambda: F.struct("module", "id"), lambda: [F.col("id").desc()], ids)(df, 0)
+    assert all(len(list((tmp_path / t / "batch=0").glob("*.parquet"))) > 10 for t in "ri")
+    got = sinks.latest(spark, f"{tmp_path}/i", "module string, finding_id string, gone boolean", ["module"])
+    assert got.rdd.getNumPartitions() > 10
+    assert sorted(map(tuple, got.collect())) == sorted((f"m{i}", v) for i in range(98) for v in "VC")
+    # no ids and none at all both clear a frame
+    assert sinks.committed(spark, f"{tmp_path}/i", "module string, finding_id string, gone boolean").where("gone and finding_id is null").count() == 2
