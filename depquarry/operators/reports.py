@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from depquarry.functions import classify, licence, semver
 from depquarry.operators import compose, frames
+from depquarry.operators.dealing import dealt
 
 # ---- licence closure ---------------------------------------------------------------------------------
 
@@ -160,13 +161,14 @@ def context(modules: DataFrame, keys: list[str], sections: dict[str, tuple[DataF
     that a generation must meet to be answered from. A module without a generation is ``not_run``, with some that none
     is served of ``superseded``; else the status is the record's own. ``measured``: how many sections have a record.
     """
-    out, served = modules.select(*keys).distinct(), served or {}
-    names = list(sections)
+    names, served = list(sections), served or {}
+    n = modules.count() + sum(table.count() for table, _ in sections.values())
+    out = dealt(modules.select(*keys), keys, n).distinct()
     for name, (table, ranking) in sections.items():
         others = [c for c in table.columns if c not in (*keys, "status")]
         ok = F.coalesce(served.get(name, F.lit(True)), F.lit(False))
         w = Window.partitionBy(*keys)
-        x = table.withColumn("_ok", ok).withColumn("_all", F.count("*").over(w)).withColumn("_n", F.row_number().over(w.orderBy(F.col("_ok").desc(), *ranking))).where("_n = 1")
+        x = dealt(table, keys, n).withColumn("_ok", ok).withColumn("_all", F.count("*").over(w)).withColumn("_n", F.row_number().over(w.orderBy(F.col("_ok").desc(), *ranking))).where("_n = 1")
         one = F.struct(F.when(F.col("_ok"), F.col("status")).otherwise("superseded").alias("status"), F.col("_all").alias("generations"), *[F.when(F.col("_ok"), F.col(c)).alias(c) for c in others])
         x = x.select(*keys, one.alias(name))
         empty = F.struct(F.lit("not_run").alias("status"), F.lit(0).cast("long").alias("generations"), *[F.lit(None).cast(table.schema[c].dataType).alias(c) for c in others])
@@ -177,9 +179,12 @@ def context(modules: DataFrame, keys: list[str], sections: dict[str, tuple[DataF
 
 def project_context(context_: DataFrame, nodes: DataFrame, keys: list[str], walk: str, sections: list[str]) -> DataFrame:
     """(walk, modules, a count per section of the modules that it is measured for, complete): the context of a walk's nodes in sum."""
-    x = nodes.select(walk, *keys).distinct().join(context_, keys, "left")
-    have = {s: F.coalesce(~F.col(f"{s}.status").isin("not_run", "superseded"), F.lit(False)) for s in sections}
-    g = x.groupBy(walk).agg(F.count("*").alias("modules"), *[F.count_if(c).alias(s) for s, c in have.items()])
+    n = nodes.count()
+    have = {s: ~F.col(f"{s}.status").isin("not_run", "superseded") for s in sections}
+    known = dealt(context_.select(*keys, *[c.alias(s) for s, c in have.items()]), keys, n)
+    # dealt by module, told apart there, then dealt by walk: counting ahead of that would hold a row for nearly every node
+    x = dealt(nodes.select(walk, *keys), keys, n).distinct().join(known, keys, "left").select(walk, *[F.coalesce(s, F.lit(False)).alias(s) for s in sections])
+    g = dealt(x, [walk], n).groupBy(walk).agg(F.count("*").alias("modules"), *[F.count_if(s).alias(s) for s in sections])
     return g.withColumn("complete", F.least(*[F.col(s) for s in sections]) == F.col("modules") if len(sections) > 1 else F.col(sections[0]) == F.col("modules"))
 
 

@@ -90,3 +90,18 @@ def test_tables_are_dealt_by_their_rows(spark, monkeypatch):
     monkeypatch.setattr(queries, "TASK_ROWS", 100)
     assert queries.spread(spark.range(1001), "id").rdd.getNumPartitions() == 11
     assert queries.spread(spark.range(10), "id").rdd.getNumPartitions() == 4
+
+
+def test_contexts_are_dealt_over_more_tasks_as_they_grow(spark, monkeypatch):
+    from depquarry.operators import dealing
+
+    monkeypatch.setattr(dealing, "TASK_ROWS", 10)
+    mods = spark.range(100).select(F.col("id").alias("m"))
+    gens = mods.where("m % 2 = 0").select("m", F.lit("ok").alias("status"), F.lit(1).alias("at"))
+    out = reports.context(mods, ["m"], {"x": (gens, [F.col("at").desc()]), "y": (gens.where("m % 4 = 0"), [F.col("at").desc()])})
+    nodes = spark.range(300).select((F.col("id") % 7).alias("walk"), (F.col("id") % 100).alias("m"))
+    p = reports.project_context(out, nodes, ["m"], "walk", ["x", "y"])
+    assert out.rdd.getNumPartitions() > 10 and p.rdd.getNumPartitions() > 10
+    told = {(i % 7, i % 100) for i in range(300)}
+    want = [(w, sum(a == w for a, _ in told), sum(a == w and m % 2 == 0 for a, m in told), sum(a == w and m % 4 == 0 for a, m in told), False) for w in range(7)]
+    assert sorted(map(tuple, p.collect())) == want
