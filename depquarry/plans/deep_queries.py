@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from depquarry.functions import classify
 from depquarry.operators import compose, frames, graph, merkle, reports, resolve, rollup, seal, staleness
+from depquarry.operators.dealing import dealt
 from depquarry.plans import oracle as o
 from depquarry.plans.carriers import carrier, cte
 from depquarry.plans.queries import RUNG, query, spread, t
@@ -496,7 +497,7 @@ def cmd_14_scan_history(spark, sf_dir):
     """Orders as the scan runs of their customer, their lines as results, records and findings."""
     l = t(spark, sf_dir, "lineitem").select(C("l_orderkey").alias("run"), (C("l_partkey") % 50).alias("module"), (C("l_suppkey") % 5).alias("finding"), "l_returnflag", C("l_linenumber").alias("n"))
     status = F.when(C("l_returnflag") == "A", "Affected").when(C("l_returnflag") == "R", "Failed").otherwise("Clean")
-    results = l.groupBy("run", "module").agg(F.min(status).alias("status"))
+    results = dealt(l, ["run"], l.count()).groupBy("run", "module").agg(F.min(status).alias("status"))
     recs = l.where("n <> 2").select("run", "module", F.when(C("n") == 3, "p1").otherwise("p2").alias("pipeline"))
     runs = t(spark, sf_dir, "orders").select(C("o_custkey").alias("walk"), C("o_orderkey").alias("run"), C("o_orderdate").alias("at"), C("o_orderpriority").alias("snapshot"))
     walks = t(spark, sf_dir, "customer").where("c_custkey % 10 <> 0").select(C("c_custkey").alias("walk"))

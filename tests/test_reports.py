@@ -105,3 +105,17 @@ def test_contexts_are_dealt_over_more_tasks_as_they_grow(spark, monkeypatch):
     told = {(i % 7, i % 100) for i in range(300)}
     want = [(w, sum(a == w for a, _ in told), sum(a == w and m % 2 == 0 for a, m in told), sum(a == w and m % 4 == 0 for a, m in told), False) for w in range(7)]
     assert sorted(map(tuple, p.collect())) == want
+
+
+def test_history_is_dealt_over_more_tasks_as_it_grows_and_holds_nulls_apart(spark, monkeypatch):
+    from depquarry.operators import dealing
+
+    monkeypatch.setattr(dealing, "TASK_ROWS", 2)
+    runs = spark.createDataFrame([(1, f"r{i}", i, "s") for i in range(1, 31)], "walk int, run string, at int, snapshot string")
+    results = spark.createDataFrame([("r1", None, "Affected"), ("r1", "m", "Affected"), ("r2", "m", "Clean"), ("r2", None, "Clean")], "run string, module string, status string")
+    found = spark.createDataFrame([("r1", "m", None), ("r2", "m", None), ("r1", None, "V"), ("r2", None, "V"), ("r2", "m", "W")], "run string, module string, finding string")
+    records = spark.createDataFrame([("r1", None, "p2"), ("r2", "m", "p1")], "run string, module string, pipeline string")
+    out = reports.scan_history(runs, results, records, found, runs.select("walk"), "p2")
+    assert out.rdd.getNumPartitions() > 10
+    got = {r["run"]: (r["total"], r["missing"], r["superseded"], r["new"], r["resolved"]) for r in out.where("ordinal < 4").collect()}
+    assert got == {"r1": (2, 2, 0, 2, 0), "r2": (2, 1, 1, 3, 1), "r3": (0, 0, 0, 0, 0)}
